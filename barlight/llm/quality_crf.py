@@ -2,7 +2,8 @@
 
 Every line of a text is good or bad. Its potentials read features of the line and of its two neighbours; a transition
 matrix links neighbouring labels. Forward-backward gives each line's marginal probability of being good, and their
-mean weighted by line length (plus one) is the document's score. Lines take the label of their document to train on; the
+mean weighted by line length (plus one), calibrated on the training documents by a monotone logistic curve, is the
+document's score. Lines take the label of their document to train on; the
 training sample is bounded by `sample_docs` documents, those with the smallest hash of their id. Every whole text is scored.
 
 Defined cases: null text is empty, an empty text is one empty line; without training documents of both labels the
@@ -107,10 +108,15 @@ def with_neighbours(x: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Crf:
-    """weights: of the good label over the bad one; links: log-potentials of (label, next label)."""
+    """weights: of the good label over the bad one; links: log-potentials of (label, next label).
+
+    slope and shift turn the logit of a text's mean marginal into that of its label, as fitted on the training texts.
+    """
 
     weights: np.ndarray
     links: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
     def marginals(self, node: np.ndarray, n_lines: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Probability that each line is good, and with pairs the expected count of each (label, next label)."""
@@ -144,7 +150,34 @@ class Crf:
         return good, counts if pairs else None
 
 
-def fit(x: np.ndarray, n_lines: np.ndarray, label: np.ndarray, steps: int = 120, ridge: float = 1.0) -> Crf:
+    def scores(self, node: np.ndarray, sizes: np.ndarray, n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each text, and how many of its lines are rather bad than good."""
+        good, _ = self.marginals(node, n_lines)
+        doc = np.repeat(np.arange(len(n_lines)), n_lines)
+        weight = sizes + 1.0
+        mean = np.bincount(doc, weights=weight * good, minlength=len(n_lines)) / np.maximum(np.bincount(doc, weights=weight, minlength=len(n_lines)), 1)
+        return 1 / (1 + np.exp(-(self.slope * logit(mean) + self.shift))), np.bincount(doc[good < 0.5], minlength=len(n_lines))
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def calibrate(crf: Crf, mean: np.ndarray, label: np.ndarray, steps: int = 50) -> None:
+    """Logistic regression of the labels, each as heavy as the other, on the logit of the mean (Newton, with a small ridge)."""
+    x = np.stack([logit(mean), np.ones(len(mean))], 1)
+    w = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
+    theta = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ theta))
+        grad = x.T @ (w * (p - label)) + 1e-3 * (theta - [1.0, 0.0])
+        theta = theta - np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
+    if np.isfinite(theta).all() and theta[0] > 0:
+        crf.slope, crf.shift = map(float, theta)
+
+
+def fit(x: np.ndarray, sizes: np.ndarray, n_lines: np.ndarray, label: np.ndarray, steps: int = 120, ridge: float = 1.0) -> Crf:
     """x with neighbours; label of each text. Gradient ascent (Adam) on the conditional likelihood."""
     crf = Crf(np.zeros(x.shape[1]), np.zeros((2, 2)))
     if len(set(label.tolist())) < 2:
@@ -162,7 +195,10 @@ def fit(x: np.ndarray, n_lines: np.ndarray, label: np.ndarray, steps: int = 120,
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta[-4:] = np.clip(theta[-4:], -3, 3)  # links never outweigh what the lines say
-    return Crf(theta[:-4], theta[-4:].reshape(2, 2))
+    crf = Crf(theta[:-4].copy(), theta[-4:].reshape(2, 2).copy())
+    raw, _ = crf.scores(x @ crf.weights, sizes, n_lines)
+    calibrate(crf, raw, label)
+    return crf
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -204,7 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, doc_id: s
     rows.sort(key=lambda r: (r.label, bytes(r.x)))
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, D) for r in rows]
     n_lines = np.array([len(p) for p in parts])
-    return fit(with_neighbours(np.concatenate(parts).astype(float), n_lines), n_lines, np.array([r.label for r in rows]))
+    x = np.concatenate(parts).astype(float)
+    sizes = np.expm1(8 * x[:, 1])  # the size feature, turned back
+    return fit(with_neighbours(x, n_lines), sizes, n_lines, np.array([r.label for r in rows]))
 
 
 def score(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,12 +256,8 @@ def score(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text")
                 node.append(with_neighbours(x, n) @ crf.weights)
                 sizes.append(size)
                 counts.append(n)
-            n_lines, weight = np.concatenate(counts), np.concatenate(sizes) + 1.0
-            good, _ = crf.marginals(np.concatenate(node), n_lines)
-            doc = np.repeat(np.arange(len(n_lines)), n_lines)
-            total = np.bincount(doc, weights=weight, minlength=len(n_lines))
-            mean = np.clip(np.bincount(doc, weights=weight * good, minlength=len(n_lines)) / np.maximum(total, 1), 0, 1)
-            bad = np.bincount(doc[good < 0.5], minlength=len(n_lines))
+            n_lines = np.concatenate(counts)
+            mean, bad = crf.scores(np.concatenate(node), np.concatenate(sizes), n_lines)
             columns = [batch.column("doc_id"), pa.array(mean), pa.array(n_lines.astype(np.int64)), pa.array(bad.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_lines", "n_bad_lines"])
 
