@@ -15,7 +15,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,55 +28,85 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
+class Recent(dict):
+    """A mapping of at most `most` recent entries and as many of the generation before, which come back when asked for."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys in neither generation; those of the older one come back."""
+        lacking = set()
+        for k in keys:
+            if k not in self:
+                if k in self.old:
+                    self[k] = self.old[k]
+                else:
+                    lacking.add(k)
+        return lacking
+
+
 class WordEncoder:
     """ids of the word-end BPE, remembering what each white-space-free chunk gave.
 
     That tokenizer normalises, drops white space and encodes each letter run, digit and symbol run by itself, so
-    a text's ids are those of its chunks in order. Chunks are only remembered for texts of plain Latin
-    characters in composed form; any other text goes to the tokenizer whole. Memory: at most `most` chunks and words.
+    a text's ids are those of its chunks in order, and a token that ends a word shows where one word's ids stop. Chunks are
+    only remembered for texts of plain Latin characters in composed form; any other text goes to the tokenizer whole.
     """
 
     PLAIN = re.compile(r"[^\t\n\v\f\r\x20-\x7eÀ-ÖØ-öø-ÿ“”‘’–—…¿¡«»€]")
     WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.most = Tokenizer.from_file(path), most
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        self.tok = Tokenizer.from_file(path)
+        self.words, self.chunks = Recent(most), Recent(most)
+        vocabulary = self.tok.get_vocab()
+        self.last = bytearray(max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.last[i] = token.endswith("</w>")
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
             if "<|" in text or self.PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
-                yield self._ids(self.tok.encode(text, add_special_tokens=False).ids)
+                yield array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
                 continue
             parts = text.lower().split()
-            get = self.chunks.get
-            found = [get(p) for p in parts]
+            found = list(map(self.chunks.get, parts))
             if None in found:
                 self._learn({p for p, x in zip(parts, found) if x is None})
-                known = self.chunks
-                found = [known[p] for p in parts]
+                found = map(self.chunks.__getitem__, parts)
             yield b"".join(found)
-            if len(self.chunks) > self.most:
-                self.chunks.clear()
-            if len(self.words) > self.most:
-                self.words.clear()
-
-    def _learn(self, new: set[str]) -> None:
-        split = {p: self.WORD.findall(p) for p in new}
-        unseen = list({w for ws in split.values() for w in ws}.difference(self.words))
-        for w, e in zip(unseen, self.tok.encode_batch_fast(unseen, add_special_tokens=False)):
-            self.words[w] = self._ids(e.ids)
+            self.chunks.turn()
+            self.words.turn()
+
+    def _learn(self, chunks: set[str]) -> None:
+        split = {p: self.WORD.findall(p) for p in self.chunks.missing(chunks)}
+        unseen = list(self.words.missing({w for ws in split.values() for w in ws}))
+        if unseen:
+            ids, at, n = array("I", self.tok.encode(" ".join(unseen), add_special_tokens=False).ids), 0, 0
+            for stop, i in enumerate(ids, 1):
+                if self.last[i]:
+                    self.words[unseen[n]] = ids[at:stop].tobytes()
+                    at, n = stop, n + 1
         for p, ws in split.items():
             self.chunks[p] = b"".join([self.words[w] for w in ws])
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, budget: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece, with its place in the document; keep_ids adds the ids themselves as bytes."""
     end, width = end_id.to_bytes(4, "little"), 4 * budget
@@ -83,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, budget: int = 4096, end_id: int = 1,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             source, out = [], []
             texts = (t.as_py() or "" for t in batch.column("text"))
