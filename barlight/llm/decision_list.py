@@ -182,4 +182,5 @@ def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = labels.select("doc_id").distinct()
     seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(marked, "doc_id", "left_semi")
     rule = verdict(learn(labelled_statistics(statistics(seen, "_text").drop("_text"), labels), **learning))
-    return statistics(docs, text).where(~base_failed() & rule.isNull()).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_text"))
+    return statistics(rows, "_text").where(~base_failed() & rule.isNull()).select("row.*")
