@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from barlight.plans import bar_queries, ledger_queries, stats_queries, text_queries
+from barlight.plans import bar_queries, ledger_queries, stats_queries, stream_queries, text_queries
 
-MODULES = [bar_queries, text_queries, ledger_queries, stats_queries]
+MODULES = [bar_queries, text_queries, ledger_queries, stats_queries, stream_queries]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
