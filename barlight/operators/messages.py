@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 CLEARED = "[cleared]"
 STUB = "[Result from earlier context — see summary above]"
-CONVERSATION = Window.partitionBy("conv_id")
+
+
+def conversation() -> Window:
+    return Window.partitionBy("conv_id")
 
 
 def clear_old_results(messages: DataFrame, keep: int = 3, longer: int = 100) -> DataFrame:
@@ -19,7 +22,7 @@ def clear_old_results(messages: DataFrame, keep: int = 3, longer: int = 100) ->
 
 def collapse(messages: DataFrame, recent: int = 6, longest: int = 2400, head: int = 900, tail: int = 500) -> DataFrame:
     """Long texts that are neither the first message nor among the last `recent` keep their head and tail."""
-    place, n = F.row_number().over(CONVERSATION.orderBy("turn")), F.count("*").over(CONVERSATION)
+    place, n = F.row_number().over(conversation().orderBy("turn")), F.count("*").over(conversation())
     middle = (n > recent + 1) & (place > 1) & (place <= n - recent) & (F.length("text") > longest)
     text = F.col("text")
     short = F.concat(F.substring(text, 1, head), F.lit("\n\n...["), (F.length(text) - head - tail).cast("string"), F.lit(" chars collapsed]...\n\n"), F.right(text, F.lit(tail)))
@@ -28,7 +31,7 @@ def collapse(messages: DataFrame, recent: int = 6, longest: int = 2400, head: in
 
 def emergency(messages: DataFrame, system: int = 3000, user: int = 1500) -> DataFrame:
     """The first message is cut to `system` characters, the second to `user`."""
-    place, text = F.row_number().over(CONVERSATION.orderBy("turn")), F.col("text")
+    place, text = F.row_number().over(conversation().orderBy("turn")), F.col("text")
     cut = lambda n, what: F.concat(F.substring(text, 1, n), F.lit(f"\n[{what} truncated for payload limit]"))
     out = F.when((place == 1) & (F.length(text) > system), cut(system, "System prompt")).when((place == 2) & (F.length(text) > user), cut(user, "User message"))
     return messages.withColumn("text", F.coalesce(out, text))

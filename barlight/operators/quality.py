@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("event_time_ns")
+def series() -> Window:
+    return Window.partitionBy("symbol").orderBy("event_time_ns")
 
 
 def gap_segments(bars: DataFrame, expected_ns: int) -> DataFrame:
     """segment: how many gaps longer than expected lie before the bar."""
-    gap = F.coalesce(F.col("event_time_ns") - F.lag("event_time_ns").over(SERIES) > expected_ns, F.lit(False))
-    return bars.withColumn("_gap", gap.cast("long")).withColumn("segment", F.sum("_gap").over(SERIES)).drop("_gap")
+    gap = F.coalesce(F.col("event_time_ns") - F.lag("event_time_ns").over(series()) > expected_ns, F.lit(False))
+    return bars.withColumn("_gap", gap.cast("long")).withColumn("segment", F.sum("_gap").over(series())).drop("_gap")
 
 
 def breaks(bars: DataFrame, expected_ns: int) -> DataFrame:
     """symbol, gap_from, gap_to: bars further apart than expected."""
-    pairs = bars.select("symbol", F.lag("event_time_ns").over(SERIES).alias("gap_from"), F.col("event_time_ns").alias("gap_to"))
+    pairs = bars.select("symbol", F.lag("event_time_ns").over(series()).alias("gap_from"), F.col("event_time_ns").alias("gap_to"))
     return pairs.where(F.col("gap_to") - F.col("gap_from") > expected_ns)
 
 
@@ -36,7 +37,7 @@ def manifest_errors(manifest: DataFrame, found: DataFrame) -> DataFrame:
 
 def causal_baseline(bars: DataFrame, column: str, width_ns: int, embargo_ns: int) -> DataFrame:
     """Count, mean and deviation of the values in [t - width - embargo, t - embargo)."""
-    w = SERIES.rangeBetween(-(width_ns + embargo_ns), -embargo_ns - 1)
+    w = series().rangeBetween(-(width_ns + embargo_ns), -embargo_ns - 1)
     x = F.col(column)
     return bars.select("symbol", "event_time_ns", F.count(x).over(w).alias("base_n"), F.avg(x).over(w).alias("base_mean"), F.stddev_pop(x).over(w).alias("base_sd"))
 
@@ -44,7 +45,7 @@ def causal_baseline(bars: DataFrame, column: str, width_ns: int, embargo_ns: int
 def coverage(bars: DataFrame, column: str, least: int) -> DataFrame:
     """Valid values and the longest run of nulls of each symbol, and whether that is enough."""
     missing = F.col(column).isNull()
-    island = F.row_number().over(SERIES) - F.row_number().over(Window.partitionBy("symbol", missing).orderBy("event_time_ns"))
+    island = F.row_number().over(series()) - F.row_number().over(Window.partitionBy("symbol", missing).orderBy("event_time_ns"))
     runs = bars.withColumn("_null", missing).withColumn("_island", island).groupBy("symbol", "_null", "_island").agg(F.count("*").alias("_k"))
     n, valid = F.sum("_k"), F.sum(F.when(~F.col("_null"), F.col("_k")).otherwise(0))
     longest = F.coalesce(F.max(F.when(F.col("_null"), F.col("_k"))), F.lit(0))
@@ -61,6 +62,6 @@ def confirmation_days(bars: DataFrame, first_day: int, least: int) -> DataFrame:
 
 def block_correlation(bars: DataFrame, block_ns: int) -> DataFrame:
     """Correlation of log return and volume in each block of time."""
-    ret = F.log("close") - F.log(F.lag("close").over(SERIES))
+    ret = F.log("close") - F.log(F.lag("close").over(series()))
     rows = bars.select("symbol", F.expr(f"event_time_ns div {block_ns}").alias("block"), ret.alias("ret"), "volume")
     return rows.groupBy("symbol", "block").agg(F.count("ret").alias("n"), F.corr("ret", "volume").alias("correlation"))

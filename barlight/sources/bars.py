@@ -29,13 +29,24 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
-    """The sidecar JSON documents root/<symbol>/_metadata.json, under English column names."""
+    """The sidecar documents root/<symbol>/_metadata.json, under English column names.
+
+    Spark's readers pass over names that start with an underscore, so these few files, one a symbol, are opened by the
+    cluster's file system and handed over as texts.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/_metadata.json")
+    fs = pattern.getFileSystem(conf)
+    texts = []
+    for status in fs.globStatus(pattern) or []:
+        stream = fs.open(status.getPath())
+        texts.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),))
+        stream.close()
     schema = "san string, symbol string, schema_version string, nen string, nguon string, tao_luc string"
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "_meta*.json").text(root)
-    one = files.select(F.from_json("value", schema).alias("m")).where("m is not null")
+    one = spark.createDataFrame(texts, "value string").select(F.from_json("value", schema).alias("m")).where("m is not null")
     return one.select(
         F.col("m.san").alias("venue"), F.col("m.symbol").alias("symbol"), F.col("m.schema_version").alias("schema_version"),
-        F.col("m.nen").alias("compression"), F.col("m.nguon").alias("source"), F.to_timestamp("m.tao_luc").alias("created_at"),
+        F.col("m.nen").alias("compression"), F.col("m.nguon").alias("source"), F.try_to_timestamp("m.tao_luc").alias("created_at"),
     )
 
 

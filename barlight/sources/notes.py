@@ -11,7 +11,7 @@ from barlight.sources.scratch import scratch_path
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every markdown file under path as one note."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return parse(files.withColumn("path", F.col("_metadata.file_path")))
 
 
