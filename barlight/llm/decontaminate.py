@@ -110,7 +110,7 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def find(docs: DataFrame, items: DataFrame, n: int = 4, rare: float = 1e-7, threshold: float = 0.6, most_seeds: int = 500_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, n: int = 3, rare: float = 1e-7, threshold: float = 0.5, most_seeds: int = 500_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score of every contaminated document and item, the best score if they meet more than once."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tests = written(item_words(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")), n), "items")
