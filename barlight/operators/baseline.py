@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import bars as fb
@@ -13,16 +13,17 @@ def centre(x: Column, exact: bool = True) -> Column:
 
 
 def baselines(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:
-    """By symbol: med_<c>, mad_<c> and valid_<c> (their count) of the valid values of each column; columns maps a name to what makes it valid."""
+    """By symbol: med_<c>, mad_<c> and valid_<c> (their count) of the valid values of each column, and n_rows; columns maps a name to what makes it valid."""
     valid = {c: F.when(ok, F.col(c)) for c, ok in columns.items()}
-    medians = rows.groupBy("symbol").agg(*[centre(v, exact).alias(f"med_{c}") for c, v in valid.items()], *[F.count(v).alias(f"valid_{c}") for c, v in valid.items()])
+    medians = rows.groupBy("symbol").agg(*[centre(v, exact).alias(f"med_{c}") for c, v in valid.items()], *[F.count(v).alias(f"valid_{c}") for c, v in valid.items()], F.count("*").alias("n_rows"))
     joined = rows.join(F.broadcast(medians), "symbol")  # one row a symbol
     mads = joined.groupBy("symbol").agg(*[centre(F.abs(v - F.col(f"med_{c}")), exact).alias(f"mad_{c}") for c, v in valid.items()])
     return medians.join(mads, "symbol")
 
 
 def scored(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:
-    """rows with z_<c> for each column."""
-    base = baselines(rows, columns, exact)
+    """rows with z_<c> for each column, and total_rows, how many rows there are in all."""
+    all_rows = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # over one row a symbol
+    base = baselines(rows, columns, exact).withColumn("total_rows", all_rows)
     out = rows.join(F.broadcast(base), "symbol")
     return out.withColumns({f"z_{c}": fb.robust_z(F.col(c), F.col(f"med_{c}"), F.col(f"mad_{c}")) for c in columns})

@@ -26,6 +26,7 @@ class ScanParams:
     z_moment: float = 2.0
     z_volatility: float = 2.5
     z_decoupling: float = 3.0
+    least_total: int = 100
     least_short: int = 120
     least_windows: int = 60
     per_symbol: int = 10
@@ -97,7 +98,7 @@ def signals(placed: DataFrame, p: ScanParams = ScanParams(), keys: list[str] | N
     """Suppressed signals of the scanners with these keys (all registered): signal rows with scanner and pos."""
     tune(placed.sparkSession)
     keys = keys or list(SCANNERS)
-    rows = scored(placed, p, keys)
+    rows = scored(placed, p, keys).where(F.col("total_rows") >= p.least_total)
     each = []
     for i, k in enumerate(keys):
         z, value, ok = SCANNERS[k].score(p)
@@ -133,10 +134,8 @@ SIGNAL = ["signal_id", "symbol", "stat", "raw_columns", "feature_names", "value"
 
 
 def scan(bars: DataFrame, p: ScanParams = ScanParams(), **loading) -> DataFrame:
-    """The full scan: at most 50 signals, at most 10 of a symbol; none if fewer than 100 bars are left."""
-    placed = source.load(bars, **loading)
-    enough = F.broadcast(source.outcome(placed).where("outcome = 'pass'").select("outcome"))
-    return suppress.top(signals(placed, p), p.per_symbol, p.total).join(enough, F.lit(True), "left_semi")
+    """The full scan: at most 50 signals, at most 10 of a symbol; none if fewer than 100 bars are left (source.outcome says so)."""
+    return suppress.top(signals(source.load(bars, **loading), p), p.per_symbol, p.total)
 
 
 def persistence(bars: DataFrame, symbol: str, stat: str, least_z: float = 2.0, part: str = "full", p: ScanParams = ScanParams(), **loading) -> DataFrame:
