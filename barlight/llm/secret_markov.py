@@ -3,7 +3,8 @@
 Two first-order character models are trained from labelled samples: values that the fixed patterns find (random
 strings) and other identifiers of the same texts (ordinary). A candidate run of characters that no fixed pattern
 covers is a secret where the log-likelihood ratio of the two models, per character, passes a threshold. The sample is
-bounded by `sample_docs` documents of each label, taken by hash of the id; every text is scanned whole.
+bounded by `sample_docs` documents with a secret and as many of any kind, those with the smallest hash; every text
+is scanned whole.
 
 Defined cases: null text is empty and has no spans; with no labelled secrets at all the random model falls back to
 its smoothing, a uniform distribution; repeated rows are scanned each by themselves; an empty table gives an empty
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The kinds of base patterns, in the order in which ties are listed, and what follows them.
 KINDS = ("assign", "access", "hex", "markov")
@@ -92,13 +94,18 @@ def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text
         columns = [*(x.astype(np.int32) for x in where), total[where].astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["label", "a", "b", "k"])
 
-    turn = F.xxhash64(F.col(doc_id).cast("string"))
+    turn = F.xxhash64(F.col(doc_id).cast("string"), F.crc32(F.encode(F.left(F.col(text).cast("string"), F.lit(64)), "UTF-8")))
     marked = F.col("text").rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
     texts = docs.select(F.col(text).cast("string").alias("text"), turn.alias("turn")).where(F.col("text").isNotNull())
-    plain = texts.orderBy("turn").limit(sample_docs).select("text")
-    secret = texts.where(marked).orderBy("turn").limit(sample_docs).select("text")
+
+    def cut(rows: DataFrame) -> int:
+        """The sample_docs-th smallest hash: texts themselves go nowhere."""
+        last = rows.select("turn").orderBy("turn").limit(sample_docs).agg(F.max("turn")).first()[0]
+        return -(2**63) if last is None else last
+
+    wanted = (F.col("turn") <= cut(texts)) | ((F.col("turn") <= cut(texts.where(marked))) & marked)
     table = np.zeros((2, n, n))
-    sample = plain.unionAll(secret).repartition(8).mapInArrow(count, "label int, a int, b int, k long")
+    sample = texts.where(wanted).select("text").mapInArrow(count, "label int, a int, b int, k long")
     for row in sample.groupBy("label", "a", "b").agg(F.sum("k").alias("k")).collect():  # 2 * 67 * 67 rows at most
         table[row.label, row.a, row.b] = row.k
     return Markov(table[1]).log - Markov(table[0]).log
@@ -119,12 +126,15 @@ def markov_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray,
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string, redacted string"
 
 
-def scan(docs: DataFrame, ratio: np.ndarray, threshold: float = 1.0, redact: bool = False, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, ratio: np.ndarray, threshold: float = 1.0, redact: bool = False, carry: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: counts, digest and list of spans; redact adds the text with each span blanked out.
 
-    carry: more columns of docs to hand on."""
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c) for c in carry])
-    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[2:])
+    carry adds all other columns of docs as one struct named row."""
+    row = [F.struct(*[c for c in docs.columns if c != text]).alias("row")] if carry else []
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *row)
+    handed, schema = given.columns[2:], T.StructType.fromDDL(FOUND)
+    for field in given.schema.fields[2:]:
+        schema = schema.add(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +149,10 @@ def scan(docs: DataFrame, ratio: np.ndarray, threshold: float = 1.0, redact: boo
                 for column, x in zip(rows, (n[0], n[1], n[2], n[3], digest, joined(spans), blanked(text, spans) if redact else None)):
                     column.append(x)
             columns = [pa.array(x, pa.int64() if i < 4 else pa.string()) for i, x in enumerate(rows)]
-            names = ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "redacted", *carry]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *(batch.column(c) for c in carry)], names)
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "redacted", *handed]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, *(batch.column(c) for c in handed)], names)
 
-    return given.mapInArrow(run, FOUND + extra)
+    return given.mapInArrow(run, schema)
 
 
 def blanked(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
