@@ -30,10 +30,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are blanked out of the texts; n_chars follows."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = secret_markov.scan(docs, secret_markov.train(docs), redact=True, carry=others)
-    shown = found.withColumn("text", F.col("redacted"))
-    return shown.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*docs.columns)
+    found = secret_markov.scan(docs, secret_markov.train(docs), redact=True, carry=True)
+    changed = {"text": F.col("redacted"), "n_chars": F.coalesce(F.length("redacted").cast("long"), F.col("row.n_chars"))}
+    return found.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
