@@ -8,17 +8,45 @@ from pyspark.sql import functions as F
 from barlight.functions import bars as fb
 
 
-def centre(x: Column, exact: bool = True) -> Column:
-    return F.median(x) if exact else F.percentile_approx(x, 0.5, 100_000)
+def approximate_medians(rows: DataFrame, values: dict[str, Column], prefix: str, counts: list[Column]) -> DataFrame:
+    return rows.groupBy("symbol").agg(*[F.percentile_approx(v, 0.5, 100_000).alias(f"{prefix}_{c}") for c, v in values.items()], *counts)
+
+
+def exact_medians(rows: DataFrame, values: dict[str, Column], prefix: str, counts: list[Column]) -> DataFrame:
+    """Medians by symbol, from two aggregates.
+
+    Mergeable sketches give a low and a high bound around the median that hold about two thousandths of the values; the second
+    aggregate counts what lies below and at the bounds and gathers the values strictly between. A value that occurs more
+    often than that is itself a bound, so what is gathered stays small whatever the ties.
+    """
+    sketch = rows.groupBy("symbol").agg(*[F.percentile_approx(v, [0.499, 0.501], 10_000).alias(f"_b_{c}") for c, v in values.items()])
+    joined = rows.join(F.broadcast(sketch), "symbol")  # one row a symbol
+    parts = []
+    for c, v in values.items():
+        low, high = F.get(f"_b_{c}", 0), F.get(f"_b_{c}", 1)
+        parts += [F.count(v).alias(f"_n_{c}"), F.count_if(v < low).alias(f"_below_{c}"), F.count_if(v == low).alias(f"_at_{c}"), F.first(low, True).alias(f"_low_{c}"), F.first(high, True).alias(f"_high_{c}"),
+                  F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"_mid_{c}")]
+    found = joined.groupBy("symbol").agg(*parts, *counts)
+
+    def median(c: str) -> Column:
+        def ranked(half: str) -> Column:
+            place = (F.expr(half) - F.col(f"_below_{c}") - F.col(f"_at_{c}")).cast("int")
+            return F.when(place < 0, F.col(f"_low_{c}")).otherwise(F.coalesce(F.get(f"_mid_{c}", place), F.col(f"_high_{c}")))
+
+        return F.when(F.col(f"_n_{c}") > 0, (ranked(f"(_n_{c} - 1) div 2") + ranked(f"_n_{c} div 2")) / 2)
+
+    kept = [c for c in found.columns if not c.startswith("_") and c != "symbol"]
+    return found.select("symbol", *[median(c).alias(f"{prefix}_{c}") for c in values], *kept)
 
 
 def baselines(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:
     """By symbol: med_<c>, mad_<c> and valid_<c> (their count) of the valid values of each column, and n_rows; columns maps a name to what makes it valid."""
+    medians = exact_medians if exact else approximate_medians
     valid = {c: F.when(ok, F.col(c)) for c, ok in columns.items()}
-    medians = rows.groupBy("symbol").agg(*[centre(v, exact).alias(f"med_{c}") for c, v in valid.items()], *[F.count(v).alias(f"valid_{c}") for c, v in valid.items()], F.count("*").alias("n_rows"))
-    joined = rows.join(F.broadcast(medians), "symbol")  # one row a symbol
-    mads = joined.groupBy("symbol").agg(*[centre(F.abs(v - F.col(f"med_{c}")), exact).alias(f"mad_{c}") for c, v in valid.items()])
-    return medians.join(mads, "symbol")
+    counts = [*[F.count(v).alias(f"valid_{c}") for c, v in valid.items()], F.count("*").alias("n_rows")]
+    centre = medians(rows, valid, "med", counts)
+    away = {c: F.abs(v - F.col(f"med_{c}")) for c, v in valid.items()}
+    return centre.join(medians(rows.join(F.broadcast(centre), "symbol"), away, "mad", []), "symbol")
 
 
 def scored(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:

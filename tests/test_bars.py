@@ -135,3 +135,18 @@ def test_plan_shape(spark, small, tmp_path):
     assert "PushedFilters: [IsNotNull(event_time_ns), GreaterThanOrEqual(event_time_ns" in text and "ReadSchema: struct<symbol:string,event_time_ns:bigint,close:double>" in text
     made = plan.signals(source.load(read), plan.ScanParams(long=20, short=6))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in made and "SinglePartition" not in made and "WindowGroupLimit" in made
+
+
+@pytest.mark.parametrize("kind", ["ties", "few", "spread", "none"])
+def test_exact_medians(spark, kind):
+    from barlight.operators import baseline
+
+    rng = np.random.default_rng(7)
+    values = {"ties": [1.0] * 700 + [2.0] * 700 + [3.0] * 5, "few": [5.0, 1.0], "spread": rng.normal(size=4001).tolist(), "none": [None] * 3}[kind]
+    df = spark.createDataFrame([("s", v) for v in values], "symbol string, x double")
+    row = baseline.baselines(df, {"x": F.col("x").isNotNull()}).first()
+    known = np.array([v for v in values if v is not None])
+    if not len(known):
+        assert row.med_x is None and row.mad_x is None
+    else:
+        assert row.med_x == np.median(known) and row.mad_x == np.median(np.abs(known - np.median(known))) and row.valid_x == len(known) and row.n_rows == len(values)
