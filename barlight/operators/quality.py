@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def series() -> Window:
@@ -60,8 +60,14 @@ def confirmation_days(bars: DataFrame, first_day: int, least: int) -> DataFrame:
     return runs.groupBy("symbol").agg(F.max("_k").alias("longest_days"), (F.max("_k") >= least).alias("can_confirm"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of the pairs without nulls; null where one side does not vary."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def block_correlation(bars: DataFrame, block_ns: int) -> DataFrame:
     """Correlation of log return and volume in each block of time."""
     ret = F.log("close") - F.log(F.lag("close").over(series()))
     rows = bars.select("symbol", F.expr(f"event_time_ns div {block_ns}").alias("block"), ret.alias("ret"), "volume")
-    return rows.groupBy("symbol", "block").agg(F.count("ret").alias("n"), F.corr("ret", "volume").alias("correlation"))
+    return rows.groupBy("symbol", "block").agg(F.count("ret").alias("n"), correlation(F.col("ret"), F.col("volume")).alias("correlation"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlight.operators.quality import correlation
 from barlight.sources.scratch import materialise
 
 
@@ -97,7 +98,7 @@ def effective_size(series: DataFrame, x: str, lags: int, key: str = "symbol", or
 def participation_ratio(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Effective number of independent columns: tr(R)² / ‖R‖² of their correlation matrix, one row."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    r = wide.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    r = wide.agg(*[correlation(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     squares = sum((F.coalesce(F.col(f"{i}"), F.lit(0.0)) * F.coalesce(F.col(f"{i}"), F.lit(0.0)) for i in range(len(pairs))), F.lit(0.0))
     n = len(columns)
     return r.select(F.lit(n).alias("n_columns"), (n * n / (n + 2 * squares)).alias("participation"))

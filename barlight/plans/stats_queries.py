@@ -85,8 +85,8 @@ def x11_participation_ratio(spark, sf_dir):
     return stats.participation_ratio(daily(spark, sf_dir), ["open", "close", "volume"]).withColumn("participation", F.round("participation", 6))
 
 
-@query(sql(HOURS, """y AS (SELECT symbol, volume AS x FROM bars WHERE volume > 0), s AS (SELECT symbol, count(*) AS n, sum(ln(x)) AS ls, var_pop(-1 / x) AS a, var_pop((pow(x, -0.5) - 1) / -0.5) AS b, var_pop(ln(x)) AS c, var_pop((pow(x, 0.5) - 1) / 0.5) AS d, var_pop(x) AS e FROM y GROUP BY 1),
-g AS (SELECT symbol, n, unnest([{'l': -1.0, 's': -n / 2 * ln(a) - 2 * ls}, {'l': -0.5, 's': -n / 2 * ln(b) - 1.5 * ls}, {'l': 0.0, 's': -n / 2 * ln(c) - ls}, {'l': 0.5, 's': -n / 2 * ln(d) - 0.5 * ls}, {'l': 1.0, 's': -n / 2 * ln(e)}], recursive := true) FROM s)""", select="SELECT symbol, n, arg_max(l, s) AS lambda FROM g GROUP BY 1, 2"))
+@query(sql(HOURS, """y AS (SELECT symbol, volume AS x FROM bars WHERE volume > 0), s AS (SELECT symbol, count(*) AS n, sum(ln(x)) AS ls, nullif(var_pop(-1 / x), 0) AS a, nullif(var_pop((pow(x, -0.5) - 1) / -0.5), 0) AS b, nullif(var_pop(ln(x)), 0) AS c, nullif(var_pop((pow(x, 0.5) - 1) / 0.5), 0) AS d, nullif(var_pop(x), 0) AS e FROM y GROUP BY 1),
+g AS (SELECT symbol, n, unnest([{'l': -1.0, 's': -n / 2 * ln(a) - 2 * ls}, {'l': -0.5, 's': -n / 2 * ln(b) - 1.5 * ls}, {'l': 0.0, 's': -n / 2 * ln(c) - ls}, {'l': 0.5, 's': -n / 2 * ln(d) - 0.5 * ls}, {'l': 1.0, 's': -n / 2 * ln(e)}], recursive := true) FROM s)""", select="SELECT symbol, n, CAST(arg_max(l, s) AS DOUBLE) AS lambda FROM g GROUP BY 1, 2"))
 def x12_box_cox(spark, sf_dir):
     return stats.box_cox(hourly(spark, sf_dir), "volume", "symbol", [-1.0, -0.5, 0.0, 0.5, 1.0])
 
@@ -113,7 +113,7 @@ def x15_event_clusters(spark, sf_dir):
     return specs.withColumn("columns", F.array_join("columns", ","))
 
 
-@query("SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0 END, 6) AS coverage, CASE p_partkey % 3 WHEN 0 THEN 'ANCHORED' WHEN 1 THEN 'PARTIAL' ELSE 'UNANCHORED' END AS mode FROM part")
+@query("SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS coverage, CASE p_partkey % 3 WHEN 0 THEN 'ANCHORED' WHEN 1 THEN 'PARTIAL' ELSE 'UNANCHORED' END AS mode FROM part")
 def x16_anchor_coverage(spark, sf_dir):
     k = F.col("p_partkey") % 3
     have = F.when(k == 0, F.array("p_brand", "p_type")).when(k == 1, F.array("p_brand", F.lit("x"))).otherwise(F.array(F.lit("x")))
