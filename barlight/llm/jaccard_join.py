@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from barlight.llm.shared import written
 from barlight.llm.shingles import U, grams, mix, words
+from barlight.llm.url_filter import may_have
 
 SMALL = 128  # sets in a leaf
 BLOCK = 512  # sets in a block of a leaf that could not be split further
@@ -93,7 +94,7 @@ def leaves(sets: DataFrame, threshold: float, runs: int, depth: int) -> DataFram
     members = written(children(sets.withColumn("node", F.lit(None).cast("long")), threshold, runs), "paths")
     found = None
     for level in range(1, depth + 1):
-        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.shiftrightunsigned(F.xxhash64("rep", F.lit(7)), 24)).alias("s")).where("n > 1")
+        sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s")).where("n > 1")
         sizes = written(sizes, "nodes")
         last = level == depth
         done = (sizes if last else sizes.where(F.col("n") <= SMALL)).groupBy("n", "x", "s").agg(F.min("node").alias("node")).select("node", "n", "x", "s")
@@ -231,8 +232,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     sets = written(base.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "sets")
     found = written(leaves(sets.select("rep", "sketch"), threshold, runs_for(recall), depth), "leaves")
     lists = found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("leaves"))
-    near = lists.join(sets.select("rep", "sig", "copies"), "rep").withColumnRenamed("rep", "doc_id")
-    rows = given.join(near, "doc_id")
+    near = written(lists.join(sets.select("rep", "sig", "copies"), "rep").withColumnRenamed("rep", "doc_id"), "near")
+    rows = may_have(given, "doc_id", near, "doc_id").where("maybe").select("row.*").join(near, "doc_id")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,5 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **joining) -> DataFrame:
     """The rows of docs without those whose class has a smaller id; rows without id stay. Repeated ids of a kept document stay once."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **joining)
-    dropped = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(*docs.columns)
+    dropped = written(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "dropped")
+    marked = may_have(docs, doc_id, dropped, "doc_id")
+    checked = marked.where("maybe").join(dropped.select(F.col("doc_id").alias("key")), "key", "left_anti")
+    return marked.where("not maybe").select("row.*").unionByName(checked.select("row.*"))

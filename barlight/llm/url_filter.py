@@ -65,16 +65,30 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.select(block.alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)])
 
 
-def possible(keys: DataFrame, filter_table: DataFrame, blocks: int) -> DataFrame:
-    """Rows of keys (column key) that the filter lets through."""
+def screened(keys: DataFrame, filter_table: DataFrame, blocks: int) -> DataFrame:
+    """Rows of keys (column key) with maybe: whether the filter lets them through."""
     block, masks = probe(F.col("key"), blocks)
-    bits = keys.withColumn("block", block)
-    for i, (word, bit) in enumerate(masks):
-        bits = bits.withColumn(f"_word{i}", word).withColumn(f"_bit{i}", bit)
     words = F.array(*[F.col(f"w{i}") for i in range(8)])
-    met = bits.join(F.broadcast(filter_table.select("block", words.alias("words"))), "block")  # at most most_blocks rows of 72 bytes
-    hit = reduce(lambda x, y: x & y, [F.call_function("getbit", F.element_at("words", F.col(f"_word{i}") + 1), F.col(f"_bit{i}")) == 1 for i in range(PROBES)])
-    return met.where(hit).select(*keys.columns)
+    table = F.broadcast(filter_table.select(F.col("block").alias("_block"), words.alias("_words")))  # at most most_blocks rows of 72 bytes
+    met = keys.withColumn("_block", block).join(table, "_block", "left")
+    hit = reduce(lambda x, y: x & y, [F.call_function("getbit", F.element_at("_words", word + 1), bit) == 1 for word, bit in masks])
+    return met.select(*keys.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def possible(keys: DataFrame, filter_table: DataFrame, blocks: int) -> DataFrame:
+    """Rows of keys that the filter lets through."""
+    return screened(keys, filter_table, blocks).where("maybe").drop("maybe")
+
+
+def blocks_for(n: int, most_blocks: int = 1 << 18, bits_per_key: int = 16) -> int:
+    return max(1, min(most_blocks, -(-n * bits_per_key // 512)))
+
+
+def may_have(docs: DataFrame, doc_id: str, ids: DataFrame, name: str) -> DataFrame:
+    """row (all of docs) and maybe: false only where the id is not among ids. The filter spares the other rows a shuffle."""
+    blocks = blocks_for(ids.count())
+    table = bloom(ids.select(F.col(name).alias("key")), blocks)
+    return screened(docs.select(F.col(doc_id).cast("long").alias("key"), F.struct(*docs.columns).alias("row")), table, blocks)
 
 
 def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", most_blocks: int = 1 << 18, bits_per_key: int = 16) -> DataFrame:
@@ -83,7 +97,7 @@ def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: st
     keyed = given.withColumn("key", canonical(F.col("host"), F.col("path")))
     names = listed.where(F.col("key").isNotNull()).select("key").distinct()
     n = names.count()
-    blocks = max(1, min(most_blocks, -(-n * bits_per_key // 512)))
+    blocks = blocks_for(n, most_blocks, bits_per_key)
     near = possible(keyed.where(F.col("key").isNotNull()).select("key").distinct(), bloom(names, blocks), blocks)
     hits = near.join(names, "key").withColumn("listed", F.lit(True))
     rule, verdict = longest_rule(F.col("host"), F.col("path"))
