@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.llm.shared import bind, written
+from barlight.llm.url_filter import may_have
 
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -179,8 +180,10 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **learning) -> DataFrame:
     """The rows of docs that pass, with their own columns."""
-    marked = labels.select("doc_id").distinct()
-    seen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(marked, "doc_id", "left_semi")
-    rule = verdict(learn(labelled_statistics(statistics(seen, "_text").drop("_text"), labels), **learning))
+    marked = labels.where("doc_id is not null").select("doc_id").distinct()
+    near = may_have(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", marked, "doc_id")
+    seen = near.where("maybe").select("row.*")  # statistics meet their labels below, so no text is shuffled
+    known = written(labelled_statistics(statistics(seen, "_text").drop("_text"), labels), "labelled")
+    rule = verdict(learn(known, **learning))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_text"))
     return statistics(rows, "_text").where(~base_failed() & rule.isNull()).select("row.*")
