@@ -1,7 +1,9 @@
 """Benchmark decontamination: rare word n-grams as seeds, local alignment of what they find.
 
-1. Words of the test items are counted over all documents. An n-gram of an item is rare if its words' shares, multiplied,
-   give less than `rare`: how often it would come up by chance, whatever the number of leaked copies.
+1. Words and n-grams of the test items are counted over all documents. The median count of an item's n-grams says how
+   often it was copied; the words of so many copies are taken off. An n-gram is rare if the shares of its words in the rest, multiplied,
+   give less than `rare`, or less than one in the rest: how often it would come up by chance, whatever the number of leaked
+   copies. The `least` rarest of an item are seeds however frequent they are.
 2. Documents keep, for each rare n-gram they share with some item, its hash and place; neighbouring places form a
    passage. Passages join the items on the seeds' hashes.
 3. Smith-Waterman over words aligns passage and item (match 2, mismatch -1, gap -1). The score is its share of the item's own
@@ -10,8 +12,8 @@
 The seeds of the test set are broadcast while they are few (checked against `most_seeds`); a larger set is taken in
 blocks of items, each against all documents.
 
-Defined cases: null or empty documents and items hold no seed; an item with fewer words than a seed has none and is never
-found; repeated documents are judged each by themselves and reported once for an id; an empty table gives an empty result;
+Defined cases: null or empty documents and items hold no seed; an item with fewer words than a seed has all of them as its
+seed, one of a single word has none and is never found; repeated documents are judged each by themselves and reported once for an id; an empty table gives an empty result;
 other columns are ignored. Rows without id are reported under a null id.
 """
 
@@ -34,7 +36,7 @@ def item_words(items: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [words(t or "")[0] for t in batch.column("text").to_pylist()]
-            seeds = [grams(w, n) if len(w) >= n else w[:0] for w in found]
+            seeds = [grams(w, n) if len(w) > 1 else w[:0] for w in found]
             signed = lambda arrays: pa.array([a.view(np.int64) for a in arrays], pa.list_(pa.int64()))
             columns = [batch.column("item_id"), pa.array([len(w) for w in found], pa.int32()), signed(found), signed(seeds)]
             yield pa.RecordBatch.from_arrays(columns, ["item_id", "n_words", "words", "seeds"])
@@ -42,32 +44,59 @@ def item_words(items: DataFrame, n: int) -> DataFrame:
     return items.mapInArrow(run, "item_id long, n_words int, words array<long>, seeds array<long>")
 
 
-def word_shares(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Share of each of these words (sorted hashes) among all words of all documents."""
+def places(w: np.ndarray, seeds: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of so many words are among seeds (sorted hashes, not empty), in order, and which seeds they are."""
+    at, found = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for n in lengths:
+        if len(w) >= n:
+            g = grams(w, n)
+            hit = np.flatnonzero(seeds[np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)] == g)
+            at.append(hit)
+            found.append(g[hit])
+    at, found = np.concatenate(at), np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    return at[order], found[order]
+
+
+def occurrences(docs: DataFrame, vocabulary: np.ndarray, seeds: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often each of these words and seeds (sorted hashes) occurs in all documents, and the number of all words."""
+    n = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = np.zeros(len(vocabulary), np.int64), 0
+        counts, total = np.zeros(n + len(seeds), np.int64), 0
         for batch in batches:
             for text in batch.column("text"):
                 if text.is_valid:
                     w = words(text.as_py())[0]
                     total += len(w)
                     at = np.searchsorted(vocabulary, w)
-                    at[at == len(vocabulary)] = 0
-                    counts += np.bincount(at[vocabulary[at] == w], minlength=len(vocabulary))
+                    at[at == n] = 0
+                    counts[:n] += np.bincount(at[vocabulary[at] == w], minlength=n)
+                    np.add.at(counts, n + np.searchsorted(seeds, places(w, seeds, lengths)[1]), 1)
         kept = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(counts[kept], total))], ["word", "k"])
 
-    out, total = np.zeros(len(vocabulary)), 1
-    for row in docs.mapInArrow(run, "word long, k long").groupBy("word").agg(F.sum("k").alias("k")).collect():  # words of one block of items
-        if row.word < 0:
-            total = max(1, row.k)
-        else:
-            out[row.word] = row.k
-    return out / total
+    out, total = np.zeros(n + len(seeds), np.int64), 0
+    for batch in docs.mapInArrow(run, "word long, k long").groupBy("word").agg(F.sum("k").alias("k")).toArrow().to_batches():  # words and seeds of one block of items
+        word, k = batch.column("word").to_numpy(), batch.column("k").to_numpy()
+        out[word[word >= 0]] = k[word >= 0]
+        total += int(k[word < 0].sum())
+    return out[:n], out[n:], total
+
 
+def rare_seeds(item: np.ndarray, grams_: np.ndarray, vocabulary: np.ndarray, counts: np.ndarray, every: np.ndarray, met: np.ndarray, total: int, rare: float, least: int) -> np.ndarray:
+    """The seeds of one item (words and n-grams by place) that the rest of the corpus would hold less often than `rare`, and its `least` rarest."""
+    copies = float(np.median(met[np.searchsorted(every, grams_)]))
+    _, which, times = np.unique(item, return_inverse=True, return_counts=True)
+    rest = max(1.0, total - copies * len(item))
+    share = np.maximum(counts[np.searchsorted(vocabulary, item)] - copies * times[which], 0) / rest
+    chance = np.convolve(np.log(np.maximum(share, 1e-12)), np.ones(len(item) - len(grams_) + 1), "valid")
+    kept = chance < np.log(max(rare, 1 / rest))
+    kept[np.argsort(chance, kind="stable")[:least]] = True
+    return grams_[kept]
 
-def passages(docs: DataFrame, seeds: np.ndarray, n: int, reach: int) -> DataFrame:
+
+def passages(docs: DataFrame, seeds: np.ndarray, lengths: list[int], reach: int) -> DataFrame:
     """Passages of docs around seeds (sorted hashes): doc_id, row, passage, words, found (seeds in it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,19 +106,15 @@ def passages(docs: DataFrame, seeds: np.ndarray, n: int, reach: int) -> DataFram
                 if not text.is_valid:
                     continue
                 w = words(text.as_py())[0]
-                if len(w) < n:
-                    continue
-                g = grams(w, n)
-                at = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
-                hits = np.flatnonzero(seeds[at] == g)
+                hits, g = places(w, seeds, lengths)
                 if not len(hits):
                     continue
                 cuts = np.flatnonzero(np.diff(hits) > reach) + 1
-                for i, part in enumerate(np.split(hits, cuts)):
+                for i, (part, some) in enumerate(zip(np.split(hits, cuts), np.split(g, cuts))):
                     source.append(row)
                     number.append(i)
-                    kept.append(w[max(0, part[0] - reach) : part[-1] + n + reach].tobytes())
-                    found.append(np.unique(g[part]).view(np.int64))
+                    kept.append(w[max(0, part[0] - reach) : part[-1] + lengths[-1] + reach].tobytes())
+                    found.append(np.unique(some).view(np.int64))
             columns = [batch.column("doc_id").take(pa.array(source, pa.int32())), pa.array(number, pa.int32()), pa.array(kept, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "passage", "words", "found"])
 
@@ -110,7 +135,7 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def find(docs: DataFrame, items: DataFrame, n: int = 3, rare: float = 1e-7, threshold: float = 0.5, most_seeds: int = 500_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, n: int = 3, rare: float = 1e-7, threshold: float = 0.5, most_seeds: int = 500_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 8) -> DataFrame:
     """doc_id, item_id, score of every contaminated document and item, the best score if they meet more than once."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tests = written(item_words(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")), n), "items")
@@ -119,26 +144,23 @@ def find(docs: DataFrame, items: DataFrame, n: int = 3, rare: float = 1e-7, thre
     out = None
     for block in range(blocks):
         some = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else tests
-        part = _find_block(given, some, n, rare, threshold, size.longest)
+        part = _find_block(given, some, n, rare, least, threshold, size.longest)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _find_block(docs: DataFrame, tests: DataFrame, n: int, rare: float, threshold: float, longest: int) -> DataFrame:
+def _find_block(docs: DataFrame, tests: DataFrame, n: int, rare: float, least: int, threshold: float, longest: int) -> DataFrame:
     rows = tests.select("words", "seeds").where(F.size("seeds") > 0).collect()  # most_seeds bounds this block
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(r.words, np.int64) for r in rows]]).view(U))
-    share = np.log(np.maximum(word_shares(docs, vocabulary), 1e-12))
-    scarce = [np.zeros(0, U)]
-    for r in rows:
-        log = share[np.searchsorted(vocabulary, np.array(r.words, np.int64).view(U))]
-        chance = np.convolve(log, np.ones(n), "valid")
-        scarce.append(np.array(r.seeds, np.int64).view(U)[chance < np.log(rare)])
-    seeds = np.unique(np.concatenate(scarce))
-    if not len(seeds):
+    if not rows:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
-    near = passages(docs, seeds, n, longest)
+    own = [(np.array(r.words, np.int64).view(U), np.array(r.seeds, np.int64).view(U)) for r in rows]
+    vocabulary, every = (np.unique(np.concatenate(x)) for x in zip(*own))
+    lengths = sorted({min(n, len(w)) for w, _ in own})
+    counts, met, total = occurrences(docs, vocabulary, every, lengths)
+    seeds = np.unique(np.concatenate([rare_seeds(w, g, vocabulary, counts, every, met, total, rare, least) for w, g in own]))
+    near = passages(docs, seeds, lengths, longest)
     of_item = F.broadcast(tests.select("item_id", F.explode(F.array_distinct("seeds")).alias("seed")))  # most_seeds rows at most
     met = near.withColumn("seed", F.explode("found")).drop("found").join(of_item, "seed")
     pairs = met.groupBy("doc_id", "passage", F.xxhash64("words").alias("_words"), "item_id").agg(F.first("words").alias("passage_words"))

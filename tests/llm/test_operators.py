@@ -132,6 +132,22 @@ def test_decontamination_finds_edited_copies(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 0), (2, 1), (3, 2)}
 
 
+def test_decontamination_of_an_item_in_a_third_of_all_rows(spark):
+    """Default parameters: whole and edited copies are found however many there are, in a corpus of one row and for an item of two words."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    common = [word() for _ in range(40)]
+    item, plain = [word() for _ in range(15)], [common[i] for i in rng.permutation(40)[:15]]
+    edited = [w if i % 6 else word() for i, w in enumerate(item)]
+    rows = [(i, " ".join(item)) for i in range(100)] + [(i, " ".join(rng.choice(common, 15))) for i in range(100, 298)]
+    rows += [(298, " ".join(edited)), (299, " ".join([*rng.choice(common, 5), *plain])), (300, f"{word()} Kelvar quendi {word()}"), (301, f"{word()} quendi kelvar")]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(plain)), (3, "kelvar Quendi")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(i, 1) for i in [*range(100), 298]} | {(299, 2), (300, 3)}
+    alone = decontaminate.find(spark.createDataFrame(rows[:1], "doc_id long, text string"), items)
+    assert [(r.doc_id, r.item_id, r.score) for r in alone.collect()] == [(0, 1, 1.0)]
+
+
 def test_decontamination_in_blocks_gives_the_same(docs, spark, small):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.find(docs, items).collect()}
