@@ -1,8 +1,9 @@
 """Licence scan by sentence rules: known sentences become identifiers, identifier sequences meet ordered rules.
 
-A text is cut into sentences at line breaks and after closing punctuation, each sentence is normalised (lower case,
-letters and digits only, single blanks) and looked up in a table of known licence sentences. The identifiers found, in
-text order, form a sequence; the rules are tried in order and each asks for its identifiers one after the other, with any others
+A text is cut into sentences at empty lines and after closing punctuation; a single line break is a blank and comment marks at the
+start of a line are none of its text. Each sentence is normalised (lower case, letters and digits only, single blanks) and looked up
+in a table of known licence sentences, those of notices and the whole ones of the licence texts; one over several lines that is
+not there is looked up line by line. The identifiers found, in text order, form a sequence; the rules are tried in order and each asks for its identifiers one after the other, with any others
 between. All of it is one projection of built-in functions: no shuffle, no Python.
 
 Defined cases: null or empty text has no sentences and no licence; a sentence that occurs twice is listed twice;
@@ -45,6 +46,26 @@ SENTENCES = {
     "All rights reserved": "all-rights-reserved",
 }
 
+_AS_PUBLISHED = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+
+# Whole sentences of the licence texts, as the breaks cut them.
+WHOLE = {
+    "Licensed under the Apache License, Version 2.0 (the License)": "apache2-notice",
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache2-copy",
+    "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0": "apache2-copy",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied": "apache2-as-is",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions": "mit-grant",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT": "mit-warranty",
+    _AS_PUBLISHED + ", either version 3 of the License, or (at your option) any later version": "gpl3-or-later",
+    _AS_PUBLISHED + ", either version 2 of the License, or (at your option) any later version": "gpl2-or-later",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "bsd-grant",
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "bsd-source",
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "bsd-binary",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-no-endorsement",
+    # A name such as Company, Inc. ends a sentence.
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-no-endorsement",
+}
+
 # Fixed values: (licence, identifiers that must follow one another), in the order of trial.
 RULES = [
     ("Apache-2.0", ["apache2-notice"]),
@@ -68,18 +89,31 @@ def normal(sentence: str) -> str:
 
 
 KNOWN = {normal(s): i for s, i in SENTENCES.items()}
-BREAK = r"\n|[.!?;:][\x20\t\r]+"
+ALL = KNOWN | {normal(s): i for s, i in WHOLE.items()}
+MARKS = r"(?m)^[\x20\t\r]*(?://+|/?\*+/?|#+|--+|;+|%+|>+|<!--|dnl\b|(?i:rem)\b)[\x20\t\r]*"
+BREAK = r"\n[\x20\t\r]*(?=\n)|[.!?;:][\x20\t\r\n]+"
+HOLDER = r"^neither the name of .{1,200}? nor the names of (?:its|their|any) contributors may be used to endorse"
+
+
+def plain(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    # Only sentences whose length can match are normalised.
-    longest = max(map(len, KNOWN)) * 2
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), BREAK), lambda s: F.length(s).between(10, longest))
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    kept = F.filter(plain, lambda s: s.isin(*KNOWN))
-    return F.transform(kept, lambda s: F.element_at(known, s))
+    known = F.create_map(*[F.lit(x) for pair in ALL.items() for x in pair])
+    named = lambda w: F.when(w.startswith("neither the name of"), F.regexp_replace(w, HOLDER, "neither the name of the copyright holder nor the names of its contributors may be used to endorse")).otherwise(w)
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), MARKS, ""), BREAK)
+
+    def lines(part: Column) -> Column:
+        kept = F.filter(F.transform(F.split(part, "\n"), plain), lambda s: s.isin(*ALL))
+        return F.transform(kept, lambda s: F.element_at(known, s))
+
+    def found(part: Column) -> Column:
+        whole = bind(named(plain(part)), lambda w: F.when(w.isin(*ALL), F.element_at(known, w)))
+        return bind(whole, lambda i: F.when(i.isNotNull(), F.array(i)).when(F.contains(part, F.lit("\n")), lines(part)).otherwise(F.array().cast("array<string>")))
+
+    return F.flatten(F.transform(parts, found))
 
 
 def matches(ids: Column, rule: list[str]) -> Column:
