@@ -1,8 +1,10 @@
 """Secret scan: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order character models are trained from labelled samples: values that the fixed patterns find (random
-strings) and other identifiers of the same texts (ordinary). A candidate run of characters that no fixed pattern
-covers is a secret where the log-likelihood ratio of the two models, per character, passes a threshold. The sample is
+strings) and other identifiers of the same texts (ordinary). What no fixed pattern covers is cut into runs of characters, and these
+at / + = _ - into segments. The neighbouring segments with the largest sum of log-likelihood ratio less threshold, over their characters, are
+a secret where that sum is above 0, as is a whole run of FULL characters or more whose sum is (a stretch shorter than FULL characters pays the threshold for as many); then the segments
+on either side are tried in the same way. The sample is
 bounded by `sample_docs` documents with a secret and as many of any kind, those with the smallest hash; every text
 is scanned whole.
 
@@ -30,7 +32,9 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST, FULL, SHORT = 12, 16, 4  # characters of a secret: at least, and those whose evidence is asked for; shorter segments beside one go with it
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+SEGMENT = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 
@@ -111,15 +115,49 @@ def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text
     return Markov(table[1]).log - Markov(table[0]).log
 
 
-def markov_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    found = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        if any(s < y and x < e for x, _, y in base):
+def best_stretches(run: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the secrets in one run of characters: whole segments, the best first tried."""
+    c = Markov.CODE[np.frombuffer(run.encode(), np.uint8)]
+    first = ratio[len(LETTERS), c] - threshold
+    sums = np.concatenate([[0.0], np.cumsum(ratio[np.concatenate([[len(LETTERS)], c[:-1]]), c] - threshold)])
+    if len(run) >= FULL and sums[-1] > 0:
+        return [(0, len(run))]
+    segments = [m.span() for m in SEGMENT.finditer(run)]
+    found, open_ = [], [(0, len(segments))]
+    while open_:
+        i, j = open_.pop()
+        best, start, where = 0.0, None, None
+        gain = 0.0  # of starting at the segment `start`, less the sum up to it
+        for k in range(i, j):
+            s, e = segments[k]
+            fresh = first[s] - sums[s + 1]  # a stretch that starts here does not follow the character before
+            if start is None or fresh > gain:
+                start, gain = k, fresh
+            total = gain + sums[e]
+            if total > best:
+                best, where = total, (start, k)
+        if where is None:
             continue
-        c = Markov.CODE[np.frombuffer(m[0].encode(), np.uint8)]
-        if ratio[np.concatenate([[len(LETTERS)], c[:-1]]), c].sum() > threshold * len(c):
-            found.append((s, 3, e))
+        a, b = where
+        s, e = segments[a][0], segments[b][1]
+        if e - s >= LEAST and best > threshold * max(0, FULL - (e - s)):
+            while a > i and len(run[slice(*segments[a - 1])]) < SHORT:
+                a -= 1
+            while b < j - 1 and len(run[slice(*segments[b + 1])]) < SHORT:
+                b += 1
+            e = len(run) if b == len(segments) - 1 else segments[b][1]  # with the padding of base64
+            found.append((segments[a][0], e))
+        open_ += [(i, a), (b + 1, j)]
+    return sorted(found)
+
+
+def markov_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    """Secrets outside of the base spans, by place."""
+    found, at = [], 0
+    for x, _, y in [*base, (len(text), 0, len(text))]:
+        for m in CANDIDATE.finditer(text, at, max(at, x)):
+            found += [(m.start() + s, 3, m.start() + e) for s, e in best_stretches(m[0], ratio, threshold)]
+        at = max(at, y)
     return found
 
 

@@ -464,6 +464,27 @@ def test_markov_finds_random_strings_and_leaves_identifiers(spark, docs):
     assert np.mean([bool(span(w)) for w in secret]) > 0.9 and not any(span(w) for w in plain)
 
 
+def test_markov_spans_inside_paths_and_pairs(spark, docs):
+    """Secrets joined to ordinary text are found, ordinary text alone is not; what a fixed pattern leaves of a run is scanned too."""
+    rng = np.random.default_rng(7)
+    ratio = secret_markov.train(docs)
+    draw = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    path = "https://example.org/static/downloads/customer_reports/latest/"
+
+    def share(before: str, n: int, after: str) -> float:
+        caught = []
+        for _ in range(100):
+            w = draw(n)
+            text = f"x {before}{w}{after} y"
+            spans = secret_markov.markov_spans(text, secret_markov.base_spans(text), ratio, 1.0)
+            caught.append(any(w in text[s:e] for s, _, e in spans))
+        return np.mean(caught)
+
+    assert share(path, 20, "") > 0.9 and share(path, 32, "/index") > 0.9 and share("client_credentials=", 32, "") > 0.9 and share("", 32, "/static/downloads/customer_reports/latest") > 0.9
+    assert share("0123456789abcdef0123456789abcdef-", 32, "") > 0.9
+    assert not secret_markov.markov_spans(f"{path} the_long_identifier_of_things another-ordinary-name-here", [], ratio, 1.0)
+
+
 def test_secrets_odd_rows(odd, none):
     ratio = secret_markov.train(odd)
     got = secret_markov.scan(odd, ratio, redact=True, carry=True)
