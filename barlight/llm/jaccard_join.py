@@ -1,6 +1,7 @@
 """Near-duplicate join on word shingles by chosen paths.
 
-1. Texts with the same shingle set are one set, represented by the smallest id; sets keep a bottom-k sketch.
+1. Rows go by a key, the hash of id and text. Texts with the same shingle set are one set, represented by the smallest key;
+   sets keep a bottom-k sketch.
 2. Recursion: a node of the search tree draws shared tokens by a hash of (node, token), about 1/threshold of them for
    each set, and a set goes to the child of every token of its sketch that was drawn. Nodes with few sets are leaves;
    larger ones are split again, `depth` times at most. Several independent runs reach the target recall.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlight.llm.shared import written
+from barlight.llm.shared import row_key, written
 from barlight.llm.shingles import U, grams, mix, words
 from barlight.llm.url_filter import may_have
 
@@ -50,7 +51,7 @@ def runs_for(recall: float, chance: float = 0.4) -> int:
 
 
 def sketches(given: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, sig (null without words), n_tokens, sketch."""
+    """given: key, doc_id, text. Rows of key, doc_id, sig (null without words), n_tokens, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,10 +63,10 @@ def sketches(given: DataFrame, width: int, k: int) -> DataFrame:
                 turned = mix(tokens)
                 low = turned if len(turned) <= k else np.partition(turned, k - 1)[:k]
                 kept.append(np.sort(low).tobytes())
-            columns = [batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sig", "n_tokens", "sketch"])
+            columns = [batch.column("key"), batch.column("doc_id"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "sig", "n_tokens", "sketch"])
 
-    return given.mapInArrow(run, "doc_id long, sig binary, n_tokens int, sketch binary")
+    return given.mapInArrow(run, "key long, doc_id long, sig binary, n_tokens int, sketch binary")
 
 
 def children(members: DataFrame, threshold: float, runs: int) -> DataFrame:
@@ -225,25 +226,41 @@ def classes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("class_id"))
 
 
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """key, doc_id, text of each row."""
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return given.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, sketch: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links, n_copies."""
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    given = keyed(docs, doc_id, text).where(F.col("doc_id").isNotNull())
+    base, of_set = linked(given, width, threshold, recall, depth, sketch)
+    out = base.select("doc_id", "sig").join(of_set, "sig", "left")
+    return out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def linked(given: DataFrame, width: int, threshold: float, recall: float, depth: int, sketch: int) -> tuple[DataFrame, DataFrame]:
+    """given: key, doc_id, text. The sketches, and for each set: sig, first (of its class: the row with the smallest id, those without last), n_links, n_copies."""
     base = written(sketches(given, width, sketch), "sketches")
-    sets = written(base.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "sets")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    sets = base.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.min(order).alias("first"))
+    sets = written(sets, "sets")
     found = written(leaves(sets.select("rep", "sketch"), threshold, runs_for(recall), depth), "leaves")
     lists = found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("leaves"))
-    near = written(lists.join(sets.select("rep", "sig", "copies"), "rep").withColumnRenamed("rep", "doc_id"), "near")
-    rows = may_have(given, "doc_id", near, "doc_id").where("maybe").select("row.*").join(near, "doc_id")
+    near = written(lists.join(sets.select("rep", "sig", "copies"), "rep").withColumnRenamed("rep", "key"), "near")
+    texts = may_have(given.select("key", "text"), "key", near, "key").where("maybe").select("row.*").dropDuplicates(["key"])  # repeats of a row
+    rows = texts.join(near, "key")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [token_set(t.as_py(), width) for t in batch.column("text")]
             same = pa.array([signature(m) == s.as_py() for m, s in zip(made, batch.column("sig"))], pa.bool_())
-            columns = [batch.column("doc_id"), batch.column("copies"), batch.column("leaves"), pa.array([m.tobytes() for m in made], pa.binary())]
+            columns = [batch.column("key"), batch.column("copies"), batch.column("leaves"), pa.array([m.tobytes() for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["rep", "copies", "leaves", "tokens"]).filter(same)
 
     kind = "array<struct<node:long,n:long>>"
-    wide = rows.select("doc_id", "text", "sig", "copies", F.col("leaves").cast(kind).alias("leaves")).mapInArrow(tokens, f"rep long, copies long, leaves {kind}, tokens binary")
+    wide = rows.select("key", "text", "sig", "copies", F.col("leaves").cast(kind).alias("leaves")).mapInArrow(tokens, f"rep long, copies long, leaves {kind}, tokens binary")
     blocks = F.ceil(F.col("leaf.n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     placed = (
@@ -257,16 +274,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     links = written(brute_force(dealt, threshold, width), "links")
     groups = classes(links.where(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    reps = sets.select("sig", "rep", "copies").join(counts, "rep", "left").join(groups, "rep", "left")
-    of_set = reps.select("sig", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    out = base.select("doc_id", "sig").join(of_set, "sig", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **joining) -> DataFrame:
-    """The rows of docs without those whose class has a smaller id; rows without id stay. Repeated ids of a kept document stay once."""
-    found = near_duplicates(docs, doc_id=doc_id, text=text, **joining)
-    dropped = written(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "dropped")
-    marked = may_have(docs, doc_id, dropped, "doc_id")
-    checked = marked.where("maybe").join(dropped.select(F.col("doc_id").alias("key")), "key", "left_anti")
-    return marked.where("not maybe").select("row.*").unionByName(checked.select("row.*"))
+    reps = sets.select("sig", "rep", "copies", "first").join(counts, "rep", "left").join(groups, "rep", "left").withColumn("class_id", F.coalesce("class_id", "rep"))
+    firsts = reps.groupBy("class_id").agg(F.min("first").alias("first"))
+    return base, reps.drop("first").join(firsts, "class_id").select("sig", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, sketch: int = 64) -> DataFrame:
+    """One row of each class: the one with the smallest id, or, if none has an id, any one. Of repeated rows one stays, rows without words too."""
+    base, of_set = linked(keyed(docs, doc_id, text), width, threshold, recall, depth, sketch)
+    judged = base.select("key", "sig").join(of_set.select("sig", F.col("first.key").alias("first")), "sig", "left")
+    # Of the rows with these keys, those of a class that another row stands for go and repeats are reduced to one.
+    marked_keys = judged.groupBy("key").agg(F.max(F.coalesce(F.col("first") != F.col("key"), F.lit(False))).alias("gone"), F.count("*").alias("n"))
+    touched = written(marked_keys.where("gone or n > 1").select("key", "gone"), "dropped")
+    packed = docs.select(row_key(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias("key"), F.struct(*docs.columns).alias("row"))
+    marked = may_have(packed, "key", touched, "key").select("key", "maybe", F.col("row.row").alias("row"))
+    checked = marked.where("maybe").join(touched.where("gone").select("key"), "key", "left_anti")
+    repeated = may_have(checked.select("key", "row"), "key", touched.where("not gone"), "key").select("key", "maybe", F.col("row.row").alias("row"))
+    once = repeated.where("maybe").dropDuplicates(["key"])
+    return marked.where("not maybe").select("row.*").unionByName(repeated.where("not maybe").select("row.*")).unionByName(once.select("row.*"))

@@ -32,5 +32,10 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key of a row's own by its id and text, also without either; only repeats of a row share it."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

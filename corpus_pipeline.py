@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlight.llm import decision_list, decontaminate, jaccard_join, packing, secret_markov
 from barlight.llm.queries import tokenizer_path
-from barlight.llm.shared import shared_dir
+from barlight.llm.shared import row_key, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +18,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one with the smallest id. Rows without id stay."""
+    """One row of each class stays: the one with the smallest id, rows without id last."""
     return jaccard_join.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, whole or edited, go."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    found = decontaminate.find(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
+    return keyed.select("key", "row").join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

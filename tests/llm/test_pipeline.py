@@ -1,8 +1,10 @@
 """The corpus pipeline: each stage on what the one before kept, against brute force and on odd rows."""
 
+import collections
+
 import corpus_pipeline as cp
 import pytest
-from barlight.llm import decision_list, decontaminate, secret_markov
+from barlight.llm import decision_list, decontaminate, jaccard_join, secret_markov
 
 from .test_operators import SCHEMA, TEXTS, brute_base, brute_base_spans, brute_links, texts_of
 
@@ -53,3 +55,22 @@ def test_secret_values_are_gone():
     text = 'x password="hunter2hunter2" and deadbeefdeadbeefdeadbeefdeadbeef'
     out = secret_markov.blanked(text, secret_markov.base_spans(text))
     assert "hunter2" not in out and "deadbeef" not in out
+
+
+def test_repeats_and_rows_without_id(spark, small):
+    """Repeated rows, copies without id, two texts under one id, and contaminated rows without id."""
+    item = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 60").first().text
+    a, b, c = ("".join(f"{x}{i} " for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, a), (None, a), (3, b), (None, c), (None, c), (4, f"{a} {item}"), (None, f"{b} {item}"), (5, None), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    second = cp.near_duplicates(spark, docs, small)
+    assert collections.Counter(map(tuple, second.collect())) == collections.Counter({(1, a): 1, (1, b): 1, (None, c): 1, (4, f"{a} {item}"): 1, (None, f"{b} {item}"): 1, (5, None): 1, (6, ""): 1})
+    third = cp.benchmark_passages(spark, docs, small)
+    assert collections.Counter(map(tuple, third.collect())) == collections.Counter(r for r in rows if item not in (r[1] or ""))
+
+
+def test_links_of_two_texts_under_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = lambda t: t + " tail"
+    got = jaccard_join.near_duplicates(spark.createDataFrame([(1, a), (1, b), (2, near(a)), (3, near(b))], "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1)]
