@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def numeric_leaves(payloads: DataFrame, value: str = "value", key: str = "id", depth: int = 6, most: int = 2000) -> DataFrame:
-    """id, path, value: finite numbers of JSON texts to this depth, booleans left out, the first `most` by path of each."""
-    level = payloads.select(F.col(key).alias("id"), F.lit("").alias("path"), F.expr(f"try_parse_json({value})").alias("v"))
-    found = None
-    for _ in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        number = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")
-        leaves = level.where(number).select("id", "path", F.try_variant_get("v", "$", "double").alias("value"))
-        found = leaves if found is None else found.unionByName(leaves)
-        inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        level = payloads.sparkSession.sql("select id, path, pos, key, value as v from {inner}, lateral variant_explode(v)", inner=inner).select(
-            "id", F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), "v")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("path"))
-    finite = found.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    return finite.withColumn("_r", first).where(F.col("_r") <= most).drop("_r")
+from pyspark.sql import types as T
+
+
+def leaves(value: object, most: int) -> Iterator[tuple[str, float]]:
+    """Path and value of the first finite numbers of parsed JSON (its integers read as floats) in document order, at any depth."""
+    open_, n = [("", value)], 0
+    while open_ and n < most:
+        path, v = open_.pop()
+        if isinstance(v, dict):
+            open_ += [(f"{path}.{k}" if path else k, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            open_ += [(f"{path}[{i}]", v[i]) for i in reversed(range(len(v)))]
+        elif isinstance(v, float) and math.isfinite(v):
+            n += 1
+            yield path, v
+
+
+def numeric_leaves(payloads: DataFrame, value: str = "value", key: str = "id", most: int = 2000) -> DataFrame:
+    """id, path, value: finite numbers of JSON texts at any depth, booleans left out, the first `most` in document order of each row.
+
+    Python, because variants sort the keys of an object and so lose the order. Texts that are no JSON have no leaves, nor have those that its
+    parser refuses for their depth (9,000 levels are read, 50,000 are not)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, paths, values = [], [], []
+            for row, text in enumerate(batch.column("value").to_pylist()):
+                try:
+                    parsed = json.loads(text, parse_int=float) if text is not None else None
+                except (ValueError, RecursionError):
+                    continue
+                for path, number in leaves(parsed, most):
+                    source.append(row)
+                    paths.append(path.encode("utf-8", "replace").decode())
+                    values.append(number)
+            columns = [batch.column("id").take(pa.array(source, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "path", "value"])
+
+    given = payloads.select(F.col(key).alias("id"), F.col(value).cast("string").alias("value"))
+    return given.mapInArrow(run, T.StructType([given.schema["id"], T.StructField("path", T.StringType()), T.StructField("value", T.DoubleType())]))
 
 
 def check_claims(claims: DataFrame, observed: DataFrame, share: float = 0.005, least: float = 1e-9) -> DataFrame:

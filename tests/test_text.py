@@ -172,3 +172,13 @@ def test_broken_lines_and_unsafe_paths(spark, tmp_path):
 def test_python_and_spark_agree_on_redaction_patterns():
     for text, want in CASES[:1]:
         assert re.sub(redact.BEARER, r"\1 [redacted]", text) == want
+
+
+def test_numeric_leaves_at_any_depth_in_document_order(spark):
+    deep = '{"a": [' * 40 + "3" + "]}" * 40
+    long = '{"z": [' + ", ".join(map(str, range(2500))) + '], "a": 1}'
+    rows = [(1, deep), (2, long), (3, '{"b": 1, "a": {"y": 2.5, "x": true, "w": 1e999}, "c": "4"}'), (4, "no json"), (5, None), (6, "7"), (7, "[" + "9" * 5000 + ", -1]")]
+    got = evidence.numeric_leaves(spark.createDataFrame(rows, "id long, value string").coalesce(1)).collect()
+    of = {k: [(r.path, r.value) for r in got if r.id == k] for k, _ in rows}
+    assert of[1] == [("a[0]." * 39 + "a[0]", 3.0)] and of[2] == [(f"z[{i}]", float(i)) for i in range(2000)]
+    assert of[3] == [("b", 1.0), ("a.y", 2.5)] and of[4] == of[5] == [] and of[6] == [("", 7.0)] and of[7] == [("[1]", -1.0)]
