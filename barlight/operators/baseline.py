@@ -8,50 +8,50 @@ from pyspark.sql import functions as F
 from barlight.functions import bars as fb
 
 
-def approximate_medians(rows: DataFrame, values: dict[str, Column], prefix: str, counts: list[Column]) -> DataFrame:
-    return rows.groupBy("symbol").agg(*[F.percentile_approx(v, 0.5, 100_000).alias(f"{prefix}_{c}") for c, v in values.items()], *counts)
+def cell(x: Column, per_octave: int = 64) -> Column:
+    """A coarse number that grows with x: the place of its logarithm, mirrored for negative values."""
+    place = F.floor(F.log2(F.abs(x)) * per_octave) + 1100 * per_octave  # the smallest double is 2^-1074
+    return F.when(x > 0, place).when(x < 0, -place).otherwise(F.lit(0)).cast("int")
 
 
-def exact_medians(rows: DataFrame, values: dict[str, Column], prefix: str, counts: list[Column]) -> DataFrame:
-    """Medians by symbol, from two aggregates.
+def approximate_medians(values: DataFrame) -> DataFrame:
+    """values: symbol, c, x. symbol, c, median, from mergeable sketches."""
+    return values.groupBy("symbol", "c").agg(F.percentile_approx("x", 0.5, 100_000).alias("median"))
 
-    Mergeable sketches give a low and a high bound around the median that hold about two thousandths of the values; the second
-    aggregate counts what lies below and at the bounds and gathers the values strictly between. A value that occurs more
-    often than that is itself a bound, so what is gathered stays small whatever the ties.
-    """
-    sketch = rows.groupBy("symbol").agg(*[F.percentile_approx(v, [0.499, 0.501], 10_000).alias(f"_b_{c}") for c, v in values.items()])
-    joined = rows.join(F.broadcast(sketch), "symbol")  # one row a symbol
-    parts = []
-    for c, v in values.items():
-        low, high = F.get(f"_b_{c}", 0), F.get(f"_b_{c}", 1)
-        parts += [F.count(v).alias(f"_n_{c}"), F.count_if(v < low).alias(f"_below_{c}"), F.count_if(v == low).alias(f"_at_{c}"), F.first(low, True).alias(f"_low_{c}"), F.first(high, True).alias(f"_high_{c}"),
-                  F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"_mid_{c}")]
-    found = joined.groupBy("symbol").agg(*parts, *counts)
-
-    def median(c: str) -> Column:
-        def ranked(half: str) -> Column:
-            place = (F.expr(half) - F.col(f"_below_{c}") - F.col(f"_at_{c}")).cast("int")
-            return F.when(place < 0, F.col(f"_low_{c}")).otherwise(F.coalesce(F.get(f"_mid_{c}", place), F.col(f"_high_{c}")))
 
-        return F.when(F.col(f"_n_{c}") > 0, (ranked(f"(_n_{c} - 1) div 2") + ranked(f"_n_{c} div 2")) / 2)
+def exact_medians(values: DataFrame) -> DataFrame:
+    """values: symbol, c, x. symbol, c, median, from two aggregates over cells of value.
 
-    kept = [c for c in found.columns if not c.startswith("_") and c != "symbol"]
-    return found.select("symbol", *[median(c).alias(f"{prefix}_{c}") for c in values], *kept)
+    The first counts the values of each cell (some thousands for a column, whatever the rows) and finds those that hold the two middle
+    ranks; the second counts the distinct values of these cells alone, a hundredth of all where they spread over an octave.
+    No task holds the values of a symbol.
+    """
+    by_column = Window.partitionBy("symbol", "c")
+    middle = (F.expr("n div 2") >= F.col("upto") - F.col("k")) & (F.expr("(n - 1) div 2") < F.col("upto"))
+    counts = values.select("symbol", "c", cell(F.col("x")).alias("cell")).groupBy("symbol", "c", "cell").agg(F.count("*").alias("k"))
+    placed = counts.withColumns({"upto": F.sum("k").over(by_column.orderBy("cell")), "n": F.sum("k").over(by_column)})
+    own = placed.where(middle).groupBy("symbol", "c").agg(F.min("cell").alias("low"), F.max("cell").alias("high"), F.min(F.col("upto") - F.col("k")).alias("before"), F.max("n").alias("n"))
+    near = values.withColumn("cell", cell(F.col("x"))).join(F.broadcast(own), ["symbol", "c"]).where("cell = low or cell = high")  # a row a symbol and column
+    exact = near.groupBy("symbol", "c", "x", "before", "n").agg(F.count("*").alias("k")).withColumn("upto", F.col("before") + F.sum("k").over(by_column.orderBy("x")))
+    return exact.where(middle).groupBy("symbol", "c").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
 
 
 def baselines(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:
     """By symbol: med_<c>, mad_<c> and valid_<c> (their count) of the valid values of each column, and n_rows; columns maps a name to what makes it valid."""
+    names = list(columns)
     medians = exact_medians if exact else approximate_medians
-    valid = {c: F.when(ok, F.col(c)) for c, ok in columns.items()}
-    counts = [*[F.count(v).alias(f"valid_{c}") for c, v in valid.items()], F.count("*").alias("n_rows")]
-    centre = medians(rows, valid, "med", counts)
-    away = {c: F.abs(v - F.col(f"med_{c}")) for c, v in valid.items()}
-    return centre.join(medians(rows.join(F.broadcast(centre), "symbol"), away, "mad", []), "symbol")
+    valid = rows.select("symbol", *[F.when(ok, F.col(c)).alias(c) for c, ok in columns.items()])
+    values = valid.select("symbol", F.posexplode(F.array(*names)).alias("c", "x")).where("x is not null")
+    centre = medians(values)
+    away = values.join(F.broadcast(centre), ["symbol", "c"]).select("symbol", "c", F.abs(F.col("x") - F.col("median")).alias("x"))
+    both = centre.join(F.broadcast(medians(away).withColumnRenamed("median", "mad")), ["symbol", "c"])
+    of = lambda what, i: F.max(F.when(F.col("c") == i, F.col(what)))
+    found = both.groupBy("symbol").agg(*[of(what, i).alias(f"{short}_{c}") for what, short in (("median", "med"), ("mad", "mad")) for i, c in enumerate(names)])
+    counted = valid.groupBy("symbol").agg(*[F.count(c).alias(f"valid_{c}") for c in names], F.count("*").alias("n_rows"))
+    return counted.join(F.broadcast(found), "symbol", "left")
 
 
 def scored(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:
-    """rows with z_<c> for each column, and total_rows, how many rows there are in all."""
-    all_rows = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # over one row a symbol
-    base = baselines(rows, columns, exact).withColumn("total_rows", all_rows)
-    out = rows.join(F.broadcast(base), "symbol")
+    """rows with z_<c> for each column and the baselines of their symbol."""
+    out = rows.join(F.broadcast(baselines(rows, columns, exact)), "symbol")
     return out.withColumns({f"z_{c}": fb.robust_z(F.col(c), F.col(f"med_{c}"), F.col(f"mad_{c}")) for c in columns})

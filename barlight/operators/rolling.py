@@ -20,13 +20,9 @@ def by_bucket() -> Window:
     return Window.partitionBy("symbol", "bucket").orderBy("pos")
 
 
-def moments(x: Column, w: Window, length: int) -> tuple[Column, Column]:
-    """Population skewness and excess kurtosis of the last `length` values, from differences of running power sums.
-
-    Needs columns _s0 to _s4 of running sums; see features().
-    """
-    part = lambda k: F.col(f"_s{k}") - F.coalesce(F.lag(f"_s{k}", length).over(w), F.lit(0.0))
-    n, a, b, c, d = (part(k) for k in range(5))
+def moments(sums: list[Column], length: int) -> tuple[Column, Column]:
+    """Population skewness and excess kurtosis of a window's values, from their count and sums of powers (one to four)."""
+    n, a, b, c, d = sums
     full = n == length
     m, e2, e3, e4 = a / length, b / length, c / length, d / length
     v = e2 - m * m
@@ -37,24 +33,36 @@ def moments(x: Column, w: Window, length: int) -> tuple[Column, Column]:
 
 
 def features(placed: DataFrame, long: int = 1440, short: int = 60, rows: int = 1 << 16) -> DataFrame:
-    """symbol, event_time_ns, pos, n with ret, skew, kurt, gk_vol, volume_ratio, decoupling, pk_vol."""
+    """symbol, event_time_ns, pos, n with ret, skew, kurt, gk_vol, volume_ratio, decoupling, pk_vol.
+
+    Every window is the difference of two running sums, so a row costs the same whatever the window's length. Values that are
+    no numbers are summed as none and counted, and make the windows over them invalid.
+    """
     w = by_bucket()
-    short_frame, running = w.rowsBetween(-(short - 1), 0), w.rowsBetween(Window.unboundedPreceding, 0)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
     x = with_halo(placed, long + 1, rows)
-    x = x.withColumn("ret", F.log("close") - F.log(F.lag("close").over(w)))
+    x = x.withColumns({"ret": F.log("close") - F.log(F.lag("close").over(w)), "ret_short": fb.change(F.col("close"), F.lag("close", short).over(w))})
     ok = fb.finite(F.col("ret"))
-    # Central moments do not change if all values are shifted; near their mean the sums cancel least.
-    x = x.withColumn("_c", F.when(ok, F.col("ret") - F.avg(F.when(ok, F.col("ret"))).over(Window.partitionBy("symbol", "bucket"))))
-    x = x.withColumns({f"_s{k}": F.coalesce(F.sum(F.when(ok, F.lit(1.0)) if k == 0 else F.pow("_c", F.lit(float(k)))).over(running), F.lit(0.0)) for k in range(5)})
-    skew, kurt = moments(F.col("_c"), w, long)
-    gk = fb.garman_klass(F.col("open"), F.col("high"), F.col("low"), F.col("close"))
-    pk = fb.parkinson(F.col("high"), F.col("low"))
-    x = x.withColumns({"_gk": gk, "_pk": pk})
+    # Central moments do not change if all values are shifted; near the first of them the sums cancel least.
+    x = x.withColumn("_c", F.when(ok, F.col("ret") - F.first(F.when(ok, F.col("ret")), True).over(running)))
+    square = F.col("_c") * F.col("_c")
+    powers = [F.when(ok, F.lit(1.0)), F.col("_c"), square, square * F.col("_c"), square * square]
+    averaged = {"gk": fb.garman_klass(F.col("open"), F.col("high"), F.col("low"), F.col("close")), "pk": fb.parkinson(F.col("high"), F.col("low")), "volume": F.col("volume").cast("double")}
+    x = x.withColumns({f"_v_{c}": v for c, v in averaged.items()})
+    summed = {f"_s{k}": v for k, v in enumerate(powers)}
+    for c in averaged:
+        v = F.col(f"_v_{c}")
+        summed |= {f"_sum_{c}": F.when(fb.finite(v), v), f"_num_{c}": F.when(v.isNotNull(), F.lit(1.0)), f"_odd_{c}": F.when(v.isNotNull() & ~fb.finite(v), F.lit(1.0))}
+    x = x.withColumns({name: F.coalesce(F.sum(v).over(running), F.lit(0.0)) for name, v in summed.items()})
+    last = lambda name, length: F.col(name) - F.coalesce(F.lag(name, length).over(w), F.lit(0.0))
+    skew, kurt = moments([last(f"_s{k}", long) for k in range(5)], long)
+
+    def mean(c: str) -> Column:
+        n = last(f"_num_{c}", short)
+        return F.when(last(f"_odd_{c}", short) > 0, F.lit(float("nan"))).when(n > 0, last(f"_sum_{c}", short) / n)
+
     x = x.withColumns({
-        "skew": skew, "kurt": kurt,
-        "gk_vol": fb.volatility(F.avg("_gk").over(short_frame)), "pk_vol": fb.volatility(F.avg("_pk").over(short_frame)),
-        "volume_ratio": fb.volume_ratio(F.col("volume"), F.avg("volume").over(short_frame)),
-        "ret_short": fb.change(F.col("close"), F.lag("close", short).over(w)),
+        "skew": skew, "kurt": kurt, "gk_vol": fb.volatility(mean("gk")), "pk_vol": fb.volatility(mean("pk")), "volume_ratio": fb.volume_ratio(F.col("volume"), mean("volume")),
     })
     x = x.withColumn("decoupling", fb.decoupling(F.col("volume_ratio"), F.col("ret_short")))
     return x.where("own").select("symbol", "event_time_ns", "pos", "n", "ret", "skew", "kurt", "gk_vol", "pk_vol", "volume_ratio", "ret_short", "decoupling")

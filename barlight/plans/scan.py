@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.functions import bars as fb
 from barlight.operators import baseline, rolling, suppress
-from barlight.session import tune
 from barlight.sources import bars as source
+from barlight.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -85,9 +84,11 @@ def valid(column: str) -> Column:
 
 
 def scored(placed: DataFrame, p: ScanParams, keys: list[str]) -> DataFrame:
+    """Features with their z-scores, no rows if there are fewer bars than least_total. They are written once: medians, deviations and scores read them."""
     needed = [c for c, k in (("skew", "A1"), ("kurt", "A1"), ("gk_vol", "A2"), ("decoupling", "A3")) if k in keys]
-    made = rolling.features(placed, p.long, p.short, p.rows_per_bucket).select("symbol", "event_time_ns", "pos", "n", *needed)
-    made = made.persist(StorageLevel.MEMORY_AND_DISK)  # read by the median, the deviation and the z-scores
+    made = materialise(rolling.features(placed, p.long, p.short, p.rows_per_bucket).select("symbol", "event_time_ns", "pos", "n", *needed), "features")
+    if made.limit(p.least_total).count() < p.least_total:
+        made = made.where("false")  # source.outcome gives the reason
     ok = {c: valid(c) for c in needed}
     if p.warmup == "exclude" and "decoupling" in ok:
         ok["decoupling"] = ok["decoupling"] & (F.col("pos") >= p.short)
@@ -95,10 +96,9 @@ def scored(placed: DataFrame, p: ScanParams, keys: list[str]) -> DataFrame:
 
 
 def signals(placed: DataFrame, p: ScanParams = ScanParams(), keys: list[str] | None = None) -> DataFrame:
-    """Suppressed signals of the scanners with these keys (all registered): signal rows with scanner and pos."""
-    tune(placed.sparkSession)
+    """Suppressed signals of the scanners with these keys (all registered): signal rows with scanner and pos; none if there are too few bars."""
     keys = keys or list(SCANNERS)
-    rows = scored(placed, p, keys).where(F.col("total_rows") >= p.least_total)
+    rows = scored(placed, p, keys)
     each = []
     for i, k in enumerate(keys):
         z, value, ok = SCANNERS[k].score(p)
@@ -108,11 +108,12 @@ def signals(placed: DataFrame, p: ScanParams = ScanParams(), keys: list[str] | N
     return formatted(suppress.suppress(hits, ["symbol", "scanner"], keep=p.keep, gap=p.gap))
 
 
-def iso(ns: Column) -> Column:
-    """UTC time as ISO text; microseconds only where there are any."""
-    at = F.timestamp_micros(F.expr("event_time_ns div 1000"))
-    tail = F.when(F.expr("event_time_ns div 1000 % 1000000") != 0, F.date_format(at, ".SSSSSS")).otherwise(F.lit(""))
-    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), tail, F.lit("+00:00"))
+def iso() -> Column:
+    """UTC time as ISO text, whatever the session's time zone; microseconds only where there are any."""
+    us = F.expr("event_time_ns div 1000")
+    plain = F.expr("cast(timestampadd(MICROSECOND, event_time_ns div 1000, timestamp_ntz'1970-01-01 00:00:00') as string)")
+    tail = F.when(us % 1_000_000 != 0, F.concat(F.lit("."), F.lpad(F.pmod(us, F.lit(1_000_000)).cast("string"), 6, "0"))).otherwise(F.lit(""))
+    return F.concat(F.replace(F.left(plain, F.lit(19)), F.lit(" "), F.lit("T")), tail, F.lit("+00:00"))
 
 
 def formatted(kept: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def formatted(kept: DataFrame) -> DataFrame:
         F.concat_ws("_", "scanner", "symbol", by(lambda s: F.lit(s.label)), F.col("pos").cast("string")).alias("signal_id"),
         "symbol", by(lambda s: F.lit(s.stat)).alias("stat"),
         by(lambda s: F.array(*map(F.lit, s.raw_columns))).alias("raw_columns"), by(lambda s: F.array(*map(F.lit, s.feature_names))).alias("feature_names"),
-        "value", "effect_size", iso(F.col("event_time_ns")).alias("observed_at"), by(lambda s: F.lit(s.window)).alias("window"), "scanner", "pos",
+        "value", "effect_size", iso().alias("observed_at"), by(lambda s: F.lit(s.window)).alias("window"), "scanner", "pos",
     )
 
 

@@ -14,10 +14,3 @@ SETTINGS = {
 
 def builder(**settings: str) -> SparkSession.Builder:
     return SparkSession.builder.config(map=SETTINGS | settings)
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session that exists."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark

@@ -13,9 +13,12 @@ DAY_NS = 86_400_000_000_000
 
 def read(spark: SparkSession, root: str, symbols: list[str] | None = None) -> DataFrame:
     """Bars under root/<symbol>/**.parquet as one scan; columns that a file lacks are null, symbols without folder are absent."""
-    path = F.col("_metadata.file_path")
     found = spark.read.schema(f"event_time_ns long, {PRICES}").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
-    symbol = F.regexp_extract(F.regexp_replace(path, "[?].*$", ""), "/" + root.rstrip("/").rsplit("/", 1)[-1].replace(".", "\\.") + "/(?:symbol=)?([^/]+)/", 1)
+    head = f"/{root.rstrip('/').rsplit('/', 1)[-1]}/"
+    path = F.col("_metadata.file_path")
+    below = F.substring(path, F.instr(path, head) + len(head), F.length(path))
+    folder = F.substring_index(below, "/", 1)
+    symbol = F.when(F.startswith(folder, F.lit("symbol=")), F.substring(folder, 8, 1 << 20)).otherwise(folder)
     out = found.withColumn("symbol", symbol).select("symbol", "event_time_ns", "open", "high", "low", "close", "volume")
     return universe(out, symbols) if symbols else out
 
