@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barlight.functions import bars as fb
 from barlight.operators import baseline, rolling, suppress
 from barlight.sources import bars as source
-from barlight.sources.scratch import materialise
+from barlight.sources.scratch import cleared, materialise
 
 
 @dataclass(frozen=True)
@@ -136,7 +136,8 @@ SIGNAL = ["signal_id", "symbol", "stat", "raw_columns", "feature_names", "value"
 
 def scan(bars: DataFrame, p: ScanParams = ScanParams(), **loading) -> DataFrame:
     """The full scan: at most 50 signals, at most 10 of a symbol; none if fewer than 100 bars are left (source.outcome says so)."""
-    return suppress.top(signals(source.load(bars, **loading), p), p.per_symbol, p.total)
+    with cleared(bars.sparkSession) as keep:
+        return keep(materialise(suppress.top(signals(source.load(bars, **loading), p), p.per_symbol, p.total), "signals"))
 
 
 def persistence(bars: DataFrame, symbol: str, stat: str, least_z: float = 2.0, part: str = "full", p: ScanParams = ScanParams(), **loading) -> DataFrame:

@@ -4,21 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []  # paths made within each cleared() that runs
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own, if all executors are in this very process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="spark-barlight-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, under a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-barlight-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of an iteration."""
+    """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path_ = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, tables that are written go at its end, but those handed to the function it gives."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.scratch_path_)
+        return df
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        made = _open.pop()
+        for path in made:
+            if path not in kept:
+                delete(spark, path)
+        if _open:
+            _open[-1].extend(p for p in made if p in kept)
