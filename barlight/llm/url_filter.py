@@ -2,9 +2,9 @@
 
 The filter is a table of blocks of 512 bits, each held as eight 64-bit words; a canonical URL's hash picks one block and
 one bit in `probes` of its words, so a probe reads one row. Its size is chosen from the list's count and never
-passes `most_blocks`; beyond that only the share of false hits grows. False hits fall out of the exact join, so
-verdicts do not depend on the filter. Repeats of a URL among the hits are joined once, salted by nothing: both
-sides are distinct before they meet.
+passes `most_blocks`; beyond that only the share of false hits grows. Rows that the filter stops are never shuffled, nor are those
+without an address. The addresses of the others, each once, meet the list in an exact hash join, so
+verdicts do not depend on the filter; what is listed goes back to their rows by (address, salt), so that a repeated URL is many tasks.
 
 Defined cases: a null URL or one without `://` has empty host and path and is never listed; repeated rows get the same
 verdict; an empty list blocks nothing; an empty table gives an empty result; other columns are ignored.
@@ -22,6 +22,7 @@ RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PROBES = 4
+SALTS = 16  # tasks that the rows of one address are dealt to
 
 
 def host(url: Column) -> Column:
@@ -72,7 +73,7 @@ def screened(keys: DataFrame, filter_table: DataFrame, blocks: int) -> DataFrame
     table = F.broadcast(filter_table.select(F.col("block").alias("_block"), words.alias("_words")))  # at most most_blocks rows of 72 bytes
     met = keys.withColumn("_block", block).join(table, "_block", "left")
     hit = reduce(lambda x, y: x & y, [F.call_function("getbit", F.element_at("_words", word + 1), bit) == 1 for word, bit in masks])
-    return met.select(*keys.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+    return met.select(*keys.columns, (F.col("key").isNotNull() & F.coalesce(hit, F.lit(False))).alias("maybe"))
 
 
 def possible(keys: DataFrame, filter_table: DataFrame, blocks: int) -> DataFrame:
@@ -98,8 +99,10 @@ def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: st
     names = listed.where(F.col("key").isNotNull()).select("key").distinct()
     n = names.count()
     blocks = blocks_for(n, most_blocks, bits_per_key)
-    near = possible(keyed.where(F.col("key").isNotNull()).select("key").distinct(), bloom(names, blocks), blocks)
-    hits = near.join(names, "key").withColumn("listed", F.lit(True))
+    marked = screened(keyed, bloom(names, blocks), blocks)
+    near = marked.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id", "key"), F.lit(SALTS)).cast("int"))
+    hits = near.select("key").distinct().join(names, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("listed", F.lit(True))
+    met = near.join(hits, ["key", "salt"], "left").select(*keyed.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
+    out = met.unionByName(marked.where("not maybe").select(*keyed.columns, F.lit(False).alias("listed")))
     rule, verdict = longest_rule(F.col("host"), F.col("path"))
-    out = keyed.join(hits, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
