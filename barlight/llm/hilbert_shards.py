@@ -1,11 +1,11 @@
 """Hilbert-curve shards: rows ordered along a curve through several metadata dimensions, cut into equal runs.
 
-Each dimension is quantised by its own quantiles, the cell of a row gives its index on the curve (a table made by rule
+Each dimension is quantised by its own quantiles (texts by their whole values), the cell of a row gives its index on the curve (a table made by rule
 once, 2^(dimensions*bits) numbers), and the order is (index, hash of the id, id, text checksum). Ranks come from counts of
-small buckets (cell, leading bits of the hash), so a cell that holds a third of all rows is many buckets and no
+small buckets (cell, as many leading bits of the hash as the cell's rows ask for), so a cell that holds a third of all rows is many buckets and no
 task sorts more than one bucket. The law kept is `rows`: a shard's row count differs from another's by one at most.
 
-Defined cases: null text has no bytes, so size 1; null metadata sort first; rows that are equal in every part of
+Defined cases: null text has no bytes, so size 1; null metadata are in the first cell, with the smallest values; rows that are equal in every part of
 the order are interchangeable; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -16,6 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlight.llm.shared import written
+from barlight.sources.scratch import cleared
+
 
 def curve(dims: int, bits: int) -> list[int]:
     """Index on the Hilbert curve of each cell, the cell numbered by its coordinates one after another (first highest).
@@ -40,38 +43,57 @@ def curve(dims: int, bits: int) -> list[int]:
     return out
 
 
-def as_number(value: Column, kind: str) -> Column:
-    """An order-preserving number: a string's first seven bytes, else the value itself; null sorts first."""
-    if kind == "string":
-        head = F.rpad(F.hex(F.encode(F.left(value, F.lit(7)), "UTF-8")), 14, "0")
-        return F.coalesce(F.conv(F.left(head, F.lit(14)), 16, 10).cast("double"), F.lit(-1.0))
-    return F.coalesce(value.cast("double"), F.lit(-1.0))
+def text_bounds(docs: DataFrame, column: str, cells: int) -> list[str]:
+    """The texts at the inner quantiles of a column: exact, from the counts of its distinct values in ranges of values."""
+    counts = docs.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
+    with cleared(docs.sparkSession):
+        return _text_bounds(counts, cells)
+
+
+def _text_bounds(counts: DataFrame, cells: int) -> list[str]:
+    ranges = written(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "values")
+    parts = ranges.groupBy("part").agg(F.sum("n").alias("k"))  # a row a shuffle partition
+    before = parts.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy(F.lit(0))).alias("total"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    ranked = ranges.join(F.broadcast(before), "part").withColumn("upto", upto)
+    found = ranked.agg(*[F.min(F.when(F.col("upto") * cells >= F.col("total") * i, F.col("x"))).alias(f"b{i}") for i in range(1, cells)]).first()
+    return sorted({x for x in found if x is not None}, key=lambda x: x.encode())
+
+
+def number_bounds(docs: DataFrame, columns: list[str], cells: int) -> dict[str, list[float]]:
+    """The values at the inner quantiles of these columns, by mergeable sketches."""
+    if not columns:
+        return {}
+    shares = [i / cells for i in range(1, cells)]
+    found = docs.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    return {c: sorted(set(found[i] or [])) for i, c in enumerate(columns)}
 
 
-def place(docs: DataFrame, dims: list[str], bits: int = 4, split: int = 3, doc_id: str = "doc_id", text: str = "text", n_shards: int = 16) -> DataFrame:
+def place(docs: DataFrame, dims: list[str], bits: int = 4, bucket_rows: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", n_shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, hilbert, shard, slot."""
     kinds = dict(docs.dtypes)
-    numbers = [as_number(F.col(d), kinds[d]) for d in dims]
     cells = 1 << bits
-    shares = [i / cells for i in range(1, cells)]
-    bounds = docs.agg(*[F.percentile_approx(n, shares, 10_000).alias(f"b{i}") for i, n in enumerate(numbers)]).first()  # (cells - 1) numbers a dimension
-    codes = [reduce(lambda a, b: a + b, [(n > F.lit(b)).cast("int") for b in sorted(set(bounds[i] or []))], F.lit(0)) for i, n in enumerate(numbers)]
-    cell = reduce(lambda a, b: F.shiftleft(a, bits).bitwiseOR(b), codes, F.lit(0))
-    table = F.lit(curve(len(dims), bits))
-    turn = F.xxhash64(F.col(doc_id).cast("string"))
+    bounds = number_bounds(docs, [d for d in dims if kinds[d] != "string"], cells) | {d: text_bounds(docs, d, cells) for d in dims if kinds[d] == "string"}
+    value = lambda d: F.col(d) if kinds[d] == "string" else F.col(d).cast("double")
+    above = lambda d: reduce(lambda a, b: a + b, [F.coalesce((value(d) > F.lit(b)).cast("int"), F.lit(0)) for b in bounds[d]], F.lit(0))
+    cell = reduce(lambda a, b: F.shiftleft(a, bits).bitwiseOR(b), [above(d) for d in dims], F.lit(0))
+    on_curve = F.element_at(F.lit(curve(len(dims), bits)), cell + 1).alias("hilbert")
+    turn = F.xxhash64(F.col(doc_id).cast("string")).alias("turn")
+    counts = docs.select(on_curve).groupBy("hilbert").agg(F.count("*").alias("k"))
+    split = F.greatest(F.lit(3), F.ceil(F.log2(F.col("k") / bucket_rows))).cast("int").alias("split")
+    splits = F.broadcast(written(counts.select("hilbert", split), "cells"))  # 2^(dimensions*bits) rows at most
+    part = F.call_function("shiftrightunsigned", "turn", 64 - F.col("split")).alias("part")
     order = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").__add__(1).alias("size"),
         F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).alias("text_crc32"),
-        F.element_at(table, cell + 1).alias("hilbert"),
-        turn.alias("turn"),
-    )
-    bucket = (F.col("hilbert") * (1 << split) + F.shiftrightunsigned("turn", 64 - split)).cast("long")
-    # At most 2^(dimensions*bits+split) buckets, whatever the number of rows.
-    keys = docs.select(F.element_at(table, cell + 1).alias("hilbert"), turn.alias("turn")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    starts = keys.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    in_bucket = Window.partitionBy("bucket").orderBy("hilbert", "turn", "doc_id", "text_crc32", "size")
-    ranked = order.withColumn("bucket", bucket).withColumn("rank", F.row_number().over(in_bucket)).join(F.broadcast(starts), "bucket")
+        on_curve, turn,
+    ).join(splits, "hilbert").select("doc_id", "size", "text_crc32", "hilbert", "turn", part)
+    # At most 8 * 2^(dimensions*bits) + 2 * rows / bucket_rows buckets.
+    buckets = docs.select(on_curve, turn).join(splits, "hilbert").select("hilbert", part).groupBy("hilbert", "part").agg(F.count("*").alias("n"))
+    starts = buckets.select("hilbert", "part", (F.sum("n").over(Window.orderBy("hilbert", "part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
+    in_bucket = Window.partitionBy("hilbert", "part").orderBy("turn", "doc_id", "text_crc32", "size")
+    ranked = order.withColumn("rank", F.row_number().over(in_bucket)).join(F.broadcast(starts), ["hilbert", "part"])
     rank = F.col("before") + F.col("rank") - 1
     shard = F.expr(f"(before + rank - 1) * {n_shards} div total")
     first = F.expr("(shard * total + {0} - 1) div {0}".format(n_shards))
