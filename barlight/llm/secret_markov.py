@@ -5,7 +5,7 @@ strings) and other identifiers of the same texts (ordinary). What no fixed patte
 at / + = _ - into segments. The neighbouring segments with the largest sum of log-likelihood ratio less threshold, over their characters, are
 a secret where that sum is above 0, as is a whole run of FULL characters or more whose sum is (a stretch shorter than FULL characters pays the threshold for as many); then the segments
 on either side are tried in the same way. The sample is
-bounded by `sample_docs` documents with a secret and as many of any kind, those with the smallest hash; every text
+about `sample_docs` different texts with a secret and as many of any kind, those with the smallest hash (all of them if there are fewer); every text
 is scanned whole.
 
 Defined cases: null text is empty and has no spans; with no labelled secrets at all the random model falls back to
@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -98,18 +99,16 @@ def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text
         columns = [*(x.astype(np.int32) for x in where), total[where].astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["label", "a", "b", "k"])
 
-    turn = F.xxhash64(F.col(doc_id).cast("string"), F.crc32(F.encode(F.left(F.col(text).cast("string"), F.lit(64)), "UTF-8")))
-    marked = F.col("text").rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    texts = docs.select(F.col(text).cast("string").alias("text"), turn.alias("turn")).where(F.col("text").isNotNull())
-
-    def cut(rows: DataFrame) -> int:
-        """The sample_docs-th smallest hash: texts themselves go nowhere."""
-        last = rows.select("turn").orderBy("turn").limit(sample_docs).agg(F.max("turn")).first()[0]
-        return -(2**63) if last is None else last
-
-    wanted = (F.col("turn") <= cut(texts)) | ((F.col("turn") <= cut(texts.where(marked))) & marked)
+    texts = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("turn", F.xxhash64("text"))
+    low = F.lower("text")
+    marked = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in KEYWORDS]) | F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    # Hashes are even, so the share of the different texts that gives sample_docs of them is a bound on the hash; texts go nowhere.
+    number = texts.agg(F.approx_count_distinct("turn").alias("all"), F.approx_count_distinct(F.when(marked, F.col("turn"))).alias("marked")).first()
+    bound = lambda k: F.lit(min(2**63 - 1, -(2**63) + int(2**64 * sample_docs / max(1, k))))
+    wanted = (F.col("turn") <= bound(number["all"])) | ((F.col("turn") <= bound(number["marked"])) & marked)
     table = np.zeros((2, n, n))
-    sample = texts.where(wanted).select("text").mapInArrow(count, "label int, a int, b int, k long")
+    once = texts.where(wanted).groupBy("turn").agg(F.first("text").alias("text"))  # equal texts
+    sample = once.select("text").mapInArrow(count, "label int, a int, b int, k long")
     for row in sample.groupBy("label", "a", "b").agg(F.sum("k").alias("k")).collect():  # 2 * 67 * 67 rows at most
         table[row.label, row.a, row.b] = row.k
     return Markov(table[1]).log - Markov(table[0]).log
