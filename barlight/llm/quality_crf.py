@@ -214,7 +214,8 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
 
 
 def is_training(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) != 0
+    """Rows without id too: they have no label, so none is learned from."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) != 0, F.lit(True))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Crf:
@@ -234,7 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 4000, doc_id: s
                 yield pa.RecordBatch.from_arrays([pa.array(now, pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["label", "x"])
 
     given = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(chosen, "_id").select("_id", "text", F.col("label").cast("int").alias("label"))
-    rows = given.dropDuplicates(["_id", "label"]).select("text", "label").mapInArrow(features, "label int, x binary").collect()  # bounded by sample_docs
+    one = given.groupBy("_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of several texts of an id always the same one
+    rows = one.select("text", "label").mapInArrow(features, "label int, x binary").collect()  # bounded by sample_docs
     if not rows:
         return Crf(np.zeros(3 * D), np.zeros((2, 2)))
     rows.sort(key=lambda r: (r.label, bytes(r.x)))
