@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 COUNTS = "doc_id long, section int, start long, stop long, n_tokens long, n_crossing long"
 
 
+@lru_cache(1)
 def byte_encoder(path: str, pattern: str):
-    """The byte-level BPE of a rank file, and how many bytes each id stands for."""
+    """The byte-level BPE of a rank file, and how many bytes each id stands for; one for all tasks of a Python worker."""
     import tiktoken
 
     with open(path, "rb") as f:
