@@ -20,6 +20,12 @@ def word_table() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def lower_table() -> np.ndarray:
+    """Each code point's lower case as one code point: the first of several."""
+    return np.array([ord(chr(c).lower()[0]) for c in range(_POINTS)], np.uint32)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
     x = x.astype(U, copy=True)
@@ -41,8 +47,8 @@ def powers(n: int = 4096) -> np.ndarray:
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first character and end of each word of text, letters in lower case."""
-    low = text.lower()
-    codes = np.frombuffer((low if len(low) == len(text) else text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = lower_table()[codes]  # one for one, so places stay those of the text
     inside = word_table()[codes]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
