@@ -4,13 +4,13 @@
    often it was copied; the words of so many copies are taken off. An n-gram is rare if the shares of its words in the rest, multiplied,
    give less than `rare`, or less than one in the rest: how often it would come up by chance, whatever the number of leaked
    copies. The `least` rarest of an item are seeds however frequent they are.
-2. Documents keep, for each rare n-gram they share with some item, its hash and place; neighbouring places form a
-   passage. Passages join the items on the seeds' hashes.
+2. Documents keep, for each rare n-gram they share with some item, its hash and place; places that are closer than the
+   longest item with such an n-gram form a passage. Passages join the items on the seeds' hashes.
 3. Smith-Waterman over words aligns passage and item (match 2, mismatch -1, gap -1). The score is its share of the item's own
    alignment, 2 x words. From `threshold` on the document is contaminated by the item.
 
 The seeds of the test set are broadcast while they are few (checked against `most_seeds`); a larger set is taken in
-blocks of items, each against all documents.
+blocks of items with no more seeds each (or of one item), each block against all documents: two scans of them a block.
 
 Defined cases: null or empty documents and items hold no seed; an item with fewer words than a seed has all of them as its
 seed, one of a single word has none and is never found; repeated documents are judged each by themselves and reported once for an id; an empty table gives an empty result;
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from barlight.llm.shared import written
 from barlight.llm.shingles import U, grams, words
+from barlight.sources.scratch import cleared
 
 
 def item_words(items: DataFrame, n: int) -> DataFrame:
@@ -96,8 +97,18 @@ def rare_seeds(item: np.ndarray, grams_: np.ndarray, vocabulary: np.ndarray, cou
     return grams_[kept]
 
 
-def passages(docs: DataFrame, seeds: np.ndarray, lengths: list[int], reach: int) -> DataFrame:
-    """Passages of docs around seeds (sorted hashes): doc_id, row, passage, words, found (seeds in it)."""
+def around(hits: np.ndarray, reach: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """hits: places in order, reach: words around each. The runs of hits whose surroundings meet, with their first word and the one after the last."""
+    starts, ends = np.maximum(hits - reach, 0), hits + longest + reach
+    order = np.argsort(starts, kind="stable")
+    upto = np.maximum.accumulate(ends[order])
+    cuts = np.flatnonzero(starts[order][1:] > upto[:-1]) + 1
+    for part in np.split(np.arange(len(hits)), cuts):
+        yield order[part], int(starts[order[part[0]]]), int(upto[part[-1]])
+
+
+def passages(docs: DataFrame, seeds: np.ndarray, lengths: list[int], reach: np.ndarray) -> DataFrame:
+    """Passages of docs around seeds (sorted hashes; reach: words around each): doc_id, row, passage, words, found (seeds in it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,12 +120,11 @@ def passages(docs: DataFrame, seeds: np.ndarray, lengths: list[int], reach: int)
                 hits, g = places(w, seeds, lengths)
                 if not len(hits):
                     continue
-                cuts = np.flatnonzero(np.diff(hits) > reach) + 1
-                for i, (part, some) in enumerate(zip(np.split(hits, cuts), np.split(g, cuts))):
+                for i, (part, first, stop) in enumerate(around(hits, reach[np.searchsorted(seeds, g)], lengths[-1])):
                     source.append(row)
                     number.append(i)
-                    kept.append(w[max(0, part[0] - reach) : part[-1] + lengths[-1] + reach].tobytes())
-                    found.append(np.unique(some).view(np.int64))
+                    kept.append(w[first:stop].tobytes())
+                    found.append(np.unique(g[part]).view(np.int64))
             columns = [batch.column("doc_id").take(pa.array(source, pa.int32())), pa.array(number, pa.int32()), pa.array(kept, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "passage", "words", "found"])
 
@@ -138,20 +148,41 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
 def find(docs: DataFrame, items: DataFrame, n: int = 3, rare: float = 1e-7, threshold: float = 0.5, most_seeds: int = 500_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = 8) -> DataFrame:
     """doc_id, item_id, score of every contaminated document and item, the best score if they meet more than once."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tests = written(item_words(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")), n), "items")
-    size = tests.agg(F.sum(F.size("seeds")).alias("seeds"), F.max("n_words").alias("longest")).first()
-    blocks = -(-(size.seeds or 0) // most_seeds)
+    with cleared(docs.sparkSession) as keep:
+        tests = written(item_words(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")), n), "items")
+        return keep(written(_find(given, tests, n, rare, least, threshold, most_seeds), "found"))
+
+
+def _find(given: DataFrame, tests: DataFrame, n: int, rare: float, least: int, threshold: float, most_seeds: int) -> DataFrame:
     out = None
-    for block in range(blocks):
-        some = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else tests
-        part = _find_block(given, some, n, rare, least, threshold, size.longest)
+    for some in in_blocks(tests, most_seeds):
+        part = _find_block(given, some, n, rare, least, threshold)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
+        return given.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _find_block(docs: DataFrame, tests: DataFrame, n: int, rare: float, least: int, threshold: float, longest: int) -> DataFrame:
+def in_blocks(tests: DataFrame, most_seeds: int) -> Iterator[DataFrame]:
+    """tests in blocks whose seeds are most_seeds at most, or those of a single item."""
+    parts = max(1, 4 * -(-(tests.agg(F.sum(F.size("seeds"))).first()[0] or 0) // most_seeds))
+    while True:
+        part = F.pmod(F.xxhash64("item_id", "words"), F.lit(parts))
+        sizes = tests.groupBy(part.alias("part")).agg(F.sum(F.size("seeds")).alias("seeds"), F.count_distinct("words").alias("n")).orderBy("part").collect()  # `parts` rows
+        if all(r.seeds <= most_seeds or r.n == 1 for r in sizes):
+            break
+        parts *= 2
+    first, total = 0, 0
+    for r in sizes:
+        if total and total + r.seeds > most_seeds:
+            yield tests.where(part.between(first, r.part - 1))
+            first, total = r.part, 0
+        total += r.seeds
+    if total:
+        yield tests.where(part >= first) if first else tests
+
+
+def _find_block(docs: DataFrame, tests: DataFrame, n: int, rare: float, least: int, threshold: float) -> DataFrame:
     rows = tests.select("words", "seeds").where(F.size("seeds") > 0).collect()  # most_seeds bounds this block
     if not rows:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
@@ -159,8 +190,12 @@ def _find_block(docs: DataFrame, tests: DataFrame, n: int, rare: float, least: i
     vocabulary, every = (np.unique(np.concatenate(x)) for x in zip(*own))
     lengths = sorted({min(n, len(w)) for w, _ in own})
     counts, met, total = occurrences(docs, vocabulary, every, lengths)
-    seeds = np.unique(np.concatenate([rare_seeds(w, g, vocabulary, counts, every, met, total, rare, least) for w, g in own]))
-    near = passages(docs, seeds, lengths, longest)
+    chosen = [rare_seeds(w, g, vocabulary, counts, every, met, total, rare, least) for w, g in own]
+    seeds = np.unique(np.concatenate(chosen))
+    reach = np.zeros(len(seeds), np.int64)
+    for (w, _), g in zip(own, chosen):
+        np.maximum.at(reach, np.searchsorted(seeds, g), len(w))
+    near = passages(docs, seeds, lengths, reach)
     of_item = F.broadcast(tests.select("item_id", F.explode(F.array_distinct("seeds")).alias("seed")))  # most_seeds rows at most
     met = near.withColumn("seed", F.explode("found")).drop("found").join(of_item, "seed")
     pairs = met.groupBy("doc_id", "passage", F.xxhash64("words").alias("_words"), "item_id").agg(F.first("words").alias("passage_words"))
