@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from barlight.llm.shared import row_key, written
 from barlight.llm.shingles import U, grams, mix, words
 from barlight.llm.url_filter import may_have
+from barlight.sources.scratch import cleared, delete
 
 SMALL = 128  # sets in a leaf
 BLOCK = 512  # sets in a block of a leaf that could not be split further
@@ -208,19 +209,31 @@ def brute_force(rows: DataFrame, threshold: float, width: int) -> DataFrame:
     return rows.mapInArrow(run, "rep long, links long, other long")
 
 
+def with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """rows with m, the least of their a; least: a, m, n (rows of a). Nodes with many edges are few and are broadcast, so that no task gets all edges of one."""
+    many = max(1000, n_edges // 50_000)
+    hubs = F.broadcast(least.where(F.col("n") > many).select("a", "m"))  # at most 100,000 rows: the n of all nodes are twice the edges
+    marked = rows.join(hubs, "a", "left")
+    rest = marked.where("m is null").drop("m").join(least.where(F.col("n") <= many).select("a", "m"), "a")
+    return marked.where("m is not null").select(*rest.columns).unionByName(rest)
+
+
 def classes(edges: DataFrame) -> DataFrame:
     """edges: a, b. Rows of rep and class_id (smallest of its component) by alternating star contraction."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     state = mark(edges)
+    spark = edges.sparkSession
     while state.n:
+        last = edges.scratch_path_
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both.where("b > a"), least, state.n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, state.n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = written(small.where("a <> b").distinct(), "edges")
         before, state = state, mark(edges)
+        delete(spark, last)
         if state == before:
             break
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("class_id"))
@@ -235,9 +248,10 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, sketch: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id, n_links, n_copies."""
     given = keyed(docs, doc_id, text).where(F.col("doc_id").isNotNull())
-    base, of_set = linked(given, width, threshold, recall, depth, sketch)
-    out = base.select("doc_id", "sig").join(of_set, "sig", "left")
-    return out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    with cleared(docs.sparkSession) as keep:
+        base, of_set = linked(given, width, threshold, recall, depth, sketch)
+        out = base.select("doc_id", "sig").join(of_set, "sig", "left")
+        return keep(written(out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")), "classes"))
 
 
 def linked(given: DataFrame, width: int, threshold: float, recall: float, depth: int, sketch: int) -> tuple[DataFrame, DataFrame]:
@@ -246,7 +260,8 @@ def linked(given: DataFrame, width: int, threshold: float, recall: float, depth:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     sets = base.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.min(order).alias("first"))
     sets = written(sets, "sets")
-    found = written(leaves(sets.select("rep", "sketch"), threshold, runs_for(recall), depth), "leaves")
+    with cleared(given.sparkSession) as keep:
+        found = keep(written(leaves(sets.select("rep", "sketch"), threshold, runs_for(recall), depth), "leaves"))
     lists = found.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("leaves"))
     near = written(lists.join(sets.select("rep", "sig", "copies"), "rep").withColumnRenamed("rep", "key"), "near")
     texts = may_have(given.select("key", "text"), "key", near, "key").where("maybe").select("row.*").dropDuplicates(["key"])  # repeats of a row
@@ -279,13 +294,18 @@ def linked(given: DataFrame, width: int, threshold: float, recall: float, depth:
     return base, reps.drop("first").join(firsts, "class_id").select("sig", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, sketch: int = 64) -> DataFrame:
-    """One row of each class: the one with the smallest id, or, if none has an id, any one. Of repeated rows one stays, rows without words too."""
-    base, of_set = linked(keyed(docs, doc_id, text), width, threshold, recall, depth, sketch)
+def _touched(base: DataFrame, of_set: DataFrame) -> DataFrame:
+    """key, gone of the keys whose rows all go, or of which one stays."""
     judged = base.select("key", "sig").join(of_set.select("sig", F.col("first.key").alias("first")), "sig", "left")
     # Of the rows with these keys, those of a class that another row stands for go and repeats are reduced to one.
     marked_keys = judged.groupBy("key").agg(F.max(F.coalesce(F.col("first") != F.col("key"), F.lit(False))).alias("gone"), F.count("*").alias("n"))
-    touched = written(marked_keys.where("gone or n > 1").select("key", "gone"), "dropped")
+    return written(marked_keys.where("gone or n > 1").select("key", "gone"), "dropped")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, sketch: int = 64) -> DataFrame:
+    """One row of each class: the one with the smallest id, or, if none has an id, any one. Of repeated rows one stays, rows without words too."""
+    with cleared(docs.sparkSession) as keep:
+        touched = keep(_touched(*linked(keyed(docs, doc_id, text), width, threshold, recall, depth, sketch)))
     packed = docs.select(row_key(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias("key"), F.struct(*docs.columns).alias("row"))
     marked = may_have(packed, "key", touched, "key").select("key", "maybe", F.col("row.row").alias("row"))
     checked = marked.where("maybe").join(touched.where("gone").select("key"), "key", "left_anti")
