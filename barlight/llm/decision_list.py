@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from barlight.llm.shared import bind, written
 from barlight.llm.url_filter import may_have
+from barlight.sources.scratch import cleared
 
 SPACE = "[\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -94,7 +95,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_repeat_share": share(s["w"]["n_repeat_words"], words),
         "_distinct_share": share(s["w"]["n_distinct"], words),
     }
-    return docs.withColumn("_s", base_statistics(F.col(text).cast("string"))).withColumns(made).drop("_s")
+    # A generator of one row: filters on the statistics stay above it, so that they are computed once for each text.
+    once = F.explode(F.array(base_statistics(F.col(text).cast("string")))).alias("_s")
+    return docs.select("*", once).withColumns(made).drop("_s")
 
 
 def base_failed() -> Column:
@@ -174,7 +177,8 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **learning) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and rule (which one rejects)."""
     stats = written(statistics(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text").drop("_text"), "statistics")
-    rule = verdict(learn(labelled_statistics(stats, labels), **learning))
+    with cleared(docs.sparkSession):
+        rule = verdict(learn(labelled_statistics(stats, labels), **learning))
     return stats.select("doc_id", *[F.col("_" + c).alias(c) for c in BASE], base_failed().alias("base_failed"), (~base_failed() & rule.isNull()).alias("kept"), rule.alias("rule"))
 
 
@@ -183,7 +187,8 @@ def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marked = labels.where("doc_id is not null").select("doc_id").distinct()
     near = may_have(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", marked, "doc_id")
     seen = near.where("maybe").select("row.*")  # statistics meet their labels below, so no text is shuffled
-    known = written(labelled_statistics(statistics(seen, "_text").drop("_text"), labels), "labelled")
-    rule = verdict(learn(known, **learning))
+    with cleared(docs.sparkSession):
+        known = written(labelled_statistics(statistics(seen, "_text").drop("_text"), labels), "labelled")
+        rule = verdict(learn(known, **learning))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("_text"))
     return statistics(rows, "_text").where(~base_failed() & rule.isNull()).select("row.*")
