@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.llm import decision_list, decontaminate, jaccard_join, packing, secret_markov
 from barlight.llm.queries import tokenizer_path
-from barlight.llm.shared import row_key, shared_dir
+from barlight.llm.shared import row_key
+from barlight.sources.scratch import cleared, delete, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/corpus-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with cleared(spark) as keep:
+        for name, stage in STAGES:
+            before = docs
+            with cleared(spark) as keep_stage:
+                docs = keep_stage(materialise(stage(spark, docs, sf_dir), f"corpus-{name}"))
+            if before is not given:
+                delete(spark, before.scratch_path_)
+        return keep(docs)
