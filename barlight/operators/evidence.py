@@ -52,24 +52,34 @@ def numeric_leaves(payloads: DataFrame, value: str = "value", key: str = "id", m
 
 
 def check_claims(claims: DataFrame, observed: DataFrame, share: float = 0.005, least: float = 1e-9) -> DataFrame:
-    """claims: claim_id, symbol, field, value; observed: symbol, field, value.
+    """claims: claim_id, symbol, field, value (and date, ISO text or a head of it); observed: symbol, field, value (and date).
 
-    ok if some observation of the same symbol and field is within its tolerance, conflict with the observed range if none is, unavailable
-    without any. Observations are first made distinct and ordered: a claim's nearest ones on either side are found by merging the two
+    ok if some observation of the same symbol and field, and of a date that starts with the claim's, is within its tolerance, conflict with the
+    observed range if none is, unavailable without any; a claim without symbol is of the only symbol observed, ambiguous if there are several.
+    Observations are first made distinct and ordered: a claim's nearest ones on either side are found by merging the two
     sorted lists, so no claim meets every observation of its symbol. The tolerance grows with the observation, so the
     nearest one above and below in value decide.
     """
-    seen = observed.select("symbol", "field", "value").distinct()
-    both = claims.select("claim_id", "symbol", "field", "value").unionByName(seen.withColumn("claim_id", F.lit(None).cast("long")))
-    order = Window.partitionBy("symbol", "field").orderBy("value", F.col("claim_id").isNotNull())
-    of = F.when(F.col("claim_id").isNull(), F.col("value"))
-    below = F.last(of, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(of, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    whole = Window.partitionBy("symbol", "field")
-    rows = both.withColumns({"_below": below, "_above": above, "observed_min": F.min(of).over(whole), "observed_max": F.max(of).over(whole)}).where("claim_id is not null")
+    dated = "date" in claims.columns and "date" in observed.columns
+    keys = ["symbol", "field", *(["date"] if dated else [])]
+    seen = observed.select(*keys, "value").distinct()
+    given = claims.select("claim_id", *keys, "value")
+    if dated:  # an observation counts for every head of its date that claims ask for: year, month, day
+        heads = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in (0, 4, 7, 10)]), lambda n: F.left(F.coalesce("date", F.lit("")), n)))
+        seen = seen.withColumn("date", F.explode(heads)).distinct()
+        given = given.withColumn("date", F.left(F.coalesce("date", F.lit("")), F.lit(10)))
+    only = observed.agg(F.min("symbol").alias("_one"), (F.min("symbol") != F.max("symbol")).alias("_many"))
+    given = given.join(F.broadcast(only), F.lit(True)).withColumn("_own", F.col("symbol")).withColumn("symbol", F.coalesce("symbol", F.when(~F.col("_many"), F.col("_one"))))
+    both = given.withColumn("_side", F.lit(1)).unionByName(seen.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    of = F.when(F.col("_side") == 0, F.col("value"))
+    group = Window.partitionBy(*keys)
+    up, down = group.orderBy("value", "_side"), group.orderBy(F.desc("value"), "_side")
+    upto = lambda w: F.last(of, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumns({"_below": upto(up), "_above": upto(down), "observed_min": F.min(of).over(group), "observed_max": F.max(of).over(group)}).where("_side = 1")
     near = lambda o: F.coalesce(F.abs(F.col("value") - o) <= F.greatest(share * F.abs(o), F.lit(least)), F.lit(False))
-    verdict = F.when(F.col("observed_min").isNull(), "unavailable").when(near(F.col("_below")) | near(F.col("_above")), "ok").otherwise("conflict")
-    return rows.select("claim_id", "symbol", "field", "value", verdict.alias("verdict"), *[F.when(verdict == "conflict", F.col(c)).alias(c) for c in ("observed_min", "observed_max")])
+    verdict = F.when(F.col("symbol").isNull() & F.col("_many"), "ambiguous").when(F.col("observed_min").isNull(), "unavailable").when(near(F.col("_below")) | near(F.col("_above")), "ok").otherwise("conflict")
+    shown = [F.when(verdict == "conflict", F.col(c)).alias(c) for c in ("observed_min", "observed_max")]
+    return rows.select("claim_id", F.col("_own").alias("symbol"), *keys[1:], "value", verdict.alias("verdict"), *shown)
 
 
 def unnamed_provenance(answers: DataFrame, cited: DataFrame) -> DataFrame:

@@ -39,6 +39,23 @@ def coverage(criteria: DataFrame, evidence: DataFrame, open_states: list[str]) -
     return own.join(total, "goal_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
 
 
+def snapshots(current: DataFrame, claims: DataFrame, criteria: DataFrame, evidence: DataFrame, order: list[str], last: int = 50) -> DataFrame:
+    """current: session_id, goal_id; claims: goal_id, claim_id; criteria and evidence by goal_id. For each current goal its claims by id, its criteria in
+    order and its last pieces of evidence, oldest first, as arrays of rows, and how much evidence there is. A goal has few claims and criteria."""
+
+    def nested(rows: DataFrame, name: str, place: str) -> DataFrame:
+        own = F.struct(place, *[c for c in rows.columns if c not in (place, "goal_id")])
+        return rows.groupBy("goal_id").agg(F.sort_array(F.collect_list(own)).alias(name))
+
+    wanted = current.select("goal_id").distinct()
+    of = lambda rows: rows.join(wanted, "goal_id", "left_semi")
+    counts = of(evidence).groupBy("goal_id").agg(F.count("*").alias("evidence_count"))
+    out = current
+    for part in (nested(of(claims), "claims", "claim_id"), nested(criteria_order(of(criteria)), "criteria", "place"), nested(latest(of(evidence), "goal_id", order, last), "evidence", "place"), counts):
+        out = out.join(part, "goal_id", "left")
+    return out.withColumns({"evidence_count": F.coalesce("evidence_count", F.lit(0)), **{c: F.coalesce(c, F.array()) for c in ("claims", "criteria", "evidence")}})
+
+
 def budget_use(deltas: DataFrame, order: list[str]) -> DataFrame:
     """deltas: goal_id, tokens, seconds, turns and budgets (null: none). Running use, and budget_limited from the first crossing on."""
     w = Window.partitionBy("goal_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,8 +118,10 @@ def stale_after(heartbeat: Column, timeout: Column, retries: Column) -> Column:
     return F.greatest(F.lit(60.0), F.least(F.greatest(F.lit(60.0), heartbeat * 10.0), (timeout * (retries + 1) + 60).cast("double")))
 
 
-def reap(runs: DataFrame, tasks: DataFrame, events: DataFrame, now: Column) -> DataFrame:
-    """runs: run_id, status, created_at, heartbeat, timeout, retries. Silent running runs: their open tasks fail, status is derived from the tasks."""
+def reap(runs: DataFrame, tasks: DataFrame, events: DataFrame, now: Column, live: DataFrame | None = None) -> DataFrame:
+    """runs: run_id, status, created_at, heartbeat, timeout, retries. Silent running runs: their open tasks fail, status is derived from the tasks,
+    of which the live rows, if there are any, replace the planned ones first."""
+    tasks = tasks if live is None else hydrate(tasks, live)
     last = runs.join(last_events(events), "run_id", "left").withColumn("_at", F.coalesce("last_event", "created_at"))
     silent = (F.col("status") == "running") & ((F.unix_micros(now) - F.unix_micros("_at")) / 1e6 > stale_after(F.col("heartbeat"), F.col("timeout"), F.col("retries")))
     marked = last.select("run_id", F.col("status").alias("_status"), F.coalesce(silent, F.lit(False)).alias("is_stale"))

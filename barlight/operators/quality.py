@@ -5,14 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlight.operators.rolling import by_bucket, features, with_halo
+
+
 def series() -> Window:
     return Window.partitionBy("symbol").orderBy("event_time_ns")
 
 
-def gap_segments(bars: DataFrame, expected_ns: int) -> DataFrame:
-    """segment: how many gaps longer than expected lie before the bar."""
-    gap = F.coalesce(F.col("event_time_ns") - F.lag("event_time_ns").over(series()) > expected_ns, F.lit(False))
-    return bars.withColumn("_gap", gap.cast("long")).withColumn("segment", F.sum("_gap").over(series())).drop("_gap")
+def gap_segments(placed: DataFrame, expected_ns: int, rows: int = 1 << 16) -> DataFrame:
+    """placed: bars with pos and n (sources.bars.positions). segment: how many gaps longer than expected lie before the bar; start: pos of the segment's first bar.
+
+    Gaps are counted by buckets of rows, whose sums give each bucket its first segment: one symbol is many tasks."""
+    w = by_bucket()
+    gap = F.coalesce(F.col("event_time_ns") - F.lag("event_time_ns").over(w) > expected_ns, F.lit(False))
+    marked = with_halo(placed, 1, rows).withColumn("_gap", gap).where("own")
+    of_symbol = Window.partitionBy("symbol").orderBy("bucket")  # a row a bucket
+    sums = marked.groupBy("symbol", "bucket").agg(F.count_if("_gap").alias("_k"), F.max(F.when(F.col("_gap"), F.col("pos"))).alias("_last"))
+    heads = sums.select("symbol", "bucket", (F.sum("_k").over(of_symbol) - F.col("_k")).alias("_before"), F.last("_last", True).over(of_symbol.rowsBetween(Window.unboundedPreceding, -1)).alias("_start"))
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.last(F.when(F.col("_gap"), F.col("pos")), True).over(running), F.col("_start"), F.lit(0))
+    joined = marked.join(heads, ["symbol", "bucket"])
+    out = joined.withColumns({"segment": F.col("_before") + F.sum(F.col("_gap").cast("long")).over(running), "start": start.cast("long")})
+    return out.select(*placed.columns, "segment", "start")
+
+
+def features_by_segment(placed: DataFrame, expected_ns: int, long: int = 1440, short: int = 60, rows: int = 1 << 16) -> DataFrame:
+    """rolling.features with windows that end at gaps: each segment of a symbol is a series of its own; pos and n are the symbol's."""
+    cut = gap_segments(placed, expected_ns, rows)
+    sizes = cut.groupBy("symbol", "segment").agg(F.count("*").alias("_size"))
+    own = cut.join(sizes, ["symbol", "segment"]).select(
+        F.struct("symbol", "segment", "start", "n").alias("symbol"), "event_time_ns", (F.col("pos") - F.col("start")).alias("pos"), F.col("_size").alias("n"), "open", "high", "low", "close", "volume")
+    made = features(own, long, short, rows)
+    rest = [c for c in made.columns if c not in ("symbol", "event_time_ns", "pos", "n")]
+    return made.select("symbol.symbol", "event_time_ns", (F.col("pos") + F.col("symbol.start")).alias("pos"), F.col("symbol.n").alias("n"), *rest)
 
 
 def breaks(bars: DataFrame, expected_ns: int) -> DataFrame:
@@ -28,9 +53,10 @@ def manifest_errors(manifest: DataFrame, found: DataFrame) -> DataFrame:
     one if the earliest start that follows comes before its end. No pair of intervals is built.
     """
     both = manifest.select("symbol", "gap_from", "gap_to", F.lit(0).alias("_found")).unionByName(found.select("symbol", "gap_from", "gap_to", F.lit(1).alias("_found")))
-    order = Window.partitionBy("symbol").orderBy("gap_from", F.desc("_found"), "gap_to")
-    end = F.max(F.when(F.col("_found") == 1, F.col("gap_to"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.min(F.when(F.col("_found") == 1, F.col("gap_from"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    of = Window.partitionBy("symbol")
+    forth, back = of.orderBy("gap_from", F.desc("_found"), "gap_to"), of.orderBy(F.desc("gap_from"), "_found", F.desc("gap_to"))
+    end = F.max(F.when(F.col("_found") == 1, F.col("gap_to"))).over(forth.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.min(F.when(F.col("_found") == 1, F.col("gap_from"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     met = F.coalesce(end > F.col("gap_from"), F.lit(False)) | F.coalesce(start < F.col("gap_to"), F.lit(False))
     return both.withColumn("_met", met).where("_found = 0 and not _met").select("symbol", "gap_from", "gap_to", F.lit("no break in the bars").alias("error"))
 

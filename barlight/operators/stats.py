@@ -75,6 +75,15 @@ def adaptive_threshold(p: float) -> float:
     return NormalDist().inv_cdf(1 - p / 2)
 
 
+def confirmed(discovered: DataFrame, measured: DataFrame, key: str, p: float = 0.05, share: float = 0.5, days: int = 30) -> DataFrame:
+    """discovered: key, sign, effect; measured (on the other half of the data): key, confirm_p, confirm_sign, confirm_effect, days.
+
+    key and confirmed: a small p-value, the same sign, at least this share of the effect, and enough days; what was not measured is not confirmed."""
+    same = (F.col("sign") == F.col("confirm_sign")) & (F.abs("confirm_effect") >= share * F.abs("effect"))
+    both = discovered.join(measured, key, "left")
+    return both.select(key, F.coalesce((F.col("confirm_p") < p) & same & (F.col("days") >= days), F.lit(False)).alias("confirmed"))
+
+
 def autocovariances(series: DataFrame, x: str, lags: int, key: str = "symbol", order: str = "event_time_ns") -> DataFrame:
     """key, n, lag, cov: autocovariances about the mean, divided by n."""
     whole = Window.partitionBy(key)

@@ -334,7 +334,19 @@ def a7_report(spark, sf_dir):
 g AS (SELECT symbol, event_time_ns, event_time_ns - lag(event_time_ns) OVER (PARTITION BY symbol ORDER BY event_time_ns) AS d FROM bars)""", select="""
 SELECT symbol, event_time_ns, CAST(sum(CASE WHEN d > 3600000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY event_time_ns) AS BIGINT) AS segment FROM g"""))
 def x1_gap_segments(spark, sf_dir):
-    return quality.gap_segments(hourly(spark, sf_dir), 3_600_000_000_000).select("symbol", "event_time_ns", "segment")
+    return quality.gap_segments(source.load(hourly(spark, sf_dir)), 3_600_000_000_000).select("symbol", "event_time_ns", "segment")
+
+
+SEGMENTED = """
+seg AS (SELECT *, sum(CASE WHEN d > 3600000000000 THEN 1 ELSE 0 END) OVER (PARTITION BY sym ORDER BY event_time_ns) AS s FROM (SELECT * EXCLUDE (symbol), symbol AS sym, event_time_ns - lag(event_time_ns) OVER (PARTITION BY symbol ORDER BY event_time_ns) AS d FROM bars)),
+placed AS (SELECT *, sym || '/' || CAST(s AS BIGINT) AS symbol, row_number() OVER (PARTITION BY sym, s ORDER BY event_time_ns) - 1 AS pos, count(*) OVER (PARTITION BY sym, s) AS n FROM seg)"""
+
+
+@query(sql(HOURS, SEGMENTED, features_sql(24, 6), select="SELECT split_part(symbol, '/', 1) AS symbol, event_time_ns, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("ret", "skew", "kurt", "gk_vol", "volume_ratio", "decoupling")) + " FROM feat"))
+def x1_features_by_segment(spark, sf_dir):
+    """Windows that end at gaps of more than an hour."""
+    made = quality.features_by_segment(source.load(hourly(spark, sf_dir)), 3_600_000_000_000, 24, 6)
+    return rounded(made.select("symbol", "event_time_ns", "ret", "skew", "kurt", "gk_vol", "volume_ratio", "decoupling"), 6)
 
 
 MANIFEST = "gap_from % 7200000000000 = 0"

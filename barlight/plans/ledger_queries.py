@@ -172,6 +172,26 @@ def a11_goal_snapshot(spark, sf_dir):
     return cur.join(cov, "goal_id", "left").na.fill(0, ["n_criteria", "n_covered", "n_evidence"]).select("session_id", "goal_id", "n_criteria", "n_covered", "n_evidence")
 
 
+@query(f"""WITH {GOALS}, {CRITERIA}, cur AS (SELECT session_id, arg_max(goal_id, (updated_at, goal_id)) AS goal_id FROM goals WHERE status IN ('active', 'paused') GROUP BY 1),
+crit AS (SELECT goal_id, string_agg(CAST(criterion_id AS VARCHAR), ',' ORDER BY CASE WHEN l_linenumber % 3 = 0 THEN 2147483647 ELSE 8 - l_linenumber END, criterion_id % 3, criterion_id) AS criteria FROM criteria GROUP BY 1),
+claim AS (SELECT goal_id, string_agg(CAST(criterion_id AS VARCHAR), ',' ORDER BY criterion_id) AS claims FROM criteria WHERE criterion_id % 2 = 0 GROUP BY 1),
+ev AS (SELECT l_orderkey AS goal_id, l_partkey * 100000000 + CAST(l_extendedprice * 100 AS BIGINT) % 100000000 AS evidence_id, epoch_us(l_shipdate) AS made FROM lineitem WHERE l_returnflag = 'R'),
+one AS (SELECT DISTINCT * FROM ev), last AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY made DESC, evidence_id DESC) AS r, count(*) OVER (PARTITION BY goal_id) AS k FROM one),
+shown AS (SELECT goal_id, max(k) AS evidence_count, string_agg(CAST(evidence_id AS VARCHAR), ',' ORDER BY made, evidence_id) AS evidence FROM last WHERE r <= 2 GROUP BY 1)
+SELECT session_id, cur.goal_id, coalesce(claims, '') AS claims, coalesce(criteria, '') AS criteria, coalesce(evidence, '') AS evidence, coalesce(evidence_count, 0) AS evidence_count
+FROM cur LEFT JOIN crit ON crit.goal_id = cur.goal_id LEFT JOIN claim ON claim.goal_id = cur.goal_id LEFT JOIN shown ON shown.goal_id = cur.goal_id""")
+def a11_goal_documents(spark, sf_dir):
+    """Current goal of each session with its claims, ordered criteria and last evidence (two pieces of it here) as nested rows."""
+    c = criteria(spark, sf_dir)
+    proofs = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("goal_id"), (F.col("l_partkey") * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long") % 100_000_000).alias("evidence_id"),
+        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at")).distinct()
+    claims = c.where("criterion_id % 2 = 0").select("goal_id", F.col("criterion_id").alias("claim_id"))
+    made = ledger.snapshots(ledger.current_goal(goals(spark, sf_dir)).select("session_id", "goal_id"), claims, c, proofs, ["at", "evidence_id"], last=2)
+    shown = lambda rows, k: F.array_join(F.transform(rows, lambda x: x[k].cast("string")), ",").alias(rows)
+    return made.select("session_id", "goal_id", shown("claims", "claim_id"), shown("criteria", "criterion_id"), shown("evidence", "evidence_id"), "evidence_count")
+
+
 @query("""WITH u AS (SELECT o_custkey AS goal_id, o_orderkey AS k, sum(round(o_totalprice)) OVER w AS t, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
 SELECT goal_id, k, CAST(t AS BIGINT) AS tokens_used, n AS turns_used, CASE WHEN t >= 500000 OR n >= 8 THEN 'budget_limited' ELSE 'active' END AS status FROM u""")
 def g12_budget_use(spark, sf_dir):
@@ -265,7 +285,7 @@ REAP = f"""runs AS (SELECT user_id AS run_id, CASE WHEN user_id % 4 = 0 THEN 'co
 last AS (SELECT run_id, arg_max(ts, line) AS last_event FROM ({RUN_EVENTS}) GROUP BY 1),
 bound AS (SELECT max(ts) AS now FROM events),
 mark AS (SELECT r.run_id, r.status, r.status = 'running' AND (epoch_us(now) - epoch_us(last_event)) / 1e6 > greatest(60, least(greatest(60, 3600 * (run_id % 5) * 10.0), 36000 * (run_id % 3 + 1) + 60)) AS is_stale FROM runs r JOIN last USING (run_id), bound),
-jobs AS (SELECT user_id AS run_id, event_id AS task_id, CASE event_type WHEN 'purchase' THEN 'running' ELSE 'completed' END AS status, '' AS summary FROM events WHERE event_id % 10 = 0),
+jobs AS (SELECT user_id AS run_id, event_id AS task_id, CASE event_type WHEN 'purchase' THEN 'running' ELSE 'completed' END AS status, '' AS summary FROM events),
 ended AS (SELECT j.run_id, j.task_id, CASE WHEN is_stale AND j.status = 'running' THEN 'failed' ELSE j.status END AS status, summary FROM jobs j JOIN mark USING (run_id)),
 {STATUS.format('ended')}"""
 
@@ -277,7 +297,7 @@ def t16_t17_reap_stale(spark, sf_dir):
     runs = e.groupBy(F.col("user_id").alias("run_id")).agg(F.min(F.col("ts").cast("timestamp")).alias("created_at"))
     r = F.col("run_id")
     runs = runs.withColumns({"status": F.when(r % 4 == 0, "completed").otherwise("running"), "heartbeat": 3600.0 * (r % 5), "timeout": F.lit(36_000), "retries": r % 3})
-    jobs = e.where("event_id % 10 = 0").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("task_id"), F.when(F.col("event_type") == "purchase", "running").otherwise("completed").alias("status"), F.lit("").alias("summary"))
+    jobs = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("task_id"), F.when(F.col("event_type") == "purchase", "running").otherwise("completed").alias("status"), F.lit("").alias("summary"))
     now = F.lit(e.agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
     return ledger.reap(runs, jobs, run_events(spark, sf_dir), now)
 
@@ -347,6 +367,24 @@ def j8_check_claims(spark, sf_dir):
     return evidence.check_claims(claims, observed)
 
 
+DATED = """obs AS (SELECT DISTINCT o_orderpriority AS symbol, o_orderstatus AS field, strftime(o_orderdate, '%Y-%m-%d') AS date, o_totalprice AS value FROM orders WHERE o_orderkey % 5 <> 0),
+claims AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS symbol, o_orderstatus AS field, left(strftime(o_orderdate, '%Y-%m-%d'), CASE o_orderkey % 3 WHEN 0 THEN 10 ELSE 7 END) AS date,
+  o_totalprice * CAST(CASE o_orderkey % 2 WHEN 0 THEN 1.004 ELSE 1.3 END AS DOUBLE) AS value FROM orders)"""
+
+
+@query(f"""WITH {DATED}, j AS (SELECT claim_id, c.symbol, c.field, c.date, c.value, bool_or(abs(c.value - o.value) <= greatest(0.005 * abs(o.value), 1e-9)) AS ok, min(o.value) AS lo
+  FROM claims c LEFT JOIN obs o ON o.symbol = c.symbol AND o.field = c.field AND left(o.date, 7) = left(c.date, 7) AND starts_with(o.date, c.date) GROUP BY ALL)
+SELECT claim_id, symbol, field, date, value, CASE WHEN symbol IS NULL THEN 'ambiguous' WHEN lo IS NULL THEN 'unavailable' WHEN ok THEN 'ok' ELSE 'conflict' END AS verdict FROM j""")
+def j8_dated_claims(spark, sf_dir):
+    """Claims of a month or a day, every seventh without symbol, against observations of days."""
+    o = table(spark, sf_dir, "orders")
+    k, day = F.col("o_orderkey"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd")
+    observed = o.where(k % 5 != 0).select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderstatus").alias("field"), day.alias("date"), F.col("o_totalprice").alias("value"))
+    value = F.col("o_totalprice") * F.when(k % 2 == 0, 1.004).otherwise(1.3)
+    claims = o.select(k.alias("claim_id"), F.when(k % 7 != 0, F.col("o_orderpriority")).alias("symbol"), F.col("o_orderstatus").alias("field"), F.when(k % 3 == 0, day).otherwise(F.left(day, F.lit(7))).alias("date"), value.alias("value"))
+    return evidence.check_claims(claims, observed).drop("observed_min", "observed_max")
+
+
 @query("SELECT doc_id AS answer_id, kind, name FROM (SELECT doc_id, text, unnest([{'kind': 'symbol', 'name': lang}, {'kind': 'source', 'name': source}], recursive := true) FROM documents) WHERE NOT contains(lower(text), lower(name))")
 def j10_unnamed_provenance(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -397,13 +435,16 @@ def x24_evidence_status(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(F.isnan(v), "nan").when(v.isNull(), "missing").otherwise("observed").alias("status"))
 
 
-@query("""WITH c AS (SELECT doc_id, source AS code, text FROM documents) SELECT left(sha256(text), 16) AS artifact, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_claimed_right FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT doc_id, source AS code, text FROM documents) SELECT left(sha256(text), 16) AS artifact, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_claimed_right, count(*) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0) AS n_verified FROM c GROUP BY 1""")
 def t15_artifact_hashes(spark, sf_dir):
-    """Claimed hashes (right for even ids) against the hash of the text."""
+    """Claimed hashes (right for even ids, every fourth in capitals with its prefix) against the hash of the text, and against runs that exist (every third id)."""
     d = table(spark, sf_dir, "documents")
-    claimed = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("0")
-    checked = logs.verified(d.withColumn("claimed", claimed), F.col("claimed"), F.col("text"))
-    return checked.groupBy(F.left(F.sha2("text", 256), F.lit(16)).alias("artifact")).agg(F.count("*").alias("n"), F.count_if("verified").alias("n_claimed_right"))
+    hash_ = F.sha2("text", 256)
+    claimed = F.when(F.col("doc_id") % 4 == 0, F.upper(F.concat(F.lit("sha256:"), hash_))).when(F.col("doc_id") % 2 == 0, hash_).otherwise("0")
+    runs = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("run_id"))
+    both = logs.verified(d.withColumn("claimed", claimed), F.col("claimed"), F.col("text")).withColumnRenamed("verified", "right")
+    checked = logs.verified(both, F.col("claimed"), F.col("text"), F.col("doc_id"), runs)
+    return checked.groupBy(F.left(hash_, F.lit(16)).alias("artifact")).agg(F.count("*").alias("n"), F.count_if("right").alias("n_claimed_right"), F.count_if("verified").alias("n_verified"))
 
 
 @query("""WITH i AS (SELECT conv_id, turn, json_object('code', role, 'turn', turn % 4) AS issue FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, issue ORDER BY turn) AS r FROM i) SELECT conv_id, turn FROM r WHERE r = 1""")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.functions import bars as fb
-from barlight.operators import baseline, rolling, suppress
+from barlight.operators import baseline, quality, rolling, suppress
 from barlight.sources import bars as source
 from barlight.sources.scratch import cleared, materialise
 
@@ -32,6 +32,7 @@ class ScanParams:
     total: int = 50
     rows_per_bucket: int = 1 << 16
     exact: bool = True
+    gap_ns: int | None = None  # windows end at gaps between bars that are longer than this; None: they run over them
     warmup: str = "reference"  # exclude: the first `short` rows have no return and are left out of A3
 
 
@@ -86,7 +87,9 @@ def valid(column: str) -> Column:
 def scored(placed: DataFrame, p: ScanParams, keys: list[str]) -> DataFrame:
     """Features with their z-scores, no rows if there are fewer bars than least_total. They are written once: medians, deviations and scores read them."""
     needed = [c for c, k in (("skew", "A1"), ("kurt", "A1"), ("gk_vol", "A2"), ("decoupling", "A3")) if k in keys]
-    made = materialise(rolling.features(placed, p.long, p.short, p.rows_per_bucket).select("symbol", "event_time_ns", "pos", "n", *needed), "features")
+    windows = (p.long, p.short, p.rows_per_bucket)
+    features = quality.features_by_segment(placed, p.gap_ns, *windows) if p.gap_ns else rolling.features(placed, *windows)
+    made = materialise(features.select("symbol", "event_time_ns", "pos", "n", *needed), "features")
     if made.limit(p.least_total).count() < p.least_total:
         made = made.where("false")  # source.outcome gives the reason
     ok = {c: valid(c) for c in needed}

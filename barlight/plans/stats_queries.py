@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +39,15 @@ def x8_benjamini_yekutieli(spark, sf_dir):
     return made.select("event_id", "rank", F.round("by_threshold", 9).alias("by_threshold"), "rejected")
 
 
-@query(f"""WITH {TESTS}, d AS (SELECT event_id, p AS discovery_p, CASE WHEN event_id % 3 = 0 THEN p * 2 ELSE 0.5 END AS confirm_p, CASE WHEN event_id % 7 = 0 THEN -1 ELSE 1 END AS s FROM tests WHERE event_id % 50 = 0)
+@query(f"""WITH {TESTS}, d AS (SELECT event_id, p AS discovery_p, CASE WHEN event_id % 3 = 0 THEN p * 2 ELSE 0.5 END AS confirm_p, CASE WHEN event_id % 7 = 0 THEN -1 ELSE 1 END AS s FROM tests)
 SELECT event_id, confirm_p < 0.05 AND s = 1 AND event_id % 11 <> 0 AND 30 + event_id % 9 >= 32 AS confirmed FROM d""")
 def x10_confirm_rule(spark, sf_dir):
     """Confirmed: small p on the other half, the same sign, an effect of at least half the size, enough days."""
-    e = tests(spark, sf_dir).where("event_id % 50 = 0")
-    discovery = e.select("event_id", F.col("p").alias("discovery_p"), F.lit(1).alias("sign"), F.lit(4.0).alias("effect"))
+    e = tests(spark, sf_dir)
+    discovery = e.select("event_id", F.lit(1).alias("sign"), F.lit(4.0).alias("effect"))
     k = F.col("event_id")
     confirm = e.select("event_id", F.when(k % 3 == 0, F.col("p") * 2).otherwise(0.5).alias("confirm_p"), F.when(k % 7 == 0, -1).otherwise(1).alias("confirm_sign"), F.when(k % 11 == 0, 1.0).otherwise(3.0).alias("confirm_effect"), (30 + k % 9).alias("days"))
-    both = discovery.join(confirm, "event_id")
-    return both.select("event_id", ((F.col("confirm_p") < 0.05) & (F.col("sign") == F.col("confirm_sign")) & (F.col("confirm_effect") >= F.col("effect") / 2) & (F.col("days") >= 32)).alias("confirmed"))
+    return stats.confirmed(discovery, confirm, "event_id", days=32)
 
 
 @query()
@@ -61,12 +58,12 @@ def x7_p_values(spark, sf_dir):
     return z.select("event_id", "z", "n_effective", F.round(stats.p_value(F.col("z"), F.col("n_effective")), 9).alias("p"))
 
 
-@query(f"""WITH {TESTS} SELECT count(*) AS n, count(*) FILTER (p < 0.00135) AS n_small FROM tests""")
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (abs(value - 50) / 20 > 1.959963984540054) AS beyond_5, count(*) FILTER (abs(value - 50) / 20 > 2.5758293035489) AS beyond_1, count(*) FILTER (abs(value - 50) / 20 > 2.9999769927034) AS beyond_027 FROM events GROUP BY 1""")
 def x9_adaptive_threshold(spark, sf_dir):
-    """Tests beyond the z of p = 0.0027 (which is three)."""
-    z = stats.adaptive_threshold(0.0027)
-    limit = 0.0027 / 2 if abs(z - 3) < 0.001 else math.nan
-    return tests(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(F.col("p") < limit).alias("n_small"))
+    """Events whose standardised value is beyond the z of two-sided p-values of 5, 1 and 0.27 per cent."""
+    z = F.abs(F.col("value") - 50) / 20
+    beyond = {name: F.count_if(z > stats.adaptive_threshold(p)).alias(name) for name, p in (("beyond_5", 0.05), ("beyond_1", 0.01), ("beyond_027", 0.0027))}
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), *beyond.values())
 
 
 EFFECTIVE = """r AS (SELECT symbol, event_time_ns, ln(close) AS x FROM bars), c AS (SELECT symbol, event_time_ns, x - avg(x) OVER (PARTITION BY symbol) AS c FROM r),

@@ -58,7 +58,12 @@ def p13_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
-@query()
+CJK_TEXT = "translate(coalesce(text, ''), 'abcdefghij', '一二三四五六七八九十')"
+EXPANDED = f"""array_to_string([CASE WHEN regexp_matches(p, '^[{ft.CJK}]') THEN array_to_string(list_concat([p[i] FOR i IN range(1, len(p) + 1)], [p[i:i + 1] FOR i IN range(1, len(p))]), ' ') ELSE p END
+  FOR p IN regexp_extract_all({CJK_TEXT}, '[{ft.CJK}]+|[^{ft.CJK}]+')], '')"""
+
+
+@query(f"""WITH x AS (SELECT doc_id, {EXPANDED} AS e FROM documents) SELECT doc_id, CAST(length(e) AS INTEGER) AS n_chars, md5(coalesce(array_to_string(regexp_extract_all(lower(e), '[a-z0-9_]{{2,}}|[{ft.CJK}]+'), ' '), '')) AS digest FROM x""")
 def p14_cjk_expansion(spark, sf_dir):
     """Texts with ten letters turned into CJK characters, so that there are runs to expand."""
     t = F.translate("text", "abcdefghij", "一二三四五六七八九十")
@@ -66,11 +71,10 @@ def p14_cjk_expansion(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g')) AS clean,
-  CASE WHEN length(text) <= 8000 THEN length(text) ELSE 8000 END AS kept_chars, regexp_replace(regexp_replace(lower(left(text, 30)), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g') AS dashed FROM documents""")
+  CASE WHEN length(text) <= 8000 THEN length(text) ELSE 8000 END AS kept_chars, md5(regexp_replace(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '[^a-z0-9_\-""" + ft.SCRIPTS + """]', '', 'g')) AS slug FROM documents""")
 def p15_sanitize(spark, sf_dir):
     t = F.col("text")
-    dashed = F.regexp_replace(ft.strip(F.lower(F.substring(t, 1, 30))), "\\s+", "-")
-    return docs(spark, sf_dir).select("doc_id", F.md5(ft.sanitized(t)).alias("clean"), F.length(ft.truncated(t)).cast("long").alias("kept_chars"), dashed.alias("dashed"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(ft.sanitized(t)).alias("clean"), F.length(ft.truncated(t)).cast("long").alias("kept_chars"), F.md5(ft.slug(t)).alias("slug"))
 
 
 STRIPPED = r"regexp_replace(lower({}), '^\s+|\s+$', '', 'g')"
@@ -90,10 +94,11 @@ def p17_importance(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.round(made, 9).alias("importance"))
 
 
-@query("SELECT conv_id, turn, CAST(length('{\"role\":\"' || role || '\",\"text\":\"' || replace(text, chr(10), '\\n') || '\"}') // 4 AS BIGINT) AS tokens FROM conversations WHERE NOT contains(text, '\"') AND NOT contains(text, '\\')")
+@query("SELECT conv_id, turn, CAST(length(CAST(to_json({'role': role, 'text': text || CASE WHEN turn % 3 = 0 THEN '\"a\\b\"' ELSE '' END}) AS VARCHAR)) // 4 AS BIGINT) AS tokens FROM conversations")
 def p18_token_estimate(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("not contains(text, '\"') and not contains(text, '\\\\')")
-    return c.select("conv_id", "turn", ft.json_estimate(F.to_json(F.struct("role", "text"))).alias("tokens"))
+    """All messages, every third with quotes and a backslash at its end."""
+    text = F.concat("text", F.when(F.col("turn") % 3 == 0, '"a\\b"').otherwise("")).alias("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ft.json_estimate(F.to_json(F.struct("role", text))).alias("tokens"))
 
 
 CODES = "upper(s_name) || CASE s_suppkey % 4 WHEN 0 THEN '-USD' WHEN 1 THEN '.N' WHEN 2 THEN '/EUR' ELSE '' END"
@@ -178,6 +183,12 @@ def f9_symbol_mentions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(listed, ",").alias("listed"), F.array_join(generic, ",").alias("generic"))
 
 
+@query()
+def f9_generic_symbols(spark, sf_dir):
+    """Codes in the whole texts as they are written; a test compares them with a scan character by character."""
+    return docs(spark, sf_dir).select("doc_id", F.array_join(ft.generic_symbols(F.col("text")), ",").alias("symbols"))
+
+
 @query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(?:" + "|".join(ft.ACTIONS) + r")\b') AS actionable, regexp_matches(text, '(?i)\b(?:" + "|".join(ft.NUMERIC) + r")\b') AS numeric FROM (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' Get the closing price' ELSE '' END AS text FROM documents)")
 def f10_query_kinds(spark, sf_dir):
     t = F.concat("text", F.when(F.col("doc_id") % 5 == 0, " Get the closing price").otherwise(""))
@@ -287,11 +298,11 @@ def a8_recall_with_links(spark, sf_dir):
     return search.expand(hits, links).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"""WITH a AS (SELECT d.doc_id, b.item_id, list_distinct(regexp_extract_all(lower(d.text), {TOKEN})) AS x, list_distinct(regexp_extract_all(lower(b.text), {TOKEN})) AS y FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+@query(f"""WITH a AS (SELECT d.doc_id, b.item_id, list_distinct(regexp_extract_all(lower(d.text), {TOKEN})) AS x, list_distinct(regexp_extract_all(lower(b.text), {TOKEN})) AS y FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, item_id, CAST(len(list_intersect(x, y)) AS BIGINT) AS shared, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) AS jaccard FROM a""")
 def k12_token_sets(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    j = docs(spark, sf_dir).withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    j = docs(spark, sf_dir).withColumn("item_id", F.col("doc_id") % b.count()).join(b, "item_id")
     x, y = F.array_distinct(ft.tokens(F.col("text"))), F.array_distinct(ft.tokens(F.col("item")))
     return j.select("doc_id", "item_id", F.size(F.array_intersect(x, y)).cast("long").alias("shared"), F.round(search.jaccard(x, y), 9).alias("jaccard"))
 
@@ -347,7 +358,10 @@ def t6_compression_due(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", summary.due(level, F.col("doc_id") % 50).alias("target"))
 
 
-@query()
+@query(f"""WITH {SCORED}, r AS (SELECT *, pos = 0 OR pos = n - 1 AS edge, row_number() OVER (PARTITION BY doc_id, pos = 0 OR pos = n - 1 ORDER BY score DESC, pos) AS r FROM scored),
+kept AS (SELECT doc_id, max(n) AS n, string_agg(sentence, ' ' ORDER BY pos) AS body FROM r WHERE edge OR r <= 5 OR n <= 7 GROUP BY doc_id),
+made AS (SELECT d.doc_id, {TOKENS} AS x, regexp_extract_all(lower(CASE WHEN coalesce(n, 0) <= 7 THEN coalesce(d.text, '') ELSE body END), {TOKEN}) AS y FROM documents d LEFT JOIN kept USING (doc_id))
+SELECT doc_id, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / greatest(len(list_distinct(list_concat(x, y))), 1) END, 9) AS retention FROM made""")
 def t7_retention(spark, sf_dir):
     """Share of tokens that each summary keeps."""
     d = docs(spark, sf_dir)
@@ -413,15 +427,18 @@ def a10_maintenance(spark, sf_dir):
 # ---- notes as files, categories ----
 
 
-@query("""SELECT doc_id AS id, rtrim(left(replace(replace(text, chr(10), ' '), ':', ' '), 20)) AS title_start, lang AS category, least(1.0, greatest(0.0, doc_id % 15 / 10.0)) AS quality, CASE WHEN length(text) <= 8000 THEN length(text) ELSE 8000 END AS body_chars FROM documents""")
+@query("""SELECT doc_id AS id, md5('x' || rtrim(replace(replace(text, chr(10), ' '), ':', ' '))) AS title, lang AS category, least(1.0, greatest(0.0, doc_id % 15 / 10.0)) AS quality, CASE WHEN length(text) <= 8000 THEN length(text) ELSE 8000 END AS body_chars,
+  'project' AS memory_type, 'raw' AS compression_level, lang || ',' || source AS keywords, doc_id % 9 AS access_count, '' AS description, CAST(0.5 AS DOUBLE) AS importance FROM documents""")
 def s9_note_ingest(spark, sf_dir):
     """Documents written as texts with a front-matter header, then read into typed columns."""
     d = docs(spark, sf_dir)
-    title = F.left(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(":"), F.lit(" ")), F.lit(20))
+    title = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(":"), F.lit(" "))
     quality = F.format_string("%.1f", F.col("doc_id") % 15 / 10.0)
-    raw = F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\ntitle: x"), title, F.lit("\ncategory: "), "lang", F.lit("\nkeywords: ["), "lang", F.lit(", "), "source", F.lit("]\nquality_score: "), quality, F.lit("\n---\n"), "text")
+    raw = F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\ntitle: x"), title, F.lit("\ncategory: "), "lang", F.lit("\nkeywords: ["), "lang", F.lit(", "), "source", F.lit("]\nquality_score: "), quality, F.lit("\naccess_count: "), (F.col("doc_id") % 9).cast("string"), F.lit("\n---\n"), "text")
     n = note_source.parse(d.select(raw.alias("value")))
-    return n.select(F.col("id").cast("long").alias("id"), F.substring("title", 2, 20).alias("title_start"), "category", F.col("quality_score").alias("quality"), F.length("body").cast("long").alias("body_chars"))
+    return n.select(
+        F.col("id").cast("long").alias("id"), F.md5("title").alias("title"), "category", F.col("quality_score").alias("quality"), F.length("body").cast("long").alias("body_chars"),
+        "memory_type", "compression_level", F.array_join("keywords", ",").alias("keywords"), F.col("access_count").cast("long").alias("access_count"), "description", "importance")
 
 
 @query("SELECT doc_id, lang AS category, source FROM documents WHERE lang IN ('en', 'fr')")
@@ -467,10 +484,11 @@ def t12_redact_nested(spark, sf_dir):
     return e.select("event_id", redact.redact_json(nested).alias("redacted"))
 
 
-@query(r"SELECT page_id, regexp_replace(url, '^https?://[^/]*', '<path>') AS shown FROM pages WHERE regexp_matches(url, '^https?://[^/]*/') AND length(regexp_replace(url, '^https?://[^/]*', '')) > 1")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS rest FROM pages)
+SELECT page_id, CASE WHEN rest = '' OR starts_with(rest, '/') THEN '<path>' || rest ELSE '<path>/store' || rest END AS shown FROM p""")
 def t13_redact_paths(spark, sf_dir):
-    """Prefixes of the pages' own addresses, taken as roots of paths."""
-    p = table(spark, sf_dir, "pages").where("url rlike '^https?://[^/]*/.'")
+    """Every page's address as a path under the inner of two roots; what has no separator after it is under the outer one."""
+    p = table(spark, sf_dir, "pages")
     root = F.regexp_extract("url", "^https?://[^/]*", 0)
     text = F.concat(F.lit("/srv/store"), F.substring("url", F.length(root) + 1, F.length("url")))
     return p.select("page_id", redact.redact_paths(text, ["/srv", "/srv/store"]).alias("shown"))

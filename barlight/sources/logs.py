@@ -39,9 +39,15 @@ def tail(rows: DataFrame, key: str, line: str, offset: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(line))).where(F.col("_n") > offset).drop("_n")
 
 
-def verified(rows: DataFrame, claimed: Column, content: Column) -> DataFrame:
-    """verified: the claimed hash is that of the content."""
-    return rows.withColumn("verified", F.coalesce(F.lower(claimed) == F.sha2(content, 256), F.lit(False)))
+def verified(rows: DataFrame, claimed: Column, content: Column, run_id: Column | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """verified: the claimed hash, with or without `sha256:` before it, is that of the content, or the run named is among runs (run_id)."""
+    hash_ = F.regexp_replace(F.lower(F.trim(claimed)), "^sha256:", "")
+    same = F.coalesce(hash_ == F.sha2(content, 256), F.lit(False))
+    if runs is None:
+        return rows.withColumn("verified", same)
+    known = runs.select(F.col("run_id").alias("_run")).distinct().withColumn("_known", F.lit(True))
+    joined = rows.withColumn("_run", run_id).join(known, "_run", "left")
+    return joined.withColumn("verified", same | F.coalesce("_known", F.lit(False))).drop("_run", "_known")
 
 
 def artifacts(spark: SparkSession, path: str) -> DataFrame:

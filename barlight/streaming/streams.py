@@ -78,10 +78,12 @@ def tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def replayed(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything that is there now; what it gave out, by batch. A batch that is run again replaces its own folder."""
+def replayed(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream over everything that is there now; what it gave out, by batch. A batch that is run again replaces its own folder.
+
+    With the path of an earlier run it goes on from there: its state and its place in the input are in that folder."""
     spark = stream.sparkSession
-    path = scratch_path(spark, "stream")
+    path = path or scratch_path(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")

@@ -182,3 +182,62 @@ def test_numeric_leaves_at_any_depth_in_document_order(spark):
     of = {k: [(r.path, r.value) for r in got if r.id == k] for k, _ in rows}
     assert of[1] == [("a[0]." * 39 + "a[0]", 3.0)] and of[2] == [(f"z[{i}]", float(i)) for i in range(2000)]
     assert of[3] == [("b", 1.0), ("a.y", 2.5)] and of[4] == of[5] == [] and of[6] == [("", 7.0)] and of[7] == [("[1]", -1.0)]
+
+
+def test_generic_symbols_match_a_scan_by_character(spark, small):
+    """Maximal codes between characters that are none of a word, found without patterns that look around."""
+    from barlight.plans import registry
+
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+    def run(text, i, most):
+        j = i
+        while j < len(text) and text[j] in upper and j - i < most:
+            j += 1
+        return j
+
+    def codes(text):
+        found, i = [], 0
+        while i < len(text):
+            end = None
+            lettered = i
+            while lettered < len(text) and (text[lettered] in upper or text[lettered] in ".-"):
+                lettered += 1
+            if (i == 0 or text[i - 1] not in word) and any(c.isalpha() for c in text[i:lettered]):
+                stops = []
+                stem = run(text, i, 15)
+                if stem - i >= 2:
+                    stops, at = [stem], stem
+                    while at < len(text) and text[at] in "-./" and run(text, at + 1, 10) > at + 1:
+                        at = run(text, at + 1, 10)
+                        stops.append(at)
+                end = next((s for s in reversed(stops) if s == len(text) or text[s] not in word), None)
+            if end:
+                found.append(text[i:end])
+                i = end
+            else:
+                i += 1
+        return [c for c in found if c not in ft.NO_SYMBOLS]
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.symbols for r in registry.QUERIES["f9_generic_symbols"](spark, small).collect()} == {k: ",".join(codes(t or "")) for k, t in docs.items()}
+    rows = [("BTCUSDT over ethusdt, XBTCUSDTX by OHLCV",), ("BRK.B and A1-USD/X, 123, _ABC, ABC_ (QQQ)",)]
+    assert [list(r[0]) for r in spark.createDataFrame(rows, "t string").select(ft.generic_symbols(F.col("t"))).collect()] == [codes(t) for t, in rows]
+
+
+def test_claims_without_symbol_and_with_dates(spark):
+    seen = spark.createDataFrame([("A", "close", "2024-01-02", 100.0), ("A", "close", "2024-02-01", 200.0), ("A", "close", None, 300.0)], "symbol string, field string, date string, value double")
+    asked = [(1, "A", "close", "2024-01", 100.4), (2, "A", "close", "2024-01-02", 200.0), (3, None, "close", None, 300.0), (4, "A", "open", None, 1.0), (5, "A", "close", "2023", 100.0), (None, "A", "close", "2024", 200.0)]
+    claims = spark.createDataFrame(asked, "claim_id long, symbol string, field string, date string, value double")
+    verdicts = {r.claim_id: r.verdict for r in evidence.check_claims(claims, seen).collect()}
+    assert verdicts == {1: "ok", 2: "conflict", 3: "ok", 4: "unavailable", 5: "unavailable", None: "ok"}
+    two = seen.unionByName(seen.withColumn("symbol", F.lit("B")))
+    assert {r.claim_id for r in evidence.check_claims(claims, two).where("verdict = 'ambiguous'").collect()} == {3}
+
+
+def test_large_group_of_claims_takes_linear_time(spark):
+    n = spark.range(60_000)
+    observed = n.select(F.lit("s").alias("symbol"), F.lit("f").alias("field"), F.col("id").cast("double").alias("value"))
+    claims = n.select(F.col("id").alias("claim_id"), F.lit("s").alias("symbol"), F.lit("f").alias("field"), (F.col("id") + 0.5).alias("value"))
+    assert evidence.check_claims(claims, observed).where("verdict = 'conflict'").count() == 99  # the observation above is half a unit away, within half a per cent of it from 100 on
