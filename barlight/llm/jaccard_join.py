@@ -211,7 +211,7 @@ def brute_force(rows: DataFrame, threshold: float, width: int) -> DataFrame:
 
 def with_least(rows: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """rows with m, the least of their a; least: a, m, n (rows of a). Nodes with many edges are few and are broadcast, so that no task gets all edges of one."""
-    many = max(1000, n_edges // 50_000)
+    many = max(100, n_edges // 50_000)
     hubs = F.broadcast(least.where(F.col("n") > many).select("a", "m"))  # at most 100,000 rows: the n of all nodes are twice the edges
     marked = rows.join(hubs, "a", "left")
     rest = marked.where("m is null").drop("m").join(least.where(F.col("n") <= many).select("a", "m"), "a")
