@@ -8,13 +8,14 @@ import numpy as np
 
 U = np.uint64
 _POINTS = 0x110000
+_LAST = 0x40000  # no letter or digit has a code point from here on
 
 
 @lru_cache(1)
 def word_table() -> np.ndarray:
     """Whether each code point belongs to a word: letters, digits and the underscore."""
     table = np.zeros(_POINTS, bool)
-    for c in range(_POINTS):
+    for c in range(_LAST):
         table[c] = chr(c).isalnum()
     table[ord("_")] = True
     return table
@@ -23,7 +24,9 @@ def word_table() -> np.ndarray:
 @lru_cache(1)
 def lower_table() -> np.ndarray:
     """Each code point's lower case as one code point: the first of several."""
-    return np.array([ord(chr(c).lower()[0]) for c in range(_POINTS)], np.uint32)
+    table = np.arange(_POINTS, dtype=np.uint32)
+    table[:_LAST] = [ord(chr(c).lower()[0]) for c in range(_LAST)]
+    return table
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,8 +50,10 @@ def powers(n: int = 4096) -> np.ndarray:
 
 def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first character and end of each word of text, letters in lower case."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = lower_table()[codes]  # one for one, so places stay those of the text
+    if text.isascii():
+        codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    else:
+        codes = lower_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]  # one for one, so places stay those of the text
     inside = word_table()[codes]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
