@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlight.operators.folds import folded
+
 # How much an event moves a note's quality.
 DELTAS = {"task_success": 0.1, "task_failure": -0.15, "user_confirm": 0.2, "user_reject": -0.3, "passive_decay": -0.05}
 
@@ -17,37 +21,48 @@ def delta(event: Column, source: Column) -> Column:
     return d.cast("long")
 
 
-def ordered(events: DataFrame, keys: list[str], order: list[str], *values: str) -> DataFrame:
-    """All of a key's events as one sorted array: what an order-dependent fold reads. A few numbers an event."""
-    return events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("_events"))
+def moved(state: tuple[int, int, int], d: int, cap: int) -> tuple[int, int, int]:
+    """(quality, sum, applied) after one event, in thousandths. Beyond the cap of the session's sum it is skipped; quality is rounded to hundredths, half to even."""
+    q, s, n = state
+    if abs(s + d) > cap:
+        return state
+    low, rest = divmod(max(0, min(1000, q + d)), 10)
+    return 10 * (low + (rest > 5 or (rest == 5 and low % 2 == 1))), s + d, n + 1
 
 
 def reinforced(events: DataFrame, start: float = 0.5, cap: float = 0.5) -> DataFrame:
     """events: note, event, source, ts, event_id. Quality after all events in order, what moved it in all, and how many were applied.
 
     An event that would take the session's sum beyond the cap is skipped; quality stays within 0 and 1 and is rounded to
-    hundredths each time (half to even; in thousandths, so that no binary remainder decides).
+    hundredths each time (half to even; in thousandths, so that no binary remainder decides). Repeated rows are events of their own.
     """
-    known = events.withColumn("d", delta(F.col("event"), F.col("source"))).where("d is not null")
-    rows = ordered(known, ["note"], ["ts", "event_id"], "d")
-    whole = lambda x: F.lit(round(1000 * x)).cast("long")
-    begin = F.struct(whole(start).alias("q"), whole(0).alias("s"), whole(0).alias("n"))
+    first, most = (round(1000 * start), 0, 0), round(1000 * cap)
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["s"] + x["d"]
-        q = F.bround(F.greatest(whole(0), F.least(whole(1), a["q"] + x["d"])), -1).cast("long")
-        return F.when(F.abs(s) > whole(cap), a).otherwise(F.struct(q.alias("q"), s.alias("s"), (a["n"] + 1).alias("n")))
+    def events_of(group: Iterator[dict]) -> Iterator[dict]:
+        state, k = first, 0
+        for row in group:
+            state, k, note = moved(state, row["d"], most), k + 1, row["note"]
+        yield {"note": note, "quality": state[0] / 1000, "session_delta": state[1] / 1000, "n_applied": state[2], "n_events": k}
 
-    out = rows.select("note", F.aggregate("_events", begin, step).alias("r"), F.size("_events").cast("long").alias("n_events"))
-    return out.select("note", (F.col("r.q") / 1000).alias("quality"), (F.col("r.s") / 1000).alias("session_delta"), F.col("r.n").alias("n_applied"), "n_events")
+    known = events.withColumn("d", delta(F.col("event"), F.col("source"))).where("d is not null").select("note", "ts", "event_id", "d")
+    kind = events.schema["note"].dataType.simpleString()
+    return folded(known, ["note"], ["ts", "event_id", "d"], events_of, f"note {kind}, quality double, session_delta double, n_applied long, n_events long")
 
 
 def accepted_writes(writes: DataFrame, window_us: int) -> DataFrame:
-    """writes: hash, ts (microseconds). Accepted times: a write closer than the window to the last accepted one is a duplicate."""
-    rows = ordered(writes, ["hash"], ["ts"])
-    keep = lambda a, x: F.when((F.size(a) == 0) | (x["ts"] - F.get(a, F.size(a) - 1) >= window_us), F.array_append(a, x["ts"])).otherwise(a)
-    kept = F.aggregate("_events", F.array().cast("array<long>"), keep)
-    return rows.select("hash", F.size("_events").cast("long").alias("n_writes"), F.explode(kept).alias("accepted_at"))
+    """writes: hash, ts (microseconds). Accepted times: a write closer than the window to the last accepted one is a duplicate.
+
+    n_writes counts all of a hash; a write without time is never accepted."""
+
+    def kept(group: Iterator[dict]) -> Iterator[dict]:
+        last = None
+        for row in group:
+            if row["ts"] is not None and (last is None or row["ts"] - last >= window_us):
+                last = row["ts"]
+                yield {"hash": row["hash"], "n_writes": row["n"], "accepted_at": last}
+
+    kind = writes.schema["hash"].dataType.simpleString()
+    return folded(writes.select("hash", "ts"), ["hash"], ["ts"], kept, f"hash {kind}, n_writes long, accepted_at long", size="n")
 
 
 def access(events: DataFrame) -> DataFrame:

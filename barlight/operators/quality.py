@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.operators.rolling import by_bucket, features, with_halo
+from barlight.sources import bars as source
 
 
-def series() -> Window:
-    return Window.partitionBy("symbol").orderBy("event_time_ns")
+def previous(bars: DataFrame, *columns: str) -> DataFrame:
+    """bars with previous, these columns of the symbol's bar before as a struct (null for its first).
+
+    Slices of time are the tasks: the first bar of a slice takes the last one of the symbol's slice before, of which there is a row each."""
+    known, value = source.sliced(bars), F.struct(*columns)
+    ends = known.groupBy("symbol", "slice").agg(F.max_by(value, "event_time_ns").alias("_end"))
+    before = ends.select("symbol", "slice", F.lag("_end").over(Window.partitionBy("symbol").orderBy("slice")).alias("_end"))
+    lag = F.lag(value).over(Window.partitionBy("symbol", "slice").orderBy("event_time_ns"))
+    return known.join(before, ["symbol", "slice"]).withColumn("previous", F.coalesce(lag, F.col("_end"))).drop("slice", "_end")
 
 
 def gap_segments(placed: DataFrame, expected_ns: int, rows: int = 1 << 16) -> DataFrame:
@@ -42,7 +50,7 @@ def features_by_segment(placed: DataFrame, expected_ns: int, long: int = 1440, s
 
 def breaks(bars: DataFrame, expected_ns: int) -> DataFrame:
     """symbol, gap_from, gap_to: bars further apart than expected."""
-    pairs = bars.select("symbol", F.lag("event_time_ns").over(series()).alias("gap_from"), F.col("event_time_ns").alias("gap_to"))
+    pairs = previous(bars.select("symbol", "event_time_ns"), "event_time_ns").select("symbol", F.col("previous.event_time_ns").alias("gap_from"), F.col("event_time_ns").alias("gap_to"))
     return pairs.where(F.col("gap_to") - F.col("gap_from") > expected_ns)
 
 
@@ -62,20 +70,33 @@ def manifest_errors(manifest: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def causal_baseline(bars: DataFrame, column: str, width_ns: int, embargo_ns: int) -> DataFrame:
-    """Count, mean and deviation of the values in [t - width - embargo, t - embargo)."""
-    w = series().rangeBetween(-(width_ns + embargo_ns), -embargo_ns - 1)
-    x = F.col(column)
-    return bars.select("symbol", "event_time_ns", F.count(x).over(w).alias("base_n"), F.avg(x).over(w).alias("base_mean"), F.stddev_pop(x).over(w).alias("base_sd"))
-
-
-def coverage(bars: DataFrame, column: str, least: int) -> DataFrame:
-    """Valid values and the longest run of nulls of each symbol, and whether that is enough."""
-    missing = F.col(column).isNull()
-    island = F.row_number().over(series()) - F.row_number().over(Window.partitionBy("symbol", missing).orderBy("event_time_ns"))
-    runs = bars.withColumn("_null", missing).withColumn("_island", island).groupBy("symbol", "_null", "_island").agg(F.count("*").alias("_k"))
-    n, valid = F.sum("_k"), F.sum(F.when(~F.col("_null"), F.col("_k")).otherwise(0))
-    longest = F.coalesce(F.max(F.when(F.col("_null"), F.col("_k"))), F.lit(0))
-    out = runs.groupBy("symbol").agg(n.alias("n_rows"), valid.alias("n_valid"), longest.alias("longest_null_run"))
+    """Count, mean and deviation of the values in [t - width - embargo, t - embargo). Rows without symbol or time are left out.
+
+    Spans of sixteen windows are the tasks; bars that windows of the next span reach are in both."""
+    reach = width_ns + embargo_ns
+    span, later = F.expr(f"event_time_ns div {16 * reach}"), F.expr(f"(event_time_ns + {reach}) div {16 * reach}")
+    rows = bars.where("symbol is not null and event_time_ns is not null").select("symbol", "event_time_ns", F.col(column).alias("_x"))
+    dealt = rows.withColumn("_span", F.explode(F.array_distinct(F.array(span, later)))).withColumn("_own", F.col("_span") == span)
+    w = Window.partitionBy("symbol", "_span").orderBy("event_time_ns").rangeBetween(-reach, -embargo_ns - 1)
+    x = F.col("_x")
+    made = dealt.withColumns({"base_n": F.count(x).over(w), "base_mean": F.avg(x).over(w), "base_sd": F.stddev_pop(x).over(w)})
+    return made.where("_own").select("symbol", "event_time_ns", "base_n", "base_mean", "base_sd")
+
+
+def coverage(bars: DataFrame, column: str, least: int, rows: int = 1 << 16) -> DataFrame:
+    """Valid values and the longest run of nulls of each symbol, and whether that is enough. Rows without symbol or time are left out.
+
+    A run ends at the next valid row: within a bucket of rows by a window, over buckets by the last valid row before each."""
+    placed = source.positions(source.sliced(bars.select("symbol", "event_time_ns", F.col(column).alias("_x")))).withColumn("bucket", F.expr(f"pos div {rows}"))
+    valid = F.when(F.col("_x").isNotNull(), F.col("pos"))
+    earlier = lambda x, w: F.last(x, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = placed.select("symbol", "bucket", "n", valid.alias("_valid"), (valid - earlier(valid, by_bucket()) - 1).alias("_run"))
+    sums = runs.groupBy("symbol", "bucket").agg(F.max("n").alias("n"), F.count("_valid").alias("_k"), F.min("_valid").alias("_first"), F.max("_valid").alias("_last"), F.max("_run").alias("_run"))
+    of_symbol = Window.partitionBy("symbol").orderBy("bucket")  # a row a bucket
+    sums = sums.withColumn("_run", F.greatest("_run", F.col("_first") - F.coalesce(earlier(F.col("_last"), of_symbol), F.lit(-1)) - 1))
+    n = F.max("n")
+    longest = F.coalesce(F.greatest(F.max("_run"), n - 1 - F.max("_last")), n)
+    out = sums.groupBy("symbol").agg(n.alias("n_rows"), F.sum("_k").alias("n_valid"), longest.alias("longest_null_run"))
     return out.withColumn("covered", (F.col("n_valid") >= F.greatest(F.lit(float(least)), 0.8 * F.col("n_rows"))) & (F.col("longest_null_run") <= 0.1 * F.col("n_rows")))
 
 
@@ -94,6 +115,6 @@ def correlation(x: Column, y: Column) -> Column:
 
 def block_correlation(bars: DataFrame, block_ns: int) -> DataFrame:
     """Correlation of log return and volume in each block of time."""
-    ret = F.log("close") - F.log(F.lag("close").over(series()))
-    rows = bars.select("symbol", F.expr(f"event_time_ns div {block_ns}").alias("block"), ret.alias("ret"), "volume")
+    rows = previous(bars.select("symbol", "event_time_ns", "close", "volume"), "close").select(
+        "symbol", F.expr(f"event_time_ns div {block_ns}").alias("block"), (F.log("close") - F.log("previous.close")).alias("ret"), "volume")
     return rows.groupBy("symbol", "block").agg(F.count("ret").alias("n"), correlation(F.col("ret"), F.col("volume")).alias("correlation"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -10,7 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlight.operators.folds import folded
 from barlight.operators.quality import correlation
+from barlight.operators.rolling import by_bucket, with_halo
+from barlight.sources import bars
 from barlight.sources.scratch import materialise
 
 
@@ -84,15 +89,17 @@ def confirmed(discovered: DataFrame, measured: DataFrame, key: str, p: float = 0
     return both.select(key, F.coalesce((F.col("confirm_p") < p) & same & (F.col("days") >= days), F.lit(False)).alias("confirmed"))
 
 
-def autocovariances(series: DataFrame, x: str, lags: int, key: str = "symbol", order: str = "event_time_ns") -> DataFrame:
-    """key, n, lag, cov: autocovariances about the mean, divided by n."""
-    whole = Window.partitionBy(key)
-    centred = series.select(key, order, (F.col(x) - F.avg(x).over(whole)).alias("_c"))
-    w = whole.orderBy(order)
+def autocovariances(series: DataFrame, x: str, lags: int, key: str = "symbol", order: str = "event_time_ns", rows: int = 1 << 16) -> DataFrame:
+    """key, n, lag, cov: autocovariances about the mean, divided by n. order is a time in nanoseconds; rows without key or order are left out.
+
+    Buckets of rows that carry the last ones of the bucket before are the tasks; what is broadcast is one mean a key."""
+    placed = bars.positions(bars.sliced(series.select(F.col(key).alias("symbol"), F.col(order).alias("event_time_ns"), F.col(x).alias("_x"))))
+    means = placed.groupBy("symbol").agg(F.avg("_x").alias("_mean"))
+    centred = placed.join(F.broadcast(means), "symbol").withColumn("_c", F.col("_x") - F.col("_mean"))
     products = [F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"s{k}") for k in range(lags + 1)]
-    lagged = centred.withColumns({f"_l{k}": F.lag("_c", k).over(w) for k in range(lags + 1)})
-    sums = lagged.groupBy(key).agg(F.count("_c").alias("n"), *products)
-    return sums.select(key, "n", F.posexplode(F.array(*[F.col(f"s{k}") / F.col("n") for k in range(lags + 1)])).alias("lag", "cov"))
+    lagged = with_halo(centred, lags, rows).withColumns({f"_l{k}": F.lag("_c", k).over(by_bucket()) for k in range(lags + 1)}).where("own")
+    sums = lagged.groupBy("symbol").agg(F.count("_c").alias("n"), *products)
+    return sums.select(F.col("symbol").alias(key), "n", F.posexplode(F.array(*[F.col(f"s{k}") / F.col("n") for k in range(lags + 1)])).alias("lag", "cov"))
 
 
 def effective_size(series: DataFrame, x: str, lags: int, key: str = "symbol", order: str = "event_time_ns") -> DataFrame:
@@ -159,6 +166,19 @@ def feasible_horizons(band: Column, room: Column, most: int = 4) -> Column:
     return F.when(F.size(fits) < 2, F.array().cast("array<int>")).otherwise(fits)
 
 
+def content_fingerprint(rows: DataFrame, key: str, order: list[str], row_hash: Column) -> DataFrame:
+    """key, n, content: sha256 over the hashes of a key's rows in order (rows that tie, by hash), whatever their files look like. Read one by one, none is gathered."""
+
+    def content(group: Iterator[dict]) -> Iterator[dict]:
+        whole = hashlib.sha256()
+        for n, row in enumerate(group):
+            whole.update(f",{row['_h']}".encode() if n else row["_h"].encode())
+        yield {key: row[key], "n": n + 1, "content": whole.hexdigest()}
+
+    given = rows.select(key, *order, row_hash.alias("_h"))
+    return folded(given, [key], [*order, "_h"], content, f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, content string")
+
+
 def fingerprint(*fields: Column) -> Column:
     """sha256 over the fields' canonical texts; arrays have to be sorted by the caller."""
     return F.sha2(F.concat_ws("||", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), 256)

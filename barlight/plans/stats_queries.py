@@ -136,8 +136,8 @@ def x18_spec_fingerprint(spark, sf_dir):
 @query("SELECT p_brand, count(*) AS n, sha256(string_agg(sha256(p_partkey || '||' || p_name), ',' ORDER BY p_partkey)) AS content FROM part GROUP BY 1")
 def x19_content_fingerprint(spark, sf_dir):
     """A table's content: hashes of its rows in key order, whatever its files look like."""
-    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.sha2(F.concat_ws("||", F.col("p_partkey").cast("string"), "p_name"), 256).alias("h"))
-    return rows.groupBy("p_brand").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "h"))), lambda x: x["h"]), ","), 256).alias("content"))
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
+    return stats.content_fingerprint(p, "p_brand", ["p_partkey"], stats.fingerprint(F.col("p_partkey"), F.col("p_name")))
 
 
 @query("SELECT p_brand AS generator, count(*) AS n, round(avg(CASE WHEN (p_size > 25) = (p_retailprice > 1000) THEN 1.0 ELSE 0.0 END), 9) AS hit_rate FROM part GROUP BY 1")

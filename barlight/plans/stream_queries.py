@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlight.plans import text_queries
-from barlight.plans.bar_queries import HOURS, rounded, sql, table
+from barlight.plans.bar_queries import HOURS, features_sql, rounded, sql, table
 from barlight.sources.scratch import scratch_path
 from barlight.streaming import streams
 
@@ -75,3 +75,16 @@ def st4_silences(spark, sf_dir):
 def st5_bars(spark, sf_dir):
     e = events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), F.lit(1.0).alias("volume"))
     return rounded(streams.replayed(streams.bars(e, "1 hour")).drop("batch"))
+
+
+PLACED = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY event_time_ns) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM bars
+  WHERE event_time_ns + 3600000000000 <= epoch_ns({LAST}) - 60000000000)"""
+FEATURES = ["ret", "skew", "kurt", "gk_vol", "volume_ratio", "decoupling"]
+
+
+@query(sql(HOURS, PLACED, features_sql(24, 6), select="SELECT symbol, event_time_ns, pos, " + ", ".join(f"round({c}, 6) AS {c}" for c in FEATURES) + " FROM feat"))
+def st6_features(spark, sf_dir):
+    """Rolling features of a stream of bars that itself comes from ticks."""
+    e = events(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+    made = streams.features(streams.bars(e, "1 hour"), long=24, short=6)
+    return rounded(made.select("symbol", "event_time_ns", "pos", *FEATURES), 6)

@@ -156,11 +156,13 @@ def p23_deliverables(spark, sf_dir):
     return d.select("doc_id", ft.deliverable_fault(F.expr(DELIVERABLES), data_agent, F.lit(False), F.lit(0)).alias("fault"))
 
 
-@query("""SELECT doc_id, replace(left(text, 20), chr(10), ' ') AS title, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS predicted_sign FROM documents WHERE NOT contains(left(text, 20), '"') AND NOT contains(left(text, 20), '\\')""")
+@query("""WITH t AS (SELECT doc_id, replace(left(text, 20), chr(10), ' ') || CASE WHEN doc_id % 3 = 0 THEN ' "a\\b"' ELSE '' END AS title FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN title ELSE replace(replace(title, '\\', '\\\\'), '"', '\\"') END AS title, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS predicted_sign FROM t""")
 def p11_response_fields(spark, sf_dir):
-    """Answers in fences with a trailing comma (even ids), or with an unescaped line that no parser takes (odd ids)."""
-    d = docs(spark, sf_dir).where("not contains(left(text, 20), '\"') and not contains(left(text, 20), '\\\\')")
-    title = F.replace(F.left("text", F.lit(20)), F.lit("\n"), F.lit(" "))
+    """Answers in fences with a trailing comma (even ids), or with an unescaped line that no parser takes, whose text stays as it was written (odd ids)."""
+    d = docs(spark, sf_dir)
+    title = F.concat(F.replace(F.left("text", F.lit(20)), F.lit("\n"), F.lit(" ")), F.when(F.col("doc_id") % 3 == 0, ' "a\\b"').otherwise(""))
+    title = F.replace(F.replace(title, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     good = F.concat(F.lit('Here: ```json\n{"title": "'), title, F.lit('", "predicted_sign": 1,}\n```'))
     bad = F.concat(F.lit('{"title": "'), title, F.lit('" and more, "predicted_sign": -1'))
     f = ft.response_fields(F.when(F.col("doc_id") % 2 == 0, good).otherwise(bad))

@@ -115,12 +115,16 @@ def from_events(events: DataFrame) -> DataFrame:
     return made.select("symbol", "event_time_ns", "open", "high", "low", "close", "volume")
 
 
+def sliced(bars: DataFrame, slice_ns: int = 30 * DAY_NS) -> DataFrame:
+    """bars with slice, a coarse time bucket. Rows without symbol or time are in no series and left out."""
+    return bars.where("symbol is not null and event_time_ns is not null").withColumn("slice", F.coalesce(F.expr(f"event_time_ns div {slice_ns}"), F.lit(0)))
+
+
 def deduplicate(bars: DataFrame, slice_ns: int = 30 * DAY_NS) -> DataFrame:
-    """One bar for each symbol and time, the first by all other columns; adds slice, a coarse time bucket. Rows without either are left out."""
+    """One bar for each symbol and time, the first by all other columns; adds slice. Rows without either are left out."""
     w = Window.partitionBy("symbol", "slice").orderBy("event_time_ns", *[c for c in ("open", "high", "low", "close", "volume") if c in bars.columns])
     # Without null keys both branches of positions() read one shuffle.
-    known = bars.where("symbol is not null and event_time_ns is not null")
-    marked = known.withColumn("slice", F.coalesce(F.expr(f"event_time_ns div {slice_ns}"), F.lit(0))).withColumn("_before", F.lag("event_time_ns").over(w))
+    marked = sliced(bars, slice_ns).withColumn("_before", F.lag("event_time_ns").over(w))
     return marked.where("_before is null or _before <> event_time_ns").drop("_before")
 
 

@@ -1,4 +1,4 @@
-"""Streams: bars from ticks, duplicate writes, reinforcement, silence, tails."""
+"""Streams: bars from ticks, features of bars, duplicate writes, reinforcement, silence, tails."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barlight.operators import lifecycle
-from barlight.sources.scratch import scratch_path
+from barlight.operators import lifecycle, rolling
+from barlight.sources import bars as source
+from barlight.sources.scratch import delete, scratch_path
 
 
 def bars(ticks: DataFrame, width: str = "1 minute", late: str = "1 minute") -> DataFrame:
@@ -50,16 +51,12 @@ def reinforced(events: DataFrame, start: int = 500, cap: int = 500) -> DataFrame
     """events: note, event, source, ts, event_id. Quality of each note after each batch, by the batch operator's rule in thousandths."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        quality, moved, applied, seen = state.get if state.exists else (start, 0, 0, 0)
+        *now, seen = state.get if state.exists else (start, 0, 0, 0)
         rows = sorted((r.ts, r.event_id, r.d) for b in batches for r in b.itertuples())
         for _, _, d in rows:
-            seen += 1
-            if abs(moved + d) <= cap:
-                low, rest = divmod(max(0, min(1000, quality + int(d))), 10)
-                quality = 10 * (low + (rest > 5 or (rest == 5 and low % 2 == 1)))
-                moved, applied = moved + int(d), applied + 1
-        state.update((quality, moved, applied, seen))
-        yield pd.DataFrame({"note": [key[0]], "quality": [quality / 1000], "session_delta": [moved / 1000], "n_applied": [applied], "n_events": [seen]})
+            now = lifecycle.moved(tuple(now), int(d), cap)
+        state.update((*now, seen + len(rows)))
+        yield pd.DataFrame({"note": [key[0]], "quality": [now[0] / 1000], "session_delta": [now[1] / 1000], "n_applied": [now[2]], "n_events": [seen + len(rows)]})
 
     known = events.withColumn("d", lifecycle.delta(F.col("event"), F.col("source"))).where("d is not null").select("note", "ts", "event_id", "d")
     kind = events.schema["note"].dataType.simpleString()
@@ -78,6 +75,39 @@ def tail(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def features(bars: DataFrame, path: str | None = None, long: int = 1440, short: int = 60) -> DataFrame:
+    """bars: a stream of bars, each symbol's in order of time. rolling.features of every bar, by batch, as over all bars at once.
+
+    A batch is joined to the last long + 1 bars that each symbol has had (in path/rows, with their places). A bar that is not later
+    than those is dropped. With the path of an earlier run it goes on from there; a batch that is run again replaces its own folders.
+    What is broadcast is one row a symbol.
+    """
+    path = path or scratch_path(bars.sparkSession, "features")
+    columns = ["symbol", "event_time_ns", "open", "high", "low", "close", "volume"]
+    bars = bars.select(*columns)
+    schema = ", ".join(f"{c} {t}" for c, t in bars.dtypes) + ", pos long, n long, seen long"
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = lambda k: spark.read.schema(schema).parquet(f"{path}/rows/batch={k}")
+        old = kept(number - 1).where(f"pos >= n - {long + 1}") if number else spark.createDataFrame([], schema)
+        last = old.groupBy("symbol").agg(F.max("event_time_ns").alias("_at"), F.max("n").alias("_seen"))
+        fresh = batch.join(F.broadcast(last), "symbol", "left").where("_at is null or event_time_ns > _at").drop("_at")
+        placed = source.positions(source.deduplicate(fresh)).withColumn("pos", F.col("pos") + F.coalesce("_seen", F.lit(0)))
+        both = old.select(*columns, "pos").unionByName(placed.select(*columns, "pos"))
+        sizes = both.groupBy("symbol").agg((F.max("pos") + 1).alias("n")).join(last.select("symbol", "_seen"), "symbol", "left")
+        rows = both.join(F.broadcast(sizes), "symbol").select(*columns, "pos", "n", F.coalesce("_seen", F.lit(0)).cast("long").alias("seen"))
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        seen = kept(number).groupBy("symbol").agg(F.max("seen").alias("_seen"))
+        made = rolling.features(kept(number).drop("seen"), long, short).join(F.broadcast(seen), "symbol").where("pos >= _seen")
+        made.drop("_seen", "n").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        if number > 1:
+            delete(spark, f"{path}/rows/batch={number - 2}")
+
+    bars.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return bars.sparkSession.read.parquet(f"{path}/out")
+
+
 def replayed(stream: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
     """Run a stream over everything that is there now; what it gave out, by batch. A batch that is run again replaces its own folder.
 

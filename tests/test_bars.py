@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlight.operators import rolling, suppress
+from barlight.operators import quality, rolling, stats, suppress
 from barlight.plans import scan as plan
 from barlight.sources import bars as source
 
@@ -150,3 +150,25 @@ def test_exact_medians(spark, kind):
         assert row.med_x is None and row.mad_x is None
     else:
         assert row.med_x == np.median(known) and row.mad_x == np.median(np.abs(known - np.median(known))) and row.valid_x == len(known) and row.n_rows == len(values)
+
+
+def test_extensions_are_the_same_over_slices_and_buckets(spark):
+    """Bars with holes and nulls over many slices, against plain Python."""
+    day = 86_400_000_000_000
+    times = [i * 7 * day + (i % 4 == 0) * day for i in range(60) if i % 9]
+    rows = [("s", t, 1.0 + (i * 5 % 7), None if i % 11 in (3, 4, 5) or i < 2 else float(i * 3 % 8), 1.0 + i % 5) for i, t in enumerate(times)] + [("none", t, 1.0, None, 1.0) for t in times[:7]]
+    df = spark.createDataFrame(rows + [(None, 1, 1.0, 1.0, 1.0), ("s", None, 1.0, 1.0, 1.0)], "symbol string, event_time_ns long, close double, x double, volume double")
+    found = {(r.gap_from, r.gap_to) for r in quality.breaks(df, 8 * day).collect()}
+    assert found == {(a, b) for a, b in zip(times, times[1:]) if b - a > 8 * day} and found
+    xs = [r[3] for r in rows if r[0] == "s"]
+    runs = max(len(run) for run in "".join("0" if x is None else "1" for x in xs).split("1"))
+    got = {r.symbol: (r.n_rows, r.n_valid, r.longest_null_run) for r in quality.coverage(df, "x", 10, rows=4).collect()}
+    assert got == {"s": (len(xs), len(xs) - xs.count(None), runs), "none": (7, 0, 7)}
+    base = {r.event_time_ns: (r.base_n, r.base_mean) for r in quality.causal_baseline(df.where("symbol = 's'"), "x", 20 * day, 5 * day).collect()}
+    for t in times:
+        inside = [x for u, x in zip(times, xs) if t - 25 * day <= u < t - 5 * day and x is not None]
+        assert base[t][0] == len(inside) and (base[t][1] is None) == (not inside) and (not inside or abs(base[t][1] - sum(inside) / len(inside)) < 1e-9)
+    c = np.array([r[2] for r in rows if r[0] == "s"])
+    c = c - c.mean()
+    cov = {r.lag: r.cov for r in stats.autocovariances(df.where("symbol = 's'"), "close", 3, rows=8).collect()}
+    assert np.allclose([cov[k] for k in range(4)], [(c[k:] * c[: len(c) - k]).sum() / len(c) for k in range(4)])

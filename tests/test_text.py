@@ -1,5 +1,6 @@
 """Text, redaction, lifecycle, ledgers, statistics: edge cases and brute-force twins."""
 
+import hashlib
 import math
 import re
 
@@ -241,3 +242,19 @@ def test_large_group_of_claims_takes_linear_time(spark):
     observed = n.select(F.lit("s").alias("symbol"), F.lit("f").alias("field"), F.col("id").cast("double").alias("value"))
     claims = n.select(F.col("id").alias("claim_id"), F.lit("s").alias("symbol"), F.lit("f").alias("field"), (F.col("id") + 0.5).alias("value"))
     assert evidence.check_claims(claims, observed).where("verdict = 'conflict'").count() == 99  # the observation above is half a unit away, within half a per cent of it from 100 on
+
+
+def test_folds_over_null_keys_empty_tables_and_writes_without_time(spark):
+    rows = [(None, 5), (None, 6), ("h", None), ("h", 0), ("h", 0), ("h", 100)]
+    got = lifecycle.accepted_writes(spark.createDataFrame(rows, "hash string, ts long"), 10)
+    assert sorted(map(tuple, got.collect()), key=repr) == [("h", 4, 0), ("h", 4, 100), (None, 2, 5)]
+    assert lifecycle.accepted_writes(spark.createDataFrame([], "hash string, ts long"), 10).count() == 0
+    assert lifecycle.reinforced(spark.createDataFrame([], "note int, event string, source string, ts long, event_id long")).count() == 0
+
+
+def test_content_fingerprint_of_many_rows(spark):
+    df = spark.range(10_000).selectExpr("id % 2 as k", "id")
+    got = {r.k: (r.n, r.content) for r in stats.content_fingerprint(df, "k", ["id"], F.sha2(F.col("id").cast("string"), 256)).collect()}
+    for k in (0, 1):
+        hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(k, 10_000, 2)]
+        assert got[k] == (5000, hashlib.sha256(",".join(hashes).encode()).hexdigest())
