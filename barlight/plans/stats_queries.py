@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlight.operators import specs as spec
 from barlight.operators import stats
 from barlight.plans.bar_queries import DAILY, HOURS, daily, hourly, sql, table
 
@@ -154,3 +155,46 @@ def x23_exit_checks(spark, sf_dir):
     """Rules as a table of conditions; a row for each that a specification breaks."""
     broken = F.array_compact(F.array(*[F.when(F.expr(test), F.struct(F.lit(c).alias("code"), F.lit(why).alias("violation"))) for c, test, why in CHECKS]))
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(broken).alias("v")).select("p_partkey", "v.code", "v.violation")
+
+
+# Specifications made of parts: what breaks each of the ten conditions comes from the part's key, its size and its names.
+SPECS = """s AS (SELECT p_partkey AS spec_id, p_partkey AS k, p_size AS room, p_brand, [1, 4, 12, 24, 48][1:1 + p_partkey % 5] AS band,
+CASE p_partkey % 11 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['p_brand', 'p_weight'] WHEN 2 THEN NULL ELSE ['p_brand', 'p_type'] END AS cols,
+CASE p_partkey % 11 WHEN 0 THEN 'UNANCHORED' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'UNANCHORED' WHEN 3 THEN 'PARTIAL' ELSE 'ANCHORED' END AS mode,
+CASE WHEN p_partkey % 7 = 0 THEN 0 WHEN p_partkey % 7 = 1 THEN NULL WHEN p_size > 25 THEN 1 ELSE -1 END AS sign,
+CASE p_partkey % 13 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'calm<wild' END AS cond, CASE WHEN p_partkey % 23 = 0 THEN '' ELSE 'v1' END AS vocab FROM part),
+f AS (SELECT *, sha256(concat_ws('||', coalesce(array_to_string(list_sort(cols), ','), ''), coalesce(CAST(sign AS VARCHAR), ''), array_to_string(band, ','), coalesce(cond, ''), 'HIGH_VOLATILITY', vocab)) AS own FROM s),
+n AS (SELECT *, [CASE WHEN NOT (coalesce(len(cols), 0) > 0 AND k % 11 <> 1) THEN 'N1' END, CASE WHEN mode = 'UNANCHORED' THEN 'N2' END,
+CASE WHEN coalesce(sign, 0) = 0 OR k % 29 < 2 THEN 'N3' END, CASE WHEN k % 13 < 2 THEN 'N4' END,
+CASE WHEN len(band) > 4 OR len(list_filter(band, lambda h: h <= room)) < 2 THEN 'N5' END, CASE WHEN k % 17 = 0 OR k % 19 > 14 THEN 'N6' END,
+CASE WHEN k % 10 = 0 THEN 'N7' END, CASE WHEN k % 23 = 0 OR k % 29 = 0 THEN 'N8' END,
+CASE WHEN k % 4 = 0 AND NOT (mode = 'ANCHORED' AND k % 8 <> 0 AND room NOT BETWEEN 4 AND 23 AND k % 12 = 0) THEN 'N9' END, CASE WHEN k % 31 = 0 OR k % 37 = 0 THEN 'N10' END] AS v FROM f)"""
+
+
+def specifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    names = lambda *c: F.array(*map(F.lit, c))
+    none = F.lit(None)
+    made = table(spark, sf_dir, "part").select(
+        k.alias("spec_id"), size.alias("room"), F.slice(F.array(*map(F.lit, [1, 4, 12, 24, 48])), 1, 1 + k % 5).alias("horizon_band"),
+        F.when(k % 11 == 0, F.array().cast("array<string>")).when(k % 11 == 1, names("p_brand", "p_weight")).when(k % 11 == 2, none).otherwise(names("p_brand", "p_type")).alias("mechanism_columns"),
+        F.when((k % 11).isin(0, 2), "UNANCHORED").when((k % 11).isin(1, 3), "PARTIAL").otherwise("ANCHORED").alias("anchor_mode"),
+        F.when(k % 7 == 0, 0).when(k % 7 == 1, none).when(size > 25, 1).otherwise(-1).alias("predicted_sign"),
+        F.when(k % 13 == 0, " ").when(k % 13 == 1, none).otherwise("calm<wild").alias("conditional_prediction"), F.lit("HIGH_VOLATILITY").alias("target_regime"),
+        F.when(k % 23 == 0, "").otherwise("v1").alias("vocab_version"), F.when(k % 17 != 0, 14).alias("expansion_budget"), (k % 19).alias("expanded"),
+        F.sha2(F.when(k % 10 == 0, F.lit("nowhere")).otherwise(F.col("p_brand")), 256).alias("evidence_hash"), (k % 4 == 0).alias("cemetery_eligible"), (k % 8 == 0).alias("budget_truncated"),
+        size.between(4, 23).alias("horizon_clamped"), (k % 12 == 0).alias("control_failed"), (k % 31).alias("tests_independent"), F.when(k % 37 == 0, "").otherwise("gate").alias("gate_token"),
+        F.when(k % 5 == 0, "HARD_BLOCK").when(k % 5 == 1, "SOFT_BLOCK").when(k % 5 == 2, "WARNING").alias("cemetery_outcome"))
+    kept = F.when(F.col("spec_id") % 29 == 1, F.sha2(F.lit("before the sign was known"), 256)).when(F.col("spec_id") % 29 != 0, spec.spec_fingerprint())
+    return made.withColumn("spec_fingerprint", kept)
+
+
+@query(f"""WITH {SPECS}, c AS (SELECT *, list_filter(v, lambda x: x IS NOT NULL) AS bad FROM n)
+SELECT spec_id, array_to_string(bad, ',') AS violated, CASE WHEN k % 29 = 1 THEN NULL ELSE own END AS fingerprint, len(bad) = 0 AND k % 5 <> 0 AS dispatch, len(bad) = 0 AND k % 5 <> 0 AND mode = 'PARTIAL' AS flagged FROM c""")
+def x23_spec_checks(spark, sf_dir):
+    """Conditions N1 to N10 on specifications; evidence is real if its hash is that of a brand's partition."""
+    s = specifications(spark, sf_dir)
+    partitions = table(spark, sf_dir, "part").select(F.sha2("p_brand", 256).alias("hash"))
+    checked = spec.exit_checks(s, partitions, ["p_partkey", "p_brand", "p_type", "p_size"])
+    own = s.select("spec_id", F.when(F.col("spec_id") % 29 != 1, spec.spec_fingerprint()).alias("fingerprint"))
+    return checked.join(own, "spec_id").select("spec_id", F.array_join("violated", ",").alias("violated"), "fingerprint", "dispatch", "flagged")
