@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlight.operators import summary
 from barlight.operators.folds import folded
 
 # How much an event moves a note's quality.
@@ -73,3 +74,22 @@ def collection(age_days: Column, importance: Column, delete: bool = False) -> Co
     """archive, delete (only if enabled) or null."""
     gone = F.when((importance < 0.05) & F.lit(delete), "delete").when(importance < 0.15, "archive")
     return F.when(age_days >= 7, gone)
+
+
+def maintained(notes: DataFrame, delete: bool = False, key: str = "doc_id") -> DataFrame:
+    """key, action, level, text, original: one maintenance pass over notes.
+
+    notes: key (no two share it; rows without one go), text, level (raw, daily or digest), age_days, idle_days (since the last access), importance, keywords
+    (text, may be empty). Collection comes first: archived notes keep their text, deleted ones lose it. What stays is compressed when it is due: to its
+    summary, or to the terms of it (a text without terms stays as it is), and original is the text before. Other notes have no action.
+    """
+    action = F.coalesce(collection(F.col("age_days"), F.col("importance"), delete), F.when(summary.due(F.col("level"), F.col("idle_days")).isNotNull(), "compress"))
+    given = notes.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "text", "level", F.coalesce("keywords", F.lit("")).alias("keywords"), action.alias("action"), summary.due(F.col("level"), F.col("idle_days")).alias("to"))
+    pressed = given.where("action = 'compress'")
+    daily = summary.summaries(pressed.where("to = 'daily'"), F.col("keywords"), doc_id="_k").select(F.col("doc_id").alias("_k"), F.col("summary").alias("_made"))
+    terms = summary.digests(pressed.where("to = 'digest'"), doc_id="_k").select(F.col("doc_id").alias("_k"), F.col("digest").alias("_made"))
+    context = F.when((F.col("to") == "digest") & (F.col("keywords") != ""), F.concat(F.lit("Context: "), "keywords", F.lit("\n"))).otherwise("")
+    done = pressed.join(daily.unionByName(terms), "_k", "left").withColumn("_new", F.coalesce(F.concat(context, "_made"), "text"))
+    rest = given.where("not action <=> 'compress'")
+    return done.select(F.col("_k").alias(key), "action", F.col("to").alias("level"), F.col("_new").alias("text"), F.col("text").alias("original")).unionByName(
+        rest.select(F.col("_k").alias(key), "action", "level", F.when(~F.col("action").eqNullSafe(F.lit("delete")), F.col("text")).alias("text"), F.lit(None).cast("string").alias("original")))

@@ -426,6 +426,24 @@ def a10_maintenance(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", action.alias("action"))
 
 
+@query(f"""WITH sums AS (WITH {SCORED}, r AS (SELECT *, pos = 0 OR pos = n - 1 AS edge, row_number() OVER (PARTITION BY doc_id, pos = 0 OR pos = n - 1 ORDER BY score DESC, pos) AS r FROM scored)
+SELECT doc_id, max(n) AS n, string_agg(sentence, ' ' ORDER BY pos) AS body FROM r WHERE edge OR r <= 5 OR n <= 7 GROUP BY doc_id),
+digs AS (WITH {TERMS} SELECT doc_id, 'Context: ' || any_value(lang) || chr(10) || 'Key concepts:' || chr(10) || string_agg('  - ' || term, chr(10) ORDER BY rank) AS digest FROM terms JOIN documents USING (doc_id) GROUP BY doc_id),
+acts AS (SELECT doc_id, text, lang, CASE doc_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'daily' ELSE 'digest' END AS level, CASE WHEN doc_id % 30 >= 7 THEN CASE WHEN {IMPORTANCE} < 0.05 THEN 'delete' WHEN {IMPORTANCE} < 0.15 THEN 'archive' END END AS gone,
+CASE WHEN doc_id % 60 > 7 AND doc_id % 3 = 0 THEN 'daily' WHEN doc_id % 60 > 30 AND doc_id % 3 = 1 THEN 'digest' END AS target FROM documents)
+SELECT a.doc_id, CASE WHEN gone IS NOT NULL THEN gone WHEN target IS NOT NULL THEN 'compress' END AS action, CASE WHEN gone IS NULL THEN coalesce(target, level) ELSE level END AS level, gone IS NULL AND target IS NOT NULL AS has_original,
+md5(CASE WHEN gone = 'delete' THEN NULL WHEN gone IS NOT NULL OR target IS NULL THEN a.text WHEN target = 'digest' THEN coalesce(digest, a.text)
+ELSE 'Keywords: ' || lang || chr(10) || CASE WHEN coalesce(n, 0) <= 7 THEN regexp_replace(a.text, '^\\s+|\\s+$', '', 'g') ELSE body END END) AS text_md5
+FROM acts a LEFT JOIN sums USING (doc_id) LEFT JOIN digs USING (doc_id)""")
+def a10_maintained_notes(spark, sf_dir):
+    """The pass carried out, with deletion: bodies are replaced by summaries or terms, originals are kept."""
+    k = F.col("doc_id")
+    level = F.when(k % 3 == 0, "raw").when(k % 3 == 1, "daily").otherwise("digest")
+    notes = docs(spark, sf_dir).select("doc_id", "text", level.alias("level"), (k % 30).alias("age_days"), (k % 60).alias("idle_days"), ft.importance(k % 10 / 10.0, k % 60, k % 5).alias("importance"), F.col("lang").alias("keywords"))
+    made = lifecycle.maintained(notes, delete=True)
+    return made.select("doc_id", "action", "level", F.col("original").isNotNull().alias("has_original"), F.md5("text").alias("text_md5"))
+
+
 # ---- notes as files, categories ----
 
 

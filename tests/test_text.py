@@ -258,3 +258,22 @@ def test_content_fingerprint_of_many_rows(spark):
     for k in (0, 1):
         hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(k, 10_000, 2)]
         assert got[k] == (5000, hashlib.sha256(",".join(hashes).encode()).hexdigest())
+
+
+def test_maintenance_pass(spark):
+    """Collection before compression, defined cases of nulls, empty texts and texts without terms."""
+    text = "Alpha beta gamma. Beta delta. Gamma epsilon beta."
+    rows = [
+        (1, text, "raw", 1, 8, 0.9, "k"), (2, text, "daily", 1, 31, 0.9, "k"), (3, text, "raw", 7, 8, 0.1, None), (4, text, "raw", 7, 8, 0.01, None), (5, text, "raw", 6, 7, 0.01, None),
+        (6, "", "daily", 1, 31, 0.9, "k"), (7, None, "raw", 1, 8, 0.9, ""), (8, text, None, None, None, None, None), (9, text, "digest", 1, 90, 0.9, ""), (None, text, "raw", 1, 8, 0.9, ""),
+    ]
+    fields = "doc_id int, text string, level string, age_days int, idle_days int, importance double, keywords string"
+    notes = spark.createDataFrame(rows, fields)
+    got = {r.doc_id: (r.action, r.level, r.text, r.original) for r in lifecycle.maintained(notes, delete=True).collect()}
+    assert got.pop(2)[2].startswith("Context: k\nKey concepts:\n  - ")
+    assert got == {
+        1: ("compress", "daily", f"Keywords: k\n{text}", text), 3: ("archive", "raw", text, None), 4: ("delete", "raw", None, None), 5: (None, "raw", text, None), 6: ("compress", "digest", "", ""),
+        7: ("compress", "daily", "", None), 8: (None, None, text, None), 9: (None, "digest", text, None),
+    }
+    assert {r.doc_id: r.action for r in lifecycle.maintained(notes).collect()}[4] == "archive"
+    assert lifecycle.maintained(spark.createDataFrame([], fields)).count() == 0
