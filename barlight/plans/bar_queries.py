@@ -294,7 +294,7 @@ SELECT coalesce(max(abs(effect_size)) >= 2, false) AS persisted, 'A' AS symbol,
 
 
 for _part in ("full", "in_sample", "out_of_sample"):
-    for _stat in ("volatility_jump", "volume_price_decoupling"):
+    for _stat in ("volatility_jump", "volume_price_decoupling", *(("moment_shift", "unknown_stat") if _part == "full" else ())):
         _name = f"a5_{_part}_{_stat}"
         QUERIES[_name], SQL[_name] = persistence_query(_part, _stat), persistence_sql(_part, _stat)
 
