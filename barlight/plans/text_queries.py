@@ -70,6 +70,15 @@ def p14_cjk_expansion(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.length(ft.expand_cjk(t)).alias("n_chars"), F.md5(F.array_join(ft.search_tokens(t), " ")).alias("digest"))
 
 
+@query(f"""WITH x AS (SELECT doc_id, {EXPANDED} AS e FROM documents), j AS (SELECT doc_id, regexp_replace(regexp_replace(e, '([{ft.CJK}])\\s+([{ft.CJK}])', '\\1\\2', 'g'), '([{ft.CJK}])\\s+([{ft.CJK}])', '\\1\\2', 'g') AS e FROM x),
+p AS (SELECT doc_id, list_transform(regexp_extract_all(e, '[{ft.CJK}]+|[^{ft.CJK}]+'), lambda p: CASE WHEN regexp_matches(p, '^[{ft.CJK}]') AND length(p) > 3 AND p = p[:(length(p) + 2) // 3] || array_to_string([p[i:i + 1] FOR i IN range(1, (length(p) + 2) // 3)], '') THEN p[:(length(p) + 2) // 3] ELSE p END) AS ps FROM j)
+SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(array_to_string(ps, ''), ''), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS digest FROM p""")
+def p14_cjk_display(spark, sf_dir):
+    """The same texts, expanded and turned back for display."""
+    t = F.translate("text", "abcdefghij", "一二三四五六七八九十")
+    return docs(spark, sf_dir).select("doc_id", F.md5(ft.display_cjk(ft.expand_cjk(t))).alias("digest"))
+
+
 @query(r"""SELECT doc_id, md5(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g')) AS clean,
   CASE WHEN length(text) <= 8000 THEN length(text) ELSE 8000 END AS kept_chars, md5(regexp_replace(regexp_replace(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g'), '[^a-z0-9_\-""" + ft.SCRIPTS + """]', '', 'g')) AS slug FROM documents""")
 def p15_sanitize(spark, sf_dir):

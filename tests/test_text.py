@@ -277,3 +277,11 @@ def test_maintenance_pass(spark):
     }
     assert {r.doc_id: r.action for r in lifecycle.maintained(notes).collect()}[4] == "archive"
     assert lifecycle.maintained(spark.createDataFrame([], fields)).count() == 0
+
+
+def test_cjk_display_turns_the_expansion_back(spark):
+    texts = ["记忆系统", "记忆 ok 系统", "a  b\n记", "记", "", "一一", "一一一一", "x记忆y系统模型z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(ft.display_cjk(ft.expand_cjk(F.col("t")))).collect()] == [" ".join(t.split()) for t in texts]
+    odd = spark.createDataFrame([(None,), ("记忆 系",), ("系 统 系统",)], "t string")
+    assert [r[0] for r in odd.select(ft.display_cjk(F.col("t"))).collect()] == ["", "记忆系", "系统"]
