@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import decision_list, decontaminate, hilbert_shards, jaccard_join, license_rules, packing, quality_crf, secret_markov, token_counts, url_filter
+from barlight.llm import (
+    centroid_clusters, decision_list, decontaminate, filter_audit, hilbert_shards, jaccard_join, license_rules, packing, piece_codec, quality_crf, secret_markov, token_counts, url_filter,
+)
 from barlight.llm.shared import documents
 
 
@@ -66,7 +68,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontaminate, op4_url_filter, op5_token_counts, op6_quality_rules, op7_jaccard_join, op8_hilbert_shards, op9_secrets, op10_packing)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.digest(centroid_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    own = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = piece_codec.decode(piece_codec.encode(documents(spark, sf_dir), *own), *own)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_decontaminate, op4_url_filter, op5_token_counts, op6_quality_rules, op7_jaccard_join, op8_hilbert_shards, op9_secrets, op10_packing, op11_centroid_clusters, op12_filter_audit, op13_piece_codec)}
 
 URL_FILTER_SQL = r"""
 WITH given AS (
@@ -82,4 +101,4 @@ SELECT k.page_id, k.host, k.path, b.rule, coalesce(b.verdict, CASE WHEN l.key IS
 FROM keyed k LEFT JOIN best b USING (page_id) LEFT JOIN listed l ON k.key = l.key
 """
 
-ORACLE_SQL = {"op2_licenses": license_rules.oracle(), "op4_url_filter": URL_FILTER_SQL}
+ORACLE_SQL = {"op2_licenses": license_rules.oracle(), "op4_url_filter": URL_FILTER_SQL, "op11_centroid_clusters": centroid_clusters.oracle(), "op12_filter_audit": filter_audit.ORACLE}
