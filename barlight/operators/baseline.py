@@ -6,52 +6,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import bars as fb
+from barlight.sources.scratch import cleared, materialise
 
 
 def cell(x: Column, per_octave: int = 64) -> Column:
-    """A coarse number that grows with x: the place of its logarithm, mirrored for negative values."""
+    """A coarse number that grows with x: the place of its logarithm, mirrored for negative values; null for null."""
     place = F.floor(F.log2(F.abs(x)) * per_octave) + 1100 * per_octave  # the smallest double is 2^-1074
-    return F.when(x > 0, place).when(x < 0, -place).otherwise(F.lit(0)).cast("int")
+    return F.when(x > 0, place).when(x < 0, -place).when(x == 0, F.lit(0)).cast("int")
 
 
-def approximate_medians(values: DataFrame) -> DataFrame:
-    """values: symbol, c, x. symbol, c, median, from mergeable sketches."""
-    return values.groupBy("symbol", "c").agg(F.percentile_approx("x", 0.5, 100_000).alias("median"))
+def middle(order: str, skipped: Column | None = None) -> tuple[Column, Column]:
+    """Whether a row of k values, in this order of the symbol's column, holds one of the two middle ranks of n; and how many values come before it, `skipped` others among them."""
+    upto = F.sum("k").over(Window.partitionBy("symbol", "c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + (F.lit(0) if skipped is None else skipped)
+    return (F.expr("n div 2") >= upto - F.col("k")) & (F.expr("(n - 1) div 2") < upto), upto - F.col("k")
 
 
-def exact_medians(values: DataFrame) -> DataFrame:
-    """values: symbol, c, x. symbol, c, median, from two aggregates over cells of value.
+def cells(values: DataFrame) -> DataFrame:
+    """values: symbol, c, x (null where not valid). One aggregate over all values, then one row a cell (some thousands for a column, whatever the rows).
 
-    The first counts the values of each cell (some thousands for a column, whatever the rows) and finds those that hold the two middle
-    ranks; the second counts the distinct values of these cells alone, a hundredth of all where they spread over an octave.
-    No task holds the values of a symbol.
+    n: valid values; k: those of the cell; centre: the cell may hold a middle rank; ring: it may hold a middle rank of the deviations from
+    the median, wherever in the centre cells that is; under: how many values surely deviate less than all of the ring.
     """
     by_column = Window.partitionBy("symbol", "c")
-    middle = (F.expr("n div 2") >= F.col("upto") - F.col("k")) & (F.expr("(n - 1) div 2") < F.col("upto"))
-    counts = values.select("symbol", "c", cell(F.col("x")).alias("cell")).groupBy("symbol", "c", "cell").agg(F.count("*").alias("k"))
-    placed = counts.withColumns({"upto": F.sum("k").over(by_column.orderBy("cell")), "n": F.sum("k").over(by_column)})
-    own = placed.where(middle).groupBy("symbol", "c").agg(F.min("cell").alias("low"), F.max("cell").alias("high"), F.min(F.col("upto") - F.col("k")).alias("before"), F.max("n").alias("n"))
-    near = values.withColumn("cell", cell(F.col("x"))).join(F.broadcast(own), ["symbol", "c"]).where("cell = low or cell = high")  # a row a symbol and column
-    exact = near.groupBy("symbol", "c", "x", "before", "n").agg(F.count("*").alias("k")).withColumn("upto", F.col("before") + F.sum("k").over(by_column.orderBy("x")))
-    return exact.where(middle).groupBy("symbol", "c").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
+    counts = values.withColumn("cell", cell(F.col("x"))).groupBy("symbol", "c", "cell").agg(F.count("*").alias("k"), F.min("x").alias("low"), F.max("x").alias("high"))
+    x = counts.withColumns({"n_rows": F.sum("k").over(by_column), "n": F.coalesce(F.sum(F.when(F.col("cell").isNotNull(), F.col("k"))).over(by_column), F.lit(0))})
+    known = x.where("cell is not null")
+    centre, before = middle("cell")
+    known = known.withColumns({"centre": centre, "before": before})
+    least, most = F.min(F.when(F.col("centre"), F.col("low"))).over(by_column), F.max(F.when(F.col("centre"), F.col("high"))).over(by_column)
+    # Deviations of a cell's values from any median between these lie between d_low and d_high.
+    known = known.withColumns({"d_low": F.greatest(F.lit(0.0), F.col("low") - most, least - F.col("high")), "d_high": F.greatest(F.col("high") - least, most - F.col("low"))})
+    in_low, in_high = middle("d_low")[0], middle("d_high")[0]
+    known = known.withColumns({"_low": F.when(in_low, F.col("d_low")), "_high": F.when(in_high, F.col("d_high"))})
+    nearest, farthest = F.min("_low").over(by_column), F.max("_high").over(by_column)
+    known = known.withColumns({"_under": F.col("d_high") < nearest, "ring": (F.col("d_high") >= nearest) & (F.col("d_low") <= farthest)})
+    under = F.coalesce(F.sum(F.when(F.col("_under"), F.col("k"))).over(by_column), F.lit(0))
+    first = F.min(F.when(F.col("centre"), F.col("before"))).over(by_column)
+    kept = known.withColumns({"under": under, "before": first}).select("symbol", "c", "cell", "n_rows", "n", "centre", "ring", "before", "under")
+    none = x.where("cell is null").select("symbol", "c", "cell", "n_rows", "n", *[F.lit(None).cast(t).alias(c) for c, t in (("centre", "boolean"), ("ring", "boolean"), ("before", "long"), ("under", "long"))])
+    return kept.where("centre or ring").unionByName(none)
+
+
+def exact_baselines(values: DataFrame) -> DataFrame:
+    """symbol, c, n_rows, n, median, mad from two passes over the values: counts of cells, then the distinct values of the few cells that can matter.
+
+    No task holds the values of a symbol, and the tables in between are small enough to be broadcast where the planner, who knows their sizes, finds them so.
+    """
+    own = materialise(cells(values), "cells")
+    near = values.withColumn("cell", cell(F.col("x"))).join(own.where("cell is not null"), ["symbol", "c", "cell"])
+    near = materialise(near.groupBy("symbol", "c", "x", "n", "centre", "ring", "before", "under").agg(F.count("*").alias("k")), "near")
+    median = near.where("centre").withColumn("_middle", middle("x", F.col("before"))[0]).where("_middle").groupBy("symbol", "c").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
+    away = near.where("ring").join(median, ["symbol", "c"]).select("symbol", "c", "n", "under", "k", F.abs(F.col("x") - F.col("median")).alias("d")).groupBy("symbol", "c", "d", "n", "under").agg(F.sum("k").alias("k"))
+    mad = away.withColumn("_middle", middle("d", F.col("under"))[0]).where("_middle").groupBy("symbol", "c").agg(((F.min("d") + F.max("d")) / 2).alias("mad"))
+    sizes = own.groupBy("symbol", "c").agg(F.max("n_rows").alias("n_rows"), F.max("n").alias("n"))
+    return sizes.join(median, ["symbol", "c"], "left").join(mad, ["symbol", "c"], "left")
+
+
+def sketched_baselines(values: DataFrame) -> DataFrame:
+    """The same from mergeable quantile sketches: about, not exactly, the middle ranks."""
+    sizes = values.groupBy("symbol", "c").agg(F.count("*").alias("n_rows"), F.count("x").alias("n"), F.percentile_approx("x", 0.5, 100_000).alias("median"))
+    sizes = materialise(sizes, "sizes")
+    away = values.where("x is not null").join(sizes, ["symbol", "c"]).select("symbol", "c", F.abs(F.col("x") - F.col("median")).alias("x"))
+    return sizes.join(away.groupBy("symbol", "c").agg(F.percentile_approx("x", 0.5, 100_000).alias("mad")), ["symbol", "c"], "left")
 
 
 def baselines(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:
-    """By symbol: med_<c>, mad_<c> and valid_<c> (their count) of the valid values of each column, and n_rows; columns maps a name to what makes it valid."""
+    """By symbol: med_<c>, mad_<c> and valid_<c> (their count) of the valid values of each column, and n_rows; columns maps a name to what makes it valid.
+
+    Rows that are no stored table are stored once, the columns that are needed alone."""
     names = list(columns)
-    medians = exact_medians if exact else approximate_medians
-    valid = rows.select("symbol", *[F.when(ok, F.col(c)).alias(c) for c, ok in columns.items()])
-    values = valid.select("symbol", F.posexplode(F.array(*names)).alias("c", "x")).where("x is not null")
-    centre = medians(values)
-    away = values.join(F.broadcast(centre), ["symbol", "c"]).select("symbol", "c", F.abs(F.col("x") - F.col("median")).alias("x"))
-    both = centre.join(F.broadcast(medians(away).withColumnRenamed("median", "mad")), ["symbol", "c"])
-    of = lambda what, i: F.max(F.when(F.col("c") == i, F.col(what)))
-    found = both.groupBy("symbol").agg(*[of(what, i).alias(f"{short}_{c}") for what, short in (("median", "med"), ("mad", "mad")) for i, c in enumerate(names)])
-    counted = valid.groupBy("symbol").agg(*[F.count(c).alias(f"valid_{c}") for c in names], F.count("*").alias("n_rows"))
-    return counted.join(F.broadcast(found), "symbol", "left")
+    with cleared(rows.sparkSession) as keep:
+        valid = rows.select("symbol", *[F.when(ok, F.col(c)).alias(c) for c, ok in columns.items()])
+        table = valid if hasattr(rows, "scratch_path_") else materialise(valid, "valid")
+        values = table.select("symbol", F.posexplode(F.array(*names)).alias("c", "x"))
+        of = lambda what, i: F.max(F.when(F.col("c") == i, F.col(what)))
+        found = (exact_baselines if exact else sketched_baselines)(values)
+        wide = found.groupBy("symbol").agg(
+            *[of("n", i).alias(f"valid_{c}") for i, c in enumerate(names)], F.max("n_rows").alias("n_rows"), *[of(what, i).alias(f"{short}_{c}") for what, short in (("median", "med"), ("mad", "mad")) for i, c in enumerate(names)])
+        return keep(materialise(wide, "baselines"))
 
 
 def scored(rows: DataFrame, columns: dict[str, Column], exact: bool = True) -> DataFrame:
     """rows with z_<c> for each column and the baselines of their symbol."""
-    out = rows.join(F.broadcast(baselines(rows, columns, exact)), "symbol")
+    out = rows.join(baselines(rows, columns, exact), "symbol")
     return out.withColumns({f"z_{c}": fb.robust_z(F.col(c), F.col(f"med_{c}"), F.col(f"mad_{c}")) for c in columns})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import bars as fb
+from barlight.operators import moments
 
 
 def with_halo(placed: DataFrame, halo: int, rows: int = 1 << 16) -> DataFrame:
@@ -20,49 +23,69 @@ def by_bucket() -> Window:
     return Window.partitionBy("symbol", "bucket").orderBy("pos")
 
 
-def moments(sums: list[Column], length: int) -> tuple[Column, Column]:
-    """Population skewness and excess kurtosis of a window's values, from their count and sums of powers (one to four)."""
-    n, a, b, c, d = sums
-    full = n == length
-    m, e2, e3, e4 = a / length, b / length, c / length, d / length
-    v = e2 - m * m
-    m3 = e3 - 3 * m * e2 + 2 * m * m * m
-    m4 = e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m
-    ok = full & (v > 0)
-    return F.when(ok, m3 / F.pow(v, F.lit(1.5))), F.when(ok, m4 / (v * v) - 3)
+def _column(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values, not a number where there is none, and where that is."""
+    c = table.column(name)
+    return c.to_numpy(), c.is_null().to_numpy()
+
+
+def _before(x: np.ndarray, k: int, fill) -> np.ndarray:
+    return np.concatenate([np.full(min(k, len(x)), fill, x.dtype), x[: max(len(x) - k, 0)]])
+
+
+def _mean(x: np.ndarray, missing: np.ndarray, short: int) -> np.ndarray:
+    """Mean of the values that there are among the last `short`; not a number if one of them is not finite, or if there is none."""
+    odd = ~missing & ~np.isfinite(x)
+    n, total = moments.sums((~missing).astype(np.int64), short), moments.sums(np.where(missing | odd, 0.0, x), short)
+    return np.where((moments.sums(odd.astype(np.int64), short) > 0) | (n == 0), np.nan, total / np.maximum(n, 1))
+
+
+def _features(table: pa.Table, long: int, short: int) -> pa.Table:
+    """The columns of features() for one bucket's rows, the halo's left out."""
+    table = table.take(pa.array(np.argsort(table.column("pos").to_numpy(), kind="stable")))
+    own = table.column("own").to_numpy()
+    (o, _), (h, _), (low, _), (c, c_missing), (v, v_missing) = (_column(table, x) for x in ("open", "high", "low", "close", "volume"))
+    floor = lambda x, name: np.where(table.column(name).is_null().to_numpy(), 1e-8, np.maximum(x, 1e-8))
+    with np.errstate(all="ignore"):
+        no_log = c_missing | (c <= 0)
+        logs = np.log(np.where(no_log, np.nan, c))
+        ret = logs - _before(logs, 1, np.nan)
+        no_ret = no_log | _before(no_log, 1, True)
+        earlier = _before(c, short, np.nan)
+        no_change = c_missing | _before(c_missing, short, True) | (earlier == 0)
+        ret_short = np.where(no_change, 0.0, c / earlier - 1)
+
+        skew, kurt, shaped = np.zeros(len(c)), np.zeros(len(c)), np.zeros(len(c), bool)
+        if len(c) >= long:
+            ok = ~no_ret & np.isfinite(ret)
+            whole = moments.sums(ok.astype(np.int64), long)[long - 1 :] == long
+            skew[long - 1 :], kurt[long - 1 :], varies = moments.shape(moments.windows(np.where(ok, ret, 0.0), long))
+            shaped[long - 1 :] = whole & varies
+
+        hl, co = np.log(floor(h, "high") / floor(low, "low")), np.log(floor(c, "close") / floor(o, "open"))
+        gk = _mean(np.maximum(0.5 * hl * hl - (2 * fb.LN2 - 1) * co * co, 0.0), np.zeros(len(c), bool), short)
+        pk = _mean(hl * hl / (4 * fb.LN2), np.zeros(len(c), bool), short)
+        volume = _mean(v, v_missing, short)
+        ratio = v / np.maximum(np.where(np.isnan(volume), 1.0, volume), 1e-4)
+        made = {
+            "ret": (ret, no_ret), "skew": (skew, ~shaped), "kurt": (kurt, ~shaped), "gk_vol": (np.sqrt(np.maximum(gk, 1e-10)), None), "pk_vol": (np.sqrt(np.maximum(pk, 1e-10)), None),
+            "volume_ratio": (ratio, v_missing), "ret_short": (ret_short, None), "decoupling": (ratio / (np.abs(ret_short) + 1e-3), v_missing),
+        }
+    kept = table.select(["symbol", "event_time_ns", "pos", "n"]).filter(pa.array(own))
+    for name, (x, missing) in made.items():
+        kept = kept.append_column(name, pa.array(x[own], mask=None if missing is None else missing[own]))
+    return kept
 
 
 def features(placed: DataFrame, long: int = 1440, short: int = 60, rows: int = 1 << 16) -> DataFrame:
     """symbol, event_time_ns, pos, n with ret, skew, kurt, gk_vol, volume_ratio, decoupling, pk_vol.
 
-    Every window is the difference of two running sums, so a row costs the same whatever the window's length. Values that are
-    no numbers are summed as none and counted, and make the windows over them invalid.
+    A bucket of rows with its halo is a task's group of bounded size, computed as arrays. Every window is merged from two spans
+    of blocks (operators.moments), so a row costs the same whatever the window's length, and what has left a window leaves nothing behind.
+    A return that is no number makes the windows over it invalid, so does one without variance (a halt): skew and kurt are null there.
     """
-    w = by_bucket()
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = with_halo(placed, long + 1, rows)
-    x = x.withColumns({"ret": F.log("close") - F.log(F.lag("close").over(w)), "ret_short": fb.change(F.col("close"), F.lag("close", short).over(w))})
-    ok = fb.finite(F.col("ret"))
-    # Central moments do not change if all values are shifted; near the first of them the sums cancel least.
-    x = x.withColumn("_c", F.when(ok, F.col("ret") - F.first(F.when(ok, F.col("ret")), True).over(running)))
-    square = F.col("_c") * F.col("_c")
-    powers = [F.when(ok, F.lit(1.0)), F.col("_c"), square, square * F.col("_c"), square * square]
-    averaged = {"gk": fb.garman_klass(F.col("open"), F.col("high"), F.col("low"), F.col("close")), "pk": fb.parkinson(F.col("high"), F.col("low")), "volume": F.col("volume").cast("double")}
-    x = x.withColumns({f"_v_{c}": v for c, v in averaged.items()})
-    summed = {f"_s{k}": v for k, v in enumerate(powers)}
-    for c in averaged:
-        v = F.col(f"_v_{c}")
-        summed |= {f"_sum_{c}": F.when(fb.finite(v), v), f"_num_{c}": F.when(v.isNotNull(), F.lit(1.0)), f"_odd_{c}": F.when(v.isNotNull() & ~fb.finite(v), F.lit(1.0))}
-    x = x.withColumns({name: F.coalesce(F.sum(v).over(running), F.lit(0.0)) for name, v in summed.items()})
-    last = lambda name, length: F.col(name) - F.coalesce(F.lag(name, length).over(w), F.lit(0.0))
-    skew, kurt = moments([last(f"_s{k}", long) for k in range(5)], long)
-
-    def mean(c: str) -> Column:
-        n = last(f"_num_{c}", short)
-        return F.when(last(f"_odd_{c}", short) > 0, F.lit(float("nan"))).when(n > 0, last(f"_sum_{c}", short) / n)
-
-    x = x.withColumns({
-        "skew": skew, "kurt": kurt, "gk_vol": fb.volatility(mean("gk")), "pk_vol": fb.volatility(mean("pk")), "volume_ratio": fb.volume_ratio(F.col("volume"), mean("volume")),
-    })
-    x = x.withColumn("decoupling", fb.decoupling(F.col("volume_ratio"), F.col("ret_short")))
-    return x.where("own").select("symbol", "event_time_ns", "pos", "n", "ret", "skew", "kurt", "gk_vol", "pk_vol", "volume_ratio", "ret_short", "decoupling")
+    x = with_halo(placed.select("symbol", "event_time_ns", "pos", "n", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")]), long + 1, rows)
+    schema = x.select("symbol", "event_time_ns", "pos", "n").schema
+    for c in ("ret", "skew", "kurt", "gk_vol", "pk_vol", "volume_ratio", "ret_short", "decoupling"):
+        schema = schema.add(c, "double")
+    return x.groupBy("symbol", "bucket").applyInArrow(lambda table: _features(table, long, short), schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlight.operators import quality, rolling, stats, suppress
+from barlight.operators import moments, quality, rolling, stats, suppress
 from barlight.plans import scan as plan
 from barlight.sources import bars as source
 
@@ -45,6 +45,63 @@ def test_rolling_moments(spark, rows):
     assert [r.pos for r in got] == list(range(300))
 
 
+def exact_shape(x, length):
+    """Skewness and kurtosis of each window in rational numbers; None where nothing varies."""
+    from fractions import Fraction
+
+    out = []
+    for i in range(length - 1, len(x)):
+        w = [Fraction(v) for v in x[i - length + 1 : i + 1]]
+        m = sum(w) / length
+        v, c3, c4 = (sum((a - m) ** k for a in w) / length for k in (2, 3, 4))
+        out.append(None if v == 0 else (float(c3) / float(v) ** 1.5, float(c4 / v**2) - 3))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["flat", "spiked", "tiny", "steps"])
+def test_moments_of_windows_are_exact_to_nine_digits(kind):
+    """Nothing that has left a window is felt in it, and what does not vary has no shape."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1e-4, 400)
+    if kind == "flat":
+        x[100:250] = 0.0
+    elif kind == "spiked":
+        x[[60, 61, 300]] = 0.3, -2.3, 10.0
+    elif kind == "tiny":
+        x = 5e-4 + x * 1e-9
+    else:
+        x = np.repeat(rng.normal(0, 1e-3, 10), 40)
+    for length in (7, 24, 60):
+        skew, kurt, varies = moments.shape(moments.windows(x, length))
+        want = exact_shape(x.tolist(), length)
+        assert len(want) == len(skew)
+        for s, k, v, w in zip(skew, kurt, varies, want):
+            assert v == (w is not None)
+            # Of values that share their first digits no arithmetic in doubles keeps more than what is left of them.
+            allowed = 1e-9 if kind != "tiny" else 1e-3
+            assert w is None or abs(s - w[0]) <= allowed * max(1, abs(w[0])) and abs(k - w[1]) <= allowed * max(1, abs(w[1]))
+
+
+def test_sums_of_windows():
+    x = np.random.default_rng(1).integers(-9, 9, 100)
+    for length in (1, 3, 7, 100, 150):
+        assert moments.sums(x, length).tolist() == [x[max(0, i - length + 1) : i + 1].sum() for i in range(100)]
+
+
+def test_a_halt_is_no_anomaly(spark):
+    """Minutes that stand still after returns of 5e-4, then a jump: A1 reports the jump, and no window that stands still as a whole."""
+    rng = np.random.default_rng(9)
+    ret = rng.choice([-5e-4, 5e-4], 3000)
+    ret[1000:2000], ret[2500] = 0.0, 0.05
+    close = 100 * np.exp(np.cumsum(ret))
+    close[1000:2000] = close[999]
+    bars = spark.createDataFrame([("S", i * MINUTE, c, c, c, c, 10.0) for i, c in enumerate(close.tolist())], source.BAR_SCHEMA)
+    rows = {r.pos: r for r in rolling.features(source.load(bars), 240, 60).collect()}
+    assert all(rows[p].skew is None and rows[p].kurt is None for p in range(1239, 2000)) and all(abs(rows[p].kurt) < 250 for p in rows if rows[p].kurt is not None)
+    found = plan.signals(source.load(bars), plan.ScanParams(long=240), ["A1"]).collect()
+    assert not any(1239 <= r.pos < 2000 for r in found) and any(2500 <= r.pos < 2740 for r in found)
+
+
 def test_zero_and_null_prices_make_invalid_windows(spark):
     bars = series(spark, 120, _60=lambda r: (*r[:5], 0.0, r[6]), _90=lambda r: (*r[:5], None, r[6]))
     got = {r.pos: r for r in rolling.features(source.load(bars), 20, 6).collect()}
@@ -137,12 +194,12 @@ def test_plan_shape(spark, small, tmp_path):
     assert "BatchEvalPython" not in made and "SinglePartition" not in made and "WindowGroupLimit" in made
 
 
-@pytest.mark.parametrize("kind", ["ties", "few", "spread", "none"])
+@pytest.mark.parametrize("kind", ["ties", "few", "spread", "signs", "zeros", "none"])
 def test_exact_medians(spark, kind):
     from barlight.operators import baseline
 
     rng = np.random.default_rng(7)
-    values = {"ties": [1.0] * 700 + [2.0] * 700 + [3.0] * 5, "few": [5.0, 1.0], "spread": rng.normal(size=4001).tolist(), "none": [None] * 3}[kind]
+    values = {"ties": [1.0] * 700 + [2.0] * 700 + [3.0] * 5, "few": [5.0, 1.0], "spread": rng.normal(size=4001).tolist(), "signs": (rng.normal(size=2000) ** 9).tolist() + [None] * 7, "zeros": [0.0] * 600 + rng.normal(size=500).tolist(), "none": [None] * 3}[kind]
     df = spark.createDataFrame([("s", v) for v in values], "symbol string, x double")
     row = baseline.baselines(df, {"x": F.col("x").isNotNull()}).first()
     known = np.array([v for v in values if v is not None])
