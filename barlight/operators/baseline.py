@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,57 +11,76 @@ from barlight.functions import bars as fb
 from barlight.sources.scratch import cleared, materialise
 
 
-def cell(x: Column, per_octave: int = 64) -> Column:
+def cell(x: Column, per_octave: int = 256) -> Column:
     """A coarse number that grows with x: the place of its logarithm, mirrored for negative values; null for null."""
     place = F.floor(F.log2(F.abs(x)) * per_octave) + 1100 * per_octave  # the smallest double is 2^-1074
     return F.when(x > 0, place).when(x < 0, -place).when(x == 0, F.lit(0)).cast("int")
 
 
-def middle(order: str, skipped: Column | None = None) -> tuple[Column, Column]:
-    """Whether a row of k values, in this order of the symbol's column, holds one of the two middle ranks of n; and how many values come before it, `skipped` others among them."""
-    upto = F.sum("k").over(Window.partitionBy("symbol", "c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + (F.lit(0) if skipped is None else skipped)
-    return (F.expr("n div 2") >= upto - F.col("k")) & (F.expr("(n - 1) div 2") < upto), upto - F.col("k")
+def _at(x: np.ndarray, k: np.ndarray, rank: int) -> float:
+    """The value of this rank among x, each k times."""
+    order = np.argsort(x, kind="stable")
+    return x[order][np.searchsorted(np.cumsum(k[order]), rank, "right")]
+
+
+def _needed(table: pa.Table) -> pa.Table:
+    """Cells of a symbol's column that can decide its median and deviation, after a row with its counts."""
+    known = table.filter(table.column("cell").is_valid()).sort_by("cell")
+    cell, k, low, high = (known.column(c).to_numpy() for c in ("cell", "k", "low", "high"))
+    n, n_rows = int(k.sum()), int(table.column("k").to_numpy().sum())
+    kept, centre, ring, before, under = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), 0, 0
+    if n:
+        upto = np.cumsum(k)
+        first, last = np.searchsorted(upto, [(n - 1) // 2, n // 2], "right")
+        least, most, before = low[first], high[last], int(upto[first] - k[first])
+        # Deviations of a cell's values from any median between these lie between d_low and d_high.
+        d_low, d_high = np.maximum(np.maximum(low - most, least - high), 0.0), np.maximum(high - least, most - low)
+        nearest, farthest = _at(d_low, k, (n - 1) // 2), _at(d_high, k, n // 2)
+        under, ring = int(k[d_high < nearest].sum()), (d_high >= nearest) & (d_low <= farthest)
+        centre = np.zeros(len(k), bool)
+        centre[first : last + 1] = True
+        kept = np.flatnonzero(centre | ring)
+    size, key = 1 + len(kept), table.slice(0, 1)
+    columns = {
+        "symbol": key.column("symbol").take(pa.array(np.zeros(size, int))), "c": key.column("c").take(pa.array(np.zeros(size, int))), "cell": pa.array([None, *cell[kept].tolist()], pa.int32()),
+        "n_rows": np.full(size, n_rows), "n": np.full(size, n), "centre": [False, *centre[kept].tolist()], "ring": [False, *ring[kept].tolist()], "before": np.full(size, before), "under": np.full(size, under),
+    }
+    return pa.table(columns)
 
 
 def cells(values: DataFrame) -> DataFrame:
-    """values: symbol, c, x (null where not valid). One aggregate over all values, then one row a cell (some thousands for a column, whatever the rows).
+    """values: symbol, c, x (null where not valid). One aggregate over all values into cells, some thousands for a column, whatever the rows; of these the few that matter.
 
-    n: valid values; k: those of the cell; centre: the cell may hold a middle rank; ring: it may hold a middle rank of the deviations from
-    the median, wherever in the centre cells that is; under: how many values surely deviate less than all of the ring.
+    n: valid values (n_rows: all); centre: the cell may hold a middle rank; before: how many values come before those; ring: it may hold a middle rank of the
+    deviations from the median, wherever in the centre cells that is; under: how many values surely deviate less than all of the ring. Of each column one row has no cell.
     """
-    by_column = Window.partitionBy("symbol", "c")
     counts = values.withColumn("cell", cell(F.col("x"))).groupBy("symbol", "c", "cell").agg(F.count("*").alias("k"), F.min("x").alias("low"), F.max("x").alias("high"))
-    x = counts.withColumns({"n_rows": F.sum("k").over(by_column), "n": F.coalesce(F.sum(F.when(F.col("cell").isNotNull(), F.col("k"))).over(by_column), F.lit(0))})
-    known = x.where("cell is not null")
-    centre, before = middle("cell")
-    known = known.withColumns({"centre": centre, "before": before})
-    least, most = F.min(F.when(F.col("centre"), F.col("low"))).over(by_column), F.max(F.when(F.col("centre"), F.col("high"))).over(by_column)
-    # Deviations of a cell's values from any median between these lie between d_low and d_high.
-    known = known.withColumns({"d_low": F.greatest(F.lit(0.0), F.col("low") - most, least - F.col("high")), "d_high": F.greatest(F.col("high") - least, most - F.col("low"))})
-    in_low, in_high = middle("d_low")[0], middle("d_high")[0]
-    known = known.withColumns({"_low": F.when(in_low, F.col("d_low")), "_high": F.when(in_high, F.col("d_high"))})
-    nearest, farthest = F.min("_low").over(by_column), F.max("_high").over(by_column)
-    known = known.withColumns({"_under": F.col("d_high") < nearest, "ring": (F.col("d_high") >= nearest) & (F.col("d_low") <= farthest)})
-    under = F.coalesce(F.sum(F.when(F.col("_under"), F.col("k"))).over(by_column), F.lit(0))
-    first = F.min(F.when(F.col("centre"), F.col("before"))).over(by_column)
-    kept = known.withColumns({"under": under, "before": first}).select("symbol", "c", "cell", "n_rows", "n", "centre", "ring", "before", "under")
-    none = x.where("cell is null").select("symbol", "c", "cell", "n_rows", "n", *[F.lit(None).cast(t).alias(c) for c, t in (("centre", "boolean"), ("ring", "boolean"), ("before", "long"), ("under", "long"))])
-    return kept.where("centre or ring").unionByName(none)
+    kind = values.schema["symbol"].dataType.simpleString()
+    return counts.groupBy("symbol", "c").applyInArrow(_needed, f"symbol {kind}, c int, cell int, n_rows long, n long, centre boolean, ring boolean, before long, under long")
 
 
 def exact_baselines(values: DataFrame) -> DataFrame:
     """symbol, c, n_rows, n, median, mad from two passes over the values: counts of cells, then the distinct values of the few cells that can matter.
 
-    No task holds the values of a symbol, and the tables in between are small enough to be broadcast where the planner, who knows their sizes, finds them so.
+    The tables in between are small enough to be broadcast where the planner, who knows their sizes, finds them so; a task sorts the values of
+    such cells of a column, about a hundredth of all.
     """
     own = materialise(cells(values), "cells")
     near = values.withColumn("cell", cell(F.col("x"))).join(own.where("cell is not null"), ["symbol", "c", "cell"])
-    near = materialise(near.groupBy("symbol", "c", "x", "n", "centre", "ring", "before", "under").agg(F.count("*").alias("k")), "near")
-    median = near.where("centre").withColumn("_middle", middle("x", F.col("before"))[0]).where("_middle").groupBy("symbol", "c").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
-    away = near.where("ring").join(median, ["symbol", "c"]).select("symbol", "c", "n", "under", "k", F.abs(F.col("x") - F.col("median")).alias("d")).groupBy("symbol", "c", "d", "n", "under").agg(F.sum("k").alias("k"))
-    mad = away.withColumn("_middle", middle("d", F.col("under"))[0]).where("_middle").groupBy("symbol", "c").agg(((F.min("d") + F.max("d")) / 2).alias("mad"))
-    sizes = own.groupBy("symbol", "c").agg(F.max("n_rows").alias("n_rows"), F.max("n").alias("n"))
-    return sizes.join(median, ["symbol", "c"], "left").join(mad, ["symbol", "c"], "left")
+    near = near.groupBy("symbol", "c", "x").agg(F.count("*").alias("k"), *[F.any_value(c).alias(c) for c in ("n", "centre", "ring", "before", "under")])
+    by_column = Window.partitionBy("symbol", "c")
+
+    def middle(order: str, counted: str, skipped: str) -> Column:
+        """The mean of the two middle values in this order, of those that are counted; `skipped` others come before them."""
+        k = F.when(F.col(counted), F.col("k")).otherwise(0)
+        upto = F.col(skipped) + F.sum(k).over(by_column.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return F.when(F.col(counted) & (F.expr("n div 2") >= upto - k) & (F.expr("(n - 1) div 2") < upto), F.col(order))
+
+    mean = lambda c: (F.min(c).over(by_column) + F.max(c).over(by_column)) / 2
+    x = near.withColumn("_x", middle("x", "centre", "before")).withColumn("median", mean("_x")).withColumn("d", F.abs(F.col("x") - F.col("median")))
+    x = x.withColumn("_d", middle("d", "ring", "under"))
+    found = x.groupBy("symbol", "c").agg(F.max("median").alias("median"), ((F.min("_d") + F.max("_d")) / 2).alias("mad"))
+    return own.where("cell is null").select("symbol", "c", "n_rows", "n").join(found, ["symbol", "c"], "left")
 
 
 def sketched_baselines(values: DataFrame) -> DataFrame:
