@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlight.operators import summary
+from barlight.operators import summary, transitions
 from barlight.operators.folds import folded
 
 # How much an event moves a note's quality.
 DELTAS = {"task_success": 0.1, "task_failure": -0.15, "user_confirm": 0.2, "user_reject": -0.3, "passive_decay": -0.05}
 
 
+DELTAS_ALL = [round(x * scale) for x in DELTAS.values() for scale in (1000, 700)]  # in thousandths, of users and of the system
+
+
 def delta(event: Column, source: Column) -> Column:
     """In thousandths; null for unknown events; events of the system count 0.7."""
     d = F.lit(None).cast("long")
@@ -22,48 +28,102 @@ def delta(event: Column, source: Column) -> Column:
     return d.cast("long")
 
 
-def moved(state: tuple[int, int, int], d: int, cap: int) -> tuple[int, int, int]:
-    """(quality, sum, applied) after one event, in thousandths. Beyond the cap of the session's sum it is skipped; quality is rounded to hundredths, half to even."""
-    q, s, n = state
-    if abs(s + d) > cap:
-        return state
-    low, rest = divmod(max(0, min(1000, q + d)), 10)
-    return 10 * (low + (rest > 5 or (rest == 5 and low % 2 == 1))), s + d, n + 1
-
-
 def reinforced(events: DataFrame, start: float = 0.5, cap: float = 0.5) -> DataFrame:
     """events: note, event, source, ts, event_id. Quality after all events in order, what moved it in all, and how many were applied.
 
     An event that would take the session's sum beyond the cap is skipped; quality stays within 0 and 1 and is rounded to
     hundredths each time (half to even; in thousandths, so that no binary remainder decides). Repeated rows are events of their own.
+
+    Events are dealt out by ranges of (note, time), so a note with many events is many tasks: the span that begins it starts from the known state, the
+    others find out where each of the finitely many states leads (operators.transitions). Of each span one row is left, and a note's are followed in order.
     """
     first, most = (round(1000 * start), 0, 0), round(1000 * cap)
-
-    def events_of(group: Iterator[dict]) -> Iterator[dict]:
-        state, k = first, 0
+    if first[0] % 10:
+        raise ValueError("quality starts at a whole hundredth")
+    step = transitions.step_of(DELTAS_ALL)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, head = None, 0, None
+
+        def done() -> pa.RecordBatch:
+            known = isinstance(now, transitions.Known)
+            table = np.array([now.state], np.int64) if known else now.table()
+            return pa.RecordBatch.from_arrays([head.column("note"), head.column("span"), pa.array([known]), pa.array([rows], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["note", "span", "known", "n", "to"])
+
+        for _, new, part in transitions.runs(batches, ["note"]):
+            if new:
+                if head is not None:
+                    yield done()
+                # Only the first note of a range can have begun in an earlier one.
+                begins = head is not None or part.column("span")[0].as_py() == 0
+                now, rows, head = transitions.Known(first, most) if begins else transitions.Every(most, step), 0, part.slice(0, 1)
+            now.apply(part.column("d").to_numpy())
+            rows += part.num_rows
+        if head is not None:
+            yield done()
+
+    def followed(group: Iterator[dict]) -> Iterator[dict]:
+        state, k, every = first, 0, transitions.Every(most, step)
         for row in group:
-            state, k, note = moved(state, row["d"], most), k + 1, row["note"]
+            table = np.frombuffer(row["to"], np.int64).reshape(-1, 3)
+            q, s, n = table[0 if row["known"] else every.place(state)].tolist()
+            state, k, note = (q, s, n + state[2]), k + row["n"], row["note"]
         yield {"note": note, "quality": state[0] / 1000, "session_delta": state[1] / 1000, "n_applied": state[2], "n_events": k}
 
     known = events.withColumn("d", delta(F.col("event"), F.col("source"))).where("d is not null").select("note", "ts", "event_id", "d")
     kind = events.schema["note"].dataType.simpleString()
-    return folded(known, ["note"], ["ts", "event_id", "d"], events_of, f"note {kind}, quality double, session_delta double, n_applied long, n_events long")
+    dealt = known.repartitionByRange("note", "ts", "event_id", "d").sortWithinPartitions("note", "ts", "event_id", "d").withColumn("span", F.spark_partition_id())
+    left = dealt.select("note", "span", "d").mapInArrow(spans, f"note {kind}, span int, known boolean, n long, to binary")
+    return folded(left, ["note"], ["span"], followed, f"note {kind}, quality double, session_delta double, n_applied long, n_events long")
 
 
-def accepted_writes(writes: DataFrame, window_us: int) -> DataFrame:
+def accepted_writes(writes: DataFrame, window_us: int, windows: int = 64) -> DataFrame:
     """writes: hash, ts (microseconds). Accepted times: a write closer than the window to the last accepted one is a duplicate.
 
-    n_writes counts all of a hash; a write without time is never accepted."""
-
-    def kept(group: Iterator[dict]) -> Iterator[dict]:
-        last = None
-        for row in group:
-            if row["ts"] is not None and (last is None or row["ts"] - last >= window_us):
-                last = row["ts"]
-                yield {"hash": row["hash"], "n_writes": row["n"], "accepted_at": last}
+    n_writes counts all of a hash; a write without time is never accepted.
 
+    Spans of `windows` windows are the tasks. Each finds by doubled successors which start leads to which end, a step function of few steps, since
+    chains that meet stay together. A hash's functions, one row a span, are followed in order; then each span gives out its own accepted times.
+    """
+    if window_us <= 0:
+        raise ValueError("the window has to be longer than nothing")
     kind = writes.schema["hash"].dataType.simpleString()
-    return folded(writes.select("hash", "ts"), ["hash"], ["ts"], kept, f"hash {kind}, n_writes long, accepted_at long", size="n")
+    times = writes.where("ts is not null").select("hash", F.col("ts").cast("long").alias("ts")).distinct().withColumn("span", F.expr(f"ts div {windows * window_us} - if(ts % {windows * window_us} < 0, 1, 0)"))
+    sizes = writes.groupBy("hash").agg(F.count("*").alias("n_writes"))
+
+    def each(batches: Iterator[pa.RecordBatch], rule) -> Iterator[pa.RecordBatch]:
+        head, parts = None, []
+        for _, new, part in transitions.runs(batches, ["hash", "span"]):
+            if new and head is not None:
+                yield rule(head, np.concatenate(parts))
+                parts = []
+            head = part.slice(0, 1) if new else head
+            parts.append(part.column("ts").to_numpy())
+        if head is not None:
+            yield rule(head, np.concatenate(parts))
+
+    def function(head: pa.RecordBatch, ts: np.ndarray) -> pa.RecordBatch:
+        upto, then = transitions.release(ts, window_us)
+        return pa.RecordBatch.from_arrays([head.column("hash"), head.column("span"), pa.array([upto], pa.list_(pa.int64())), pa.array([then], pa.list_(pa.int64()))], ["hash", "span", "upto", "then"])
+
+    def followed(group: Iterator[dict]) -> Iterator[dict]:
+        free_at = -(1 << 62)
+        for row in group:
+            yield {"hash": row["hash"], "span": row["span"], "free_at": free_at, "n_writes": row["n_writes"]}
+            i = bisect_left(row["upto"], free_at)
+            free_at = row["then"][i] if i < len(row["upto"]) else free_at
+
+    def accepted(head: pa.RecordBatch, ts: np.ndarray) -> pa.RecordBatch:
+        kept = transitions.accepted_from(ts, window_us, head.column("free_at")[0].as_py())
+        same = lambda c: head.column(c).take(pa.array(np.zeros(len(kept), np.int64)))
+        return pa.RecordBatch.from_arrays([same("hash"), same("n_writes"), pa.array(kept)], ["hash", "n_writes", "accepted_at"])
+
+    dealt = times.repartition("hash", "span").sortWithinPartitions("hash", "span", "ts")
+    functions = dealt.mapInArrow(lambda b: each(b, function), f"hash {kind}, span long, upto array<long>, then array<long>")
+    counted = functions.join(sizes.withColumnRenamed("hash", "_h"), F.col("hash").eqNullSafe(F.col("_h"))).drop("_h")
+    starts = folded(counted, ["hash"], ["span"], followed, f"hash {kind}, span long, free_at long, n_writes long").select(F.col("hash").alias("_h"), F.col("span").alias("_s"), "free_at", "n_writes")
+    begun = times.join(starts, F.col("hash").eqNullSafe(F.col("_h")) & (F.col("span") == F.col("_s"))).select("hash", "span", "ts", "free_at", "n_writes")
+    return begun.repartition("hash", "span").sortWithinPartitions("hash", "span", "ts").mapInArrow(lambda b: each(b, accepted), f"hash {kind}, n_writes long, accepted_at long")
 
 
 def access(events: DataFrame) -> DataFrame:

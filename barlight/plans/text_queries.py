@@ -413,6 +413,16 @@ def k10_duplicate_writes(spark, sf_dir):
     return lifecycle.accepted_writes(e, 12 * HOUR)
 
 
+@query("""WITH w AS (SELECT event_type AS hash, epoch_us(ts) + unnest([0, 9000000, 29999999, 30000000, 45000000, 60000000]) AS ts FROM events),
+l AS (SELECT hash, count(*) AS n_writes, list([ts] ORDER BY ts) AS xs FROM w GROUP BY hash),
+f AS (SELECT hash, n_writes, list_reduce(xs, lambda a, x: CASE WHEN x[1] - a[len(a)] >= 30000000 THEN list_append(a, x[1]) ELSE a END) AS kept FROM l)
+SELECT hash, n_writes, unnest(kept) AS accepted_at FROM f""")
+def k10_write_window(spark, sf_dir):
+    """The 30-second window itself, over few contents: each event is written again within the minute that follows."""
+    at = F.explode(F.array(*[F.unix_micros(F.col("ts").cast("timestamp")) + us for us in (0, 9_000_000, 29_999_999, 30_000_000, 45_000_000, 60_000_000)]))
+    return lifecycle.accepted_writes(table(spark, sf_dir, "events").select(F.col("event_type").alias("hash"), at.alias("ts")), 30_000_000)
+
+
 @query("SELECT user_id AS note, count(*) AS access_count, max(epoch_us(ts)) AS last_access FROM events GROUP BY user_id")
 def t10_access(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("note"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barlight.operators import lifecycle, rolling
+from barlight.operators import lifecycle, rolling, transitions
 from barlight.sources import bars as source
 from barlight.sources.scratch import delete, scratch_path
 
@@ -54,7 +54,7 @@ def reinforced(events: DataFrame, start: int = 500, cap: int = 500) -> DataFrame
         *now, seen = state.get if state.exists else (start, 0, 0, 0)
         rows = sorted((r.ts, r.event_id, r.d) for b in batches for r in b.itertuples())
         for _, _, d in rows:
-            now = lifecycle.moved(tuple(now), int(d), cap)
+            now = transitions.moved(tuple(now), int(d), cap)
         state.update((*now, seen + len(rows)))
         yield pd.DataFrame({"note": [key[0]], "quality": [now[0] / 1000], "session_delta": [now[1] / 1000], "n_applied": [now[2]], "n_events": [seen + len(rows)]})
 
