@@ -28,8 +28,15 @@ def delta(event: Column, source: Column) -> Column:
     return d.cast("long")
 
 
-def reinforced(events: DataFrame, start: float = 0.5, cap: float = 0.5) -> DataFrame:
-    """events: note, event, source, ts, event_id. Quality after all events in order, what moved it in all, and how many were applied.
+def micros(df: DataFrame, name: str = "ts") -> Column:
+    """A time column in microseconds; whole numbers are taken to be such."""
+    return F.unix_micros(F.col(name).cast("timestamp")) if df.schema[name].dataType.simpleString().startswith("timestamp") else F.col(name).cast("long")
+
+
+def reinforced(events: DataFrame, start: float = 0.5, cap: float = 0.5, session_us: int | None = None) -> DataFrame:
+    """events: note, event, source, ts, event_id. Quality after all events in order, what moved it in the session, and how many were applied.
+
+    A note's session ends when no known event has come for longer than session_us (None: never); the sum then starts again from 0.
 
     An event that would take the session's sum beyond the cap is skipped; quality stays within 0 and 1 and is rounded to
     hundredths each time (half to even; in thousandths, so that no binary remainder decides). Repeated rows are events of their own.
@@ -42,13 +49,17 @@ def reinforced(events: DataFrame, start: float = 0.5, cap: float = 0.5) -> DataF
         raise ValueError("quality starts at a whole hundredth")
     step = transitions.step_of(DELTAS_ALL)
 
+    def later(a: int | None, b: int | None) -> bool:
+        return session_us is not None and a is not None and b is not None and b - a > session_us
+
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, head = None, 0, None
+        now, rows, head, at = None, 0, None, None
 
         def done() -> pa.RecordBatch:
             known = isinstance(now, transitions.Known)
             table = np.array([now.state], np.int64) if known else now.table()
-            return pa.RecordBatch.from_arrays([head.column("note"), head.column("span"), pa.array([known]), pa.array([rows], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["note", "span", "known", "n", "to"])
+            ends = [head.column("ts"), pa.array([at], pa.int64())]
+            return pa.RecordBatch.from_arrays([head.column("note"), head.column("span"), *ends, pa.array([known]), pa.array([rows], pa.int64()), pa.array([table.tobytes()], pa.binary())], ["note", "span", "begun", "ended", "known", "n", "to"])
 
         for _, new, part in transitions.runs(batches, ["note"]):
             if new:
@@ -56,24 +67,29 @@ def reinforced(events: DataFrame, start: float = 0.5, cap: float = 0.5) -> DataF
                     yield done()
                 # Only the first note of a range can have begun in an earlier one.
                 begins = head is not None or part.column("span")[0].as_py() == 0
-                now, rows, head = transitions.Known(first, most) if begins else transitions.Every(most, step), 0, part.slice(0, 1)
-            now.apply(part.column("d").to_numpy())
-            rows += part.num_rows
+                now, rows, head, at = transitions.Known(first, most) if begins else transitions.Every(most, step), 0, part.slice(0, 1), None
+            times = part.column("ts").to_pylist()
+            fresh = [later(a, b) for a, b in zip([at, *times], times)]
+            now.apply(part.column("d").to_numpy(), np.array(fresh))
+            rows, at = rows + part.num_rows, times[-1]
         if head is not None:
             yield done()
 
     def followed(group: Iterator[dict]) -> Iterator[dict]:
-        state, k, every = first, 0, transitions.Every(most, step)
+        state, k, at, every = first, 0, None, transitions.Every(most, step)
         for row in group:
+            if later(at, row["begun"]):
+                state = state[0], 0, state[2]
+            at = row["ended"]
             table = np.frombuffer(row["to"], np.int64).reshape(-1, 3)
             q, s, n = table[0 if row["known"] else every.place(state)].tolist()
             state, k, note = (q, s, n + state[2]), k + row["n"], row["note"]
         yield {"note": note, "quality": state[0] / 1000, "session_delta": state[1] / 1000, "n_applied": state[2], "n_events": k}
 
-    known = events.withColumn("d", delta(F.col("event"), F.col("source"))).where("d is not null").select("note", "ts", "event_id", "d")
+    known = events.withColumn("d", delta(F.col("event"), F.col("source"))).where("d is not null").select("note", micros(events).alias("ts"), "event_id", "d")
     kind = events.schema["note"].dataType.simpleString()
     dealt = known.repartitionByRange("note", "ts", "event_id", "d").sortWithinPartitions("note", "ts", "event_id", "d").withColumn("span", F.spark_partition_id())
-    left = dealt.select("note", "span", "d").mapInArrow(spans, f"note {kind}, span int, known boolean, n long, to binary")
+    left = dealt.select("note", "span", "ts", "d").mapInArrow(spans, f"note {kind}, span int, begun long, ended long, known boolean, n long, to binary")
     return folded(left, ["note"], ["span"], followed, f"note {kind}, quality double, session_delta double, n_applied long, n_events long")
 
 

@@ -30,9 +30,11 @@ class Known:
     def __init__(self, state: tuple[int, int, int], cap: int) -> None:
         self.state, self.cap = state, cap
 
-    def apply(self, deltas: np.ndarray) -> None:
-        for d in deltas.tolist():
-            self.state = moved(self.state, d, self.cap)
+    def apply(self, deltas: np.ndarray, fresh: np.ndarray) -> None:
+        """fresh: whether a session begins with the event."""
+        for d, new in zip(deltas.tolist(), fresh.tolist()):
+            q, s, n = self.state
+            self.state = moved((q, 0 if new else s, n), d, self.cap)
 
 
 class Every:
@@ -50,9 +52,10 @@ class Every:
         q, s, _ = state
         return (s // self.step + self.reach) * 101 + q // 10
 
-    def apply(self, deltas: np.ndarray) -> None:
+    def apply(self, deltas: np.ndarray, fresh: np.ndarray) -> None:
         for i in range(0, len(deltas), 32):
-            for d in deltas[i : i + 32].tolist():
+            for d, new in zip(deltas[i : i + 32].tolist(), fresh[i : i + 32].tolist()):
+                self.s = np.zeros_like(self.s) if new else self.s
                 ok = np.abs(self.s + d) <= self.cap
                 low, rest = np.divmod(np.clip(self.q + d, 0, 1000), 10)
                 self.q = np.where(ok, 10 * (low + ((rest > 5) | (rest == 5) & (low % 2 == 1))), self.q)

@@ -101,7 +101,11 @@ def scored(placed: DataFrame, p: ScanParams, keys: list[str]) -> DataFrame:
 def signals(placed: DataFrame, p: ScanParams = ScanParams(), keys: list[str] | None = None) -> DataFrame:
     """Suppressed signals of the scanners with these keys (all registered): signal rows with scanner and pos; none if there are too few bars."""
     keys = keys or list(SCANNERS)
-    rows = scored(placed, p, keys)
+    return suppressed(scored(placed, p, keys), p, keys)
+
+
+def suppressed(rows: DataFrame, p: ScanParams, keys: list[str]) -> DataFrame:
+    """Signals of rows with features, baselines and z-scores."""
     each = []
     for i, k in enumerate(keys):
         z, value, ok = SCANNERS[k].score(p)

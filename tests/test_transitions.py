@@ -16,12 +16,13 @@ def test_every_start_leads_where_a_known_one_does(cap):
     rng = random.Random(cap)
     deltas = np.array([rng.choice(DELTAS) for _ in range(300)])
     every = transitions.Every(cap, transitions.step_of(DELTAS))
-    every.apply(deltas[:130])
-    every.apply(deltas[130:])
+    fresh = np.array([i % 90 == 89 for i in range(300)])
+    every.apply(deltas[:130], fresh[:130])
+    every.apply(deltas[130:], fresh[130:])
     for _ in range(200):
         state = (10 * rng.randrange(101), 5 * rng.randrange(-cap // 5, cap // 5 + 1), rng.randrange(9))
         known = transitions.Known(state, cap)
-        known.apply(deltas)
+        known.apply(deltas, fresh)
         q, s, n = every.table()[every.place(state)].tolist()
         assert (q, s, n + state[2]) == known.state
 
