@@ -6,7 +6,7 @@ bins is open, a bitset keyed by free space finds the fullest bin that still take
 too many is open the fullest closes. State of a task: the open bins alone.
 
 Defined cases: null text is empty and gives one piece that holds the end id alone; repeated rows are packed as
-often as they occur; ties between bins of equal free space go to the newest; an empty table gives an empty
+often as they occur, dealt to tasks by their number in an Arrow batch; ties between bins of equal free space go to the newest; an empty table gives an empty
 result; columns other than id and text are ignored.
 """
 
@@ -16,6 +16,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+COPY = "copy int"  # rows of the id before it in its Arrow batch: tells repeats apart when they are dealt out
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
@@ -117,21 +119,24 @@ def pieces(docs: DataFrame, tokenizer: str, budget: int = 4096, end_id: int = 1,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = encoder_of(tokenizer)
         for batch in batches:
-            source, out = [], []
+            source, out, seen, copies = [], [], Counter(), []
+            for i in batch.column("doc_id").to_pylist():
+                copies.append(seen[i])
+                seen[i] += 1
             texts = (t.as_py() or "" for t in batch.column("text"))
             for row, ids in enumerate(encoder.encode(texts)):
                 ids += end
                 for at in range(0, len(ids), width):
                     part = ids[at : at + width]
                     source.append(row)
-                    out.append((at // width, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 4 + keep_ids]
-            columns = [pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, kinds)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids]
+                    out.append((at // width, at // 4, len(part) // 4, zlib.crc32(part), copies[row], part if keep_ids else None))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())[: 5 + keep_ids]
+            columns = [pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "copy", "ids"][: 6 + keep_ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(source, pa.int32())), *columns], names)
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return given.mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    return given.mapInArrow(run, f"{PIECES}, {COPY}" + ", ids binary" * keep_ids)
 
 
 class OpenBins:
@@ -176,11 +181,11 @@ class OpenBins:
 
 
 def pack(parts: DataFrame, budget: int = 4096, open_bins: int = 512) -> DataFrame:
-    """Adds sequence_id and offset to rows that have doc_id, piece and length.
+    """Adds sequence_id and offset to rows that have doc_id, piece, length and, so that repeated rows are many tasks, copy (which is left out then).
 
     The order in a task is a fixed pseudo-random one, so a retried task numbers its bins as before.
     """
-    fields, kept = parts.schema.fields, parts.columns
+    fields, kept = [f for f in parts.schema.fields if f.name != "copy"], [c for c in parts.columns if c != "copy"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +195,10 @@ def pack(parts: DataFrame, budget: int = 4096, open_bins: int = 512) -> DataFram
             added = [pa.array([base + b for b, _ in put], pa.int64()), pa.array([o for _, o in put], pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *added], [*kept, "sequence_id", "offset"])
 
-    turn: Column = F.xxhash64("doc_id", "piece", "length")
+    turn: Column = F.xxhash64(*[c for c in ("doc_id", "piece", "length", "copy") if c in parts.columns])
     dealt = parts.withColumn("_turn", turn).repartition("_turn")
     ties = [c for c in ("doc_id", "piece", "length", "ids_crc32") if c in parts.columns]
-    return dealt.sortWithinPartitions("_turn", *ties).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions("_turn", *ties).select(*kept).mapInArrow(run, schema)
 
 
 def best_fit(docs: DataFrame, tokenizer: str, budget: int = 4096, open_bins: int = 512, **columns) -> DataFrame:

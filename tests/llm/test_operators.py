@@ -565,3 +565,14 @@ def test_packing_odd_rows(odd, none):
     by = collections.Counter(r.doc_id for r in got)
     assert by[0] == by[4] == by[90] == 1 and by[5] == 2 and by[7] > 5 and by[None] == 1
     assert packing.best_fit(none, path).count() == 0
+
+
+def test_repeated_documents_are_packed_by_many_tasks(spark):
+    """Two thirds of the rows are one document: no task gets most of them, and every copy is packed."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    rows = spark.range(3000).selectExpr("if(id % 3 < 2, 7, id) as doc_id", "if(id % 3 < 2, 'the very same words', concat('other words ', id)) as text").repartition(4)
+    parts = packing.pieces(rows, path)
+    tasks = parts.repartition(16, F.xxhash64("doc_id", "piece", "length", "copy")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 16 and max(r["count"] for r in tasks) < 600
+    got = packing.best_fit(rows, path).collect()
+    assert sum(r.doc_id == 7 for r in got) == 2000 and len(got) == 3000 and len({(r.sequence_id, r.offset) for r in got}) == 3000
