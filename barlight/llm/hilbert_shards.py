@@ -1,9 +1,9 @@
 """Hilbert-curve shards: rows ordered along a curve through several metadata dimensions, cut into equal runs.
 
 Each dimension is quantised by its own quantiles (texts by their whole values), the cell of a row gives its index on the curve (a table made by rule
-once, 2^(dimensions*bits) numbers), and the order is (index, hash of the id, id, text checksum). Ranks come from counts of
-small buckets (cell, as many leading bits of the hash as the cell's rows ask for), so a cell that holds a third of all rows is many buckets and no
-task sorts more than one bucket. The law kept is `rows`: a shard's row count differs from another's by one at most.
+once, 2^(dimensions*bits) numbers), and the order is (index, hash of id, text checksum and a number of the row's own). Ranks come from counts of
+small buckets (cell, as many leading bits of the hash as the cell's rows ask for), so a cell that holds a third of all rows is many buckets, also if these
+have one id or none, and no task sorts more than one bucket. What the order needs is written once, so the number is the same wherever it is read. The law kept is `rows`: a shard's row count differs from another's by one at most.
 
 Defined cases: null text has no bytes, so size 1; null metadata are in the first cell, with the smallest values; rows that are equal in every part of
 the order are interchangeable; an empty table gives an empty result; other columns are ignored.
@@ -69,8 +69,8 @@ def number_bounds(docs: DataFrame, columns: list[str], cells: int) -> dict[str,
     return {c: sorted(set(found[i] or [])) for i, c in enumerate(columns)}
 
 
-def place(docs: DataFrame, dims: list[str], bits: int = 4, bucket_rows: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", n_shards: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, hilbert, shard, slot."""
+def place(docs: DataFrame, dims: list[str], bits: int = 4, bucket_rows: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", n_shards: int = 16, carry: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, hilbert, shard, slot; carry adds row, all of docs."""
     kinds = dict(docs.dtypes)
     cells = 1 << bits
     bounds = number_bounds(docs, [d for d in dims if kinds[d] != "string"], cells) | {d: text_bounds(docs, d, cells) for d in dims if kinds[d] == "string"}
@@ -78,32 +78,35 @@ def place(docs: DataFrame, dims: list[str], bits: int = 4, bucket_rows: int = 1
     above = lambda d: reduce(lambda a, b: a + b, [F.coalesce((value(d) > F.lit(b)).cast("int"), F.lit(0)) for b in bounds[d]], F.lit(0))
     cell = reduce(lambda a, b: F.shiftleft(a, bits).bitwiseOR(b), [above(d) for d in dims], F.lit(0))
     on_curve = F.element_at(F.lit(curve(len(dims), bits)), cell + 1).alias("hilbert")
-    turn = F.xxhash64(F.col(doc_id).cast("string")).alias("turn")
-    counts = docs.select(on_curve).groupBy("hilbert").agg(F.count("*").alias("k"))
+    checksum = F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).alias("text_crc32")
+    turn = F.xxhash64(F.col(doc_id).cast("string"), checksum, F.monotonically_increasing_id()).alias("turn")
+    rows = written(docs.select(
+        F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").__add__(1).alias("size"), checksum, on_curve, turn, *[F.struct(*docs.columns).alias("row")] * carry), "order")
+    counts = rows.groupBy("hilbert").agg(F.count("*").alias("k"))
     split = F.greatest(F.lit(3), F.ceil(F.log2(F.col("k") / bucket_rows))).cast("int").alias("split")
     splits = F.broadcast(written(counts.select("hilbert", split), "cells"))  # 2^(dimensions*bits) rows at most
     part = F.call_function("shiftrightunsigned", "turn", 64 - F.col("split")).alias("part")
-    order = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").__add__(1).alias("size"),
-        F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).alias("text_crc32"),
-        on_curve, turn,
-    ).join(splits, "hilbert").select("doc_id", "size", "text_crc32", "hilbert", "turn", part)
+    order = rows.join(splits, "hilbert").select(*rows.columns, part)
     # At most 8 * 2^(dimensions*bits) + 2 * rows / bucket_rows buckets.
-    buckets = docs.select(on_curve, turn).join(splits, "hilbert").select("hilbert", part).groupBy("hilbert", "part").agg(F.count("*").alias("n"))
+    buckets = order.groupBy("hilbert", "part").agg(F.count("*").alias("n"))
     starts = buckets.select("hilbert", "part", (F.sum("n").over(Window.orderBy("hilbert", "part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("total"))
-    in_bucket = Window.partitionBy("hilbert", "part").orderBy("turn", "doc_id", "text_crc32", "size")
+    in_bucket = Window.partitionBy("hilbert", "part").orderBy("turn", "doc_id", "text_crc32", "size")  # turns that clash go by the rest
     ranked = order.withColumn("rank", F.row_number().over(in_bucket)).join(F.broadcast(starts), ["hilbert", "part"])
     rank = F.col("before") + F.col("rank") - 1
     shard = F.expr(f"(before + rank - 1) * {n_shards} div total")
     first = F.expr("(shard * total + {0} - 1) div {0}".format(n_shards))
+    own = ["doc_id", "size", "text_crc32", "hilbert", *["row"] * carry]
     return (
-        ranked.select("doc_id", "size", "text_crc32", "hilbert", "total", rank.alias("r"), shard.alias("shard"))
-        .select("doc_id", "size", "text_crc32", "hilbert", F.col("shard").cast("int").alias("shard"), (F.col("r") - first).alias("slot"))
+        ranked.select(*own, "total", rank.alias("r"), shard.alias("shard"))
+        .select(*own, F.col("shard").cast("int").alias("shard"), (F.col("r") - first).alias("slot"))
     )
 
 
-def write(shards: DataFrame, docs: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Write docs as one folder of Parquet for each shard, rows in curve order."""
-    placed = docs.join(shards.select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
+def write(docs: DataFrame, dims: list[str], path: str, **placing) -> None:
+    """Write docs, placed by these dimensions, as one folder of Parquet for each shard, rows in curve order. Every row once: repeated ids and rows without id are as good as others.
+
+    The rows travel with their places, so no key has to find them again; they are written to the shared folder and shuffled once."""
+    if {"shard", "slot"} & set(docs.columns):
+        raise ValueError("docs has a column named shard or slot")
+    placed = place(docs, dims, carry=True, **placing).select("row.*", "shard", "slot")
     placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)

@@ -430,12 +430,33 @@ def test_shards_odd_rows(odd, none):
 
 
 def test_shards_are_written_in_order(docs, spark, tmp_path):
-    shards = hilbert_shards.place(docs, ["source", "lang", "n_chars"])
-    hilbert_shards.write(shards, docs, str(tmp_path / "out"))
+    hilbert_shards.write(docs, ["source", "lang", "n_chars"], str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 16
 
 
+def test_shards_are_written_whole_with_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(1, "a", "s", 3), (1, "b", "s", 3), (1, "b", "s", 3), (None, "c", None, None), (2, None, "t", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    hilbert_shards.write(odd, ["source", "n_chars"], str(tmp_path / "out"), n_shards=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, (tuple(r) for r in back.drop("shard").collect()))) == sorted(map(repr, rows))
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [2, 3]
+    with pytest.raises(ValueError):
+        hilbert_shards.write(odd.withColumn("slot", F.lit(1)), ["source"], str(tmp_path / "no"))
+
+
+def test_rows_without_id_are_many_buckets(spark):
+    """A third of the rows have neither id nor text of their own; a bucket sorts few of them."""
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, 'same', concat('t', id)) as text", "'s' as source").repartition(3)
+    got = hilbert_shards.place(rows, ["source"], bucket_rows=500)
+    text = got._jdf.queryExecution().toString()
+    sizes = collections.Counter((r.shard) for r in got.collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and sum(sizes.values()) == 9000 and "row_number" in text
+    turns = rows.select(F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.crc32(F.encode("text", "UTF-8")), F.monotonically_increasing_id()), 59).alias("part"), "doc_id").where("doc_id is null").groupBy("part").count()
+    assert max(r["count"] for r in turns.collect()) < 200
+
+
 # 9
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
