@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlight.functions import text as ft
-from barlight.operators import lifecycle, redact, search, summary
+from barlight.operators import index, lifecycle, redact, search, summary
 from barlight.plans.bar_queries import table
 from barlight.sources import notes as note_source
+from barlight.sources.scratch import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -273,6 +274,38 @@ def t1_snippets(spark, sf_dir):
     return joined.select("query_id", "doc_id", search.snippet(F.col("text"), F.array_distinct(ft.search_tokens(F.col("query")))).alias("snippet"))
 
 
+def changed_sql(where: str) -> str:
+    """SEARCH over the texts that an index holds after its changes."""
+    return SEARCH.replace("FROM documents", "FROM held").replace("\ntok AS", f"\nheld AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN lang || ' ' || reverse(text) ELSE text END AS text FROM documents WHERE {where}),\ntok AS", 1)
+
+
+def changed_index(spark: SparkSession, sf_dir: str) -> str:
+    """An index of half of the documents that then gets the rest, loses every eleventh, and has every seventh replaced by its text backwards."""
+    path, d = scratch_path(spark, "index"), docs(spark, sf_dir)
+    index.rebuild(d.where("doc_id % 2 = 0"), path, plain_tokens)
+    index.upsert(d.where("doc_id % 2 = 1"), path, plain_tokens)
+    index.remove(d.where("doc_id % 11 = 5").select("doc_id"), path)
+    backwards = d.where("doc_id % 7 = 3 and doc_id % 11 <> 5").select("doc_id", F.concat_ws(" ", "lang", F.reverse("text")).alias("text"))
+    index.upsert(backwards, path, plain_tokens)
+    return path
+
+
+@query(f"WITH {changed_sql('doc_id % 11 <> 5')} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM hits")
+def t1_index_after_changes(spark, sf_dir):
+    """Every benchmark item asked of an index with four segments."""
+    found = index.search(changed_index(spark, sf_dir), asked(spark, sf_dir), plain_tokens)
+    return found.withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {changed_sql('doc_id % 11 <> 5')} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM hits")
+def t1_merged_index(spark, sf_dir):
+    """The same after the segments are merged into one."""
+    path = changed_index(spark, sf_dir)
+    index.merge(spark, path)
+    found = index.search(path, asked(spark, sf_dir), plain_tokens)
+    return found.withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
+
+
 RECALL = f"""
 terms AS (SELECT DISTINCT doc_id AS id, 2 AS w, 0 AS field, unnest(regexp_extract_all(lower(left(text, 40) || ' ' || lang), {TOKEN})) AS term FROM documents
   UNION ALL SELECT DISTINCT doc_id, 2, 1, unnest(regexp_extract_all(lower(lang || ' ' || source), {TOKEN})) FROM documents
@@ -318,6 +351,17 @@ def k12_token_sets(spark, sf_dir):
     return j.select("doc_id", "item_id", F.size(F.array_intersect(x, y)).cast("long").alias("shared"), F.round(search.jaccard(x, y), 9).alias("jaccard"))
 
 
+@query(f"""WITH {SEARCH}, {RECALL} SELECT query_id, doc_id AS id, rank, 'index' AS via FROM hits
+UNION ALL SELECT query_id, id, rank, 'scan' FROM recall WHERE query_id NOT IN (SELECT query_id FROM hits)""")
+def t3_rebuilt_chain(spark, sf_dir):
+    """The chain that finds its index empty (all documents were removed), builds it once and asks it again."""
+    path, d, q = scratch_path(spark, "index"), docs(spark, sf_dir), asked(spark, sf_dir)
+    index.upsert(d, path, plain_tokens)
+    index.remove(d.select("doc_id"), path)
+    out = index.search_chain(path, q, d, plain_tokens, lambda missed: search.recall(notes(spark, sf_dir), missed))
+    return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "via")
+
+
 # ---- summaries ----
 
 SCORED = f"""
