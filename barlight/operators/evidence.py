@@ -51,35 +51,55 @@ def numeric_leaves(payloads: DataFrame, value: str = "value", key: str = "id", m
     return given.mapInArrow(run, T.StructType([given.schema["id"], T.StructField("path", T.StringType()), T.StructField("value", T.DoubleType())]))
 
 
+def band(x: Column, share: float, least: float) -> Column:
+    """A whole number that grows with x, so that of two values within max(share * |o|, least) of each other (o the one observed) the numbers differ by one at most: even steps near 0, logarithmic beyond."""
+    zone, width = least / share, -math.log1p(-share)
+    place = F.when(F.abs(x) <= zone, F.abs(x) / least).otherwise(1 / share + F.log(F.abs(x) / zone) / width)
+    return F.floor(F.signum(x) * place / 1.05).cast("long")
+
+
 def check_claims(claims: DataFrame, observed: DataFrame, share: float = 0.005, least: float = 1e-9) -> DataFrame:
     """claims: claim_id, symbol, field, value (and date, ISO text or a head of it); observed: symbol, field, value (and date).
 
     ok if some observation of the same symbol and field, and of a date that starts with the claim's, is within its tolerance, conflict with the
     observed range if none is, unavailable without any; a claim without symbol is of the only symbol observed, ambiguous if there are several.
-    Observations are first made distinct and ordered: a claim's nearest ones on either side are found by merging the two
-    sorted lists, so no claim meets every observation of its symbol. The tolerance grows with the observation, so the
-    nearest one above and below in value decide.
+    Different values are dealt out by bands about as wide as the tolerance: an observation goes to its own, a claim to its own and both neighbours. In a band a
+    claim's nearest observations on either side are found by merging the two sorted lists, so no claim meets every observation, and a
+    symbol and field with a third of all rows is as many tasks as its values have bands. The tolerance grows with the observation, so the nearest one above and
+    below in value decide.
     """
     dated = "date" in claims.columns and "date" in observed.columns
     keys = ["symbol", "field", *(["date"] if dated else [])]
-    seen = observed.select(*keys, "value").distinct()
-    given = claims.select("claim_id", *keys, "value")
+    seen = observed.select(*keys, F.col("value").cast("double").alias("value")).distinct()
+    given = claims.select("claim_id", *keys, F.col("value"))
     if dated:  # an observation counts for every head of its date that claims ask for: year, month, day
         heads = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in (0, 4, 7, 10)]), lambda n: F.left(F.coalesce("date", F.lit("")), n)))
         seen = seen.withColumn("date", F.explode(heads)).distinct()
         given = given.withColumn("date", F.left(F.coalesce("date", F.lit("")), F.lit(10)))
     only = observed.agg(F.min("symbol").alias("_one"), (F.min("symbol") != F.max("symbol")).alias("_many"))
     given = given.join(F.broadcast(only), F.lit(True)).withColumn("_own", F.col("symbol")).withColumn("symbol", F.coalesce("symbol", F.when(~F.col("_many"), F.col("_one"))))
-    both = given.withColumn("_side", F.lit(1)).unionByName(seen.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    ranges = seen.groupBy(*keys).agg(F.min("value").alias("observed_min"), F.max("value").alias("observed_max"))
+
+    value = F.col("value").cast("double")
+    asked = given.select(*keys, value.alias("value")).distinct().where("value is not null").withColumn("_side", F.lit(1))
+    asked = asked.withColumn("_band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: band(F.col("value"), share, least) + i)))
+    both = asked.unionByName(seen.where("value is not null").withColumn("_side", F.lit(0)).withColumn("_band", band(F.col("value"), share, least)))
     of = F.when(F.col("_side") == 0, F.col("value"))
-    group = Window.partitionBy(*keys)
-    up, down = group.orderBy("value", "_side"), group.orderBy(F.desc("value"), "_side")
+    group = Window.partitionBy(*keys, "_band")
     upto = lambda w: F.last(of, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = both.withColumns({"_below": upto(up), "_above": upto(down), "observed_min": F.min(of).over(group), "observed_max": F.max(of).over(group)}).where("_side = 1")
+    rows = both.withColumns({"_below": upto(group.orderBy("value", "_side")), "_above": upto(group.orderBy(F.desc("value"), "_side"))}).where("_side = 1")
     near = lambda o: F.coalesce(F.abs(F.col("value") - o) <= F.greatest(share * F.abs(o), F.lit(least)), F.lit(False))
-    verdict = F.when(F.col("symbol").isNull() & F.col("_many"), "ambiguous").when(F.col("observed_min").isNull(), "unavailable").when(near(F.col("_below")) | near(F.col("_above")), "ok").otherwise("conflict")
+    held = rows.groupBy(*keys, "value").agg(F.bool_or(near(F.col("_below")) | near(F.col("_above"))).alias("_ok")).where("_ok")
+
+    met = given
+    for part, on in ((ranges, keys), (held, [*keys, "value"])):
+        renamed = part.select(*[F.col(c).alias(f"_k_{c}" if c in on else c) for c in part.columns])
+        same = [(value if c == "value" else F.col(c)).eqNullSafe(F.col(f"_k_{c}")) for c in on]
+        met = met.join(renamed, same, "left").drop(*[f"_k_{c}" for c in on])
+    ambiguous = F.col("symbol").isNull() & F.coalesce("_many", F.lit(False))
+    verdict = F.when(ambiguous, "ambiguous").when(F.col("observed_min").isNull(), "unavailable").when(F.col("_ok"), "ok").otherwise("conflict")
     shown = [F.when(verdict == "conflict", F.col(c)).alias(c) for c in ("observed_min", "observed_max")]
-    return rows.select("claim_id", F.col("_own").alias("symbol"), *keys[1:], "value", verdict.alias("verdict"), *shown)
+    return met.select("claim_id", F.col("_own").alias("symbol"), *keys[1:], "value", verdict.alias("verdict"), *shown)
 
 
 def unnamed_provenance(answers: DataFrame, cited: DataFrame) -> DataFrame:
@@ -108,7 +128,7 @@ def citation_faults(texts: DataFrame, known: DataFrame, key: str = "doc_id", tex
     cites = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit("\\[\\[([^\\]]*)\\]\\]"), F.lit(1))).alias("inside"))
     cites = cites.withColumn("evidence_id", F.regexp_extract("inside", "^(e[0-9]+)", 1))
     bare = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, "\\[\\[[^\\]]*\\]\\]", " "), F.lit("(?<![\\w.~])(?!(?:19|20)\\d{2}(?![\\w.]))\\d+(?:\\.\\d+)?(?!\\w)"), F.lit(0)))).alias("what"))
-    joined = cites.join(F.broadcast(known), "evidence_id", "left")
+    joined = cites.join(known, "evidence_id", "left")
     fault = F.when(F.col("metric").isNull(), "unknown id").when(~F.col("visible"), "not visible").when(~F.contains("inside", "metric"), "metric not named")
     return bare.select(key, F.lit("bare number").alias("fault"), "what").unionByName(joined.select(key, fault.alias("fault"), F.col("inside").alias("what")).where("fault is not null"))
 

@@ -54,19 +54,26 @@ def breaks(bars: DataFrame, expected_ns: int) -> DataFrame:
     return pairs.where(F.col("gap_to") - F.col("gap_from") > expected_ns)
 
 
-def manifest_errors(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """Gaps of the manifest that no break overlaps.
+def manifest_errors(manifest: DataFrame, found: DataFrame, bin_ns: int = 30 * source.DAY_NS) -> DataFrame:
+    """Gaps of the manifest that no break overlaps. Repeated gaps are errors each.
 
-    Both lists are merged in time order: an interval meets an earlier one if the latest end so far passes its start, and a later
-    one if the earliest start that follows comes before its end. No pair of intervals is built.
+    Intervals are dealt out by the bins of time that they touch, so one symbol is as many tasks as it has bins; two that overlap share the bin in which
+    the later one begins. In a bin both lists are merged in time order: an interval meets an earlier one if the latest end so far passes its start,
+    and a later one if the earliest start that follows comes before its end. No pair of intervals is built. A gap without an end touches no bin and is an error.
     """
-    both = manifest.select("symbol", "gap_from", "gap_to", F.lit(0).alias("_found")).unionByName(found.select("symbol", "gap_from", "gap_to", F.lit(1).alias("_found")))
-    of = Window.partitionBy("symbol")
+    columns = ["symbol", "gap_from", "gap_to"]
+    asked = manifest.select(*columns).groupBy(*columns).agg(F.count("*").alias("_n"))
+    bins = F.sequence(F.floor(F.col("gap_from") / F.lit(bin_ns)), F.floor(F.greatest("gap_from", F.col("gap_to") - 1) / F.lit(bin_ns)))
+    both = asked.select(*columns, F.lit(0).alias("_found")).unionByName(found.select(*columns, F.lit(1).alias("_found"))).where("gap_from is not null and gap_to is not null")
+    dealt = both.withColumn("_bin", F.explode(bins))
+    of = Window.partitionBy("symbol", "_bin")
     forth, back = of.orderBy("gap_from", F.desc("_found"), "gap_to"), of.orderBy(F.desc("gap_from"), "_found", F.desc("gap_to"))
     end = F.max(F.when(F.col("_found") == 1, F.col("gap_to"))).over(forth.rowsBetween(Window.unboundedPreceding, -1))
     start = F.min(F.when(F.col("_found") == 1, F.col("gap_from"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     met = F.coalesce(end > F.col("gap_from"), F.lit(False)) | F.coalesce(start < F.col("gap_to"), F.lit(False))
-    return both.withColumn("_met", met).where("_found = 0 and not _met").select("symbol", "gap_from", "gap_to", F.lit("no break in the bars").alias("error"))
+    hit = dealt.withColumn("_met", met).where("_found = 0 and _met").select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct()
+    left = asked.join(hit, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns], "left_anti")
+    return left.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns, F.lit("no break in the bars").alias("error"))
 
 
 def causal_baseline(bars: DataFrame, column: str, width_ns: int, embargo_ns: int) -> DataFrame:

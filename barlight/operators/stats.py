@@ -9,7 +9,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barlight.operators.folds import folded
@@ -179,6 +179,48 @@ def content_fingerprint(rows: DataFrame, key: str, order: list[str], row_hash: C
     return folded(given, [key], [*order, "_h"], content, f"`{key}` {rows.schema[key].dataType.simpleString()}, n long, content string")
 
 
+def leaves(rows: DataFrame, key: str, leaf: Column, order: list[str], row_hash: Column) -> DataFrame:
+    """key, leaf, n, digest: sha256 over the hashes of the rows of each fixed range of a key's order, in that order (rows that tie, by hash).
+
+    leaf numbers the ranges and has to grow with the order; it depends on a row's own values alone, so a changed row changes one leaf. A key is as many tasks as it has leaves."""
+
+    def content(group: Iterator[dict]) -> Iterator[dict]:
+        whole = hashlib.sha256()
+        for n, row in enumerate(group):
+            whole.update(f",{row['_h']}".encode() if n else row["_h"].encode())
+        yield {key: row[key], "leaf": row["leaf"], "n": n + 1, "digest": whole.hexdigest()}
+
+    given = rows.select(key, leaf.cast("long").alias("leaf"), *order, row_hash.alias("_h"))
+    return folded(given, [key, "leaf"], [*order, "_h"], content, f"`{key}` {rows.schema[key].dataType.simpleString()}, leaf long, n long, digest string")
+
+
+def root(leaves: DataFrame, key: str) -> DataFrame:
+    """key, n, leaves (how many), root: sha256 over the numbers and digests of a key's leaves in order, read one by one."""
+
+    def content(group: Iterator[dict]) -> Iterator[dict]:
+        whole, n = hashlib.sha256(), 0
+        for i, row in enumerate(group):
+            whole.update(f"{',' * (i > 0)}{row['leaf']}:{row['digest']}".encode())
+            n += row["n"]
+        yield {key: row[key], "n": n, "leaves": i + 1, "root": whole.hexdigest()}
+
+    return folded(leaves, [key], ["leaf"], content, f"`{key}` {leaves.schema[key].dataType.simpleString()}, n long, leaves long, root string")
+
+
+def changed_leaves(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, leaf, change (changed, new or gone) of two tables of leaves: what has to be compared row by row."""
+    a, b = (x.select(F.col(key).alias(f"_{i}"), F.col("leaf").alias(f"_l{i}"), F.col("digest").alias(f"_d{i}")) for i, x in enumerate((before, after)))
+    met = a.join(b, F.col("_0").eqNullSafe(F.col("_1")) & F.col("_l0").eqNullSafe(F.col("_l1")), "full_outer")
+    change = F.when(F.col("_d0").isNull(), "new").when(F.col("_d1").isNull(), "gone").when(F.col("_d0") != F.col("_d1"), "changed")
+    return met.select(F.coalesce("_0", "_1").alias(key), F.coalesce("_l0", "_l1").alias("leaf"), change.alias("change")).where("change is not null")
+
+
+def byte_fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """name, size, digest: sha256 over the bytes of each file below a folder, whatever is in them. A file is read whole by one task; Spark refuses those of 2 GB and more."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
 def fingerprint(*fields: Column) -> Column:
     """sha256 over the fields' canonical texts; arrays have to be sorted by the caller."""
     return F.sha2(F.concat_ws("||", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]), 256)

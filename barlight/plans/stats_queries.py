@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barlight.operators import specs as spec
 from barlight.operators import stats
 from barlight.plans.bar_queries import DAILY, HOURS, daily, hourly, sql, table
+from barlight.sources.scratch import cleared, materialise, scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -51,7 +52,15 @@ def x10_confirm_rule(spark, sf_dir):
     return stats.confirmed(discovery, confirm, "event_id", days=32)
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, (value - 50) / 20 AS z, event_id % 60 + 2 AS n_effective FROM events),
+t AS (SELECT *, n_effective - 1 AS v, atan(abs(z) / sqrt(n_effective - 1)) AS a, least(abs(z) / sqrt(2), 6.0) AS x FROM e),
+s AS (SELECT *, cos(a) * cos(a) AS c2,
+  list_reduce(list_concat([[x, x]], list_transform(range(1, 120), lambda i: [CAST(i AS DOUBLE), 0.0])), lambda s, i: [s[1] * 2 * x * x / (2 * i[1] + 1), s[2] + s[1] * 2 * x * x / (2 * i[1] + 1)])[2] AS series,
+  list_reduce(list_concat([[1.0::DOUBLE, 1.0::DOUBLE]], list_transform(range(1, v // 2), lambda i: [CAST(i AS DOUBLE), 0.0])),
+    lambda s, i: [s[1] * (2 * i[1] - 1) / (2 * i[1]) * cos(a) * cos(a), s[2] + s[1] * (2 * i[1] - 1) / (2 * i[1]) * cos(a) * cos(a)])[2] AS even,
+  list_reduce(list_concat([[cos(a), cos(a)]], list_transform(range(1, (v - 1) // 2), lambda i: [CAST(i AS DOUBLE), 0.0])),
+    lambda s, i: [s[1] * 2 * i[1] / (2 * i[1] + 1) * cos(a) * cos(a), s[2] + s[1] * 2 * i[1] / (2 * i[1] + 1) * cos(a) * cos(a)])[2] AS odd FROM t)
+SELECT event_id, z, n_effective, round(1 - CASE WHEN n_effective >= 30 THEN 2 / sqrt(pi()) * exp(-x * x) * series WHEN v = 1 THEN 2 * a / pi() WHEN v % 2 = 0 THEN sin(a) * even ELSE 2 / pi() * (a + sin(a) * odd) END, 9) AS p FROM s""")
 def x7_p_values(spark, sf_dir):
     """Two-sided p-values of the events' standardised values, Normal or Student-t by effective size."""
     e = table(spark, sf_dir, "events")
@@ -141,6 +150,43 @@ def x19_content_fingerprint(spark, sf_dir):
     return stats.content_fingerprint(p, "p_brand", ["p_partkey"], stats.fingerprint(F.col("p_partkey"), F.col("p_name")))
 
 
+LEAVES = """leaf AS (SELECT p_brand, p_partkey // 64 AS leaf, count(*) AS n, sha256(string_agg(sha256(p_partkey || '||' || p_name), ',' ORDER BY p_partkey)) AS digest FROM part GROUP BY 1, 2)"""
+
+
+def part_leaves(p: DataFrame) -> DataFrame:
+    return stats.leaves(p, "p_brand", F.expr("p_partkey div 64"), ["p_partkey"], stats.fingerprint(F.col("p_partkey"), F.col("p_name")))
+
+
+@query(f"WITH {LEAVES} SELECT p_brand, CAST(sum(n) AS BIGINT) AS n, count(*) AS leaves, sha256(string_agg(leaf || ':' || digest, ',' ORDER BY leaf)) AS root FROM leaf GROUP BY 1")
+def x19_digest_tree(spark, sf_dir):
+    """A table's content as a tree: digests of ranges of 64 keys, and of their list."""
+    return stats.root(part_leaves(table(spark, sf_dir, "part")), "p_brand")
+
+
+@query("SELECT DISTINCT p_brand, p_partkey // 64 AS leaf, 'changed' AS change FROM part WHERE p_partkey % 97 = 5")
+def x19_changed_leaves(spark, sf_dir):
+    """Every 97th name changes; the leaves that hold one of these do, no others."""
+    p = table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 97 == 5, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
+    return stats.changed_leaves(part_leaves(p), part_leaves(p.withColumn("p_name", name)), "p_brand")
+
+
+@query(f"""WITH {LEAVES}, r AS (SELECT p_brand, sha256(string_agg(leaf || ':' || digest, ',' ORDER BY leaf)) AS root FROM leaf GROUP BY 1)
+SELECT p_brand, root, true AS same_content, false AS same_bytes FROM r""")
+def x19_content_and_bytes(spark, sf_dir):
+    """The same rows in files of two layouts: the content's roots agree, no file's bytes do."""
+    p, roots, files = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), [], []
+    with cleared(spark) as keep:
+        for n, order in ((1, "p_partkey"), (2, "p_name")):
+            path = scratch_path(spark, "layout")
+            p.repartition(n).sortWithinPartitions(order).write.parquet(path)
+            roots.append(materialise(stats.root(part_leaves(spark.read.schema(p.schema).parquet(path)), "p_brand").select("p_brand", "root"), "root"))
+            files.append(materialise(stats.byte_fingerprint(spark, path).where("name like 'part-%'"), "bytes"))
+        shared = files[0].join(files[1].withColumnRenamed("name", "_n").drop("size"), "digest").agg((F.count("*") > 0).alias("same_bytes"))
+        both = roots[0].join(roots[1].withColumnRenamed("root", "_root"), "p_brand").join(F.broadcast(shared), F.lit(True))  # one row
+        return keep(materialise(both.select("p_brand", "root", (F.col("root") == F.col("_root")).alias("same_content"), "same_bytes"), "compared"))
+
+
 @query("SELECT p_brand AS generator, count(*) AS n, round(avg(CASE WHEN (p_size > 25) = (p_retailprice > 1000) THEN 1.0 ELSE 0.0 END), 9) AS hit_rate FROM part GROUP BY 1")
 def x22_sign_hit_rate(spark, sf_dir):
     hit = ((F.col("p_size") > 25) == (F.col("p_retailprice") > 1000)).cast("double")
