@@ -1,21 +1,22 @@
 """Secret scan: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Two first-order character models are trained from labelled samples: values that the fixed patterns find (random
-strings) and other identifiers of the same texts (ordinary). What no fixed pattern covers is cut into runs of characters, and these
+Two first-order character models are trained from labelled samples: values that the fixed patterns find and strings drawn from
+the alphabets that keys are written in (random strings), and other identifiers of the same texts, also joined by pairs and in capitals, and drawn numbers and dates (ordinary). What no fixed pattern covers is cut into runs of characters, and these
 at / + = _ - into segments. The neighbouring segments with the largest sum of log-likelihood ratio less threshold, over their characters, are
 a secret where that sum is above 0, as is a whole run of FULL characters or more whose sum is (a stretch shorter than FULL characters pays the threshold for as many); then the segments
 on either side are tried in the same way. The sample is
 about `sample_docs` different texts with a secret and as many of any kind, those with the smallest hash (all of them if there are fewer); every text
 is scanned whole.
 
-Defined cases: null text is empty and has no spans; with no labelled secrets at all the random model falls back to
-its smoothing, a uniform distribution; repeated rows are scanned each by themselves; an empty table gives an empty
+Defined cases: null text is empty and has no spans; with no labelled secrets at all the random model knows
+the drawn strings alone; repeated rows are scanned each by themselves; an empty table gives an empty
 result; other columns stay out of the result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +38,11 @@ LEAST, FULL, SHORT = 12, 16, 4  # characters of a secret: at least, and those wh
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 SEGMENT = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+CAPITALS, SMALL, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+LETTERS = CAPITALS + SMALL + DIGITS + "+/_=-."
+#: Alphabets that keys are written in; strings drawn from each are labelled as random, beside the values found.
+ALPHABETS = [DIGITS + "abcdef", DIGITS + "ABCDEF", CAPITALS + "234567", CAPITALS + DIGITS, SMALL + DIGITS, CAPITALS + SMALL + DIGITS, CAPITALS + SMALL + DIGITS + "+/", CAPITALS + SMALL + DIGITS + "-_"]
+DRAWN = 400  # strings of an alphabet, of 32 characters
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,13 +66,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 class Markov:
-    """Log-probabilities of a first character and of each next one, add-one smoothed."""
+    """Log-probabilities of a first character and of each next one. Where few followers were seen, those of all characters together stand in (with the weight of one follower for each
+    character; their own counts are add-one smoothed)."""
 
     CODE = np.full(256, len(LETTERS), np.int64)
     CODE[[ord(c) for c in LETTERS]] = range(len(LETTERS))
 
     def __init__(self, pairs: np.ndarray):
-        self.log = np.log((pairs + 1.0) / (pairs + 1.0).sum(1, keepdims=True))
+        n = len(pairs)
+        whole = (pairs.sum(0) + 1.0) / (pairs.sum() + n)
+        self.log = np.log((pairs + n * whole) / (pairs.sum(1, keepdims=True) + n))
 
     @classmethod
     def pairs(cls, counts: dict[str, int]) -> np.ndarray:
@@ -79,6 +87,12 @@ class Markov:
         return out
 
 
+def drawn(alphabets: list[str], seed: int = 9) -> Counter:
+    """Random strings of each alphabet, the same every time."""
+    rng = random.Random(seed)
+    return Counter("".join(rng.choices(a, k=32)) for a in alphabets for _ in range(DRAWN))
+
+
 def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """Table of log-likelihood ratios, random over ordinary, by previous and next character (67 x 67)."""
     n = len(LETTERS) + 1
@@ -92,7 +106,9 @@ def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text
                 words[1].update(secret_values(t, spans))
                 at = 0
                 for s, _, e in [*spans, (len(t), 0, 0)]:
-                    words[0].update(w for w in WORD.findall(t[at:s]) if w.isascii())
+                    found = [w for w in WORD.findall(t[at:s]) if w.isascii()]
+                    paired = [a + (b[:1].upper() + b[1:] if i % 4 == 3 else "_-/"[i % 4] + b) for i, (a, b) in enumerate(zip(found, found[1:]))]  # as in paths and longer names
+                    words[0].update(x for w in [*found, *paired] for x in {w, w.upper()})
                     at = max(at, e)
             total += [Markov.pairs(w) for w in words]
         where = np.nonzero(total)
@@ -111,6 +127,9 @@ def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text
     sample = once.select("text").mapInArrow(count, "label int, a int, b int, k long")
     for row in sample.groupBy("label", "a", "b").agg(F.sum("k").alias("k")).collect():  # 2 * 67 * 67 rows at most
         table[row.label, row.a, row.b] = row.k
+    plain = drawn([DIGITS])
+    table[0] += Markov.pairs(plain) + Markov.pairs(Counter("-".join((w[:4], w[4:6], w[6:8])) for w in plain))
+    table[1] += Markov.pairs(drawn(ALPHABETS))
     return Markov(table[1]).log - Markov(table[0]).log
 
 

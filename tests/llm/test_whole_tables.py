@@ -1,6 +1,7 @@
 """Operators without SQL against brute force over the whole smallest tables, and on shapes that once went wrong."""
 
 import collections
+import random
 import re
 import unicodedata
 
@@ -174,3 +175,25 @@ def test_secret_spans_match_every_stretch(spark, small, docs):
         assert sorted(base) == sorted((s, e) for s, _, e in brute_base_spans(t)) and len(own) == r.n_markov
         assert all(e - s >= 12 and score(t[s:e].rstrip("=")) > -1e-6 for s, e in own)
         assert all(e <= a or b <= s for s, e in own for a, b in base)
+
+
+def test_planted_secrets_of_every_alphabet_and_length(spark, small, docs):
+    """A string by rule after each whole text: of 16 characters and more nearly all are found in every alphabet, in one span that covers them, and nothing else is."""
+    ratio = secret_markov.train(docs)
+    lengths = (16, 20, 24, 32, 40)
+    rng, planted = random.Random(11), {}
+    for k in sorted(r.doc_id for r in docs.select("doc_id").collect()):
+        for i, alphabet in enumerate(secret_markov.ALPHABETS):
+            planted[k, i] = "".join(rng.choices(alphabet, k=lengths[(k + i) % len(lengths)]))
+    whole = texts_of(docs)
+    rows = [(k * 100 + i, f"{whole[k]} seen {w} then") for (k, i), w in planted.items()]
+    got = {r.doc_id: r for r in secret_markov.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), ratio).collect()}
+    found, others = collections.defaultdict(list), 0
+    for key, text in rows:
+        k, i = divmod(key, 100)
+        spans = [(int(a), int(b)) for _, a, b in (s.split(":") for s in got[key].spans.split(",") if s)]
+        at = len(text) - len(" then") - len(planted[k, i])
+        found[i, len(planted[k, i])].append(any(a <= at and b >= at + len(planted[k, i]) for a, b in spans))
+        others += sum(b <= at - len(" seen") for a, b in spans) - len(secret_markov.base_spans(text[: at - len(" seen")]))
+    recall = {key: np.mean(hits) for key, hits in found.items()}
+    assert others == 0 and min(recall.values()) > 0.7 and np.mean([x for x in recall.values()]) > 0.93
