@@ -177,15 +177,21 @@ def sensitive(key: Column, result: bool = False) -> Column:
     return hit & (folded != "content") if result else hit
 
 
+def hides(key: str, result: bool) -> bool:
+    """sensitive() of one key."""
+    forms = [(key.strip().lower(), {*EXACT, *ACCOUNTS}, MARKS), (fold(key.lower()), {fold(k) for k in (*EXACT, *ACCOUNTS)}, [fold(m) for m in MARKS])]
+    return not (result and forms[1][0] == "content") and any(form in exact or any(m in form for m in marks) for form, exact, marks in forms)
+
+
 def redact_map(flat: Column, result: bool = False) -> Column:
     """A map of strings: values of sensitive keys masked, the others' text redacted (all values of a map at once)."""
 
     @F.pandas_udf("array<string>")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda values: None if values is None else [redacted(v) for v in values])
+    def run(keys: pd.Series, values: pd.Series) -> pd.Series:
+        shown = [None if v is None else [MASK if hides(name, result) else redacted(x) for name, x in zip(k, v)] for k, v in zip(keys, values)]
+        return pd.Series(shown, index=keys.index)
 
-    texts = run(F.map_values(flat))
-    return F.map_from_arrays(F.map_keys(flat), F.transform(F.map_keys(flat), lambda k, i: F.when(sensitive(k, result), MASK).otherwise(F.get(texts, i))))
+    return F.map_from_arrays(F.map_keys(flat), run(F.map_keys(flat), F.map_values(flat)))
 
 
 def redact_paths(text: Column, roots: list[str], mask: str = "<path>") -> Column:
@@ -204,22 +210,15 @@ def redact_json(value: Column, result: bool = True) -> Column:
     """
     import json
 
-    whole, parts = {*EXACT, *ACCOUNTS}, {*MARKS}
-    short, short_parts = {fold(k) for k in whole}, {fold(k) for k in parts}
-
     def shown(value: object) -> object:
         """A value of an object, or what is outside of all objects; objects within it are done already."""
         if isinstance(value, list):
             return [shown(v) for v in value]
         return redacted(value) if isinstance(value, str) else value
 
-    def hides(key: str) -> bool:
-        forms = [(key.strip().lower(), whole, parts), (fold(key.lower()), short, short_parts)]
-        return not (result and forms[1][0] == "content") and any(form in exact or any(m in form for m in marks) for form, exact, marks in forms)
-
     def as_read(pairs: list[tuple[str, object]]) -> dict:
         """Objects are redacted while they are parsed, the innermost first."""
-        return {k: MASK if hides(k) else shown(v) for k, v in pairs}
+        return {k: MASK if hides(k, result) else shown(v) for k, v in pairs}
 
     def one(s: str | None) -> str:
         try:

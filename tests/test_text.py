@@ -49,6 +49,10 @@ def test_redaction_of_keys_and_json(spark):
     keys = {"accountNumber": True, "Account Number": True, "account_ref": False, "x-authorization": True, "input_tokens": True, "content": True, "name": False}
     got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", redact.sensitive(F.col("k")).alias("s"), redact.sensitive(F.col("k"), result=True).alias("r")).collect()
     assert {r.k: r.s for r in got} == keys and not next(r.r for r in got if r.k == "content")
+    assert all(redact.hides(r.k, False) == r.s and redact.hides(r.k, True) == r.r for r in got)
+    flat = spark.sql("select map('token', 'x', 'content', 'password=abc', 'n', null) m union all select null").coalesce(1)
+    shown = [r[0] for r in flat.select(redact.redact_map(F.col("m"), result=True)).collect()]
+    assert shown == [{"token": "[redacted]", "content": "password=[redacted]", "n": ""}, None]
     assert one(spark, '{"a": [{"secretKey": 1, "out": "token=abcdef"}], "n": 1}', redact.redact_json) == '{"a": [{"secretKey": "[redacted]", "out": "token=[redacted]"}], "n": 1}'
     assert one(spark, "/srv/store/x and /srv/storeroom", lambda c: redact.redact_paths(c, ["/srv/store"])) == "<path>/x and /srv/storeroom"
 
