@@ -76,20 +76,71 @@ def manifest_errors(manifest: DataFrame, found: DataFrame, bin_ns: int = 30 * so
     return left.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns, F.lit("no break in the bars").alias("error"))
 
 
-def causal_baseline(bars: DataFrame, column: str, width_ns: int, embargo_ns: int) -> DataFrame:
-    """Count, mean and deviation of the values in [t - width - embargo, t - embargo). Rows without symbol or time are left out.
+def by_rows(bars: DataFrame, width_ns: int, embargo_ns: int) -> DataFrame:
+    """causal_baseline for narrow windows: symbol, event_time_ns and the three figures of _x, by a frame of rows.
 
     Spans of sixteen windows are the tasks; bars that windows of the next span reach are in both."""
     reach = width_ns + embargo_ns
     span, later = F.expr(f"event_time_ns div {16 * reach}"), F.expr(f"(event_time_ns + {reach}) div {16 * reach}")
-    rows = bars.where("symbol is not null and event_time_ns is not null").select("symbol", "event_time_ns", F.col(column).alias("_x"))
-    dealt = rows.withColumn("_span", F.explode(F.array_distinct(F.array(span, later)))).withColumn("_own", F.col("_span") == span)
+    dealt = bars.withColumn("_span", F.explode(F.array_distinct(F.array(span, later)))).withColumn("_own", F.col("_span") == span)
     w = Window.partitionBy("symbol", "_span").orderBy("event_time_ns").rangeBetween(-reach, -embargo_ns - 1)
     x = F.col("_x")
     made = dealt.withColumns({"base_n": F.count(x).over(w), "base_mean": F.avg(x).over(w), "base_sd": F.stddev_pop(x).over(w)})
     return made.where("_own").select("symbol", "event_time_ns", "base_n", "base_mean", "base_sd")
 
 
+def merged(parts: Column) -> Column:
+    """Count, mean and sum of squares about the mean of all parts, an array of such structs; parts that are null or empty say nothing."""
+    known = F.filter(parts, lambda p: p["n"] > 0)
+    n = F.aggregate(known, F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    mean = F.aggregate(known, F.lit(0.0), lambda s, p: s + p["n"] * p["mean"]) / F.nullif(n, F.lit(0).cast("long"))
+    first = F.struct(n.alias("n"), mean.alias("mean"))
+    off = lambda m: F.aggregate(known, F.lit(0.0), lambda s, p: s + p["m2"] + p["n"] * (p["mean"] - m) * (p["mean"] - m))
+    return F.element_at(F.transform(F.array(first), lambda f: F.struct(f["n"].alias("n"), f["mean"].alias("mean"), off(f["mean"]).alias("m2"))), 1)
+
+
+def by_hours(bars: DataFrame, width_ns: int, embargo_ns: int, hour_ns: int) -> DataFrame:
+    """causal_baseline for wide windows of whole hours: each distinct symbol and event_time_ns with the three figures of _x.
+
+    A window is the rest of its first hour, whole hours, and the beginning of its last hour. Both edges are running figures within an hour, so each row is met
+    twice; the hours between are one frame a symbol and hour, of as many entries as the window has hours. Nothing is subtracted."""
+    wide = width_ns // hour_ns
+    hour = lambda t: F.expr(f"({t} - pmod({t}, {hour_ns})) div {hour_ns}")
+    x = F.col("_x")
+    marks = bars.select("symbol", "event_time_ns").distinct()
+    values = bars.select("symbol", F.col("event_time_ns").alias("_t"), "_x", F.lit(0).alias("_kind"), F.col("event_time_ns").alias("_of"))
+    probe = lambda kind, back: marks.select("symbol", (F.col("event_time_ns") - back).alias("_t"), F.lit(None).cast("double").alias("_x"), F.lit(kind).alias("_kind"), F.col("event_time_ns").alias("_of"))
+    rows = values.unionByName(probe(1, embargo_ns)).unionByName(probe(2, embargo_ns + width_ns)).withColumn("_hour", hour("_t"))
+    of_hour = Window.partitionBy("symbol", "_hour")
+    before = of_hour.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    since = of_hour.orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    figures = lambda over: F.struct(over(F.count(x)).alias("n"), over(F.avg(x)).alias("mean"), (over(F.var_pop(x)) * over(F.count(x))).alias("m2"))
+    edges = rows.withColumns({"_before": figures(lambda a: a.over(before)), "_since": figures(lambda a: a.over(since))}).where("_kind > 0")
+    hours = rows.groupBy("symbol", "_hour").agg(figures(lambda a: a).alias("_whole"))
+    if wide > 1:
+        span = 16 * wide
+        dealt = hours.withColumn("_span", F.explode(F.array_distinct(F.array(F.floor(F.col("_hour") / span), F.floor((F.col("_hour") + wide) / span)))))
+        frame = Window.partitionBy("symbol", "_span").orderBy("_hour").rangeBetween(1 - wide, -1)
+        between = dealt.withColumn("_between", merged(F.collect_list("_whole").over(frame))).where(F.floor(F.col("_hour") / span) == F.col("_span")).select("symbol", "_hour", "_between")
+        edges = edges.join(between, ["symbol", "_hour"])
+    else:
+        edges = edges.withColumn("_between", F.lit(None).cast("struct<n:bigint,mean:double,m2:double>"))
+    part = lambda kind, name: F.max(F.when(F.col("_kind") == kind, F.col(name)))
+    joined = edges.groupBy("symbol", F.col("_of").alias("event_time_ns")).agg(merged(F.array(part(2, "_since"), part(1, "_between"), part(1, "_before"))).alias("_all"))
+    return joined.select("symbol", "event_time_ns", F.col("_all.n").alias("base_n"), F.col("_all.mean").alias("base_mean"), F.when(F.col("_all.n") > 0, F.sqrt(F.col("_all.m2") / F.col("_all.n"))).alias("base_sd"))
+
+
+def causal_baseline(bars: DataFrame, column: str, width_ns: int, embargo_ns: int, hour_ns: int = 3_600_000_000_000) -> DataFrame:
+    """Count, mean and deviation of the values in [t - width - embargo, t - embargo), a row a bar. Rows without symbol or time are left out.
+
+    A width of whole hours goes by figures of hours (by_hours), any other by the rows themselves (by_rows)."""
+    rows = bars.where("symbol is not null and event_time_ns is not null").select("symbol", "event_time_ns", F.col(column).cast("double").alias("_x"))
+    if width_ns % hour_ns:
+        return by_rows(rows, width_ns, embargo_ns)
+    made = by_hours(rows, width_ns, embargo_ns, hour_ns)
+    return rows.select("symbol", "event_time_ns").join(made, ["symbol", "event_time_ns"]).select(*made.columns)
+
+
 def coverage(bars: DataFrame, column: str, least: int, rows: int = 1 << 16) -> DataFrame:
     """Valid values and the longest run of nulls of each symbol, and whether that is enough. Rows without symbol or time are left out.
 

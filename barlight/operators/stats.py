@@ -120,6 +120,26 @@ def participation_ratio(wide: DataFrame, columns: list[str]) -> DataFrame:
     return r.select(F.lit(n).alias("n_columns"), (n * n / (n + 2 * squares)).alias("participation"))
 
 
+def effective_observations(wide: DataFrame, columns: list[str], lags: int | None = None, key: str = "statistic", order: str = "event_time_ns") -> DataFrame:
+    """wide: order and columns, one statistic by instrument over time. One row: n_rows, n_time, participation, n_effective.
+
+    n_effective is the product of the serial part, the mean over the instruments of their rows by Newey-West, and of the participation ratio as a share of the
+    instruments. lags is Andrews' bandwidth 4 (n / 100)^(2/9) of the longest series if it is not given. Instruments without common rows count as uncorrelated; without any value n_effective is null."""
+    long = wide.select(order, F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))).alias(key, "_v")).where("_v is not null")
+    if lags is None:
+        n = long.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        lags = int(4 * (n / 100) ** (2 / 9))
+    serial = effective_size(long, "_v", lags, key, order).agg(F.max("n").alias("n_rows"), F.avg("n_effective").alias("n_time"))
+    both = serial.join(participation_ratio(wide, columns), F.lit(True))  # one row each
+    return both.select("n_rows", F.lit(lags).alias("lags"), "n_time", "participation", (F.col("n_time") * F.col("participation") / F.col("n_columns")).alias("n_effective"))
+
+
+def tested(found: DataFrame, z: str, size: DataFrame, q: float = 0.1) -> DataFrame:
+    """found with p and Benjamini-Yekutieli's verdict; size: effective_observations of the statistic that z stands for."""
+    with_size = found.join(F.broadcast(size.select(F.col("n_effective").alias("n_effective"))), F.lit(True))  # one row
+    return benjamini_yekutieli(with_size.withColumn("p", p_value(F.col(z), F.col("n_effective"))), "p", q)
+
+
 def box_cox(series: DataFrame, x: str, key: str, grid: list[float]) -> DataFrame:
     """key, lambda: of the grid, by the profile log-likelihood of positive values; null if none has variance."""
     y = F.when(F.col(x) > 0, F.col(x))

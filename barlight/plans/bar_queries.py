@@ -9,7 +9,8 @@ from barlight.functions import bars as fb
 from barlight.operators import baseline, quality, rolling, suppress
 from barlight.plans import scan as plan
 from barlight.sources import bars as source
-from barlight.sources.scratch import scratch_path
+from barlight.sources import sidecars
+from barlight.sources.scratch import cleared, materialise, scratch_path
 
 P = plan.ScanParams()
 HOURLY = plan.ScanParams(long=24, short=6, gap=6, least_short=48, least_windows=24)
@@ -380,6 +381,29 @@ def x4_causal_baseline(spark, sf_dir):
     return made.select("symbol", "event_time_ns", "base_n", F.round("base_mean", 6).alias("base_mean"), F.round("base_sd", 5).alias("base_sd"))
 
 
+@query("""SELECT concat('S', l_suppkey) AS symbol, n_name AS venue, 'v' || (s_nationkey % 3) AS schema_version, count(*) AS n, round(sum(l_quantity), 2) AS volume
+FROM lineitem LEFT JOIN (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0) ON l_suppkey = s_suppkey GROUP BY ALL""")
+def s3_stamped_bars(spark, sf_dir):
+    """Trades by supplier, stamped with venue and version from sidecars that tasks wrote and read; every fifth supplier has none."""
+    owners = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey % 5 <> 0")
+    symbol = lambda key: F.concat(F.lit("S"), F.col(key))
+    with cleared(spark) as keep:
+        root = scratch_path(spark, "sidecars")
+        sidecars.write(owners.select(symbol("s_suppkey").alias("symbol"), F.col("n_name").alias("venue"), F.concat(F.lit("v"), F.col("s_nationkey") % 3).alias("schema_version")), root)
+        traded = table(spark, sf_dir, "lineitem").groupBy(symbol("l_suppkey").alias("symbol")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("volume"))
+        return keep(materialise(sidecars.stamped(traded, sidecars.read(spark, root)), "stamped"))
+
+
+@query("""WITH r AS (SELECT event_type AS symbol, epoch_ns(ts) AS event_time_ns, ln(1 + abs(value)) AS value FROM events)
+SELECT symbol, event_time_ns, count(value) OVER w AS base_n, round(avg(value) OVER w, 6) AS base_mean, round(stddev_pop(value) OVER w, 5) AS base_sd FROM r
+WINDOW w AS (PARTITION BY symbol ORDER BY event_time_ns RANGE BETWEEN 609000000000000 PRECEDING AND 4200000000001 PRECEDING)""")
+def x4_baseline_of_ticks(spark, sf_dir):
+    """Every event against the week that ends 70 minutes before it."""
+    ticks = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("event_time_ns"), F.log1p(F.abs("value")).alias("value"))
+    made = quality.causal_baseline(ticks, "value", 168 * 3_600_000_000_000, 70 * 60_000_000_000)
+    return made.select("symbol", "event_time_ns", "base_n", F.round("base_mean", 6).alias("base_mean"), F.round("base_sd", 5).alias("base_sd"))
+
+
 @query(sql(HOURS, """
 v AS (SELECT symbol, event_time_ns, CASE WHEN event_time_ns // 3600000000000 % 5 <> 0 THEN close END AS x FROM bars),
 i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY event_time_ns) - row_number() OVER (PARTITION BY symbol, x IS NULL ORDER BY event_time_ns) AS island FROM v),

@@ -92,6 +92,29 @@ def x11_participation_ratio(spark, sf_dir):
     return stats.participation_ratio(daily(spark, sf_dir), ["open", "close", "volume"]).withColumn("participation", F.round("participation", 6))
 
 
+LAG = 8
+PRODUCTS = ", ".join(f"sum(c * l{i}) AS s{i}" for i in range(1, LAG + 1))
+LAGGED = ", ".join(f"lag(c, {i}) OVER w AS l{i}" for i in range(1, LAG + 1))
+TAIL = " + ".join(f"(1 - {i} / {LAG + 1}.0) * coalesce(s{i}, 0)" for i in range(1, LAG + 1))
+KINDS = ["click", "error", "purchase", "signup", "view"]
+CROSS = [(a, b) for i, a in enumerate(KINDS) for b in KINDS[i + 1 :]]
+
+
+@query(sql(HOURS, f"""
+r AS (SELECT symbol, event_time_ns, ln(close) AS x FROM bars WHERE close > 0), c AS (SELECT symbol, event_time_ns, x - avg(x) OVER (PARTITION BY symbol) AS c FROM r),
+l AS (SELECT symbol, c, {LAGGED} FROM c WINDOW w AS (PARTITION BY symbol ORDER BY event_time_ns)),
+s AS (SELECT symbol, count(*) AS n, sum(c * c) AS s0, {PRODUCTS} FROM l GROUP BY 1),
+e AS (SELECT max(n) AS n_rows, avg(greatest(1, least(n, n / greatest(1 + 2 * ({TAIL}) / s0, 1e-9)))) AS n_time FROM s),
+w AS (SELECT event_time_ns, {", ".join(f"max(CASE WHEN symbol = '{k}' THEN x END) AS {k}" for k in KINDS)} FROM r GROUP BY 1),
+p AS (SELECT 25 / (5 + 2 * ({" + ".join(f"pow(coalesce(corr({a}, {b}), 0), 2)" for a, b in CROSS)})) AS participation FROM w)""",
+    select=f"SELECT n_rows, {LAG} AS lags, round(n_time, 4) AS n_time, round(participation, 6) AS participation, round(n_time * participation / 5, 4) AS n_effective FROM e, p"))
+def x11_effective_observations(spark, sf_dir):
+    """Hourly log prices by kind of event: serial size times the share that the kinds' correlations leave."""
+    x = hourly(spark, sf_dir).where("close > 0").groupBy("event_time_ns").pivot("symbol", KINDS).agg(F.max(F.log("close")))
+    made = stats.effective_observations(x, KINDS, LAG)
+    return made.select("n_rows", "lags", F.round("n_time", 4).alias("n_time"), F.round("participation", 6).alias("participation"), F.round("n_effective", 4).alias("n_effective"))
+
+
 @query(sql(HOURS, """y AS (SELECT symbol, volume AS x FROM bars WHERE volume > 0), s AS (SELECT symbol, count(*) AS n, sum(ln(x)) AS ls, nullif(var_pop(-1 / x), 0) AS a, nullif(var_pop((pow(x, -0.5) - 1) / -0.5), 0) AS b, nullif(var_pop(ln(x)), 0) AS c, nullif(var_pop((pow(x, 0.5) - 1) / 0.5), 0) AS d, nullif(var_pop(x), 0) AS e FROM y GROUP BY 1),
 g AS (SELECT symbol, n, unnest([{'l': -1.0, 's': -n / 2 * ln(a) - 2 * ls}, {'l': -0.5, 's': -n / 2 * ln(b) - 1.5 * ls}, {'l': 0.0, 's': -n / 2 * ln(c) - ls}, {'l': 0.5, 's': -n / 2 * ln(d) - 0.5 * ls}, {'l': 1.0, 's': -n / 2 * ln(e)}], recursive := true) FROM s)""", select="SELECT symbol, n, CAST(arg_max(l, s) AS DOUBLE) AS lambda FROM g GROUP BY 1, 2"))
 def x12_box_cox(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlight.sources import sidecars
+
 PRICES = "open double, high double, low double, close double, volume double"
 BAR_SCHEMA = f"symbol string, event_time_ns long, {PRICES}"
 DEFAULT_SYMBOLS = ["BTCUSDT", "ETHUSDT", "SOLUSDT", "BNBUSDT", "XRPUSDT"]  # fixed values: the universe if none is stored
@@ -32,25 +34,9 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def metadata(spark: SparkSession, root: str) -> DataFrame:
-    """The sidecar documents root/<symbol>/_metadata.json, under English column names.
-
-    Spark's readers pass over names that start with an underscore, so these few files, one a symbol, are opened by the
-    cluster's file system and handed over as texts.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/_metadata.json")
-    fs = pattern.getFileSystem(conf)
-    texts = []
-    for status in fs.globStatus(pattern) or []:
-        stream = fs.open(status.getPath())
-        texts.append((jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"),))
-        stream.close()
-    schema = "san string, symbol string, schema_version string, nen string, nguon string, tao_luc string"
-    one = spark.createDataFrame(texts, "value string").select(F.from_json("value", schema).alias("m")).where("m is not null")
-    return one.select(
-        F.col("m.san").alias("venue"), F.col("m.symbol").alias("symbol"), F.col("m.schema_version").alias("schema_version"),
-        F.col("m.nen").alias("compression"), F.col("m.nguon").alias("source"), F.try_to_timestamp("m.tao_luc").alias("created_at"),
-    )
+    """The sidecar documents root/<symbol>/_metadata.json, under English column names."""
+    found = sidecars.read(spark, root)
+    return found.select("venue", "symbol", "schema_version", "compression", "source", F.try_to_timestamp("created_at").alias("created_at"))
 
 
 def registry(bars: DataFrame, defaults: list[str] = DEFAULT_SYMBOLS) -> DataFrame:
@@ -90,7 +76,7 @@ def date_range(bars: DataFrame, start: str | None = None, end: str | None = None
 
 
 def drop_bad(bars: DataFrame) -> DataFrame:
-    """Without bars that were filled into a gap, carry a quality flag, or have no positive price."""
+    """Without bars that were filled into a gap or carry a quality flag."""
     return bars.where("not coalesce(is_gap_filled, false) and coalesce(dq_flags, 0) = 0")
 
 

@@ -229,3 +229,59 @@ def test_extensions_are_the_same_over_slices_and_buckets(spark):
     c = c - c.mean()
     cov = {r.lag: r.cov for r in stats.autocovariances(df.where("symbol = 's'"), "close", 3, rows=8).collect()}
     assert np.allclose([cov[k] for k in range(4)], [(c[k:] * c[: len(c) - k]).sum() / len(c) for k in range(4)])
+
+
+def test_baseline_by_hours(spark):
+    """Edges within hours, ties, nulls, hours without bars and times before 1970, against plain Python; narrow and odd widths too."""
+    rng, hour = np.random.default_rng(3), 3_600_000_000_000
+    times = sorted(int(t) for t in rng.integers(-30 * hour, 90 * hour, 400)) + [5 * hour, 5 * hour, 6 * hour, 7 * hour]
+    rows = [("s", t, None if i % 13 == 0 else 1e6 + float(rng.normal()), 1) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows + [("t", 0, 2.0, 1), (None, 1, 1.0, 1), ("s", None, 1.0, 1)], "symbol string, event_time_ns long, x double, _t int")
+    for width, embargo in ((7 * hour, 0), (7 * hour, hour + 17), (hour, 3), (2 * hour, 2 * hour), (hour * 3 // 2, 11)):
+        got = quality.causal_baseline(df, "x", width, embargo).collect()
+        assert len(got) == len(rows) + 1
+        for r in got:
+            inside = [x for s, t, x, _ in rows if s == r.symbol and r.event_time_ns - width - embargo <= t < r.event_time_ns - embargo and x is not None]
+            assert r.base_n == len(inside) and (r.base_sd is None) == (not inside)
+            assert not inside or (abs(r.base_mean - np.mean(inside)) < 1e-6 and abs(r.base_sd - np.std(inside)) < 1e-6)
+
+
+def test_baseline_frame_is_as_long_as_the_window_has_hours(spark):
+    df = series(spark, 300)
+    plan_ = quality.causal_baseline(df, "close", 168 * 3_600_000_000_000, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, -167, -1" in plan_.replace("specifiedwindowframe(", "") and "SinglePartition" not in plan_ and "Python" not in plan_
+
+
+def test_sidecars_are_written_and_read_by_tasks(spark, tmp_path):
+    from barlight.sources import sidecars
+
+    root = str(tmp_path / "side")
+    rows = [(f"S{i}", "X" if i % 2 else None, "v1") for i in range(23)] + [("ünï 1", "Y", "v2"), (None, "Z", "v3"), ("", "Z", "v3")]
+    sidecars.write(spark.createDataFrame(rows, "symbol string, venue string, schema_version string"), root)
+    (tmp_path / "side/none").mkdir()
+    (tmp_path / "side/torn").mkdir()
+    (tmp_path / "side/torn/_metadata.json").write_text('{"san": "X')
+    got = sidecars.read(spark, root, per_task=5)
+    assert got.rdd.getNumPartitions() == 6
+    assert {(r.folder, r.venue, r.schema_version) for r in got.collect()} == {r for r in rows if r[0]}
+    assert sidecars.read(spark, f"file:{root}").count() == 24
+    spark.conf.set(sidecars.PUSHDOWN, "true")
+    try:
+        few = sidecars.read(spark, root, per_task=1).where("folder in ('S1', 'S2', 'torn') and folder <> 'S2'")
+        assert few.rdd.getNumPartitions() == 3 and [r.folder for r in few.collect()] == ["S1"]
+    finally:
+        spark.conf.unset(sidecars.PUSHDOWN)
+    bars = spark.createDataFrame([("S1", 1), ("none", 2), (None, 3)], "symbol string, n int")
+    assert {(r.symbol, r.n, r.venue) for r in sidecars.stamped(bars, got).collect()} == {("S1", 1, "X"), ("none", 2, None), (None, 3, None)}
+
+
+def test_effective_observations(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=400), rng.normal(size=400)
+    rows = [(i, float(a[i]), float(a[i]), float(b[i]), None) for i in range(400)]
+    r = stats.effective_observations(spark.createDataFrame(rows, "event_time_ns long, a double, b double, c double, d double"), ["a", "b", "c"]).first()
+    m = np.corrcoef([a, a, b])
+    assert r.lags == int(4 * 4 ** (2 / 9)) and abs(r.participation - np.trace(m) ** 2 / (m**2).sum()) < 1e-9 and abs(r.n_effective - r.n_time * r.participation / 3) < 1e-9
+    assert stats.effective_observations(spark.createDataFrame([], "event_time_ns long, a double, b double"), ["a", "b"]).first().n_effective is None
+    found = stats.tested(spark.createDataFrame([(1, 9.0), (2, 0.1)], "id long, z double"), "z", spark.createDataFrame([(50.0,)], "n_effective double"))
+    assert {(x.id, x.rejected) for x in found.collect()} == {(1, True), (2, False)}
