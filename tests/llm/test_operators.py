@@ -161,6 +161,100 @@ def test_licences_by_their_texts(spark):
     assert {r.doc_id: r.license for r in got} == {k: k.split()[0] for k, _ in rows}
 
 
+_FSF = """{what} is free software{a} you can redistribute it and/or
+modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation{b} either
+version {v} of the License, or (at your option) any later version.
+"""
+HEADERS = {
+    "LGPL-2.1-or-later": _FSF.format(what="This library", a=";", b=";", kind="Lesser ", v="2.1"),
+    "LGPL-3.0-or-later": _FSF.format(what="This library", a=":", b=",", kind="Lesser ", v="3"),
+    "AGPL-3.0-or-later": _FSF.format(what="This program", a=":", b=",", kind="Affero ", v="3"),
+    "AGPL-3.0-or-later 2": _FSF.format(what="This program", a=";", b=";", kind="Affero ", v="3"),
+    "GPL-3.0-or-later": _FSF.format(what="This program", a=";", b=";", kind="", v="3"),
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+""",
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt)
+""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and
+related and neighboring rights to this software to the public domain worldwide.
+""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+""",
+    "LGPL-3.0": """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+ (a) Redistributions of source code must retain the above copyright notice, this
+     list of conditions and the following disclaimer; and
+ (b) Redistributions in binary form must reproduce the above copyright notice,
+     this list of conditions and the following disclaimer in the documentation
+     and/or other materials provided with the distribution.
+""",
+    "MIT": MIT.replace("\n", "<br>\n").replace('"', "&quot;").replace("<br>\n<br>", "<p>\n"),
+    "MIT 2": "/* SPDX-License-Identifier: MIT */\nint main() { return 0; }\n",
+    "GPL-2.0-or-later": "# Copyright 2020 Somebody; SPDX-License-Identifier: GPL-2.0-or-later\nimport os\n",
+    "MIT 3": "This software is released under the MIT License.",
+}
+
+
+def test_licences_of_many_families(spark):
+    """Headers, titles, tags, lists and HTML: as they are, with other words around, as comments; the SQL finds the same. What only speaks of a licence has none."""
+    import duckdb
+
+    rows = [(f"{k}|{i}", t) for k, h in HEADERS.items() for i, t in enumerate([h, f"Words before\n\n{h}\n\nwords after", "\n".join(f"// {line}".rstrip() for line in h.split("\n")), h.replace("\n", "\r\n")])]
+    rows += [(f"|{i}", t) for i, t in enumerate([
+        "We read about the GNU Lesser General Public License.", "MIT is a school.", "a <b x", "(a) one\n(b) two", "SPDX-License-Identifier: Nobody-1.0", "The SPDX-License-Identifier: tag of MIT", "- -\n#\n;;", "", None,
+        "License version 2.0. If a copy was not distributed", "<p>&quot;</p>", "Redistributions of source code must retain the above copyright notice",
+    ])]
+    rows += [rows[0], (None, MIT)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = license_rules.scan(docs).collect()
+    assert {r.doc_id: r.license for r in got if r.doc_id} == {k: k.split("|")[0].split(" ")[0] or None for k, _ in rows if k}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    columns = "doc_id, n_sentences, sentence_ids, license, licenses"
+    want = con.execute(f"SELECT {columns} FROM ({license_rules.oracle()})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r[c] for c in columns.split(", "))) for r in got)
+
+
 def test_license_odd_rows(odd, none):
     got = license_rules.scan(odd)
     assert got.count() == odd.count() and got.where("license is not null").count() == 0
