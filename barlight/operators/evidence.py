@@ -133,6 +133,11 @@ def citation_faults(texts: DataFrame, known: DataFrame, key: str = "doc_id", tex
     return bare.select(key, F.lit("bare number").alias("fault"), "what").unionByName(joined.select(key, fault.alias("fault"), F.col("inside").alias("what")).where("fault is not null"))
 
 
+def status(value: Column) -> Column:
+    """nan, missing or observed: a value that is no number is kept as such, not dropped."""
+    return F.when(F.isnan(value), "nan").when(value.isNull(), "missing").otherwise("observed")
+
+
 def digest(rows: DataFrame, key: str, z: str, k: int) -> tuple[DataFrame, DataFrame]:
     """The k strongest rows of each key, and min, max, count and NaN count over all of them, with how many were left out."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.abs(z)), *[c for c in rows.columns if c != z]))

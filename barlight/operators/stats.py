@@ -92,10 +92,10 @@ def confirmed(discovered: DataFrame, measured: DataFrame, key: str, p: float = 0
 def autocovariances(series: DataFrame, x: str, lags: int, key: str = "symbol", order: str = "event_time_ns", rows: int = 1 << 16) -> DataFrame:
     """key, n, lag, cov: autocovariances about the mean, divided by n. order is a time in nanoseconds; rows without key or order are left out.
 
-    Buckets of rows that carry the last ones of the bucket before are the tasks; what is broadcast is one mean a key."""
+    Buckets of rows that carry the last ones of the bucket before are the tasks; there is one mean a key, joined as the planner sees fit."""
     placed = bars.positions(bars.sliced(series.select(F.col(key).alias("symbol"), F.col(order).alias("event_time_ns"), F.col(x).alias("_x"))))
     means = placed.groupBy("symbol").agg(F.avg("_x").alias("_mean"))
-    centred = placed.join(F.broadcast(means), "symbol").withColumn("_c", F.col("_x") - F.col("_mean"))
+    centred = placed.join(means, "symbol").withColumn("_c", F.col("_x") - F.col("_mean"))
     products = [F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"s{k}") for k in range(lags + 1)]
     lagged = with_halo(centred, lags, rows).withColumns({f"_l{k}": F.lag("_c", k).over(by_bucket()) for k in range(lags + 1)}).where("own")
     sums = lagged.groupBy("symbol").agg(F.count("_c").alias("n"), *products)
@@ -166,12 +166,19 @@ def clusters(signals: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def cluster_specs(signals: DataFrame, of: DataFrame) -> DataFrame:
-    """One row a cluster: union of columns, sign of the strongest effect, sum of the independent tests."""
+    """One row a cluster: union of columns, sign of the strongest effect, sum of the independent tests. Only the different columns of a cluster are gathered."""
     rows = signals.join(of, "signal_id")
-    return rows.groupBy("cluster").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("columns")))).alias("columns"),
+    names = rows.select("cluster", F.explode("columns").alias("_c")).distinct().groupBy("cluster").agg(F.array_sort(F.collect_list("_c")).alias("columns"))
+    sums = rows.groupBy("cluster").agg(
         F.when(F.max_by("effect_size", F.struct(F.abs("effect_size"), "signal_id")) > 0, 1).otherwise(-1).alias("sign"),
         F.count("*").alias("n_signals"), F.sum("tests").alias("tests_independent"))
+    return sums.join(names, "cluster", "left").select("cluster", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), "sign", "n_signals", "tests_independent")
+
+
+def sign_hit_rate(forecasts: DataFrame, key: str, said: Column, came: Column) -> DataFrame:
+    """key, n, hit_rate: share of the forecasts whose sign came true. A flat outcome is a miss, unless flat was said; forecasts without outcome are left out."""
+    signs = forecasts.select(key, F.signum(said).alias("_said"), F.signum(came).alias("_came")).where("_said is not null and _came is not null")
+    return signs.groupBy(key).agg(F.count("*").alias("n"), F.avg((F.col("_said") == F.col("_came")).cast("double")).alias("hit_rate"))
 
 
 def anchor_mode(columns: Column, vocabulary: Column) -> tuple[Column, Column]:

@@ -433,7 +433,7 @@ def x21_digest_rows(spark, sf_dir):
 @query("""SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'nan' ELSE 'observed' END AS status FROM events""")
 def x24_evidence_status(spark, sf_dir):
     v = F.when(F.col("event_id") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.isnan(v), "nan").when(v.isNull(), "missing").otherwise("observed").alias("status"))
+    return table(spark, sf_dir, "events").select("event_id", evidence.status(v).alias("status"))
 
 
 @query("""WITH c AS (SELECT doc_id, source AS code, text FROM documents) SELECT left(sha256(text), 16) AS artifact, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS n_claimed_right, count(*) FILTER (doc_id % 2 = 0 OR doc_id % 3 = 0) AS n_verified FROM c GROUP BY 1""")

@@ -212,8 +212,11 @@ def x19_content_and_bytes(spark, sf_dir):
 
 @query("SELECT p_brand AS generator, count(*) AS n, round(avg(CASE WHEN (p_size > 25) = (p_retailprice > 1000) THEN 1.0 ELSE 0.0 END), 9) AS hit_rate FROM part GROUP BY 1")
 def x22_sign_hit_rate(spark, sf_dir):
-    hit = ((F.col("p_size") > 25) == (F.col("p_retailprice") > 1000)).cast("double")
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("generator")).agg(F.count("*").alias("n"), F.round(F.avg(hit), 9).alias("hit_rate"))
+    """Brands as generators: sizes above 25 say up, prices above 1000 came up, all others down."""
+    up = lambda c: F.when(c, 1).otherwise(-1)
+    made = stats.sign_hit_rate(table(spark, sf_dir, "part").withColumnRenamed("p_brand", "generator"), "generator", up(F.col("p_size") > 25), up(F.col("p_retailprice") > 1000))
+    return made.withColumn("hit_rate", F.round("hit_rate", 9))
+
 
 
 CHECKS = [("N1", "p_size = 0", "no mechanism"), ("N2", "p_retailprice <= 0", "no effect"), ("N3", "length(p_type) > 20", "regime unknown"), ("N4", "p_partkey % 13 = 0", "no evidence"), ("N5", "p_brand LIKE '%5'", "horizon unknown")]

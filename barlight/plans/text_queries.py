@@ -267,11 +267,19 @@ def t1_full_text_search(spark, sf_dir):
 
 @query()
 def t1_snippets(spark, sf_dir):
-    """The best document of every query with its first match marked."""
-    q = asked(spark, sf_dir)
-    best = search.search(docs(spark, sf_dir), q, ft.search_tokens, k=1)
-    joined = best.join(q, "query_id").join(docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return joined.select("query_id", "doc_id", search.snippet(F.col("text"), F.array_distinct(ft.search_tokens(F.col("query")))).alias("snippet"))
+    """The best five documents of every query with the matches marked around the first one; Chinese, Japanese and Korean signs by themselves and in pairs."""
+    d, q = docs(spark, sf_dir), asked(spark, sf_dir)
+    return search.snippets(search.search(d, q, ft.search_tokens), q, d, ft.search_tokens).select("query_id", "doc_id", "rank", "snippet")
+
+
+@query(f"""WITH {SEARCH}, words AS (SELECT query_id, '(?i)\\b(' || string_agg(term, '|' ORDER BY length(term) DESC, term DESC) || ')\\b' AS pattern FROM asked GROUP BY 1),
+met AS (SELECT h.query_id, h.doc_id, h.rank, d.lang, d.text, w.pattern, length(regexp_extract(d.text, '(?s)^(.*?)' || w.pattern, 1)) AS first FROM hits h JOIN words w USING (query_id) JOIN documents d ON d.doc_id = h.doc_id)
+SELECT query_id, doc_id, rank, lang, regexp_replace(substr(text, greatest(first + 1 - 20, 1), 120), pattern, '>>>\\1<<<', 'g') AS snippet FROM met""")
+def j2_hits_with_content(spark, sf_dir):
+    """Every hit joined to its document, in the order of ranks: language, and the text around the first match."""
+    d, q = docs(spark, sf_dir), asked(spark, sf_dir)
+    found = search.snippets(search.search(d, q, plain_tokens), q, d, plain_tokens, lang="lang")
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "lang", "snippet")
 
 
 def changed_sql(where: str) -> str:

@@ -285,3 +285,11 @@ def test_effective_observations(spark):
     assert stats.effective_observations(spark.createDataFrame([], "event_time_ns long, a double, b double"), ["a", "b"]).first().n_effective is None
     found = stats.tested(spark.createDataFrame([(1, 9.0), (2, 0.1)], "id long, z double"), "z", spark.createDataFrame([(50.0,)], "n_effective double"))
     assert {(x.id, x.rejected) for x in found.collect()} == {(1, True), (2, False)}
+
+
+def test_hit_rates_and_specs_of_clusters(spark):
+    made = stats.sign_hit_rate(spark.createDataFrame([("a", 1.5, 0.1), ("a", -1.0, 0.1), ("a", 1.0, 0.0), ("a", 1.0, None), ("b", -2.0, -9.0)], "g string, x double, y double"), "g", F.col("x"), F.col("y"))
+    assert {(r.g, r.n, round(r.hit_rate, 6)) for r in made.collect()} == {("a", 3, 0.333333), ("b", 1, 1.0)}
+    signals = spark.createDataFrame([(1, ["b", "a"], 2.0, 3), (2, ["a"], -5.0, 4), (3, None, 1.0, 1)], "signal_id long, columns array<string>, effect_size double, tests long")
+    of = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "signal_id long, cluster long")
+    assert {(r.cluster, tuple(r.columns), r.sign, r.n_signals, r.tests_independent) for r in stats.cluster_specs(signals, of).collect()} == {(1, ("a", "b"), -1, 2, 7), (3, (), 1, 1, 1)}

@@ -125,3 +125,17 @@ def test_an_empty_index_is_built_once(spark, tmp_path):
     assert index.segments(spark, str(tmp_path / "i")) == [1]
     index.search_chain(str(tmp_path / "i"), queries, docs, tokens, spare)
     assert index.segments(spark, str(tmp_path / "i")) == [1]
+
+
+def test_snippets_of_hits(spark):
+    """Every hit with its text: words whole, signs without word bounds, signs of two units before the match, texts that are gone, queries without terms."""
+    docs = spark.createDataFrame([
+        (1, "Alphabet alpha beta, ALPHA_x and Beta.", "a"), (2, "我们研究市场波动率", "b"), (3, "🙂" * 40 + " alpha " + "z" * 300, "c"), (4, None, "d"), (5, "üalpha", "e"),
+    ], "doc_id long, text string, kind string")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "市场"), (3, "!")], "query_id long, query string")
+    hits = spark.createDataFrame([(1, 1, 1, 2.0), (1, 3, 2, 1.0), (1, 9, 3, 0.5), (1, 4, 4, 0.4), (1, 5, 5, 0.3), (2, 2, 1, 1.0), (3, 1, 1, 0.1)], "query_id long, doc_id long, rank int, score double")
+    got = {(r.query_id, r.doc_id): (r.snippet, r.what, r.rank) for r in search.snippets(hits, queries, docs, ft.search_tokens, what="kind").collect()}
+    assert len(got) == 7
+    assert got[1, 1] == ("Alphabet >>>alpha<<< >>>beta<<<, ALPHA_x and >>>Beta<<<.", "a", 1)
+    assert got[1, 3][0] == "🙂" * 19 + " >>>alpha<<< " + "z" * 94 and got[1, 9] == (None, None, 3) and got[1, 4][0] is None and got[1, 5][0] == "ü>>>alpha<<<"
+    assert ">>>市场<<<" in got[2, 2][0] and got[3, 1][0].startswith("Alphabet alpha")
