@@ -13,7 +13,7 @@ The seeds of the test set are broadcast while they are few (checked against `mos
 blocks of items with no more seeds each (or of one item), each block against all documents: two scans of them a block.
 
 Defined cases: null or empty documents and items hold no seed; an item with fewer words than a seed has all of them as its
-seed, one of a single word has none and is never found; repeated documents are judged each by themselves and reported once for an id; an empty table gives an empty result;
+seed, one of a single word has none and is never found (`unsearchable` lists such items); repeated documents are judged each by themselves and reported once for an id; an empty table gives an empty result;
 other columns are ignored. Rows without id are reported under a null id.
 """
 
@@ -45,6 +45,12 @@ def item_words(items: DataFrame, n: int) -> DataFrame:
     return items.mapInArrow(run, "item_id long, n_words int, words array<long>, seeds array<long>")
 
 
+def unsearchable(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """item_id, reason (no words, one word) of the items that no document can be found to hold, a row each: a single word that a text shares with an item says nothing of where it is from."""
+    known = item_words(items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")), 2)
+    return known.where("n_words < 2").select("item_id", F.when(F.col("n_words") == 0, "no words").otherwise("one word").alias("reason"))
+
+
 def places(w: np.ndarray, seeds: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of so many words are among seeds (sorted hashes, not empty), in order, and which seeds they are."""
     at, found = [np.zeros(0, np.int64)], [np.zeros(0, U)]

@@ -323,6 +323,7 @@ def test_decontamination_odd_rows(odd, none, spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "same text that two rows hold word for word twice"), (None, "x y z w")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.find(odd, items, rare=1.1).collect()} == {(5, 4), (6, 4)}
     assert decontaminate.find(none, items).count() == 0 and decontaminate.find(odd, items.where("false")).count() == 0
+    assert {(r.item_id, r.reason) for r in decontaminate.unsearchable(items).collect()} == {(1, "no words"), (2, "no words"), (3, "one word")}
 
 
 # 4
