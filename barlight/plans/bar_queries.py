@@ -310,13 +310,13 @@ HYPOTHESES_SQL = sql(*chain(), TOP, "first AS (SELECT * FROM top ORDER BY abs(ef
 SELECT 'hyp_' || signal_id AS hypothesis_id, symbol || ' ' || CASE stat WHEN 'moment_shift' THEN 'Moment Shift' WHEN 'volatility_jump' THEN 'Volatility Jump' ELSE 'Volume Price Decoupling' END || ' Price Reversion' AS title,
   'Extreme ' || stat || ' anomaly (z=' || printf('%.2f', effect_size) || ') on ' || symbol || ' indicates temporary price overextension leading to short-horizon mean reversion.' AS hypothesis_text,
   symbol, stat, round(effect_size, 6) AS effect_size, CASE WHEN effect_size > 0 THEN -1 ELSE 1 END AS predicted_sign, raw_columns AS mechanism_columns,
-  'HIGH_VOLATILITY' AS target_regime, '1h' AS target_horizon, 'GENERATE_HYPOTHESIS' AS next_action FROM first""")
+  '{plan.NARRATIVE.replace("'", "''")}' AS narrative, '{plan.REASONING.replace("'", "''")}' AS action_reasoning, 'HIGH_VOLATILITY' AS target_regime, '1h' AS target_horizon, 'GENERATE_HYPOTHESIS' AS next_action FROM first""")
 
 
 @query(HYPOTHESES_SQL)
 def p10_hypotheses(spark, sf_dir):
     made = plan.hypotheses(plan.scan(daily(spark, sf_dir)))
-    return rounded(made.withColumn("mechanism_columns", F.array_join("mechanism_columns", ",")).drop("narrative", "action_reasoning"), 6)
+    return rounded(made.withColumn("mechanism_columns", F.array_join("mechanism_columns", ",")), 6)
 
 
 @query(sql(*chain(), TOP, select="""SELECT CASE WHEN count(*) > 0 THEN 'ok' ELSE 'warning' END AS status, count(*) AS n_signals, coalesce(string_agg(signal_id, ',' ORDER BY signal_id), '') AS ids, least(count(*), 5) AS n_hypotheses FROM top"""))

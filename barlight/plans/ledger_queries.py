@@ -330,10 +330,11 @@ def s6_read_jsonl(spark, sf_dir):
     return logs.restore(read, "event_type", blobs).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'blobs/' || left(sha256('text' || chr(0) || text), 24) END AS text_path, CASE WHEN length(text) > 5000 THEN md5(left(text, 500)) ELSE md5(text) END AS shown, CASE WHEN length(text) > 5000 THEN length(text) END AS text_size FROM documents")
+@query("""WITH d AS (SELECT doc_id, repeat(text, 12) AS text FROM documents)
+SELECT doc_id, CASE WHEN length(text) > 50000 THEN 'blobs/' || left(sha256('text' || chr(0) || text), 24) END AS text_path, CASE WHEN length(text) > 50000 THEN md5(left(text, 500)) ELSE md5(text) END AS shown, CASE WHEN length(text) > 50000 THEN length(text) END AS text_size FROM d""")
 def s7_offload(spark, sf_dir):
-    """Texts over 5,000 characters (scaled) as a path, a preview and a size."""
-    out, _ = logs.offload(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 5000)
+    """Texts twelve times over: those beyond 50,000 characters as a path, a preview and a size."""
+    out, _ = logs.offload(table(spark, sf_dir, "documents").select("doc_id", F.repeat("text", F.lit(12)).alias("text")), "text")
     return out.select("doc_id", "text_path", F.md5(F.coalesce("text", "text_preview")).alias("shown"), F.col("text_size").cast("long").alias("text_size"))
 
 

@@ -137,12 +137,12 @@ def p20_wikilinks(spark, sf_dir):
 
 
 @query(r"""WITH c AS (SELECT o_orderkey, 'On ' || strftime(o_orderdate, '%Y-%m-%d') || ' order ' || o_orderkey || ' paid ' || printf('%.2f', o_totalprice) || ' plus 1,234 and 7% tax' AS t FROM orders)
-SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ';' || regexp_extract(t, 'paid ([0-9.]+)', 1) || ';1234' AS numbers FROM c""")
+SELECT o_orderkey, o_orderkey || '.00;' || regexp_extract(t, 'paid ([0-9.]+)', 1) || ';1234.00' AS numbers FROM c""")
 def p21_numbers(spark, sf_dir):
+    """All numbers of a sentence on each order, with a date and a percentage that are none."""
     o = table(spark, sf_dir, "orders")
     t = F.format_string("On %s order %d paid %.2f plus 1,234 and 7%% tax", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd"), "o_orderkey", "o_totalprice")
-    n = ft.numbers(t)
-    shown = F.concat_ws(";", F.element_at(n, 1).cast("long").cast("string"), F.format_string("%.2f", F.element_at(n, 2)), F.element_at(n, 3).cast("long").cast("string"))
+    shown = F.array_join(F.transform(ft.numbers(t), lambda n: F.format_string("%.2f", n)), ";")
     return o.select("o_orderkey", shown.alias("numbers"))
 
 
@@ -166,17 +166,23 @@ def p23_deliverables(spark, sf_dir):
     return d.select("doc_id", ft.deliverable_fault(F.expr(DELIVERABLES), data_agent, F.lit(False), F.lit(0)).alias("fault"))
 
 
-@query("""WITH t AS (SELECT doc_id, replace(left(text, 20), chr(10), ' ') || CASE WHEN doc_id % 3 = 0 THEN ' "a\\b"' ELSE '' END AS title FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN title ELSE replace(replace(title, '\\', '\\\\'), '"', '\\"') END AS title, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS predicted_sign FROM t""")
+OTHERS = ft.RESPONSE_TEXTS[1:]
+
+
+@query(f"""WITH t AS (SELECT *, translate(text, chr(9) || chr(10) || chr(13) || '\\"', '     ') || CASE WHEN doc_id % 3 = 0 THEN ' "a\\b"' ELSE '' END AS title FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN title ELSE replace(replace(title, '\\', '\\\\'), '"', '\\"') END AS title,
+  {", ".join(f"CASE WHEN doc_id % {i + 2} > 0 THEN '{k} in ' || lang || ' from ' || source END AS {k}" for i, k in enumerate(OTHERS))}, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS predicted_sign FROM t""")
 def p11_response_fields(spark, sf_dir):
-    """Answers in fences with a trailing comma (even ids), or with an unescaped line that no parser takes, whose text stays as it was written (odd ids)."""
+    """All twelve fields of answers with whole texts, some fields missing: in fences with a trailing comma (even ids), or with an unescaped line that no parser takes, whose text stays as
+    it was written (odd ids)."""
     d = docs(spark, sf_dir)
-    title = F.concat(F.replace(F.left("text", F.lit(20)), F.lit("\n"), F.lit(" ")), F.when(F.col("doc_id") % 3 == 0, ' "a\\b"').otherwise(""))
+    title = F.concat(F.translate("text", "\t\n\r\\\"", "     "), F.when(F.col("doc_id") % 3 == 0, ' "a\\b"').otherwise(""))
     title = F.replace(F.replace(title, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    good = F.concat(F.lit('Here: ```json\n{"title": "'), title, F.lit('", "predicted_sign": 1,}\n```'))
-    bad = F.concat(F.lit('{"title": "'), title, F.lit('" and more, "predicted_sign": -1'))
+    rest = F.concat(*[F.when(F.col("doc_id") % (i + 2) > 0, F.format_string(f'"{k}": "{k} in %s from %s", ', "lang", "source")).otherwise("") for i, k in enumerate(OTHERS)])
+    good = F.concat(F.lit('Here: ```json\n{'), rest, F.lit('"title": "'), title, F.lit('", "predicted_sign": 1,}\n```'))
+    bad = F.concat(F.lit("{"), rest, F.lit('"title": "'), title, F.lit('" and more, "predicted_sign": -1'))
     f = ft.response_fields(F.when(F.col("doc_id") % 2 == 0, good).otherwise(bad))
-    return d.select("doc_id", f["title"].alias("title"), f["predicted_sign"].alias("predicted_sign"))
+    return d.select("doc_id", *[c.alias(k) for k, c in f.items()])
 
 
 @query("""WITH p AS (SELECT doc_id, lower(text) || CASE WHEN doc_id % 4 = 0 THEN ' Place Order with Real Money' ELSE '' END AS t FROM documents)
@@ -195,6 +201,15 @@ def f9_symbol_mentions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(listed, ",").alias("listed"), F.array_join(generic, ",").alias("generic"))
 
 
+COMMON = ["THE", "LICENSE", "LICENSED", "WORK", "VERSION", "IS", "AN", "AND"]
+
+
+@query(r"SELECT doc_id, array_to_string([upper(x) FOR x IN regexp_extract_all(text, '(?i)\b(?:" + "|".join(sorted(COMMON, key=len, reverse=True)) + r")\b')], ',') AS listed FROM documents")
+def f9_listed_symbols(spark, sf_dir):
+    """Every mention of a list in the whole texts, in order."""
+    return docs(spark, sf_dir).select("doc_id", F.array_join(ft.listed_symbols(F.col("text"), COMMON), ",").alias("listed"))
+
+
 @query()
 def f9_generic_symbols(spark, sf_dir):
     """Codes in the whole texts as they are written; a test compares them with a scan character by character."""

@@ -307,3 +307,14 @@ def test_cjk_display_turns_the_expansion_back(spark):
     assert [r[0] for r in df.select(ft.display_cjk(ft.expand_cjk(F.col("t")))).collect()] == [" ".join(t.split()) for t in texts]
     odd = spark.createDataFrame([(None,), ("记忆 系",), ("系 统 系统",)], "t string")
     assert [r[0] for r in odd.select(ft.display_cjk(F.col("t"))).collect()] == ["", "记忆系", "系统"]
+
+
+def test_fields_of_very_long_answers(spark):
+    """Answers that do not parse, with a million characters and thousands of escaped signs in one field."""
+    from barlight.functions import text as ft
+
+    long, escaped = "word " * 200_000, 'a\\"b ' * 2_000
+    df = spark.createDataFrame([(1, f'{{"title": "{long}", "narrative": "n" oops'), (2, f'{{"title": "{escaped}" and more, "narrative": "{long}"'), (3, '{"title": "never closed'), (4, None), (5, "")], "k int, t string")
+    f = ft.response_fields(F.col("t"))
+    got = {r.k: (r.title, r.narrative) for r in df.select("k", f["title"].alias("title"), f["narrative"].alias("narrative")).collect()}
+    assert got == {1: (long, "n"), 2: (escaped, long), 3: (None, None), 4: (None, None), 5: (None, None)}
