@@ -22,10 +22,10 @@ from barlight.sources.scratch import materialise
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function, by its series of Gauss-Legendre panels on a substituted integral."""
     nodes, weights = np.polynomial.legendre.leggauss(200)
-    # t = x * u^2 takes the square-root singularity at zero away for a = 1/2.
+    # t = x * u^2 takes the square-root singularity at zero away for a = 1/2; its powers are joined, so that x = 0 is no zero times infinity.
     u = (nodes + 1) / 2
     t = x[:, None] * u[None, :] ** 2
-    f = 2 * x[:, None] * u[None, :] * t ** (a[:, None] - 1) * (1 - t) ** (b[:, None] - 1)
+    f = 2 * x[:, None] ** a[:, None] * u[None, :] ** (2 * a[:, None] - 1) * (1 - t) ** (b[:, None] - 1)
     log_beta = np.array([math.lgamma(p) + math.lgamma(q) - math.lgamma(p + q) for p, q in zip(a, b)])
     return (f @ (weights / 2)) / np.exp(log_beta)
 

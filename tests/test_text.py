@@ -140,6 +140,10 @@ def test_false_discovery_control(spark, ps):
     assert got.where("rejected").count() <= stats.benjamini_yekutieli(df, "p", 0.2).where("rejected").count()
 
 
+def test_p_values_of_no_effect_are_one():
+    assert stats.student_two_sided(np.array([0.0, -0.0]), np.array([1.0, 23.0])).tolist() == [1.0, 1.0]
+
+
 def test_student_p_values():
     # For one and two degrees of freedom the distribution has a closed form.
     t = np.array([0.1, 0.7, 1.0, 2.0, 5.0, 30.0])
