@@ -149,10 +149,11 @@ def search(path: str, queries: DataFrame, tokens: Callable, k: int = 5, k1: floa
         asked = queries.select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
         asked = written(asked.withColumn("bucket", bucket(F.col("term"))), "asked")
         buckets = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # at most BUCKETS
-        posted = written(live_postings(spark, path, buckets).join(asked.select("term"), "term", "left_semi").drop("bucket"), "postings")
-        levels = written(ranks.levels_of(posted), "levels")
+        posted = live_postings(spark, path, buckets).join(asked.select("term"), "term", "left_semi")
+        rows = written(posted.select("doc_id", "dl", F.array(F.struct("term", "tf")).alias("terms")), "postings")
         total = live_docs(spark, path).agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"))
-        found = ranks.best(ranks.asked_terms(queries, tokens, levels, total), posted, levels, k, k1, b)
+        lists = written(ranks.lists_of(rows, total.select(F.col("mean").alias("top")), k1, b), "lists")
+        found = ranks.best(ranks.asked_terms(queries, tokens, lists, total), rows, k, k1, b)
         return keep(written(found.withColumnRenamed("q", "query_id"), "hits"))
 
 

@@ -1,6 +1,8 @@
 """Pruned ranks against all pairs, and the index that lives against one built anew."""
 
 import collections
+import contextlib
+import functools
 import math
 import random
 
@@ -81,6 +83,21 @@ def test_common_terms_are_not_met(spark):
     assert pairs["all"] > 400_000 and pairs["probe"] + pairs["lists"] < pairs["all"] / 10
 
 
+def test_no_pair_of_postings_is_a_row(spark, monkeypatch):
+    """A query and a term are one row, whatever counts and lengths the term's postings have; many small blocks give what one block gives."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"c{100 + rng.randrange(40)}" for _ in range(rng.choice([3, 9, 40, 200])))) for i in range(400)] + [(400, None), (None, "c101 c102")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    real, kept = search.written, {}
+    monkeypatch.setattr(search, "written", lambda frame, name: kept.setdefault((name, len(kept)), real(frame, name)))
+    monkeypatch.setattr(search, "cleared", lambda spark: contextlib.nullcontext(lambda df: df))
+    once = search.similar(df, F.col("doc_id") % 50 == 0).collect()
+    asked = next(f for (name, _), f in kept.items() if name == "asked")
+    assert asked.count() == asked.select("q", "term").distinct().count() == sum(len(set((t or "").split())) for i, t in docs[:-1] if i % 50 == 0)
+    monkeypatch.setattr(search, "best", functools.partial(search.best, block=600))
+    assert sorted(search.similar(df, F.col("doc_id") % 50 == 0).collect()) == sorted(once) and len(once) == 8 * 5
+
+
 def test_an_index_after_changes_is_one_built_anew(spark, tmp_path):
     docs = corpus(5)
     schema, path = "doc_id long, text string", str(tmp_path / "index")
