@@ -162,10 +162,10 @@ def maintained(notes: DataFrame, delete: bool = False, key: str = "doc_id") -> D
     action = F.coalesce(collection(F.col("age_days"), F.col("importance"), delete), F.when(summary.due(F.col("level"), F.col("idle_days")).isNotNull(), "compress"))
     given = notes.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "text", "level", F.coalesce("keywords", F.lit("")).alias("keywords"), action.alias("action"), summary.due(F.col("level"), F.col("idle_days")).alias("to"))
     pressed = given.where("action = 'compress'")
-    daily = summary.summaries(pressed.where("to = 'daily'"), F.col("keywords"), doc_id="_k").select(F.col("doc_id").alias("_k"), F.col("summary").alias("_made"))
-    terms = summary.digests(pressed.where("to = 'digest'"), doc_id="_k").select(F.col("doc_id").alias("_k"), F.col("digest").alias("_made"))
+    daily = summary.summarised(pressed.where("to = 'daily'"), F.col("keywords")).withColumnRenamed("summary", "_made").drop("n_sentences", "kept")
+    terms = summary.digested(pressed.where("to = 'digest'")).withColumnRenamed("digest", "_made")
     context = F.when((F.col("to") == "digest") & (F.col("keywords") != ""), F.concat(F.lit("Context: "), "keywords", F.lit("\n"))).otherwise("")
-    done = pressed.join(daily.unionByName(terms), "_k", "left").withColumn("_new", F.coalesce(F.concat(context, "_made"), "text"))
+    done = daily.unionByName(terms).withColumn("_new", F.coalesce(F.concat(context, "_made"), "text"))
     rest = given.where("not action <=> 'compress'")
     return done.select(F.col("_k").alias(key), "action", F.col("to").alias("level"), F.col("_new").alias("text"), F.col("text").alias("original")).unionByName(
         rest.select(F.col("_k").alias(key), "action", "level", F.when(~F.col("action").eqNullSafe(F.lit("delete")), F.col("text")).alias("text"), F.lit(None).cast("string").alias("original")))

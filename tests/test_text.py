@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -140,6 +141,22 @@ def test_false_discovery_control(spark, ps):
     assert got.where("rejected").count() <= stats.benjamini_yekutieli(df, "p", 0.2).where("rejected").count()
 
 
+def test_summaries_and_terms_stay_in_the_texts_own_task(spark):
+    texts = ["One two. Two three! Three four five? " * 4, "", None, "alone", "two two. one"]
+    df = spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id long, text string")
+    for made in (summary.sentence_scores(df), summary.summaries(df), summary.digest_terms(df), summary.digests(df)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [r.n_sentences for r in summary.summaries(df).orderBy("doc_id").collect()] == [12, 0, 0, 1, 2, 2]
+    assert [(r.doc_id, r.term, r["rank"]) for r in summary.digest_terms(df).where("doc_id > 2").orderBy("doc_id", "rank").collect()] == [(3, "alone", 1), (4, "two", 1), (4, "two", 1), (4, "one", 2), (4, "one", 2)]
+
+
+def test_a_long_run_is_expanded_in_proportion_to_its_length(spark):
+    run, began = "中文字符" * 50_000, time.time()
+    made = spark.createDataFrame([(run,)], "t string").select(ft.expand_cjk(F.col("t")).alias("e")).select("e", ft.display_cjk(F.col("e")).alias("d")).first()
+    assert made.d == run and made.e == " ".join([*run, *map("".join, zip(run, run[1:]))])
+    assert time.time() - began < 60  # by positions in the run it takes some 10^11 steps
+
+
 def test_p_values_of_no_effect_are_one():
     assert stats.student_two_sided(np.array([0.0, -0.0]), np.array([1.0, 23.0])).tolist() == [1.0, 1.0]
 
