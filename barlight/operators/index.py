@@ -60,11 +60,18 @@ def _write(spark: SparkSession, path: str, postings: DataFrame, docs: DataFrame,
 
 
 def _entries(docs: DataFrame, tokens: Callable, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    rows = ranks.forward(docs.where(F.col(doc_id).isNotNull()), tokens, doc_id, text)
-    flat = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "dl", F.explode_outer("terms").alias("x"))
-    merged = flat.groupBy("doc_id", F.col("x.term").alias("term")).agg(F.sum("x.tf").alias("tf"))
-    sizes = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum("dl").alias("dl"))
-    postings = merged.where("term is not null").join(sizes, "doc_id").withColumn("level", ranks.level())
+    """Postings and sizes: one tokenisation, written; only rows that share an id are gathered by it."""
+    rows = written(ranks.forward(docs.where(F.col(doc_id).isNotNull()), tokens, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long")), "forward")
+    repeated = written(rows.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated")
+    whole = rows
+    if not repeated.isEmpty():
+        shared = rows.join(repeated, "doc_id", "left_semi")
+        merged = shared.select("doc_id", F.explode("terms").alias("x")).groupBy("doc_id", F.col("x.term").alias("term")).agg(F.sum("x.tf").alias("tf"))
+        sizes = shared.groupBy("doc_id").agg(F.sum("dl").alias("dl"))
+        gathered = sizes.join(merged, "doc_id", "left").select("doc_id", "dl", F.when(F.col("term").isNull(), F.array().cast("array<struct<term:string,tf:long>>")).otherwise(F.array(F.struct("term", "tf"))).alias("terms"))
+        whole = rows.join(repeated, "doc_id", "left_anti").unionByName(gathered)
+    postings = ranks.postings_of(whole).withColumn("level", ranks.level())
+    sizes = whole.select("doc_id", "dl") if whole is rows else whole.select("doc_id", "dl").distinct()
     return postings.select("doc_id", "dl", "term", "tf", "level", bucket(F.col("term")).alias("bucket")), sizes
 
 
@@ -72,8 +79,7 @@ def upsert(docs: DataFrame, path: str, tokens: Callable, doc_id: str = "doc_id",
     """Adds documents, in place of those with their ids. The new segment's number."""
     spark = docs.sparkSession
     with cleared(spark):
-        given = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "upserted")
-        postings, sizes = _entries(given, tokens, "doc_id", "text")
+        postings, sizes = _entries(docs, tokens, doc_id, text)
         return _write(spark, path, postings, sizes, sizes.select("doc_id"))
 
 
@@ -134,8 +140,7 @@ def rebuild(docs: DataFrame, path: str, tokens: Callable, doc_id: str = "doc_id"
     """The index of these documents and no others."""
     spark, before = docs.sparkSession, _listed(docs.sparkSession, path, "gone")
     with cleared(spark):
-        given = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rebuilt")
-        postings, sizes = _entries(given, tokens, "doc_id", "text")
+        postings, sizes = _entries(docs, tokens, doc_id, text)
         n = _write(spark, path, postings, sizes, sizes.select("doc_id"), whole=True)
     for old in before:
         delete(spark, f"{path}/segment={old}")

@@ -98,6 +98,18 @@ def test_no_pair_of_postings_is_a_row(spark, monkeypatch):
     assert sorted(search.similar(df, F.col("doc_id") % 50 == 0).collect()) == sorted(once) and len(once) == 8 * 5
 
 
+def test_postings_are_not_gathered_by_document(spark, monkeypatch, tmp_path):
+    """Ids of their own: postings go from the tokenised rows to their buckets; an id that is there again has the terms of all its rows."""
+    monkeypatch.setattr(index, "cleared", lambda spark: contextlib.nullcontext())
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    postings, sizes = index._entries(frame([(1, "aa bb aa"), (2, None), (None, "aa")]), tokens, "doc_id", "text")
+    assert all("Exchange" not in d._jdf.queryExecution().executedPlan().toString() for d in (postings, sizes))
+    assert sorted(sizes.collect()) == [(1, 3), (2, 0)]
+    postings, sizes = index._entries(frame([(1, "aa bb"), (1, "aa"), (2, ""), (2, None), (3, "cc")]), tokens, "doc_id", "text")
+    assert sorted(tuple(r) for r in postings.select("doc_id", "dl", "term", "tf").collect()) == [(1, 3, "aa", 2), (1, 3, "bb", 1), (3, 1, "cc", 1)]
+    assert sorted(tuple(r) for r in sizes.collect()) == [(1, 3), (2, 0), (3, 1)]
+
+
 def test_an_index_after_changes_is_one_built_anew(spark, tmp_path):
     docs = corpus(5)
     schema, path = "doc_id long, text string", str(tmp_path / "index")
