@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlight.sources.scratch import materialise as written
+
 # Fixed values.
 LIVE = ["active", "paused", "waiting_user", "needs_refresh", "insufficient_evidence", "compliance_blocked", "budget_limited"]
 COMPLETE = ["satisfied", "satisfied_with_caveat", "not_applicable_user_accepted"]
@@ -23,10 +25,13 @@ def current_goal(goals: DataFrame) -> DataFrame:
     return goals.where(F.col("status").isin(*LIVE)).groupBy("session_id").agg(best.alias("goal_id"), F.max("updated_at").alias("updated_at"))
 
 
+def step_number() -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract("protocol_step", "^step_([0-9]+)", 1), F.lit("")).try_cast("int"), F.lit(2147483647))
+
+
 def criteria_order(criteria: DataFrame) -> DataFrame:
     """criteria: goal_id, criterion_id, protocol_step, created_at. place: by step number, those without last, then creation."""
-    step = F.coalesce(F.nullif(F.regexp_extract("protocol_step", "^step_([0-9]+)", 1), F.lit("")).try_cast("int"), F.lit(2147483647))
-    return criteria.withColumn("place", F.row_number().over(Window.partitionBy("goal_id").orderBy(step, "created_at", "criterion_id")).cast("long"))
+    return criteria.withColumn("place", F.row_number().over(Window.partitionBy("goal_id").orderBy(step_number(), "created_at", "criterion_id")).cast("long"))
 
 
 def coverage(criteria: DataFrame, evidence: DataFrame, open_states: list[str]) -> DataFrame:
@@ -39,20 +44,31 @@ def coverage(criteria: DataFrame, evidence: DataFrame, open_states: list[str]) -
     return own.join(total, "goal_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
 
 
+def of_goals(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """The rows of these goals (goal_id, each once). Ids alone are held in memory, a task's share of them; rows are met as they come, never sorted."""
+    return rows.join(goals.hint("shuffle_hash"), "goal_id", "left_semi")
+
+
 def snapshots(current: DataFrame, claims: DataFrame, criteria: DataFrame, evidence: DataFrame, order: list[str], last: int = 50) -> DataFrame:
     """current: session_id, goal_id; claims: goal_id, claim_id; criteria and evidence by goal_id. For each current goal its claims by id, its criteria in
-    order and its last pieces of evidence, oldest first, as arrays of rows, and how much evidence there is. A goal has few claims and criteria."""
-
-    def nested(rows: DataFrame, name: str, place: str) -> DataFrame:
-        own = F.struct(place, *[c for c in rows.columns if c not in (place, "goal_id")])
-        return rows.groupBy("goal_id").agg(F.sort_array(F.collect_list(own)).alias(name))
+    order and its last pieces of evidence, oldest first, as arrays of rows, and how much evidence there is. A goal has few claims and criteria.
 
+    The parts are rows of one table that is written and grouped once, so no task holds the sorts and joins of each of them together."""
     wanted = current.select("goal_id").distinct()
-    of = lambda rows: rows.join(wanted, "goal_id", "left_semi")
-    counts = of(evidence).groupBy("goal_id").agg(F.count("*").alias("evidence_count"))
-    out = current
-    for part in (nested(of(claims), "claims", "claim_id"), nested(criteria_order(of(criteria)), "criteria", "place"), nested(latest(of(evidence), "goal_id", order, last), "evidence", "place"), counts):
-        out = out.join(part, "goal_id", "left")
+    named = lambda rows, *not_these: [c for c in rows.columns if c not in ("goal_id", *not_these)]
+    proofs = of_goals(evidence, wanted)
+    shown = latest(proofs, "goal_id", order, last)
+    rows = {
+        "claims": (of_goals(claims, wanted), F.struct("claim_id", *named(claims, "claim_id"))), "criteria": (of_goals(criteria, wanted), F.struct(step_number().alias("_step"), "created_at", "criterion_id", F.struct(*named(criteria)).alias("_row"))),
+        "evidence": (shown, F.struct("place", *named(shown, "place"))), "evidence_count": (proofs.groupBy("goal_id").agg(F.count("*").alias("_k")), F.col("_k")),
+    }
+    parts = [part.select("goal_id", made.alias(name)) for name, (part, made) in rows.items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    nested = written(every, "parts").groupBy("goal_id").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in ("claims", "criteria", "evidence")], F.max("evidence_count").alias("evidence_count"))
+    placed = F.transform("criteria", lambda x, i: F.struct((i + 1).cast("long").alias("place"), *[x["_row"][c].alias(c) for c in named(criteria)]))
+    out = current.join(nested.withColumn("criteria", placed), "goal_id", "left")
     return out.withColumns({"evidence_count": F.coalesce("evidence_count", F.lit(0)), **{c: F.coalesce(c, F.array()) for c in ("claims", "criteria", "evidence")}})
 
 

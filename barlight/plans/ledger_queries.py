@@ -9,6 +9,8 @@ from barlight.functions import text as ft
 from barlight.operators import evidence, ledger, messages
 from barlight.plans.bar_queries import table
 from barlight.sources import logs
+from barlight.sources.scratch import cleared
+from barlight.sources.scratch import materialise as written
 
 QUERIES, SQL = {}, {}
 
@@ -131,7 +133,11 @@ CRITERIA = """criteria AS (SELECT DISTINCT l_orderkey AS goal_id, l_orderkey * 1
 
 
 def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("goal_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("criterion_id"), "l_linenumber").distinct()
+    return criteria_of(table(spark, sf_dir, "lineitem"))
+
+
+def criteria_of(items: DataFrame) -> DataFrame:
+    li = items.select(F.col("l_orderkey").alias("goal_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("criterion_id"), "l_linenumber").distinct()
     step = F.when(F.col("l_linenumber") % 3 == 0, "free").otherwise(F.concat(F.lit("step_"), (8 - F.col("l_linenumber")).cast("string")))
     return li.select("goal_id", "criterion_id", "l_linenumber", step.alias("protocol_step"), (F.col("criterion_id") % 3).alias("created_at"), F.when(F.col("criterion_id") % 4 == 0, "closed").otherwise("open").alias("status"))
 
@@ -182,14 +188,18 @@ SELECT session_id, cur.goal_id, coalesce(claims, '') AS claims, coalesce(criteri
 FROM cur LEFT JOIN crit ON crit.goal_id = cur.goal_id LEFT JOIN claim ON claim.goal_id = cur.goal_id LEFT JOIN shown ON shown.goal_id = cur.goal_id""")
 def a11_goal_documents(spark, sf_dir):
     """Current goal of each session with its claims, ordered criteria and last evidence (two pieces of it here) as nested rows."""
-    c = criteria(spark, sf_dir)
-    proofs = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
-        F.col("l_orderkey").alias("goal_id"), (F.col("l_partkey") * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long") % 100_000_000).alias("evidence_id"),
-        F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at")).distinct()
-    claims = c.where("criterion_id % 2 = 0").select("goal_id", F.col("criterion_id").alias("claim_id"))
-    made = ledger.snapshots(ledger.current_goal(goals(spark, sf_dir)).select("session_id", "goal_id"), claims, c, proofs, ["at", "evidence_id"], last=2)
-    shown = lambda rows, k: F.array_join(F.transform(rows, lambda x: x[k].cast("string")), ",").alias(rows)
-    return made.select("session_id", "goal_id", shown("claims", "claim_id"), shown("criteria", "criterion_id"), shown("evidence", "evidence_id"), "evidence_count")
+    with cleared(spark) as keep:
+        cur = written(ledger.current_goal(goals(spark, sf_dir)).select("session_id", "goal_id"), "current")
+        every = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("goal_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag")
+        items = written(ledger.of_goals(every, cur.select("goal_id").distinct()), "items")
+        c = criteria_of(items)
+        proofs = items.where("l_returnflag = 'R'").select(
+            "goal_id", (F.col("l_partkey") * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long") % 100_000_000).alias("evidence_id"),
+            F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("at")).distinct()
+        claims = c.where("criterion_id % 2 = 0").select("goal_id", F.col("criterion_id").alias("claim_id"))
+        made = ledger.snapshots(cur, claims, c, proofs, ["at", "evidence_id"], last=2)
+        shown = lambda rows, k: F.array_join(F.transform(rows, lambda x: x[k].cast("string")), ",").alias(rows)
+        return keep(written(made.select("session_id", "goal_id", shown("claims", "claim_id"), shown("criteria", "criterion_id"), shown("evidence", "evidence_id"), "evidence_count"), "documents"))
 
 
 @query("""WITH u AS (SELECT o_custkey AS goal_id, o_orderkey AS k, sum(round(o_totalprice)) OVER w AS t, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
