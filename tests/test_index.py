@@ -168,3 +168,12 @@ def test_snippets_of_hits(spark):
     assert got[1, 1] == ("Alphabet >>>alpha<<< >>>beta<<<, ALPHA_x and >>>Beta<<<.", "a", 1)
     assert got[1, 3][0] == "🙂" * 19 + " >>>alpha<<< " + "z" * 94 and got[1, 9] == (None, None, 3) and got[1, 4][0] is None and got[1, 5][0] == "ü>>>alpha<<<"
     assert ">>>市场<<<" in got[2, 2][0] and got[3, 1][0].startswith("Alphabet alpha")
+
+
+def test_words_are_counted_in_batches_and_not_by_position(spark):
+    texts = {1: "the cat the Cat é_x the 日本 日本", 2: "", 3: None, 4: "zz aa zz", 5: "of"}
+    made = search.forward(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), tokens)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_extract_all") == 1
+    got = {r.doc_id: (r.dl, [tuple(t) for t in r.terms]) for r in made.collect()}
+    assert got == {1: (6, [("_x", 1), ("cat", 2), ("the", 3)]), 2: (0, []), 3: (0, []), 4: (3, [("aa", 1), ("zz", 2)]), 5: (1, [("of", 1)])}
