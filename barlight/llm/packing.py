@@ -12,15 +12,14 @@ result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,77 +29,72 @@ COPY = "copy int"  # rows of the id before it in its Arrow batch: tells repeats
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
-class Recent(dict):
-    """A mapping of at most `most` recent entries and as many of the generation before, which come back when asked for."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-    def missing(self, keys: set[str]) -> set[str]:
-        """Keys in neither generation; those of the older one come back."""
-        lacking = set()
-        for k in keys:
-            if k not in self:
-                if k in self.old:
-                    self[k] = self.old[k]
-                else:
-                    lacking.add(k)
-        return lacking
-
-
 class WordEncoder:
-    """ids of the word-end BPE, remembering what each white-space-free chunk gave.
+    """ids of the word-end BPE, remembering what each word gave.
 
     That tokenizer normalises, drops white space and encodes each letter run, digit and symbol run by itself, so
-    a text's ids are those of its chunks in order, and a token that ends a word shows where one word's ids stop. Chunks are
-    only remembered for texts of plain Latin characters in composed form; any other text goes to the tokenizer whole.
+    a text's ids are those of its words in order, and a token that ends a word shows where one word's ids stop. Texts are cut into words and
+    these numbered in Arrow, some four million characters at a time; only words not met before go to the tokenizer, by themselves. That holds
+    for texts of plain Latin characters, which are all composed; any other text goes to the tokenizer whole.
     """
 
-    PLAIN = re.compile(r"[^\t\n\v\f\r\x20-\x7eÀ-ÖØ-öø-ÿ“”‘’–—…¿¡«»€]")
-    WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
+    ODD = r"[^\t\n\v\f\r\x20-\x7eÀ-ÖØ-öø-ÿ“”‘’–—…¿¡«»€]|<\|"
+    APART = r"'(?:s|t|re|ve|m|ll|d)|[^\t\n\v\f\r a-zß-öø-ÿ0-9]+|[0-9]"  # what is a word without white space around it
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 600_000, at_once: int = 1 << 22):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
-        self.words, self.chunks = Recent(most), Recent(most)
+        self.tok, self.of_words, self.most, self.at_once = Tokenizer.from_file(path), Tokenizer.from_file(path), most, at_once
+        self.of_words.normalizer = normalizers.Sequence([])  # words are normalised and cut already
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tok.get_vocab()
-        self.last = bytearray(max(vocabulary.values()) + 1)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ends, self.ids = {"": 0}, np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        some, n = [], 0
         for text in texts:
-            if "<|" in text or self.PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
-                yield array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-                continue
-            parts = text.lower().split()
-            found = list(map(self.chunks.get, parts))
-            if None in found:
-                self._learn({p for p, x in zip(parts, found) if x is None})
-                found = map(self.chunks.__getitem__, parts)
-            yield b"".join(found)
-            self.chunks.turn()
-            self.words.turn()
-
-    def _learn(self, chunks: set[str]) -> None:
-        split = {p: self.WORD.findall(p) for p in self.chunks.missing(chunks)}
-        unseen = list(self.words.missing({w for ws in split.values() for w in ws}))
-        if unseen:
-            ids, at, n = array("I", self.tok.encode(" ".join(unseen), add_special_tokens=False).ids), 0, 0
-            for stop, i in enumerate(ids, 1):
-                if self.last[i]:
-                    self.words[unseen[n]] = ids[at:stop].tobytes()
-                    at, n = stop, n + 1
-        for p, ws in split.items():
-            self.chunks[p] = b"".join([self.words[w] for w in ws])
+            some.append(text)
+            n += len(text)
+            if n >= self.at_once:
+                yield from self._encoded(some)
+                some, n = [], 0
+        yield from self._encoded(some)
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        given = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(given, self.ODD)
+        plain = pc.utf8_lower(pc.if_else(odd, pa.scalar("", pa.large_string()), given))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, self.APART, r" \0 "))
+        coded = pc.dictionary_encode(lists.flatten())
+        word = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        begins = np.concatenate([[0], self.ends[:-1]])[word]
+        counts = self.ends[word] - begins
+        stops = np.cumsum(counts)
+        ids = self.ids[np.repeat(begins - stops + counts, counts) + np.arange(counts.sum())]
+        bounds = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        for text, whole, a, e in zip(texts, odd.to_pylist(), bounds, bounds[1:]):
+            yield np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes() if whole else ids[a:e].tobytes()
+
+    def _numbers(self, words: list[str], step: int = 2000) -> np.ndarray:
+        """The number of each word; those not met before are learnt, and if there are too many by then all others are forgotten."""
+        if len(self.words) > self.most:
+            self._forget()
+        unseen, ids = [w for w in words if w not in self.words], [self.ids]
+        for at in range(0, len(unseen), step):
+            [found] = self.of_words.encode_batch_fast([" ".join(unseen[at : at + step])], add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+        self.words.update(zip(unseen, range(len(self.words), len(self.words) + len(unseen))))
+        new = np.concatenate(ids[1:]) if unseen else self.ids[:0]
+        self.ends = np.concatenate([self.ends, len(self.ids) + 1 + np.flatnonzero(self.last[new])])
+        self.ids = np.concatenate(ids)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
 
 @lru_cache(1)

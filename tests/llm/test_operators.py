@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -628,6 +630,28 @@ def test_pieces_match_the_tokenizer(docs, odd):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_in_arrow_not_one_by_one():
+    """20,000 different words with signs around them, in 100 texts: Python is called for texts, not for words; what was forgotten is learnt again."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    tok, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["", "(", "«"]) + "".join(rng.choices("abcdeéABC", k=9)) + rng.choice(["", ",", "'s", " 12"]) for _ in range(200)) for _ in range(100)]
+    calls = collections.Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = list(encoder.encode(texts))
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 2000
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    small = packing.WordEncoder(path, most=300, at_once=5000)
+    assert list(small.encode([*texts, *texts])) == [*got, *got] and len(small.words) < 2000
+
+
 @pytest.mark.parametrize("budget", [64, 4096])
 def test_packing(docs, budget):
     from tokenizers import Tokenizer
