@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -93,28 +94,44 @@ def drawn(alphabets: list[str], seed: int = 9) -> Counter:
     return Counter("".join(rng.choices(a, k=32)) for a in alphabets for _ in range(DRAWN))
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Table of log-likelihood ratios, random over ordinary, by previous and next character (67 x 67)."""
+def pairs_of(words: list[str]) -> np.ndarray:
+    """Markov.pairs of words written in LETTERS, each counted as often as it is listed, and no word kept by itself: a line feed between words has the code of a start."""
     n = len(LETTERS) + 1
+    c = Markov.CODE[np.frombuffer("\n".join(["", *words]).encode(), np.uint8)]
+    out = np.bincount(c[:-1] * n + c[1:], minlength=n * n).reshape(n, n)
+    out[:, n - 1] = 0  # from a word's last character to the line feed
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, n, n))
-        for batch in batches:
-            words: list[Counter] = [Counter(), Counter()]
-            for t in batch.column("text").to_pylist():
-                spans = base_spans(t)
-                words[1].update(secret_values(t, spans))
-                at = 0
-                for s, _, e in [*spans, (len(t), 0, 0)]:
-                    found = [w for w in WORD.findall(t[at:s]) if w.isascii()]
-                    paired = [a + (b[:1].upper() + b[1:] if i % 4 == 3 else "_-/"[i % 4] + b) for i, (a, b) in enumerate(zip(found, found[1:]))]  # as in paths and longer names
-                    words[0].update(x for w in [*found, *paired] for x in {w, w.upper()})
-                    at = max(at, e)
-            total += [Markov.pairs(w) for w in words]
+
+def count_pairs(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """label, a, b, k: how often character b follows a in the ordinary (0) and the random (1) strings of a batch of texts. Memory: the strings of `most` neighbouring words of one text."""
+    n = len(LETTERS) + 1
+    for batch in batches:
+        total = np.zeros((2, n, n), np.int64)
+        for value in batch.column("text"):
+            t = value.as_py()
+            spans = base_spans(t)
+            total[1] += pairs_of(secret_values(t, spans))
+            at = 0
+            for s, _, e in [*spans, (len(t), 0, 0)]:
+                words = WORD.finditer(t, at, max(at, s))
+                last, i = None, 0
+                while found := [m[0] for m in islice(words, most)]:
+                    joined_ = found if last is None else [last, *found]
+                    paired = [a + (b[:1].upper() + b[1:] if j % 4 == 3 else "_-/"[j % 4] + b) for j, (a, b) in enumerate(zip(joined_, joined_[1:]), i)]  # as in paths and longer names
+                    last, i = found[-1], i + len(paired)
+                    found += paired
+                    total[0] += pairs_of([*found, *[u for w in found if (u := w.upper()) != w]])
+                at = max(at, e)
         where = np.nonzero(total)
-        columns = [*(x.astype(np.int32) for x in where), total[where].astype(np.int64)]
+        columns = [*(x.astype(np.int32) for x in where), total[where]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["label", "a", "b", "k"])
 
+
+def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
+    """Table of log-likelihood ratios, random over ordinary, by previous and next character (67 x 67)."""
+    n = len(LETTERS) + 1
+
     texts = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("turn", F.xxhash64("text"))
     low = F.lower("text")
     marked = reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in KEYWORDS]) | F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
@@ -124,7 +141,7 @@ def train(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text
     wanted = (F.col("turn") <= bound(number["all"])) | ((F.col("turn") <= bound(number["marked"])) & marked)
     table = np.zeros((2, n, n))
     once = texts.where(wanted).groupBy("turn").agg(F.first("text").alias("text"))  # equal texts
-    sample = once.select("text").mapInArrow(count, "label int, a int, b int, k long")
+    sample = once.select("text").mapInArrow(count_pairs, "label int, a int, b int, k long")
     for row in sample.groupBy("label", "a", "b").agg(F.sum("k").alias("k")).collect():  # 2 * 67 * 67 rows at most
         table[row.label, row.a, row.b] = row.k
     plain = drawn([DIGITS])
