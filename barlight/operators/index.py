@@ -167,4 +167,5 @@ def search_chain(path: str, queries: DataFrame, docs: DataFrame, tokens: Callabl
     if not populated(queries.sparkSession, path):
         rebuild(docs, path, tokens)
     first = search(path, queries, tokens, k).withColumnRenamed("doc_id", "id")
-    return ranks.with_fallback(first, spare(queries), queries)
+    missed = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
+    return ranks.with_fallback(first, spare(missed), queries)

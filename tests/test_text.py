@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlight.functions import text as ft
@@ -339,3 +341,24 @@ def test_fields_of_very_long_answers(spark):
     f = ft.response_fields(F.col("t"))
     got = {r.k: (r.title, r.narrative) for r in df.select("k", f["title"].alias("title"), f["narrative"].alias("narrative")).collect()}
     assert got == {1: (long, "n"), 2: (escaped, long), 3: (None, None), 4: (None, None), 5: (None, None)}
+
+
+def test_recall_by_blocks(spark):
+    """Repeated ids, missing and odd values: the ranks of all pairs of terms, however small the blocks; no pair of a note's term and a query is joined."""
+    rng, words = random.Random(5), [f"w{i}" for i in range(30)]
+    some = lambda n: None if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.randint(0, n)))
+    shares = [None, float("nan"), 0.1, 0.3, 0.0000003, 0.000001, 1.0, 0.123457]
+    rows = [(rng.choice([None, *range(90)]), some(3), some(2), rng.choice([None, ["w1", "w2"], ["w3", None], []]), some(12), rng.choice(shares), rng.choice([None, 1, 2])) for _ in range(250)]
+    notes = spark.createDataFrame(rows, "id long, title string, description string, keywords array<string>, body string, importance double, modified_at long").repartition(3)
+    queries = spark.createDataFrame([(rng.choice([None, *range(20)]), some(6)) for _ in range(30)], "query_id long, query string")
+    term = lambda c, w: F.transform(F.array_distinct(ft.tokens(c)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    fields = F.concat(term(F.concat_ws(" ", "title", "description"), 2), term(F.array_join("keywords", " "), 2), term(F.col("body"), 1))
+    asked = queries.select("query_id", F.explode(F.array_distinct(ft.tokens(F.col("query")))).alias("term"))
+    met = notes.select("id", "importance", "modified_at", F.explode(fields).alias("x")).select("*", "x.term", "x.w").join(asked, "term")
+    for decay in (True, False):
+        score = F.round(F.sum("w") * (0.5 + 0.5 * F.col("importance") if decay else F.lit(1.0)), 6)
+        ranked = met.groupBy("query_id", "id", "importance", "modified_at").agg(score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("modified_at"), "id")))
+        want = sorted(repr(tuple(r)) for r in ranked.where("rank <= 5").select("query_id", "id", "score", "rank").collect())
+        got = search.recall(notes, queries, 5, decay, block=700)
+        assert sorted(repr(tuple(r)) for r in got.collect()) == want
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
