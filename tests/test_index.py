@@ -170,6 +170,25 @@ def test_snippets_of_hits(spark):
     assert ">>>市场<<<" in got[2, 2][0] and got[3, 1][0].startswith("Alphabet alpha")
 
 
+def test_a_search_keeps_postings_of_asked_terms_alone(spark, monkeypatch):
+    """What is written and dealt out for a search holds no term that no query asks for, lengths stay whole; more terms than may be listed give the same hits."""
+    docs = [*corpus(4), (900, None), (901, "nobody asks"), (None, "w1 w2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w2 w3 w1"), (2, "w5 unheard"), (3, None)], "query_id long, query string")
+    real, kept = search.written, {}
+    monkeypatch.setattr(search, "written", lambda frame, name: kept.setdefault((name, len(kept)), real(frame, name)))
+    monkeypatch.setattr(search, "cleared", lambda spark: contextlib.nullcontext(lambda df: df))
+    got = hits(search.search(df, queries, tokens))
+    rows = next(f for (name, _), f in kept.items() if name == "forward").collect()
+    assert {t.term for r in rows for t in r.terms} == {"w1", "w2", "w3", "w5"}
+    assert sorted((r.doc_id or -1, r.dl) for r in rows) == sorted((i or -1, len((t or "").split())) for i, t in docs)
+    kept.clear()
+    assert hits(search.search(df, queries, tokens, listed=4)) == got and set(got) == {1, 2}
+    rows = next(f for (name, _), f in kept.items() if name == "forward").collect()
+    assert "nobody" in {t.term for r in rows for t in r.terms}
+    assert search.search(df, queries.where("query is null"), tokens).count() == 0
+
+
 def test_words_are_counted_in_batches_and_not_by_position(spark):
     texts = {1: "the cat the Cat é_x the 日本 日本", 2: "", 3: None, 4: "zz aa zz", 5: "of"}
     made = search.forward(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), tokens)
